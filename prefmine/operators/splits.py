@@ -7,7 +7,9 @@ them from the same md5 text.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +40,7 @@ def exact_split(df: DataFrame, keys: Sequence[str], test_fraction: float = 0.1,
     pos = global_position(df.select("*", h), ["_h", *keys], "_pos")
     # The positions come from a checkpointed table: counting it is a cheap
     # scalar job, and the cut-off then is a literal.
-    k = int(pos.count() * test_fraction)
+    k = math.floor(Decimal(pos.count()) * Decimal(str(test_fraction)))
     is_test = F.col("_pos") < F.lit(k)
     cols = df.columns
     return pos.where(~is_test).select(*cols), pos.where(is_test).select(*cols)

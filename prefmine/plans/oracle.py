@@ -158,4 +158,183 @@ city_r AS (SELECT user_id, item_id, rating FROM ratings_part_city
             padded_neighbors("city_r", "sym", P.N_NEIGHBORS)) + f"""
 SELECT item_id, neighbor_id, {fx("similarity", "similarity")}, n_common, CAST(rank AS INTEGER) AS rank FROM nb""",
     }
+    sql.update(_more())
     return sql
+
+
+# ------------------------------------------- CF predictions, splits, mining
+
+def predict_all(nb: str, train: str, name: str = "pred") -> str:
+    return f"""
+{name} AS (
+  SELECT r.user_id, n.item_id,
+         CASE WHEN sum(n.similarity) <> 0 THEN sum(n.similarity * r.rating) / sum(n.similarity)
+              ELSE 0.0 END AS prediction
+  FROM {nb} n JOIN {train} r ON r.item_id = n.neighbor_id
+  GROUP BY r.user_id, n.item_id)"""
+
+
+def evaluate(actual: str, pred: str) -> str:
+    return f"""
+SELECT {fx('sqrt(avg(power(a.rating - p.prediction, 2)))', 'rmse')},
+       count(p.prediction) AS n_covered, count(*) AS n_actual,
+       {fx('CAST(count(p.prediction) AS DOUBLE) / nullif(count(*), 0)', 'coverage')}
+FROM {actual} a LEFT JOIN {pred} p ON a.user_id = p.user_id AND a.item_id = p.item_id"""
+
+
+BRAND_PAIRS = """
+bp AS (SELECT DISTINCT l.l_orderkey AS user_id, p.p_brand AS item
+       FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey)"""
+
+
+def brand_split() -> str:
+    h = f"md5(concat_ws('|', CAST(user_id AS VARCHAR), CAST(item AS VARCHAR), '{P.SEED}'))"
+    return f"""
+bp_h AS (SELECT user_id, item,
+                row_number() OVER (ORDER BY {h}, user_id, item) - 1 AS pos,
+                count(*) OVER () AS n
+         FROM bp),
+bp_split AS (SELECT user_id, item, pos < floor(n * {P.BASKET_TEST_FRACTION}) AS is_test FROM bp_h),
+tr AS (SELECT user_id, item FROM bp_split WHERE NOT is_test),
+te AS (SELECT user_id, item FROM bp_split WHERE is_test)"""
+
+
+def itemsets(src: str, support: float, suffix: str = "") -> str:
+    """Frequent itemsets of size 1..4 by self-joins (baskets of brands hold
+    no frequent 5-sets at the supports used) and single-consequent rules."""
+    s = suffix
+    mc = f"(SELECT m FROM mc{s})"
+    return f"""
+nbk{s} AS (SELECT count(DISTINCT user_id) AS n FROM {src}),
+mc{s} AS (SELECT ceil(CAST({support!r} AS DOUBLE) * n) AS m FROM nbk{s}),
+f1{s} AS (SELECT item AS a, count(*) AS freq FROM {src} GROUP BY item HAVING count(*) >= {mc}),
+f2{s} AS (SELECT x.item AS a, y.item AS b, count(*) AS freq
+          FROM {src} x JOIN {src} y ON x.user_id = y.user_id AND x.item < y.item
+          GROUP BY 1, 2 HAVING count(*) >= {mc}),
+f3{s} AS (SELECT x.item AS a, y.item AS b, z.item AS c, count(*) AS freq
+          FROM {src} x JOIN {src} y ON x.user_id = y.user_id AND x.item < y.item
+                       JOIN {src} z ON x.user_id = z.user_id AND y.item < z.item
+          GROUP BY 1, 2, 3 HAVING count(*) >= {mc}),
+f4{s} AS (SELECT w.item AS a, x.item AS b, y.item AS c, z.item AS d, count(*) AS freq
+          FROM {src} w JOIN {src} x ON w.user_id = x.user_id AND w.item < x.item
+                       JOIN {src} y ON w.user_id = y.user_id AND x.item < y.item
+                       JOIN {src} z ON w.user_id = z.user_id AND y.item < z.item
+          GROUP BY 1, 2, 3, 4 HAVING count(*) >= {mc}),
+fs{s} AS (SELECT a AS k, 1 AS size, freq FROM f1{s}
+          UNION ALL SELECT a || ',' || b, 2, freq FROM f2{s}
+          UNION ALL SELECT a || ',' || b || ',' || c, 3, freq FROM f3{s}
+          UNION ALL SELECT a || ',' || b || ',' || c || ',' || d, 4, freq FROM f4{s}),
+cand{s} AS (SELECT a AS ante, b AS cons, freq FROM f2{s}
+            UNION ALL SELECT b, a, freq FROM f2{s}
+            UNION ALL SELECT a || ',' || b, c, freq FROM f3{s}
+            UNION ALL SELECT a || ',' || c, b, freq FROM f3{s}
+            UNION ALL SELECT b || ',' || c, a, freq FROM f3{s}
+            UNION ALL SELECT a || ',' || b || ',' || c, d, freq FROM f4{s}
+            UNION ALL SELECT a || ',' || b || ',' || d, c, freq FROM f4{s}
+            UNION ALL SELECT a || ',' || c || ',' || d, b, freq FROM f4{s}
+            UNION ALL SELECT b || ',' || c || ',' || d, a, freq FROM f4{s}),
+rules_all{s} AS (
+  SELECT c.ante AS antecedent_key, c.cons AS consequent_key,
+         CAST(c.freq AS DOUBLE) / fa.freq AS confidence,
+         (CAST(c.freq AS DOUBLE) / fa.freq) / (CAST(fc.freq AS DOUBLE) / (SELECT n FROM nbk{s})) AS lift,
+         CAST(c.freq AS DOUBLE) / (SELECT n FROM nbk{s}) AS support
+  FROM cand{s} c JOIN fs{s} fa ON fa.k = c.ante JOIN f1{s} fc ON fc.a = c.cons)"""
+
+
+def rules(min_conf: float, suffix: str = "") -> str:
+    s = suffix
+    return f"""
+rules{s} AS (SELECT * FROM rules_all{s} WHERE confidence >= {min_conf!r})"""
+
+
+def fire(train: str, rules_t: str, test: str, suffix: str = "") -> str:
+    s = suffix
+    return f"""
+ante{s} AS (SELECT antecedent_key, count(*) AS n_rules FROM {rules_t} GROUP BY antecedent_key),
+ante_items{s} AS (SELECT antecedent_key, unnest(string_split(antecedent_key, ',')) AS item,
+                         len(string_split(antecedent_key, ',')) AS ante_size FROM ante{s}),
+fired{s} AS (SELECT t.user_id, a.antecedent_key
+             FROM {train} t JOIN ante_items{s} a ON t.item = a.item
+             GROUP BY t.user_id, a.antecedent_key, a.ante_size HAVING count(*) = a.ante_size),
+rec{s} AS (SELECT DISTINCT f.user_id, r.consequent_key AS item
+           FROM fired{s} f JOIN {rules_t} r ON f.antecedent_key = r.antecedent_key),
+rpred{s} AS (SELECT user_id, item FROM rec{s}
+             EXCEPT SELECT user_id, item FROM {train}),
+flags{s} AS (SELECT user_id, item, max(p) AS p, max(t) AS t FROM (
+               SELECT user_id, item, 1 AS p, 0 AS t FROM rpred{s}
+               UNION ALL SELECT user_id, item, 0 AS p, 1 AS t FROM {test}) u
+             GROUP BY user_id, item),
+per_user{s} AS (SELECT user_id, CAST(sum(p * t) AS BIGINT) AS tp,
+                       CAST(sum(p * (1 - t)) AS BIGINT) AS fp,
+                       CAST(sum((1 - p) * t) AS BIGINT) AS fn
+                FROM flags{s} GROUP BY user_id HAVING max(p) = 1 AND max(t) = 1),
+totals{s} AS (SELECT count(*) AS n_matched, CAST(coalesce(sum(tp), 0) AS BIGINT) AS tp,
+                     CAST(coalesce(sum(fp), 0) AS BIGINT) AS fp,
+                     CAST(coalesce(sum(fn), 0) AS BIGINT) AS fn FROM per_user{s})"""
+
+
+def _more() -> dict[str, str]:
+    sup, conf = P.MIN_SUPPORT, P.MIN_CONFIDENCE
+    mining = (BRAND_PAIRS, brand_split(), itemsets("tr", sup), rules(conf))
+    cf = (RATINGS_SUPP, supp_split(), similarity("supp_train"), symmetric("sim"),
+          neighbors("sym", P.N_NEIGHBORS))
+    open_pairs = f"""
+open_pairs AS (
+  SELECT DISTINCT l.l_suppkey AS item_id, o.o_custkey AS user_id
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+  JOIN supplier s ON l.l_suppkey = s.s_suppkey
+  JOIN nation n ON s.s_nationkey = n.n_nationkey
+  WHERE n.n_name = {_q(P.OPEN_CITY)} AND CAST(s.s_acctbal > 0 AS INTEGER) = 1)"""
+    th = hex_threshold(P.TEST_FRACTION)
+    hu = hash_unit(["user_id", "item_id"], P.SEED)
+    return {
+        "dense_user_index": """
+SELECT c_name, row_number() OVER (ORDER BY c_name) - 1 AS user_index
+FROM (SELECT DISTINCT c_name FROM customer) t""",
+        "first_seen_index": with_(open_pairs) + """
+SELECT user_id, row_number() OVER (ORDER BY first_item, user_id) - 1 AS user_index
+FROM (SELECT user_id, min(item_id) AS first_item FROM open_pairs GROUP BY user_id) t""",
+        "split_80_20": with_(RATINGS_SUPP) + f"""
+SELECT user_id, item_id, {hu} < '{th}' AS is_test FROM ratings_supp""",
+        "split_exact_tenth": with_(BRAND_PAIRS, brand_split()) + """
+SELECT user_id, item, is_test FROM bp_split""",
+        "itemcf_predictions": with_(*cf, predict_all("nb", "supp_train")) + f"""
+SELECT user_id, item_id, {fx('prediction', 'prediction')} FROM pred""",
+        "itemcf_rmse_train": with_(*cf, predict_all("nb", "supp_train")) + evaluate("supp_train", "pred"),
+        "itemcf_rmse_test": with_(*cf, predict_all("nb", "supp_train")) + evaluate("supp_test", "pred"),
+        "itemcf_coverage": with_(*cf, predict_all("nb", "supp_train")) + f"""
+SELECT a.city, count(*) AS n_actual, count(p.prediction) AS n_covered,
+       {fx('CAST(count(p.prediction) AS DOUBLE) / count(*)', 'coverage')},
+       {fx('sqrt(avg(power(a.rating - p.prediction, 2)))', 'rmse')}
+FROM (SELECT t.user_id, t.item_id, t.rating, r.city FROM supp_test t
+      JOIN ratings_supp r ON r.user_id = t.user_id AND r.item_id = t.item_id) a
+LEFT JOIN pred p ON a.user_id = p.user_id AND a.item_id = p.item_id
+GROUP BY a.city""",
+        "distinct_pairs": with_(open_pairs) + """
+SELECT item_id, user_id FROM open_pairs""",
+        "user_baskets": with_(BRAND_PAIRS) + """
+SELECT user_id, string_agg(item, ',' ORDER BY item) AS items_key, CAST(count(*) AS INTEGER) AS n_items
+FROM bp GROUP BY user_id""",
+        "basket_stats": with_(BRAND_PAIRS) + f"""
+SELECT count(*) AS n_pairs, count(DISTINCT user_id) AS n_users, count(DISTINCT item) AS n_items,
+       (SELECT max(c) FROM (SELECT count(*) AS c FROM bp GROUP BY user_id) t) AS max_basket,
+       {fx('CAST(count(*) AS DOUBLE) / count(DISTINCT user_id)', 'mean_basket')}
+FROM bp""",
+        "frequent_itemsets": with_(*mining) + """
+SELECT k AS items_key, CAST(size AS INTEGER) AS size, freq FROM fs""",
+        "association_rules": with_(*mining) + f"""
+SELECT antecedent_key, consequent_key, {fx('confidence', 'confidence')}, {fx('lift', 'lift')},
+       {fx('support', 'support')} FROM rules""",
+        "distinct_antecedents": with_(*mining) + """
+SELECT antecedent_key, CAST(len(string_split(antecedent_key, ',')) AS INTEGER) AS ante_size,
+       count(*) AS n_rules FROM rules GROUP BY antecedent_key""",
+        "rule_predictions": with_(*mining, fire("tr", "rules", "te")) + """
+SELECT user_id, item FROM rpred""",
+        "rule_tp_fp_fn": with_(*mining, fire("tr", "rules", "te")) + """
+SELECT user_id, tp, fp, fn FROM per_user""",
+        "rule_precision_recall": with_(*mining, fire("tr", "rules", "te")) + f"""
+SELECT n_matched, tp, fp, fn,
+       {fx('CAST(tp AS DOUBLE) / nullif(tp + fp, 0)', 'precision')},
+       {fx('CAST(tp AS DOUBLE) / nullif(tp + fn, 0)', 'recall')}
+FROM totals""",
+    }

@@ -92,3 +92,174 @@ QUERIES: dict[str, Query] = {
     "item_neighbors": q_item_neighbors,
     "item_neighbors_padded": q_item_neighbors_padded,
 }
+
+
+# ------------------------------------------------- indexes and splits
+
+def q_dense_user_index(spark, sf):
+    from prefmine.operators.indexing import dense_index
+    cust = T.table(spark, sf, "customer").select("c_name")
+    return dense_index(cust, ["c_name"], "user_index")
+
+
+def _open_city_pairs(spark, sf):
+    from prefmine.operators.patterns import distinct_pairs
+    rv = T.reviews(spark, sf, "supp").select(F.col("item_key").alias("item_id"),
+                                              F.col("user_key").alias("user_id"))
+    return distinct_pairs(rv, T.business(spark, sf), P.OPEN_CITY)
+
+
+def q_first_seen_index(spark, sf):
+    from prefmine.operators.indexing import first_seen_index
+    return first_seen_index(_open_city_pairs(spark, sf), "user_id", ["item_id", "user_id"],
+                            "user_index")
+
+
+def q_split_80_20(spark, sf):
+    train, test = _supp_split(spark, sf)
+    return (train.select("user_id", "item_id", F.lit(False).alias("is_test"))
+            .unionByName(test.select("user_id", "item_id", F.lit(True).alias("is_test"))))
+
+
+def _brand_split(spark, sf):
+    return splits.exact_split(T.brand_pairs(spark, sf), ["user_id", "item"],
+                              P.BASKET_TEST_FRACTION, P.SEED)
+
+
+def q_split_exact_tenth(spark, sf):
+    train, test = _brand_split(spark, sf)
+    return (train.select("user_id", "item", F.lit(False).alias("is_test"))
+            .unionByName(test.select("user_id", "item", F.lit(True).alias("is_test"))))
+
+
+# ---------------------------------------------- item CF predictions
+
+def _supp_neighbors(spark, sf, n=P.N_NEIGHBORS):
+    train, test = _supp_split(spark, sf)
+    return train, test, itemcf.top_neighbors(itemcf.item_similarity(train), n)
+
+
+def q_itemcf_predictions(spark, sf):
+    train, _, nb = _supp_neighbors(spark, sf)
+    return itemcf.predict_all(nb, train).select("user_id", "item_id", fx("prediction"))
+
+
+def _eval_cols(df):
+    return df.select(fx("rmse"), "n_covered", "n_actual", fx("coverage"))
+
+
+def q_itemcf_rmse_train(spark, sf):
+    train, _, nb = _supp_neighbors(spark, sf)
+    return _eval_cols(itemcf.evaluate(itemcf.predict_pairs(nb, train, train), train))
+
+
+def q_itemcf_rmse_test(spark, sf):
+    train, test, nb = _supp_neighbors(spark, sf)
+    return _eval_cols(itemcf.evaluate(itemcf.predict_pairs(nb, train, test), test))
+
+
+def q_itemcf_coverage(spark, sf):
+    """Test coverage and RMSE per city."""
+    train, test, nb = _supp_neighbors(spark, sf)
+    pred = itemcf.predict_pairs(nb, train, test)
+    t = test.join(pred, ["user_id", "item_id"], "left")
+    return (t.groupBy("city").agg(F.count(F.lit(1)).alias("n_actual"),
+                                  F.count("prediction").alias("n_covered"),
+                                  F.sqrt(F.avg(F.pow(F.col("rating") - F.col("prediction"), 2))).alias("rmse"))
+            .select("city", "n_actual", "n_covered",
+                    fx(F.col("n_covered") / F.col("n_actual"), "coverage"), fx("rmse")))
+
+
+# -------------------------------------------------- pattern mining
+
+def q_distinct_pairs(spark, sf):
+    return _open_city_pairs(spark, sf)
+
+
+def q_user_baskets(spark, sf):
+    from prefmine.operators.patterns import baskets, itemset_key
+    b = baskets(T.brand_pairs(spark, sf))
+    return b.select("user_id", itemset_key("items").alias("items_key"),
+                    F.size("items").alias("n_items"))
+
+
+def q_basket_stats(spark, sf):
+    from prefmine.operators.patterns import basket_stats
+    return basket_stats(T.brand_pairs(spark, sf)).select(
+        "n_pairs", "n_users", "n_items", "max_basket", fx("mean_basket"))
+
+
+def _fp_model(spark, sf, support=P.MIN_SUPPORT, confidence=P.MIN_CONFIDENCE):
+    from prefmine.operators.patterns import baskets, fit_fpgrowth
+    train, test = _brand_split(spark, sf)
+    return train, test, fit_fpgrowth(baskets(train), support, confidence)
+
+
+def q_frequent_itemsets(spark, sf):
+    from prefmine.operators.patterns import itemset_key
+    _, _, m = _fp_model(spark, sf)
+    return m.freqItemsets.select(itemset_key("items").alias("items_key"),
+                                 F.size("items").alias("size"), "freq")
+
+
+def _rule_cols(rules):
+    from prefmine.operators.patterns import itemset_key
+    return rules.select(itemset_key("antecedent").alias("antecedent_key"),
+                        itemset_key("consequent").alias("consequent_key"),
+                        fx("confidence"), fx("lift"), fx("support"))
+
+
+def q_association_rules(spark, sf):
+    _, _, m = _fp_model(spark, sf)
+    return _rule_cols(m.associationRules)
+
+
+def q_distinct_antecedents(spark, sf):
+    from prefmine.operators.patterns import distinct_antecedents
+    _, _, m = _fp_model(spark, sf)
+    return distinct_antecedents(m.associationRules).select("antecedent_key", "ante_size", "n_rules")
+
+
+def _rule_preds(spark, sf):
+    from prefmine.operators.patterns import fire_rules
+    train, test, m = _fp_model(spark, sf)
+    return train, test, fire_rules(train, m.associationRules)
+
+
+def q_rule_predictions(spark, sf):
+    _, _, pred = _rule_preds(spark, sf)
+    return pred
+
+
+def q_rule_tp_fp_fn(spark, sf):
+    from prefmine.operators.patterns import tp_fp_fn
+    _, test, pred = _rule_preds(spark, sf)
+    return tp_fp_fn(pred, test)
+
+
+def q_rule_precision_recall(spark, sf):
+    from prefmine.operators.patterns import precision_recall, tp_fp_fn
+    _, test, pred = _rule_preds(spark, sf)
+    pr = precision_recall(tp_fp_fn(pred, test))
+    return pr.select("n_matched", "tp", "fp", "fn", fx("precision"), fx("recall"))
+
+
+QUERIES.update({
+    "dense_user_index": q_dense_user_index,
+    "first_seen_index": q_first_seen_index,
+    "split_80_20": q_split_80_20,
+    "split_exact_tenth": q_split_exact_tenth,
+    "itemcf_predictions": q_itemcf_predictions,
+    "itemcf_rmse_train": q_itemcf_rmse_train,
+    "itemcf_rmse_test": q_itemcf_rmse_test,
+    "itemcf_coverage": q_itemcf_coverage,
+    "distinct_pairs": q_distinct_pairs,
+    "user_baskets": q_user_baskets,
+    "basket_stats": q_basket_stats,
+    "frequent_itemsets": q_frequent_itemsets,
+    "association_rules": q_association_rules,
+    "distinct_antecedents": q_distinct_antecedents,
+    "rule_predictions": q_rule_predictions,
+    "rule_tp_fp_fn": q_rule_tp_fp_fn,
+    "rule_precision_recall": q_rule_precision_recall,
+})
