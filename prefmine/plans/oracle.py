@@ -159,6 +159,7 @@ city_r AS (SELECT user_id, item_id, rating FROM ratings_part_city
 SELECT item_id, neighbor_id, {fx("similarity", "similarity")}, n_common, CAST(rank AS INTEGER) AS rank FROM nb""",
     }
     sql.update(_more())
+    sql.update(_sweeps())
     return sql
 
 
@@ -338,3 +339,45 @@ SELECT n_matched, tp, fp, fn,
        {fx('CAST(tp AS DOUBLE) / nullif(tp + fn, 0)', 'recall')}
 FROM totals""",
     }
+
+
+def _sweeps() -> dict[str, str]:
+    base_cf = (RATINGS_SUPP, supp_split(), similarity("supp_train"), symmetric("sim"))
+    cf_parts, sel_all, sel_city = [], [], []
+    for n in P.NEIGHBOR_SWEEP:
+        cf_parts += [neighbors("sym", n, f"nb{n}"), predict_all(f"nb{n}", "supp_train", f"pred{n}")]
+        j = f"""supp_test a LEFT JOIN pred{n} p ON a.user_id = p.user_id AND a.item_id = p.item_id"""
+        sel_all.append(f"""
+SELECT {n} AS n_neighbors, {fx('sqrt(avg(power(a.rating - p.prediction, 2)))', 'rmse')},
+       count(p.prediction) AS n_covered, count(*) AS n_actual,
+       {fx('CAST(count(p.prediction) AS DOUBLE) / count(*)', 'coverage')}
+FROM {j}""")
+        sel_city.append(f"""
+SELECT {n} AS n_neighbors, r.city, sqrt(avg(power(a.rating - p.prediction, 2))) AS rmse
+FROM {j} JOIN ratings_supp r ON r.user_id = a.user_id AND r.item_id = a.item_id
+GROUP BY r.city""")
+    city_cte = "city_sweep AS (" + "\nUNION ALL".join(sel_city) + ")"
+    out = {
+        "neighbor_sweep": with_(*base_cf, *cf_parts) + "\nUNION ALL".join(sel_all),
+        "metric_filter": with_(*base_cf, *cf_parts, city_cte) + f"""
+SELECT 'itemcf' AS experiment, city, 0 AS run, 'n_neighbors' AS param,
+       CAST(n_neighbors AS DOUBLE) AS param_value, 'rmse' AS metric, {fx('rmse', 'value')}
+FROM city_sweep WHERE n_neighbors = 10""",
+        "metric_pivot": with_(*base_cf, *cf_parts, city_cte) + """
+SELECT city, """ + ", ".join(
+            fx(f"max(CASE WHEN n_neighbors = {n} THEN rmse END)", f"rmse_n{n}")
+            for n in P.NEIGHBOR_SWEEP) + """
+FROM city_sweep GROUP BY city""",
+    }
+    ctes, sels = [BRAND_PAIRS, brand_split()], []
+    for i, s in enumerate(P.SUPPORT_SWEEP):
+        x = f"_s{i}"
+        ctes += [itemsets("tr", s, x), rules(P.MIN_CONFIDENCE, x), fire("tr", f"rules{x}", "te", x)]
+        sels.append(f"""
+SELECT {fx(repr(s), 'support')}, (SELECT count(*) FROM fs{x}) AS n_itemsets,
+       (SELECT count(*) FROM rules{x}) AS n_rules, n_matched, tp, fp, fn,
+       {fx('CAST(tp AS DOUBLE) / nullif(tp + fp, 0)', 'precision')},
+       {fx('CAST(tp AS DOUBLE) / nullif(tp + fn, 0)', 'recall')}
+FROM totals{x}""")
+    out["support_sweep"] = with_(*ctes) + "\nUNION ALL".join(sels)
+    return out

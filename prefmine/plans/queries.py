@@ -263,3 +263,130 @@ QUERIES.update({
     "rule_tp_fp_fn": q_rule_tp_fp_fn,
     "rule_precision_recall": q_rule_precision_recall,
 })
+
+
+# ------------------------------------------------------------------ ALS
+
+def _als_split(spark, sf):
+    return _supp_split(spark, sf)
+
+
+def q_als_predictions(spark, sf):
+    from prefmine.operators import als
+    train, test = _als_split(spark, sf)
+    model = als.fit(train, rank=P.ALS_RANK, max_iter=P.ALS_MAX_ITER, reg_param=P.ALS_REG)
+    return als.score(model, test).select("user_id", "item_id", "rating", "prediction")
+
+
+def q_als_holdout_mean(spark, sf):
+    """Three fresh hash splits (seeds 0..2): per-run rows and their mean."""
+    from prefmine.operators import als
+    rows = als.holdout_runs(
+        T.ratings_supp(spark, sf),
+        lambda df, seed: splits.hash_split(df, ["user_id", "item_id"], P.TEST_FRACTION, seed),
+        runs=3, rank=P.ALS_RANK, max_iter=P.ALS_MAX_ITER, reg_param=P.ALS_REG)
+    df = spark.createDataFrame(
+        [(str(r["run"]), r["n_train"], r["n_test"], r["rmse"], r["train_s"], r["test_s"]) for r in rows],
+        "run string, n_train bigint, n_test bigint, rmse double, train_s double, test_s double")
+    mean = df.agg(F.lit("mean").alias("run"), F.avg("n_train").cast("bigint").alias("n_train"),
+                  F.avg("n_test").cast("bigint").alias("n_test"), F.avg("rmse").alias("rmse"),
+                  F.avg("train_s").alias("train_s"), F.avg("test_s").alias("test_s"))
+    return df.unionByName(mean)
+
+
+def q_als_grid(spark, sf):
+    """Cross-validated rank x regParam grid; train / test RMSE of the best."""
+    from prefmine.operators import als
+    train, test = _als_split(spark, sf)
+    cv = als.grid_search(train, P.ALS_GRID_RANKS, P.ALS_GRID_REGS, num_folds=3,
+                         parallelism=4, max_iter=P.ALS_MAX_ITER)
+    tr = als.rmse(cv.transform(als.to_als_input(train, check=False)))
+    te = als.rmse(cv.transform(als.to_als_input(test, check=False)))
+    rows = [(r["rank"], r["reg_param"], r["avg_rmse"], r["is_best"],
+             tr if r["is_best"] else None, te if r["is_best"] else None)
+            for r in als.grid_table(cv)]
+    return spark.createDataFrame(
+        rows, "rank int, reg_param double, avg_rmse double, is_best boolean, "
+              "train_rmse double, test_rmse double")
+
+
+def q_als_save_load(spark, sf):
+    """Fit, save to the shared checkpoint folder, load, score the test split."""
+    import uuid
+
+    from prefmine.operators import als
+    from prefmine.session import checkpoint_dir
+    train, test = _als_split(spark, sf)
+    model = als.fit(train, rank=P.ALS_RANK, max_iter=P.ALS_MAX_ITER, reg_param=P.ALS_REG)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/models/als-{uuid.uuid4().hex}"
+    als.save(model, path)
+    return als.score(als.load(path), test).select("user_id", "item_id", "rating", "prediction")
+
+
+# ------------------------------------------------------- experiments
+
+def q_neighbor_sweep(spark, sf):
+    from prefmine.plans.experiments import neighbor_sweep
+    train, test = _supp_split(spark, sf)
+    return neighbor_sweep(train, test, P.NEIGHBOR_SWEEP).select(
+        "n_neighbors", fx("rmse"), "n_covered", "n_actual", fx("coverage"))
+
+
+def q_support_sweep(spark, sf):
+    from prefmine.plans.experiments import support_sweep
+    train, test = _brand_split(spark, sf)
+    return support_sweep(train, test, P.SUPPORT_SWEEP, P.MIN_CONFIDENCE).select(
+        fx("support"), "n_itemsets", "n_rules", "n_matched", "tp", "fp", "fn",
+        fx("precision"), fx("recall"))
+
+
+def _city_sweep_long(spark, sf):
+    from prefmine.plans.experiments import neighbor_sweep, to_long
+    train, test = _supp_split(spark, sf)
+    wide = neighbor_sweep(train, test, P.NEIGHBOR_SWEEP, by_city=True)
+    return to_long(wide, "itemcf", "n_neighbors", "n_neighbors", ["rmse", "coverage"], "city")
+
+
+def q_metric_filter(spark, sf):
+    from prefmine.plans.experiments import select_rows
+    m = select_rows(_city_sweep_long(spark, sf), param_value=10.0, metric="rmse")
+    return m.select("experiment", "city", "run", "param", "param_value", "metric", fx("value"))
+
+
+def q_metric_pivot(spark, sf):
+    from prefmine.plans.experiments import neighbor_sweep, pivot
+    train, test = _supp_split(spark, sf)
+    wide = neighbor_sweep(train, test, P.NEIGHBOR_SWEEP, by_city=True)
+    p = pivot(wide, "city", "n_neighbors", "rmse", P.NEIGHBOR_SWEEP, "rmse_n")
+    return p.select("city", *[fx(f"rmse_n{n}") for n in P.NEIGHBOR_SWEEP])
+
+
+def q_metric_compare(spark, sf):
+    """Per city: item CF (10 neighbours) vs ALS test RMSE on the same split."""
+    from prefmine.operators import als
+    train, test = _supp_split(spark, sf)
+    nb = itemcf.top_neighbors(itemcf.item_similarity(train), P.N_NEIGHBORS)
+    cf = (test.join(itemcf.predict_pairs(nb, train, test), ["user_id", "item_id"])
+          .groupBy("city").agg(F.sqrt(F.avg(F.pow(F.col("rating") - F.col("prediction"), 2)))
+                               .alias("rmse_itemcf")))
+    model = als.fit(train, rank=P.ALS_RANK, max_iter=P.ALS_MAX_ITER, reg_param=P.ALS_REG)
+    scored = als.score(model, test).join(test.select("user_id", "item_id", "city"),
+                                         ["user_id", "item_id"])
+    a = scored.groupBy("city").agg(F.sqrt(F.avg(F.pow(F.col("rating") - F.col("prediction"), 2)))
+                                   .alias("rmse_als"))
+    return (cf.join(a, "city", "full")
+            .select("city", "rmse_itemcf", "rmse_als",
+                    (F.col("rmse_als") - F.col("rmse_itemcf")).alias("als_minus_itemcf")))
+
+
+QUERIES.update({
+    "als_predictions": q_als_predictions,
+    "als_holdout_mean": q_als_holdout_mean,
+    "als_grid": q_als_grid,
+    "als_save_load": q_als_save_load,
+    "neighbor_sweep": q_neighbor_sweep,
+    "support_sweep": q_support_sweep,
+    "metric_filter": q_metric_filter,
+    "metric_pivot": q_metric_pivot,
+    "metric_compare": q_metric_compare,
+})
