@@ -1,0 +1,153 @@
+"""Item CF: golden examples, skew salting, padding against brute force."""
+
+import itertools
+import math
+
+import pytest
+from hypothesis import given, settings, strategies as st
+
+from conftest import rows
+from prefmine.operators import itemcf
+
+
+def _ratings(spark, triples):
+    return spark.createDataFrame(triples, "user_id bigint, item_id bigint, rating double")
+
+
+def _sim_map(df):
+    return {(r.item_a, r.item_b): r.similarity for r in df.collect()}
+
+
+def test_g1_cosine_common_users(spark):
+    # item 1: {user1: 1, user2: 5}; item 2: {user2: 2, user1: 3}
+    r = _ratings(spark, [(1, 1, 1.0), (2, 1, 5.0), (2, 2, 2.0), (1, 2, 3.0)])
+    sim = _sim_map(itemcf.item_similarity(r))
+    assert sim[(1, 2)] == pytest.approx(0.7071067811865476, abs=1e-15)
+
+
+def test_g2_non_common_users_ignored(spark):
+    r = _ratings(spark, [(1, 1, 1.0), (2, 1, 5.0), (3, 1, 4.0),
+                         (2, 2, 2.0), (1, 2, 3.0), (4, 2, 5.0)])
+    sim = _sim_map(itemcf.item_similarity(r))
+    assert sim[(1, 2)] == pytest.approx(0.7071067811865476, abs=1e-15)
+
+
+def test_no_common_user_pair_absent_and_zero_norm(spark):
+    r = _ratings(spark, [(1, 1, 2.0), (2, 2, 3.0), (3, 3, 0.0), (3, 4, 5.0)])
+    sim = _sim_map(itemcf.item_similarity(r))
+    assert (1, 2) not in sim
+    assert sim[(3, 4)] == 0.0
+
+
+def test_g3_weighted_mean(spark):
+    # prediction for (user 2, item 4) from three neighbours
+    nb = spark.createDataFrame([(4, 2, 0.96536339302826624), (4, 1, 0.99860319520601903),
+                                (4, 3, 0.99970980846748225)],
+                               "item_id bigint, neighbor_id bigint, similarity double")
+    r = _ratings(spark, [(2, 2, 2.0), (2, 1, 14.0), (2, 3, 6.0)])
+    p = itemcf.predict_all(nb, r).collect()
+    assert len(p) == 1 and (p[0].user_id, p[0].item_id) == (2, 4)
+    assert round(p[0].prediction, 9) == round(7.3926527181335917, 9)
+
+
+def test_weighted_mean_zero_weights(spark):
+    nb = spark.createDataFrame([(4, 2, 0.0)], "item_id bigint, neighbor_id bigint, similarity double")
+    r = _ratings(spark, [(2, 2, 3.0)])
+    assert itemcf.predict_all(nb, r).collect()[0].prediction == 0.0
+
+
+def test_g4_symmetric(spark):
+    s = spark.createDataFrame([(1, 2, 0.5, 3)], "item_a bigint, item_b bigint, similarity double, n_common bigint")
+    assert rows(itemcf.symmetric(s), "item_id", "neighbor_id", "similarity") == [(1, 2, 0.5), (2, 1, 0.5)]
+
+
+def test_g5_g6_neighbors_sorted_desc_ties_by_id(spark):
+    s = spark.createDataFrame([(1, 2, 0.95022954097349777, 1), (1, 3, 0.99958619974434737, 1),
+                               (1, 4, 0.99860319520601903, 1), (1, 5, 0.99958619974434737, 1)],
+                              "item_a bigint, item_b bigint, similarity double, n_common bigint")
+    nb = itemcf.top_neighbors(s, 3).where("item_id = 1").orderBy("rank").collect()
+    assert [r.neighbor_id for r in nb] == [3, 5, 4]
+    # G6: item 1 appears in item 4's neighbour list with the pair's similarity
+    nb4 = itemcf.top_neighbors(s, 3).where("item_id = 4").collect()
+    assert [(r.neighbor_id, r.similarity) for r in nb4] == [(1, 0.99860319520601903)]
+
+
+def test_g7_neighbor_row_meets_rating(spark):
+    nb = spark.createDataFrame([(1, 2, 0.95022954097349777)], "item_id bigint, neighbor_id bigint, similarity double")
+    r = _ratings(spark, [(2, 2, 2.0)])
+    p = itemcf.predict_all(nb, r).collect()
+    assert [(x.user_id, x.item_id, x.prediction) for x in p] == [(2, 1, 2.0)]
+
+
+def _brute(triples, n, pad):
+    by_item = {}
+    for u, i, r in triples:
+        by_item.setdefault(i, {})[u] = r
+    items = sorted(by_item)
+    sims = {}
+    for a, b in itertools.combinations(items, 2):
+        common = set(by_item[a]) & set(by_item[b])
+        if not common:
+            if pad:
+                sims[(a, b)] = sims[(b, a)] = 0.0
+            continue
+        dot = sum(by_item[a][u] * by_item[b][u] for u in common)
+        na = sum(by_item[a][u] ** 2 for u in common)
+        nb = sum(by_item[b][u] ** 2 for u in common)
+        s = dot / math.sqrt(na * nb) if na * nb else 0.0
+        sims[(a, b)] = sims[(b, a)] = s
+    out = []
+    for a in items:
+        cand = [(round(s, 9), b) for (x, b), s in sims.items() if x == a]
+        cand.sort(key=lambda t: (-t[0], t[1]))
+        out += [(a, b, k + 1) for k, (_, b) in enumerate(cand[:n])]
+    return sorted(out)
+
+
+triples_st = st.lists(st.tuples(st.integers(1, 8), st.integers(1, 12), st.integers(1, 5)),
+                      min_size=1, max_size=40, unique_by=lambda t: (t[0], t[1]))
+
+
+@settings(max_examples=12, deadline=None)
+@given(triples_st, st.integers(1, 6))
+def test_padding_and_topn_match_brute_force(spark, triples, n):
+    t = [(u, i, float(r)) for u, i, r in triples]
+    df = _ratings(spark, t)
+    sim = itemcf.item_similarity(df)
+    plain = rows(itemcf.top_neighbors(sim, n), "item_id", "neighbor_id", "rank")
+    assert plain == _brute(t, n, pad=False)
+    padded = rows(itemcf.top_neighbors(sim, n, pad_zero=True, items=df.select("item_id")),
+                  "item_id", "neighbor_id", "rank")
+    assert padded == _brute(t, n, pad=True)
+
+
+def test_salted_self_join_equals_plain(spark):
+    # user 1 is a hot user (a third of all rows); chunk=4 salts it into 3 buckets
+    t = [(1, i, float(i % 5 + 1)) for i in range(1, 11)]
+    t += [(u, i, float((u * i) % 5 + 1)) for u in range(2, 6) for i in range(1, 11, u)]
+    df = _ratings(spark, t)
+    plain = rows(itemcf.item_similarity(df, chunk=10_000))
+    salted = rows(itemcf.item_similarity(df, chunk=4))
+    assert len(plain) == len(salted)
+    for a, b in zip(plain, salted):
+        assert a[:2] == b[:2] and a[3] == b[3] and a[2] == pytest.approx(b[2], abs=1e-12)
+
+
+def test_predict_pairs_equals_predict_all(spark):
+    t = [(u, i, float((u + i) % 5 + 1)) for u in range(1, 9) for i in range(1, 9) if (u * i) % 3]
+    df = _ratings(spark, t)
+    nb = itemcf.top_neighbors(itemcf.item_similarity(df), 3)
+    full = {(r.user_id, r.item_id): r.prediction for r in itemcf.predict_all(nb, df).collect()}
+    req = spark.createDataFrame([(1, 1), (2, 5), (3, 3), (8, 8), (9, 9)], "user_id bigint, item_id bigint")
+    part = {(r.user_id, r.item_id): r.prediction for r in itemcf.predict_pairs(nb, df, req).collect()}
+    want = {k: v for k, v in full.items() if k in {(1, 1), (2, 5), (3, 3), (8, 8), (9, 9)}}
+    assert part.keys() == want.keys()
+    for k in want:
+        assert part[k] == pytest.approx(want[k], abs=1e-12)
+
+
+def test_evaluate_empty_overlap_gives_null_rmse(spark):
+    pred = spark.createDataFrame([(1, 1, 3.0)], "user_id bigint, item_id bigint, prediction double")
+    act = _ratings(spark, [(2, 2, 4.0)])
+    r = itemcf.evaluate(pred, act).collect()[0]
+    assert r.rmse is None and r.n_covered == 0 and r.n_actual == 1 and r.coverage == 0.0
