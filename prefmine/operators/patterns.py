@@ -78,6 +78,21 @@ def fit_fpgrowth(basket_df: DataFrame, min_support: float, min_confidence: float
     return fp.fit(basket_df.select("items"))
 
 
+def mine(basket_df: DataFrame, min_support: float, min_confidence: float,
+         num_partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(itemsets, rules)`` mined once and written to the shared checkpoint
+    folder.
+
+    ``FPGrowthModel.freqItemsets`` / ``associationRules`` are not cached by
+    Spark: every action on them re-runs the FP-tree mining.  Writing both
+    tables once makes later rule firing, counting and evaluation read files.
+    """
+    from prefmine.session import materialize
+    m = fit_fpgrowth(basket_df, min_support, min_confidence, num_partitions)
+    return (materialize(m.freqItemsets, "itemsets"),
+            materialize(m.associationRules, "rules"))
+
+
 def itemset_key(col) -> "F.Column":
     """Order-free text form of an item array: sorted items joined by ','."""
     c = F.col(col) if isinstance(col, str) else col
@@ -93,17 +108,9 @@ def distinct_antecedents(rules: DataFrame) -> DataFrame:
                     "n_rules"))
 
 
-def fire_rules(pairs: DataFrame, rules: DataFrame, user: str = "user_id",
-               item: str = "item") -> DataFrame:
-    """Recommendations ``(user_id, item)``: consequents of every rule whose
-    antecedent is contained in the user's items, minus items the user has.
-
-    Division: explode each distinct antecedent into ``(antecedent_key, item)``
-    rows, join the user's item rows on item, and keep (user, antecedent) groups
-    that matched every antecedent item.  Users whose basket fires nothing get
-    no rows.
-    """
-    p = pairs.select(F.col(user).alias("user_id"), F.col(item).alias("item")).distinct()
+def _recommended(p: DataFrame, rules: DataFrame) -> DataFrame:
+    """``(user_id, item)`` consequents of fired rules, with repeats and owned
+    items still in (``p`` is the user's distinct item rows)."""
     ante = distinct_antecedents(rules)
     ante_items = ante.select("antecedent_key", "ante_size",
                              F.explode("antecedent").alias("item"))
@@ -114,8 +121,51 @@ def fire_rules(pairs: DataFrame, rules: DataFrame, user: str = "user_id",
              .select("user_id", "antecedent_key"))
     cons = rules.select(itemset_key("antecedent").alias("antecedent_key"),
                         F.explode("consequent").alias("item")).distinct()
-    rec = fired.join(cons, "antecedent_key").select("user_id", "item").distinct()
-    return rec.join(p, ["user_id", "item"], "left_anti")
+    return fired.join(cons, "antecedent_key").select("user_id", "item")
+
+
+def _user_items(pairs: DataFrame, user: str, item: str) -> DataFrame:
+    return pairs.select(F.col(user).alias("user_id"), F.col(item).alias("item")).distinct()
+
+
+def fire_rules(pairs: DataFrame, rules: DataFrame, user: str = "user_id",
+               item: str = "item") -> DataFrame:
+    """Recommendations ``(user_id, item)``: consequents of every rule whose
+    antecedent is contained in the user's items, minus items the user has.
+
+    Division: explode each distinct antecedent into ``(antecedent_key, item)``
+    rows, join the user's item rows on item, and keep (user, antecedent) groups
+    that matched every antecedent item.  Users whose basket fires nothing get
+    no rows.  Every shuffle is keyed by (user, antecedent) or (user, item), so
+    a user with a huge basket is spread over many tasks.
+    """
+    p = _user_items(pairs, user, item)
+    rec = _recommended(p, rules).select("user_id", "item", F.lit(0).alias("_own"))
+    # De-duplicate the recommendations and drop owned items in one
+    # map-side-combined aggregate over (user, item) instead of a distinct
+    # followed by a sort-merge anti-join.
+    owned = p.select("user_id", "item", F.lit(1).alias("_own"))
+    return (rec.unionByName(owned).groupBy("user_id", "item")
+            .agg(F.max("_own").alias("_own")).where(F.col("_own") == 0)
+            .select("user_id", "item"))
+
+
+def score_rules(train_pairs: DataFrame, rules: DataFrame, test_pairs: DataFrame,
+                user: str = "user_id", item: str = "item",
+                all_test_users: bool = False) -> DataFrame:
+    """``tp_fp_fn(fire_rules(train_pairs, rules), test_pairs)`` fused: the
+    recommended, owned and test rows are flagged and merged by one
+    (user, item) aggregate, then summed per user."""
+    p = _user_items(train_pairs, user, item)
+    flag = lambda df, r, o, t: df.select("user_id", "item", F.lit(r).alias("_r"),
+                                         F.lit(o).alias("_o"), F.lit(t).alias("_t"))
+    u = (flag(_recommended(p, rules), 1, 0, 0)
+         .unionByName(flag(p, 0, 1, 0))
+         .unionByName(flag(_user_items(test_pairs, user, item), 0, 0, 1)))
+    flags = (u.groupBy("user_id", "item")
+             .agg(F.max("_r").alias("_r"), F.max("_o").alias("_o"), F.max("_t").alias("_t"))
+             .select("user_id", (F.col("_r") * (1 - F.col("_o"))).alias("_p"), "_t"))
+    return _per_user(flags, all_test_users)
 
 
 def tp_fp_fn(predicted: DataFrame, actual: DataFrame, user: str = "user_id",
@@ -133,6 +183,11 @@ def tp_fp_fn(predicted: DataFrame, actual: DataFrame, user: str = "user_id",
                        F.lit(0).alias("_p"), F.lit(1).alias("_t"))
     flags = (pr.unionByName(ac).groupBy("user_id", "item")
              .agg(F.max("_p").alias("_p"), F.max("_t").alias("_t")))
+    return _per_user(flags, all_test_users)
+
+
+def _per_user(flags: DataFrame, all_test_users: bool) -> DataFrame:
+    """``(user_id, _p, _t)`` flags per (user, item) -> per-user TP / FP / FN."""
     per_user = flags.groupBy("user_id").agg(
         F.sum(F.col("_p") * F.col("_t")).alias("tp"),
         F.sum(F.col("_p") * (1 - F.col("_t"))).alias("fp"),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from prefmine.operators import itemcf, ratings as R, splits
 from prefmine.plans import params as P
+from prefmine.session import materialize
 from prefmine.sources import testdata as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,17 +55,18 @@ def q_json_ratings(spark, sf):
 # ---------------------------------------------------------------- item CF
 
 def _supp_split(spark, sf):
-    return splits.hash_split(T.ratings_supp(spark, sf), ["user_id", "item_id"],
-                             P.TEST_FRACTION, P.SEED)
+    r = materialize(T.ratings_supp(spark, sf), "ratings_supp")
+    return splits.hash_split(r, ["user_id", "item_id"], P.TEST_FRACTION, P.SEED)
 
 
 def q_item_similarity(spark, sf):
-    sim = itemcf.item_similarity(T.ratings_part(spark, sf))
+    sim = itemcf.item_similarity(materialize(T.ratings_part(spark, sf), "ratings_part"))
     return sim.select("item_a", "item_b", fx("similarity"), "n_common")
 
 
 def q_item_similarity_symmetric(spark, sf):
-    sim = itemcf.symmetric(itemcf.item_similarity(T.ratings_events(spark, sf)))
+    r = materialize(T.ratings_events(spark, sf), "ratings_events")
+    sim = itemcf.symmetric(itemcf.item_similarity(r))
     return sim.select("item_id", "neighbor_id", fx("similarity"), "n_common")
 
 
@@ -75,7 +77,7 @@ def q_item_neighbors(spark, sf):
 
 
 def q_item_neighbors_padded(spark, sf):
-    r = R.city_filter(T.ratings_part_city(spark, sf), P.SPARSE_CITY)
+    r = materialize(R.city_filter(T.ratings_part_city(spark, sf), P.SPARSE_CITY), "ratings_city")
     nb = itemcf.top_neighbors(itemcf.item_similarity(r), P.N_NEIGHBORS, pad_zero=True,
                               items=r.select("item_id"))
     return nb.select("item_id", "neighbor_id", fx("similarity"), "n_common", "rank")
@@ -189,17 +191,18 @@ def q_basket_stats(spark, sf):
         "n_pairs", "n_users", "n_items", "max_basket", fx("mean_basket"))
 
 
-def _fp_model(spark, sf, support=P.MIN_SUPPORT, confidence=P.MIN_CONFIDENCE):
-    from prefmine.operators.patterns import baskets, fit_fpgrowth
+def _mined(spark, sf, support=P.MIN_SUPPORT, confidence=P.MIN_CONFIDENCE):
+    from prefmine.operators.patterns import baskets, mine
     train, test = _brand_split(spark, sf)
-    return train, test, fit_fpgrowth(baskets(train), support, confidence)
+    itemsets, rules = mine(baskets(train), support, confidence)
+    return train, test, itemsets, rules
 
 
 def q_frequent_itemsets(spark, sf):
     from prefmine.operators.patterns import itemset_key
-    _, _, m = _fp_model(spark, sf)
-    return m.freqItemsets.select(itemset_key("items").alias("items_key"),
-                                 F.size("items").alias("size"), "freq")
+    _, _, itemsets, _ = _mined(spark, sf)
+    return itemsets.select(itemset_key("items").alias("items_key"),
+                           F.size("items").alias("size"), "freq")
 
 
 def _rule_cols(rules):
@@ -210,20 +213,20 @@ def _rule_cols(rules):
 
 
 def q_association_rules(spark, sf):
-    _, _, m = _fp_model(spark, sf)
-    return _rule_cols(m.associationRules)
+    _, _, _, rules = _mined(spark, sf)
+    return _rule_cols(rules)
 
 
 def q_distinct_antecedents(spark, sf):
     from prefmine.operators.patterns import distinct_antecedents
-    _, _, m = _fp_model(spark, sf)
-    return distinct_antecedents(m.associationRules).select("antecedent_key", "ante_size", "n_rules")
+    _, _, _, rules = _mined(spark, sf)
+    return distinct_antecedents(rules).select("antecedent_key", "ante_size", "n_rules")
 
 
 def _rule_preds(spark, sf):
     from prefmine.operators.patterns import fire_rules
-    train, test, m = _fp_model(spark, sf)
-    return train, test, fire_rules(train, m.associationRules)
+    train, test, _, rules = _mined(spark, sf)
+    return train, test, fire_rules(train, rules)
 
 
 def q_rule_predictions(spark, sf):
@@ -232,15 +235,15 @@ def q_rule_predictions(spark, sf):
 
 
 def q_rule_tp_fp_fn(spark, sf):
-    from prefmine.operators.patterns import tp_fp_fn
-    _, test, pred = _rule_preds(spark, sf)
-    return tp_fp_fn(pred, test)
+    from prefmine.operators.patterns import score_rules
+    train, test, _, rules = _mined(spark, sf)
+    return score_rules(train, rules, test)
 
 
 def q_rule_precision_recall(spark, sf):
-    from prefmine.operators.patterns import precision_recall, tp_fp_fn
-    _, test, pred = _rule_preds(spark, sf)
-    pr = precision_recall(tp_fp_fn(pred, test))
+    from prefmine.operators.patterns import precision_recall, score_rules
+    train, test, _, rules = _mined(spark, sf)
+    pr = precision_recall(score_rules(train, rules, test))
     return pr.select("n_matched", "tp", "fp", "fn", fx("precision"), fx("recall"))
 
 
@@ -282,7 +285,7 @@ def q_als_holdout_mean(spark, sf):
     """Three fresh hash splits (seeds 0..2): per-run rows and their mean."""
     from prefmine.operators import als
     rows = als.holdout_runs(
-        T.ratings_supp(spark, sf),
+        materialize(T.ratings_supp(spark, sf), "ratings_supp"),
         lambda df, seed: splits.hash_split(df, ["user_id", "item_id"], P.TEST_FRACTION, seed),
         runs=3, rank=P.ALS_RANK, max_iter=P.ALS_MAX_ITER, reg_param=P.ALS_REG)
     df = spark.createDataFrame(

@@ -53,3 +53,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
     return d
+
+
+def materialize(df, name: str = "table"):
+    """Write ``df`` as parquet under the shared checkpoint folder and read it back.
+
+    Use when a derived table feeds several consumers (the rating table feeds
+    the degree count, both sides of the pair join, the predictions and the
+    evaluation): it is computed once, its lineage is cut (a lost executor
+    re-reads files instead of recomputing the joins), and the read-back plan
+    carries real file sizes for Catalyst's broadcast decisions.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

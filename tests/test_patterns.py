@@ -67,3 +67,16 @@ def test_distinct_pairs_city_and_accents(spark):
     assert exact == [(1, 10)]
     folded = rows(patterns.distinct_pairs(review, business, "Montréal", accent_insensitive=True))
     assert folded == [(1, 10), (2, 11)]
+
+
+def test_score_rules_equals_fire_then_tp_fp_fn(spark):
+    from prefmine.operators import splits
+    pairs = T.brand_pairs(spark, SF001)
+    train, test = splits.exact_split(pairs, ["user_id", "item"], 0.1, 0)
+    _, rules = patterns.mine(patterns.baskets(train), 0.01, 0.1)
+    fused = rows(patterns.score_rules(train, rules, test))
+    composed = rows(patterns.tp_fp_fn(patterns.fire_rules(train, rules), test))
+    assert fused == composed and len(fused) > 0
+    fused_all = rows(patterns.score_rules(train, rules, test, all_test_users=True))
+    composed_all = rows(patterns.tp_fp_fn(patterns.fire_rules(train, rules), test, all_test_users=True))
+    assert fused_all == composed_all
