@@ -89,8 +89,15 @@ def mine(basket_df: DataFrame, min_support: float, min_confidence: float,
     """
     from prefmine.session import materialize
     m = fit_fpgrowth(basket_df, min_support, min_confidence, num_partitions)
-    return (materialize(m.freqItemsets, "itemsets"),
-            materialize(m.associationRules, "rules"))
+    # Rule generation reads ``freqItemsets``: keep it cached while both
+    # tables are written so the FP-tree mining runs once.
+    fi = m.freqItemsets.persist()
+    try:
+        itemsets = materialize(fi, "itemsets")
+        rules = materialize(m.associationRules, "rules")
+    finally:
+        fi.unpersist()
+    return itemsets, rules
 
 
 def itemset_key(col) -> "F.Column":
