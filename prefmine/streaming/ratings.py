@@ -38,16 +38,18 @@ def running_ratings(reviews: DataFrame, users: DataFrame, business: DataFrame) -
 
 
 def start(ratings: DataFrame, name: str, sink: str = "memory", path: str | None = None,
-          trigger_once: bool = False) -> StreamingQuery:
+          trigger_once: bool = False, checkpoint_location: str | None = None) -> StreamingQuery:
     """Run the aggregate in update mode.
 
     ``sink="memory"`` keeps the current table queryable as ``name`` (tests);
     ``sink="parquet"`` appends every micro-batch's changed rows under
     ``path/batch_id=<n>`` (the latest batch holding a key has its current
-    value) through ``foreachBatch``.
+    value) through ``foreachBatch``.  Progress and state are kept under
+    ``checkpoint_location`` (default: ``streams/<name>`` in the shared
+    checkpoint folder), so restarting a query of the same name resumes it.
     """
     spark = ratings.sparkSession
-    ckpt = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}"
+    ckpt = checkpoint_location or f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}"
     w = ratings.writeStream.queryName(name).option("checkpointLocation", ckpt)
     if trigger_once:
         w = w.trigger(availableNow=True)

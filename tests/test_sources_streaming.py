@@ -87,7 +87,7 @@ def test_streaming_running_average_equals_batch(spark, tmp_dir):
     users = spark.createDataFrame([("amy", 0), ("bob", 1)], "user_key string, user_id int")
     biz = spark.createDataFrame([("x", 0, "Tempe"), ("y", 1, None)], "item_key string, item_id int, city string")
     q = S.start(S.running_ratings(S.review_stream(spark, src, 1), users, biz), "ratings_test",
-                trigger_once=True)
+                trigger_once=True, checkpoint_location=tmp_dir + "/ckpt")
     q.awaitTermination(120)
     got = rows(spark.table("ratings_test"), "user_id", "item_id", "rating")
     assert got == [(0, 0, 3.5), (1, 0, 1.0)]
