@@ -12,10 +12,17 @@ combined aggregate.  Users with more than ``chunk`` ratings are salted: their
 ratings are split into ``ceil(deg/chunk)`` buckets by item hash and every
 bucket pair becomes its own join group, so no task builds more than about
 ``chunk^2`` pairs of one user.
+
+Every function takes ``by``: grouping columns (e.g. ``city_term``) that make
+independent models per group in the same job.  Similarities, neighbours and
+predictions never cross groups, exactly as if each group's ratings had been
+run separately, but all groups share one set of shuffles.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,45 +33,47 @@ from prefmine.operators.skew import with_salts
 DEFAULT_CHUNK = 2048
 
 
-def _std(ratings: DataFrame, user: str, item: str, rating: str) -> DataFrame:
-    return ratings.select(F.col(user).alias("user_id"), F.col(item).alias("item_id"),
+def _std(ratings: DataFrame, user: str, item: str, rating: str, by: Sequence[str]) -> DataFrame:
+    return ratings.select(*by, F.col(user).alias("user_id"), F.col(item).alias("item_id"),
                           F.col(rating).cast("double").alias("rating"))
 
 
 def item_similarity(ratings: DataFrame, user: str = "user_id", item: str = "item_id",
-                    rating: str = "rating", chunk: int = DEFAULT_CHUNK) -> DataFrame:
-    """``(item_a, item_b, similarity, n_common)`` for every pair ``a < b`` with
-    at least one common user.
+                    rating: str = "rating", chunk: int = DEFAULT_CHUNK,
+                    by: Sequence[str] = ()) -> DataFrame:
+    """``(*by, item_a, item_b, similarity, n_common)`` for every pair ``a < b``
+    with at least one common user.
 
     similarity = sum(ra*rb) / sqrt(sum(ra^2) * sum(rb^2)), sums over common
-    users; 0 when a norm is 0.  Expects one rating per (user, item), which
-    ``build_ratings`` guarantees.
+    users; 0 when a norm is 0.  Expects one rating per (group, user, item),
+    which ``build_ratings`` guarantees.
     """
-    r = with_salts(_std(ratings, user, item, rating), "user_id", chunk)
+    by = list(by)
+    r = with_salts(_std(ratings, user, item, rating, by), by + ["user_id"], chunk)
     r = r.withColumn("_b", F.pmod(F.xxhash64("item_id"), F.col("n_salt")).cast("int"))
     fan = F.explode(F.sequence(F.lit(0), F.col("n_salt") - 1))
-    left = r.select("user_id", F.col("item_id").alias("item_a"), F.col("rating").alias("ra"),
+    left = r.select(*by, "user_id", F.col("item_id").alias("item_a"), F.col("rating").alias("ra"),
                     F.col("_b").alias("_bl"), fan.alias("_br"))
-    right = r.select("user_id", F.col("item_id").alias("item_b"), F.col("rating").alias("rb"),
+    right = r.select(*by, "user_id", F.col("item_id").alias("item_b"), F.col("rating").alias("rb"),
                      fan.alias("_bl"), F.col("_b").alias("_br"))
-    pairs = (left.join(right, ["user_id", "_bl", "_br"])
+    pairs = (left.join(right, by + ["user_id", "_bl", "_br"])
              .where(F.col("item_a") < F.col("item_b")))
-    agg = pairs.groupBy("item_a", "item_b").agg(
+    agg = pairs.groupBy(*by, "item_a", "item_b").agg(
         F.sum(F.col("ra") * F.col("rb")).alias("_dot"),
         F.sum(F.col("ra") * F.col("ra")).alias("_na"),
         F.sum(F.col("rb") * F.col("rb")).alias("_nb"),
         F.count(F.lit(1)).alias("n_common"))
-    return agg.select("item_a", "item_b", cosine("_dot", "_na", "_nb").alias("similarity"),
+    return agg.select(*by, "item_a", "item_b", cosine("_dot", "_na", "_nb").alias("similarity"),
                       "n_common")
 
 
-def symmetric(similarity: DataFrame) -> DataFrame:
-    """Both directions of every pair: ``(item_id, neighbor_id, similarity, n_common)``."""
+def symmetric(similarity: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Both directions of every pair: ``(*by, item_id, neighbor_id, similarity, n_common)``."""
     both = F.array(
         F.struct(F.col("item_a").alias("item_id"), F.col("item_b").alias("neighbor_id")),
         F.struct(F.col("item_b").alias("item_id"), F.col("item_a").alias("neighbor_id")))
-    return (similarity.select(F.explode(both).alias("_p"), "similarity", "n_common")
-            .select("_p.item_id", "_p.neighbor_id", "similarity", "n_common"))
+    return (similarity.select(*by, F.explode(both).alias("_p"), "similarity", "n_common")
+            .select(*by, "_p.item_id", "_p.neighbor_id", "similarity", "n_common"))
 
 
 def rank_key(similarity_col: str = "similarity"):
@@ -74,7 +83,7 @@ def rank_key(similarity_col: str = "similarity"):
 
 
 def top_neighbors(similarity: DataFrame, n: int, pad_zero: bool = False,
-                  items: DataFrame | None = None) -> DataFrame:
+                  items: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
     """The ``n`` most similar neighbours per item with their ``rank`` (1-based).
 
     Order: similarity (9 places) descending, neighbour id ascending.  The
@@ -82,91 +91,113 @@ def top_neighbors(similarity: DataFrame, n: int, pad_zero: bool = False,
     per-partition top-n before the shuffle (``WindowGroupLimit``), so a popular
     item never sends all its pairs to one task.
 
-    ``pad_zero=True`` gives every item of ``items`` (``item_id`` column; all
-    rated items) exactly ``min(n, |items|-1)`` neighbours: items with fewer
-    positive-similarity neighbours are filled with similarity-0 items, smallest
-    id first, as if every pair without a common user were scored 0.
+    ``pad_zero=True`` gives every item of ``items`` (``item_id`` column, plus
+    the ``by`` columns; all rated items) exactly ``min(n, |items|-1)``
+    neighbours: items with fewer positive-similarity neighbours are filled
+    with similarity-0 items, smallest id first, as if every pair without a
+    common user were scored 0.
     """
-    sym = symmetric(similarity)
-    w = Window.partitionBy("item_id").orderBy(rank_key().desc(), F.col("neighbor_id").asc())
+    by = list(by)
+    sym = symmetric(similarity, by)
+    w = Window.partitionBy(*by, "item_id").orderBy(rank_key().desc(), F.col("neighbor_id").asc())
     if not pad_zero:
         return (sym.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n))
     if items is None:
         raise ValueError("pad_zero needs the item universe")
     pos = (sym.where(rank_key() > 0)
            .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n))
-    return pos.unionByName(_zero_padding(pos, items, n))
+    return pos.unionByName(_zero_padding(pos, items, n, by))
+
+
+def _smallest_items(universe: DataFrame, n: int, by: list[str]) -> DataFrame:
+    """``(*by, neighbor_id)``: the ``n`` smallest item ids of each group."""
+    if not by:
+        # Per-partition top-n merged on the driver side of the limit: n rows.
+        return universe.orderBy("item_id").limit(n).select(F.col("item_id").alias("neighbor_id"))
+    w = Window.partitionBy(*by).orderBy("item_id")
+    return (universe.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
+            .select(*by, F.col("item_id").alias("neighbor_id")))
 
 
-def _zero_padding(positive: DataFrame, items: DataFrame, n: int) -> DataFrame:
+def _zero_padding(positive: DataFrame, items: DataFrame, n: int, by: list[str]) -> DataFrame:
     """Similarity-0 neighbours for items with fewer than ``n`` positive ones.
 
     Zero-similarity candidates tie, so the smallest ids win.  At most ``k + 1``
     of them are excluded (the item itself and its ``k`` positive neighbours),
-    so the ``n + 1`` smallest item ids always hold enough candidates: they are
-    a bounded list (``n + 1`` values) fanned out to the deficient items only.
+    so the ``n + 1`` smallest item ids of the group always hold enough
+    candidates: a table of ``groups x (n + 1)`` rows, joined (broadcast:
+    the group count is a parameter, not data) to the deficient items only.
     """
-    universe = items.select("item_id").distinct()
-    smallest = [r[0] for r in universe.orderBy("item_id").limit(n + 1).collect()]
-    have = positive.groupBy("item_id").agg(F.count(F.lit(1)).alias("_k"))
-    deficient = (universe.join(have, "item_id", "left")
-                 .select("item_id", F.coalesce("_k", F.lit(0)).alias("_k"))
+    universe = items.select(*by, "item_id").distinct()
+    cand_ids = _smallest_items(universe, n + 1, by)
+    have = positive.groupBy(*by, "item_id").agg(F.count(F.lit(1)).alias("_k"))
+    deficient = (universe.join(have, by + ["item_id"], "left")
+                 .select(*by, "item_id", F.coalesce("_k", F.lit(0)).alias("_k"))
                  .where(F.col("_k") < n))
-    cand = (deficient.select("item_id", "_k",
-                             F.explode(F.array(*[F.lit(v) for v in smallest])).alias("neighbor_id"))
-            .where(F.col("neighbor_id") != F.col("item_id"))
-            .join(positive.select("item_id", "neighbor_id"), ["item_id", "neighbor_id"], "left_anti"))
-    w = Window.partitionBy("item_id").orderBy("neighbor_id")
+    if by:
+        cand = deficient.join(F.broadcast(cand_ids), by)
+    else:
+        ids = [r[0] for r in cand_ids.collect()]          # n + 1 values
+        cand = deficient.select("*", F.explode(F.array(*[F.lit(v) for v in ids])).alias("neighbor_id"))
+    cand = (cand.where(F.col("neighbor_id") != F.col("item_id"))
+            .join(positive.select(*by, "item_id", "neighbor_id"), by + ["item_id", "neighbor_id"],
+                  "left_anti"))
+    w = Window.partitionBy(*by, "item_id").orderBy("neighbor_id")
     return (cand.withColumn("_r", F.row_number().over(w))
             .where(F.col("_r") <= F.lit(n) - F.col("_k"))
-            .select("item_id", "neighbor_id", F.lit(0.0).alias("similarity"),
+            .select(*by, "item_id", "neighbor_id", F.lit(0.0).alias("similarity"),
                     F.lit(0).cast("bigint").alias("n_common"),
                     (F.col("_k") + F.col("_r")).cast("int").alias("rank")))
 
 
 def predict_all(neighbors: DataFrame, ratings: DataFrame, user: str = "user_id",
-                item: str = "item_id", rating: str = "rating") -> DataFrame:
+                item: str = "item_id", rating: str = "rating", by: Sequence[str] = ()) -> DataFrame:
     """Every (user, item) where the user rated at least one of the item's
     neighbours: ``sum(sim * r) / sum(sim)`` over those neighbours (0 when the
     similarities add up to 0).  Covers items the user rated too."""
-    r = _std(ratings, user, item, rating).withColumnRenamed("item_id", "neighbor_id")
-    nb = neighbors.select("item_id", "neighbor_id", "similarity")
-    return _weigh(nb.join(r, "neighbor_id"))
+    by = list(by)
+    r = _std(ratings, user, item, rating, by).withColumnRenamed("item_id", "neighbor_id")
+    nb = neighbors.select(*by, "item_id", "neighbor_id", "similarity")
+    return _weigh(nb.join(r, by + ["neighbor_id"]), by)
 
 
 def predict_pairs(neighbors: DataFrame, ratings: DataFrame, requests: DataFrame,
-                  user: str = "user_id", item: str = "item_id", rating: str = "rating") -> DataFrame:
+                  user: str = "user_id", item: str = "item_id", rating: str = "rating",
+                  by: Sequence[str] = ()) -> DataFrame:
     """Predictions for the requested ``(user_id, item_id)`` pairs only (those
     covered by at least one rated neighbour), equal to ``predict_all``
     restricted to them.  Starts from the requests: requests x n neighbours,
     then an equi-join on (user, neighbour), instead of scoring every pair."""
-    r = _std(ratings, user, item, rating).withColumnRenamed("item_id", "neighbor_id")
-    req = requests.select("user_id", "item_id").distinct()
-    nb = neighbors.select("item_id", "neighbor_id", "similarity")
-    return _weigh(req.join(nb, "item_id").join(r, ["user_id", "neighbor_id"]))
+    by = list(by)
+    r = _std(ratings, user, item, rating, by).withColumnRenamed("item_id", "neighbor_id")
+    req = requests.select(*by, "user_id", "item_id").distinct()
+    nb = neighbors.select(*by, "item_id", "neighbor_id", "similarity")
+    return _weigh(req.join(nb, by + ["item_id"]).join(r, by + ["user_id", "neighbor_id"]), by)
 
 
-def _weigh(rows: DataFrame) -> DataFrame:
-    agg = rows.groupBy("user_id", "item_id").agg(
+def _weigh(rows: DataFrame, by: list[str]) -> DataFrame:
+    agg = rows.groupBy(*by, "user_id", "item_id").agg(
         F.sum(F.col("similarity") * F.col("rating")).alias("_sr"),
         F.sum("similarity").alias("_s"))
-    return agg.select("user_id", "item_id", weighted_mean("_sr", "_s").alias("prediction"))
+    return agg.select(*by, "user_id", "item_id", weighted_mean("_sr", "_s").alias("prediction"))
 
 
 def evaluate(predictions: DataFrame, actuals: DataFrame, user: str = "user_id",
-             item: str = "item_id", rating: str = "rating") -> DataFrame:
-    """One row: ``rmse`` over the actual pairs that have a prediction (NULL if
-    none), ``n_covered``, ``n_actual`` and ``coverage``."""
-    a = _std(actuals, user, item, rating)
-    j = a.join(predictions.select("user_id", "item_id", "prediction"), ["user_id", "item_id"], "left")
-    return j.agg(rmse("rating", "prediction").alias("rmse"),
-                 F.count("prediction").alias("n_covered"),
-                 F.count(F.lit(1)).alias("n_actual")).select(
-        "rmse", "n_covered", "n_actual", safe_ratio("n_covered", "n_actual").alias("coverage"))
+             item: str = "item_id", rating: str = "rating", by: Sequence[str] = ()) -> DataFrame:
+    """Per group (one row without ``by``): ``rmse`` over the actual pairs that
+    have a prediction (NULL if none), ``n_covered``, ``n_actual``, ``coverage``."""
+    by = list(by)
+    a = _std(actuals, user, item, rating, by)
+    j = a.join(predictions.select(*by, "user_id", "item_id", "prediction"),
+               by + ["user_id", "item_id"], "left")
+    return j.groupBy(*by).agg(rmse("rating", "prediction").alias("rmse"),
+                              F.count("prediction").alias("n_covered"),
+                              F.count(F.lit(1)).alias("n_actual")).select(
+        *by, "rmse", "n_covered", "n_actual", safe_ratio("n_covered", "n_actual").alias("coverage"))
 
 
 def itemcf_fit_predict(train: DataFrame, n: int, pad_zero: bool = False,
-                       chunk: int = DEFAULT_CHUNK) -> DataFrame:
+                       chunk: int = DEFAULT_CHUNK, by: Sequence[str] = ()) -> DataFrame:
     """Neighbours from ``train`` (the trained model)."""
-    sim = item_similarity(train, chunk=chunk)
-    return top_neighbors(sim, n, pad_zero=pad_zero, items=train.select("item_id"))
+    sim = item_similarity(train, chunk=chunk, by=by)
+    return top_neighbors(sim, n, pad_zero=pad_zero, items=train.select(*by, "item_id"), by=by)

@@ -28,20 +28,26 @@ def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tupl
     return df, False
 
 
-def hot_key_salts(df: DataFrame, key: str, chunk: int) -> DataFrame:
-    """``(key, n_salt)`` for keys with more than ``chunk`` rows.
+def hot_key_salts(df: DataFrame, key, chunk: int) -> DataFrame:
+    """``(*key, n_salt)`` for keys (a column or list of columns) with more
+    than ``chunk`` rows.
 
     ``n_salt = ceil(rows / chunk)`` so each salt bucket holds about ``chunk``
     rows.  The count is a map-side-combined aggregate: no key reaches a single
     task whole.  At most ``rows / chunk`` keys qualify.
     """
-    return (df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    keys = [key] if isinstance(key, str) else list(key)
+    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
             .where(F.col("_rows") > chunk)
-            .select(key, F.ceil(F.col("_rows") / F.lit(chunk)).cast("int").alias("n_salt")))
+            .select(*keys, F.ceil(F.col("_rows") / F.lit(chunk)).cast("int").alias("n_salt")))
 
 
-def with_salts(df: DataFrame, key: str, chunk: int, max_hot: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Add ``n_salt`` (1 for ordinary keys) to every row of ``df``."""
-    hot, _ = bounded_broadcast(hot_key_salts(df, key, chunk), max_hot)
-    return (df.join(hot, key, "left")
+def with_salts(df: DataFrame, key, chunk: int, max_hot: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Add ``n_salt`` (1 for ordinary keys) to every row of ``df``.
+
+    Null key parts never match the hot list: they are never hot.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    hot, _ = bounded_broadcast(hot_key_salts(df, keys, chunk), max_hot)
+    return (df.join(hot, keys, "left")
             .withColumn("n_salt", F.coalesce(F.col("n_salt"), F.lit(1))))

@@ -71,31 +71,39 @@ supp_train AS (SELECT user_id, item_id, rating FROM ratings_supp WHERE NOT ({hu}
 supp_test AS (SELECT user_id, item_id, rating FROM ratings_supp WHERE {hu} < '{th}')"""
 
 
-def similarity(src: str, name: str = "sim") -> str:
-    """Co-rated cosine for a < b over ``src(user_id, item_id, rating)``."""
+def _by(by, alias: str = "") -> str:
+    return "".join(f"{alias}{c}, " for c in by)
+
+
+def _on(by, a: str, b: str) -> str:
+    return "".join(f"{a}.{c} = {b}.{c} AND " for c in by)
+
+
+def similarity(src: str, name: str = "sim", by=()) -> str:
+    """Co-rated cosine for a < b over ``src(*by, user_id, item_id, rating)``."""
     return f"""
 {name} AS (
-  SELECT a.item_id AS item_a, b.item_id AS item_b,
+  SELECT {_by(by, 'a.')}a.item_id AS item_a, b.item_id AS item_b,
          coalesce(sum(a.rating * b.rating) / nullif(sqrt(sum(a.rating * a.rating) * sum(b.rating * b.rating)), 0), 0.0) AS similarity,
          count(*) AS n_common
-  FROM {src} a JOIN {src} b ON a.user_id = b.user_id AND a.item_id < b.item_id
-  GROUP BY a.item_id, b.item_id)"""
+  FROM {src} a JOIN {src} b ON {_on(by, 'a', 'b')}a.user_id = b.user_id AND a.item_id < b.item_id
+  GROUP BY {_by(by, 'a.')}a.item_id, b.item_id)"""
 
 
-def symmetric(sim: str, name: str = "sym") -> str:
+def symmetric(sim: str, name: str = "sym", by=()) -> str:
     return f"""
 {name} AS (
-  SELECT item_a AS item_id, item_b AS neighbor_id, similarity, n_common FROM {sim}
+  SELECT {_by(by)}item_a AS item_id, item_b AS neighbor_id, similarity, n_common FROM {sim}
   UNION ALL
-  SELECT item_b AS item_id, item_a AS neighbor_id, similarity, n_common FROM {sim})"""
+  SELECT {_by(by)}item_b AS item_id, item_a AS neighbor_id, similarity, n_common FROM {sim})"""
 
 
-def neighbors(sym: str, n: int, name: str = "nb") -> str:
+def neighbors(sym: str, n: int, name: str = "nb", by=()) -> str:
     return f"""
 {name} AS (
   SELECT * FROM (
-    SELECT item_id, neighbor_id, similarity, n_common,
-           row_number() OVER (PARTITION BY item_id
+    SELECT {_by(by)}item_id, neighbor_id, similarity, n_common,
+           row_number() OVER (PARTITION BY {_by(by)}item_id
                               ORDER BY CAST(similarity AS DECIMAL(18,9)) DESC, neighbor_id) AS rank
     FROM {sym}) t
   WHERE rank <= {n})"""
@@ -160,19 +168,20 @@ SELECT item_id, neighbor_id, {fx("similarity", "similarity")}, n_common, CAST(ra
     }
     sql.update(_more())
     sql.update(_sweeps())
+    sql.update(_city_models())
     return sql
 
 
 # ------------------------------------------- CF predictions, splits, mining
 
-def predict_all(nb: str, train: str, name: str = "pred") -> str:
+def predict_all(nb: str, train: str, name: str = "pred", by=()) -> str:
     return f"""
 {name} AS (
-  SELECT r.user_id, n.item_id,
+  SELECT {_by(by, 'r.')}r.user_id, n.item_id,
          CASE WHEN sum(n.similarity) <> 0 THEN sum(n.similarity * r.rating) / sum(n.similarity)
               ELSE 0.0 END AS prediction
-  FROM {nb} n JOIN {train} r ON r.item_id = n.neighbor_id
-  GROUP BY r.user_id, n.item_id)"""
+  FROM {nb} n JOIN {train} r ON {_on(by, 'r', 'n')}r.item_id = n.neighbor_id
+  GROUP BY {_by(by, 'r.')}r.user_id, n.item_id)"""
 
 
 def evaluate(actual: str, pred: str) -> str:
@@ -381,3 +390,28 @@ SELECT {fx(repr(s), 'support')}, (SELECT count(*) FROM fs{x}) AS n_itemsets,
 FROM totals{x}""")
     out["support_sweep"] = with_(*ctes) + "\nUNION ALL".join(sels)
     return out
+
+
+def _city_models() -> dict[str, str]:
+    terms = ", ".join(_q(t) for t in P.CITY_TERMS)
+    by = ("city_term",)
+    ctes = [RATINGS_SUPP, supp_split(), f"""
+terms AS (SELECT unnest([{terms}]) AS city_term),
+ctrain AS (SELECT t.city_term, s.user_id, s.item_id, s.rating
+           FROM supp_train s JOIN ratings_supp r ON r.user_id = s.user_id AND r.item_id = s.item_id
+           JOIN terms t ON contains(lower(r.city), lower(t.city_term))),
+ctest AS (SELECT t.city_term, s.user_id, s.item_id, s.rating
+          FROM supp_test s JOIN ratings_supp r ON r.user_id = s.user_id AND r.item_id = s.item_id
+          JOIN terms t ON contains(lower(r.city), lower(t.city_term)))""",
+            similarity("ctrain", "csim", by), symmetric("csim", "csym", by)]
+    sels = []
+    for n in P.NEIGHBOR_SWEEP:
+        ctes += [neighbors("csym", n, f"cnb{n}", by), predict_all(f"cnb{n}", "ctrain", f"cpred{n}", by)]
+        sels.append(f"""
+SELECT a.city_term, {n} AS n_neighbors, {fx('sqrt(avg(power(a.rating - p.prediction, 2)))', 'rmse')},
+       count(p.prediction) AS n_covered, count(*) AS n_actual,
+       {fx('CAST(count(p.prediction) AS DOUBLE) / count(*)', 'coverage')}
+FROM ctest a LEFT JOIN cpred{n} p
+  ON a.city_term = p.city_term AND a.user_id = p.user_id AND a.item_id = p.item_id
+GROUP BY a.city_term""")
+    return {"itemcf_city_sweep": with_(*ctes) + "\nUNION ALL".join(sels)}

@@ -393,3 +393,30 @@ QUERIES.update({
     "metric_pivot": q_metric_pivot,
     "metric_compare": q_metric_compare,
 })
+
+
+def q_itemcf_city_sweep(spark, sf):
+    """Item CF trained per city term, for each neighbour count."""
+    from prefmine.plans.experiments import city_neighbor_sweep
+    train, test = _supp_split(spark, sf)
+    return city_neighbor_sweep(train, test, P.CITY_TERMS, P.NEIGHBOR_SWEEP).select(
+        "city_term", "n_neighbors", fx("rmse"), "n_covered", "n_actual", fx("coverage"))
+
+
+def q_als_city_sweep(spark, sf):
+    """ALS per city term and rank (rows, test RMSE, fit time)."""
+    from prefmine.plans.experiments import als_city_sweep
+    r = materialize(T.ratings_supp(spark, sf), "ratings_supp")
+    rows = als_city_sweep(
+        r, P.CITY_TERMS, P.ALS_GRID_RANKS,
+        lambda df: splits.hash_split(df, ["user_id", "item_id"], P.TEST_FRACTION, P.SEED),
+        P.ALS_MAX_ITER, P.ALS_REG)
+    return spark.createDataFrame(
+        [(x["city_term"], x["rank"], x["n_rows"], x["rmse"], x["train_s"]) for x in rows],
+        "city_term string, rank int, n_rows bigint, rmse double, train_s double")
+
+
+QUERIES.update({
+    "itemcf_city_sweep": q_itemcf_city_sweep,
+    "als_city_sweep": q_als_city_sweep,
+})

@@ -151,3 +151,22 @@ def test_evaluate_empty_overlap_gives_null_rmse(spark):
     act = _ratings(spark, [(2, 2, 4.0)])
     r = itemcf.evaluate(pred, act).collect()[0]
     assert r.rmse is None and r.n_covered == 0 and r.n_actual == 1 and r.coverage == 0.0
+
+
+def test_grouped_models_equal_separate_runs(spark):
+    t = [(g, u, i, float((u * i + ord(g)) % 5 + 1)) for g in ("x", "y") for u in range(1, 7)
+         for i in range(1, 9) if (u + i + (g == "y")) % 3]
+    df = spark.createDataFrame(t, "g string, user_id bigint, item_id bigint, rating double")
+    nb_g = itemcf.top_neighbors(itemcf.item_similarity(df, by=["g"]), 3, pad_zero=True,
+                                items=df.select("g", "item_id"), by=["g"])
+    pred_g = itemcf.predict_all(nb_g, df, by=["g"])
+    ev_g = {r.g: (r.rmse, r.n_covered) for r in itemcf.evaluate(pred_g, df, by=["g"]).collect()}
+    for g in ("x", "y"):
+        one = df.where(df.g == g).drop("g")
+        nb = itemcf.top_neighbors(itemcf.item_similarity(one), 3, pad_zero=True,
+                                  items=one.select("item_id"))
+        assert rows(nb_g.where(nb_g.g == g).drop("g"), "item_id", "neighbor_id", "rank") == \
+            rows(nb, "item_id", "neighbor_id", "rank")
+        ev = itemcf.evaluate(itemcf.predict_all(nb, one), one).collect()[0]
+        assert ev_g[g][1] == ev.n_covered
+        assert ev_g[g][0] == pytest.approx(ev.rmse, abs=1e-12)
