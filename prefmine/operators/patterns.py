@@ -217,3 +217,29 @@ def precision_recall(per_user: DataFrame) -> DataFrame:
     return t.select("n_matched", "tp", "fp", "fn",
                     safe_ratio("tp", F.col("tp") + F.col("fp")).alias("precision"),
                     safe_ratio("tp", F.col("tp") + F.col("fn")).alias("recall"))
+
+
+def mining_counts(train_pairs: DataFrame, itemsets: DataFrame, rules: DataFrame,
+                  user: str = "user_id", item: str = "item") -> DataFrame:
+    """One row of pipeline counts: rules, distinct antecedents, itemsets,
+    antecedents that yield a recommendation when taken as a basket, and
+    users with at least one recommendation."""
+    ante = distinct_antecedents(rules)
+    # Each antecedent as a basket of its own items.
+    ante_pairs = ante.select(F.col("antecedent_key").alias("user_id"),
+                             F.explode("antecedent").alias("item"))
+    nul = F.lit(None).cast("bigint")
+    parts = [
+        rules.agg(F.count(F.lit(1)).alias("n_rules")),
+        ante.agg(F.count(F.lit(1)).alias("n_antecedents")),
+        itemsets.agg(F.count(F.lit(1)).alias("n_itemsets")),
+        fire_rules(ante_pairs, rules).agg(F.count_distinct("user_id").alias("n_antecedents_predicting")),
+        fire_rules(train_pairs, rules, user, item).agg(F.count_distinct("user_id").alias("n_users_predicted")),
+    ]
+    names = ["n_rules", "n_antecedents", "n_itemsets", "n_antecedents_predicting", "n_users_predicted"]
+    stacked = None
+    for df in parts:
+        full = df.select(*[F.col(n) if n in df.columns else nul.alias(n) for n in names])
+        stacked = full if stacked is None else stacked.unionByName(full)
+    # One-row parts stacked and merged: no join needed.
+    return stacked.agg(*[F.max(n).alias(n) for n in names])

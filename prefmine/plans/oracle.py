@@ -169,6 +169,7 @@ SELECT item_id, neighbor_id, {fx("similarity", "similarity")}, n_common, CAST(ra
     sql.update(_more())
     sql.update(_sweeps())
     sql.update(_city_models())
+    sql.update(_counts())
     return sql
 
 
@@ -283,6 +284,20 @@ totals{s} AS (SELECT count(*) AS n_matched, CAST(coalesce(sum(tp), 0) AS BIGINT)
                      CAST(coalesce(sum(fn), 0) AS BIGINT) AS fn FROM per_user{s})"""
 
 
+def _counts() -> dict[str, str]:
+    mining = (BRAND_PAIRS, brand_split(), itemsets("tr", P.MIN_SUPPORT), rules(P.MIN_CONFIDENCE),
+              fire("tr", "rules", "te"))
+    ante_basket = """
+abk AS (SELECT antecedent_key AS user_id, unnest(string_split(antecedent_key, ',')) AS item
+        FROM ante),
+abk_te AS (SELECT * FROM abk WHERE false)"""
+    return {"mining_counts": with_(*mining, ante_basket, fire("abk", "rules", "abk_te", "_a")) + """
+SELECT (SELECT count(*) FROM rules) AS n_rules, (SELECT count(*) FROM ante) AS n_antecedents,
+       (SELECT count(*) FROM fs) AS n_itemsets,
+       (SELECT count(DISTINCT user_id) FROM rpred_a) AS n_antecedents_predicting,
+       (SELECT count(DISTINCT user_id) FROM rpred) AS n_users_predicted"""}
+
+
 def _more() -> dict[str, str]:
     sup, conf = P.MIN_SUPPORT, P.MIN_CONFIDENCE
     mining = (BRAND_PAIRS, brand_split(), itemsets("tr", sup), rules(conf))
@@ -414,4 +429,23 @@ SELECT a.city_term, {n} AS n_neighbors, {fx('sqrt(avg(power(a.rating - p.predict
 FROM ctest a LEFT JOIN cpred{n} p
   ON a.city_term = p.city_term AND a.user_id = p.user_id AND a.item_id = p.item_id
 GROUP BY a.city_term""")
-    return {"itemcf_city_sweep": with_(*ctes) + "\nUNION ALL".join(sels)}
+    sweep = "city_sweep AS (" + "\nUNION ALL".join(sels) + ")"
+    long_ = f"""
+city_long AS (
+  SELECT 'itemcf' AS experiment, city_term AS city, CAST(n_neighbors AS DOUBLE) AS param_value,
+         'rmse' AS metric, CAST(rmse AS DOUBLE) AS value FROM city_sweep
+  UNION ALL
+  SELECT 'itemcf', city_term, CAST(n_neighbors AS DOUBLE), 'coverage', CAST(coverage AS DOUBLE)
+  FROM city_sweep)"""
+    cols = f"experiment, city, param_value, metric, {fx('value', 'value')}"
+    order = "metric, city, param_value"
+    return {
+        "itemcf_city_sweep": with_(*ctes) + "\nUNION ALL".join(sels),
+        "metric_head": with_(*ctes, sweep, long_) + f"""
+SELECT {cols} FROM (SELECT * FROM city_long ORDER BY {order} LIMIT 5) t""",
+        "metric_slice": with_(*ctes, sweep, long_) + f"""
+SELECT {cols} FROM (SELECT *, row_number() OVER (ORDER BY {order}) - 1 AS pos FROM city_long) t
+WHERE pos >= 5 AND pos < 10""",
+        "metric_threshold": with_(*ctes, sweep, long_) + f"""
+SELECT {cols} FROM city_long WHERE metric = 'coverage' AND value > 0.5""",
+    }

@@ -420,3 +420,45 @@ QUERIES.update({
     "itemcf_city_sweep": q_itemcf_city_sweep,
     "als_city_sweep": q_als_city_sweep,
 })
+
+
+def q_mining_counts(spark, sf):
+    from prefmine.operators.patterns import mining_counts
+    train, _, itemsets, rules = _mined(spark, sf)
+    return mining_counts(train, itemsets, rules)
+
+
+def _city_long(spark, sf):
+    from prefmine.plans.experiments import city_neighbor_sweep, to_long
+    train, test = _supp_split(spark, sf)
+    wide = city_neighbor_sweep(train, test, P.CITY_TERMS, P.NEIGHBOR_SWEEP)
+    return to_long(wide, "itemcf", "n_neighbors", "n_neighbors", ["rmse", "coverage"], "city_term")
+
+
+def q_metric_head(spark, sf):
+    """First five rows of the per-city CF metric table (by metric, city, n)."""
+    from prefmine.plans.experiments import head
+    h = head(_city_long(spark, sf), ["metric", "city", "param_value"], 5)
+    return h.select("experiment", "city", "param_value", "metric", fx("value"))
+
+
+def q_metric_slice(spark, sf):
+    """Rows 5..9 of the same table in the same order."""
+    from prefmine.plans.experiments import slice_rows
+    s = slice_rows(_city_long(spark, sf), ["metric", "city", "param_value"], 5, 10)
+    return s.select("experiment", "city", "param_value", "metric", fx("value"))
+
+
+def q_metric_threshold(spark, sf):
+    """Per-city CF rows with coverage above one half."""
+    from prefmine.plans.experiments import threshold_rows
+    m = threshold_rows(_city_long(spark, sf).where(F.col("metric") == "coverage"), "value", ">", 0.5)
+    return m.select("experiment", "city", "param_value", "metric", fx("value"))
+
+
+QUERIES.update({
+    "mining_counts": q_mining_counts,
+    "metric_head": q_metric_head,
+    "metric_slice": q_metric_slice,
+    "metric_threshold": q_metric_threshold,
+})
