@@ -18,6 +18,26 @@ _DEFAULTS = {
 }
 
 
+def cluster_conf(peak_shuffle_bytes: int, partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings for a large cluster run, sized from the largest expected
+    shuffle (for item CF, the pair rows: about 48 bytes x sum of deg^2).
+
+    Shuffle partitions start at ``peak / partition_bytes`` so every reduce
+    task fits in executor memory; AQE then coalesces small ones and splits
+    skewed join partitions above the advisory size.
+    """
+    n = max(200, -(-peak_shuffle_bytes // partition_bytes))
+    return {
+        **_DEFAULTS,
+        "spark.sql.shuffle.partitions": str(n),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(n),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.files.maxPartitionBytes": str(min(partition_bytes, 256 << 20)),
+    }
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int | None = None,
                   driver_memory: str = "16g", app: str = "prefmine") -> SparkSession:
     """A local session for tests and the bench (cluster jobs bring their own)."""
