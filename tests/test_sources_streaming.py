@@ -91,3 +91,18 @@ def test_streaming_running_average_equals_batch(spark, tmp_dir):
     q.awaitTermination(120)
     got = rows(spark.table("ratings_test"), "user_id", "item_id", "rating")
     assert got == [(0, 0, 3.5), (1, 0, 1.0)]
+
+
+def test_streaming_parquet_sink_latest_value(spark, tmp_dir):
+    src = tmp_dir + "/in2"
+    os.makedirs(src)
+    users = spark.createDataFrame([("amy", 0)], "user_key string, user_id int")
+    biz = spark.createDataFrame([("x", 0, None)], "item_key string, item_id int, city string")
+    _write(src + "/a.json", ['{"user_id": "amy", "business_id": "x", "stars": 4}'])
+    _write(src + "/b.json", ['{"user_id": "amy", "business_id": "x", "stars": 2}'])
+    q = S.start(S.running_ratings(S.review_stream(spark, src, 1), users, biz), "ratings_pq",
+                sink="parquet", path=tmp_dir + "/out", trigger_once=True,
+                checkpoint_location=tmp_dir + "/ckpt2")
+    q.awaitTermination(120)
+    got = S.latest(tmp_dir + "/out", spark).collect()
+    assert [(r.user_id, r.item_id, r.city, r.n_reviews, r.rating) for r in got] == [(0, 0, None, 2, 3.0)]
