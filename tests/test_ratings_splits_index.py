@@ -84,3 +84,15 @@ def test_ratings_events_parses_json_item(spark):
     e = T.ratings_events(spark, SF001)
     assert e.where(F.col("item_id").isNull()).count() == 0
     assert e.count() > 0
+
+
+def test_city_filter_via_dimension_prunes_partitions(spark, tmp_dir):
+    r = T.ratings_supp(spark, SF001)
+    R.write_ratings_by_city(r, tmp_dir + "/by_city")
+    stored = spark.read.parquet(tmp_dir + "/by_city")
+    cities = T.business(spark, SF001)
+    fast = R.city_filter(stored, "nation_1", cities=cities)
+    slow = R.city_filter(stored, "nation_1")
+    assert rows(fast.select("user_id", "item_id", "city")) == rows(slow.select("user_id", "item_id", "city"))
+    plan = fast._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and " IN (" in plan
