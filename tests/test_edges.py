@@ -1,7 +1,6 @@
 """Edge rows: zero ratings, single user, test-only users, baskets that fire
 nothing, duplicate reviews in the pair input."""
 
-import pytest
 
 from conftest import rows
 from prefmine.operators import itemcf, patterns, splits

@@ -1,6 +1,5 @@
 """Rating build, city selection, splits, dense indexes."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF001, rows
