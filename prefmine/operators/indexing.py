@@ -30,6 +30,13 @@ def global_position(df: DataFrame, order: Sequence, name: str = "pos",
     ``order`` must be a total order (unique over the rows) for the numbering to
     be reproducible.  Columns may carry ``.desc()``.
     """
+    return positions_and_total(df, order, name, num_partitions)[0]
+
+
+def positions_and_total(df: DataFrame, order: Sequence, name: str = "pos",
+                        num_partitions: int | None = None) -> tuple[DataFrame, int]:
+    """:func:`global_position` plus the row count (known from the partition
+    counts, no extra job)."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -48,7 +55,7 @@ def global_position(df: DataFrame, order: Sequence, name: str = "pos",
     off = F.element_at(F.array(*[F.lit(o).cast("bigint") for o in offsets] or [F.lit(0)]),
                        F.col("_pid") + 1)
     local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
-    return tagged.withColumn(name, (off + local).cast("bigint")).drop("_pid", "_mid")
+    return tagged.withColumn(name, (off + local).cast("bigint")).drop("_pid", "_mid"), run
 
 
 def dense_index(df: DataFrame, keys: Sequence[str], name: str = "index",

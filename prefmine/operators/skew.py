@@ -1,9 +1,9 @@
-"""Size-checked broadcasts and hot-key salting.
+"""Hot-key salting with a size-checked broadcast of the hot list.
 
-A side is broadcast only when its row count has been checked against a bound;
-beyond the bound the caller's join stays a shuffle join.  Hot keys (one key may
-hold a third of all rows) are split into salt buckets so no single task owns
-the whole key.
+Hot keys (one key may hold a third of all rows) are split into salt buckets so
+no single task owns the whole key.  The hot list is broadcast only after its
+row count has been checked against a bound; beyond the bound the join stays a
+shuffle join.
 """
 
 from __future__ import annotations
@@ -11,23 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows a side may have to be broadcast by an explicit hint.  Keys are a few
-# longs, so 200k rows stay well under the default 8 GB broadcast limit.
-MAX_BROADCAST_ROWS = 200_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Return ``(broadcast(df), True)`` when ``df`` has at most ``max_rows``
-    rows, else ``(df, False)`` so Catalyst plans a shuffle join.
-
-    The check runs ``df.limit(max_rows + 1).count()``: one small job.
-    """
-    n = df.limit(max_rows + 1).count()
-    if n <= max_rows:
-        return F.broadcast(df), True
-    return df, False
-
-
 def hot_key_salts(df: DataFrame, key, chunk: int) -> DataFrame:
     """``(*key, n_salt)`` for keys (a column or list of columns) with more
     than ``chunk`` rows.
@@ -42,12 +25,23 @@ def hot_key_salts(df: DataFrame, key, chunk: int) -> DataFrame:
             .select(*keys, F.ceil(F.col("_rows") / F.lit(chunk)).cast("int").alias("n_salt")))
 
 
-def with_salts(df: DataFrame, key, chunk: int, max_hot: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def with_salts(df: DataFrame, key, chunk: int, max_hot: int = 100_000) -> DataFrame:
     """Add ``n_salt`` (1 for ordinary keys) to every row of ``df``.
 
-    Null key parts never match the hot list: they are never hot.
+    The hot-key list is computed once and, when it has at most ``max_hot``
+    rows (usually it is empty or a handful), comes back as a small broadcast
+    table; a longer list stays a shuffle join against the aggregate.  Null
+    key parts never match the hot list: they are never hot.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    hot, _ = bounded_broadcast(hot_key_salts(df, keys, chunk), max_hot)
+    agg = hot_key_salts(df, keys, chunk)
+    got = agg.limit(max_hot + 1).collect()
+    if len(got) <= max_hot:
+        spark = df.sparkSession
+        schema = agg.schema
+        hot = F.broadcast(spark.createDataFrame(got, schema) if got
+                          else spark.createDataFrame([], schema))
+    else:
+        hot = agg
     return (df.join(hot, keys, "left")
             .withColumn("n_salt", F.coalesce(F.col("n_salt"), F.lit(1))))

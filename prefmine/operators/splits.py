@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prefmine.functions.columns import hash_key, hash_unit, hex_threshold
-from prefmine.operators.indexing import global_position
+from prefmine.operators.indexing import positions_and_total
 
 
 def hash_split(df: DataFrame, keys: Sequence[str], test_fraction: float = 0.2,
@@ -37,10 +37,9 @@ def exact_split(df: DataFrame, keys: Sequence[str], test_fraction: float = 0.1,
     """(train, test) with exactly ``floor(test_fraction * n)`` test rows: the
     rows first in seeded-hash order.  ``keys`` must be unique per row."""
     h = hash_key(*keys, seed=seed).alias("_h")
-    pos = global_position(df.select("*", h), ["_h", *keys], "_pos")
-    # The positions come from a checkpointed table: counting it is a cheap
-    # scalar job, and the cut-off then is a literal.
-    k = math.floor(Decimal(pos.count()) * Decimal(str(test_fraction)))
+    pos, n = positions_and_total(df.select("*", h), ["_h", *keys], "_pos")
+    # The cut-off is a literal: floor(fraction * n) in exact decimal arithmetic.
+    k = math.floor(Decimal(n) * Decimal(str(test_fraction)))
     is_test = F.col("_pos") < F.lit(k)
     cols = df.columns
     return pos.where(~is_test).select(*cols), pos.where(is_test).select(*cols)
