@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+
 def hot_key_salts(df: DataFrame, key, chunk: int) -> DataFrame:
     """``(*key, n_salt)`` for keys (a column or list of columns) with more
     than ``chunk`` rows.
