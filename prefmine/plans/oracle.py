@@ -170,6 +170,7 @@ SELECT item_id, neighbor_id, {fx("similarity", "similarity")}, n_common, CAST(ra
     sql.update(_sweeps())
     sql.update(_city_models())
     sql.update(_counts())
+    sql.update(_files())
     return sql
 
 
@@ -284,6 +285,19 @@ totals{s} AS (SELECT count(*) AS n_matched, CAST(coalesce(sum(tp), 0) AS BIGINT)
                      CAST(coalesce(sum(fn), 0) AS BIGINT) AS fn FROM per_user{s})"""
 
 
+def _files() -> dict[str, str]:
+    return {"ratings_from_files": """
+WITH ui AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS user_index FROM customer),
+bi AS (SELECT s.s_suppkey, row_number() OVER (ORDER BY s.s_suppkey) - 1 AS business_index, n.n_name AS city
+       FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey)
+SELECT CAST(ui.user_index AS INTEGER) AS user_id, CAST(bi.business_index AS INTEGER) AS item_id, bi.city,
+       """ + fx("avg(CAST(CAST(l.l_quantity AS FLOAT) AS DOUBLE))", "rating") + """
+FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+JOIN ui ON ui.c_custkey = o.o_custkey
+JOIN bi ON bi.s_suppkey = l.l_suppkey
+GROUP BY ui.user_index, bi.business_index, bi.city"""}
+
+
 def _counts() -> dict[str, str]:
     mining = (BRAND_PAIRS, brand_split(), itemsets("tr", P.MIN_SUPPORT), rules(P.MIN_CONFIDENCE),
               fire("tr", "rules", "te"))

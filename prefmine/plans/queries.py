@@ -464,3 +464,31 @@ QUERIES.update({
     "metric_slice": q_metric_slice,
     "metric_threshold": q_metric_threshold,
 })
+
+
+def q_ratings_from_files(spark, sf):
+    """The file pipeline end to end: review / user / business JSON lines
+    (written from the tables, users and businesses in key order) -> CSV with
+    header -> explicit-schema reads -> file-order ids -> averaged ratings."""
+    import uuid
+
+    from prefmine.session import checkpoint_dir
+    from prefmine.sources import files
+    base = f"{checkpoint_dir(spark).rstrip('/')}/files/{uuid.uuid4().hex}"
+    rv = T.reviews(spark, sf, "supp").select(
+        F.col("user_key").cast("string").alias("user_id"),
+        F.col("item_key").cast("string").alias("business_id"), F.col("rate").alias("stars"))
+    us = (T.table(spark, sf, "customer").orderBy("c_custkey")
+          .select(F.col("c_custkey").cast("string").alias("user_id")))
+    bs = (T.business(spark, sf).orderBy("item_key")
+          .select(F.col("item_key").cast("string").alias("business_id"), "city"))
+    for kind, df in (("review", rv), ("user", us), ("business", bs)):
+        df.write.mode("overwrite").json(f"{base}/{kind}.json")
+        files.convert_json(spark, f"{base}/{kind}.json", kind, f"{base}/{kind}.csv")
+    reviews, users, business = files.read_review_tables(
+        spark, f"{base}/review.csv", f"{base}/user.csv", f"{base}/business.csv")
+    r = R.build_ratings(reviews, users, business)
+    return r.select("user_id", "item_id", "city", fx("rating"))
+
+
+QUERIES["ratings_from_files"] = q_ratings_from_files
