@@ -171,6 +171,7 @@ SELECT item_id, neighbor_id, {fx("similarity", "similarity")}, n_common, CAST(ra
     sql.update(_city_models())
     sql.update(_counts())
     sql.update(_files())
+    sql.update(_roundtrips(sql))
     return sql
 
 
@@ -298,6 +299,25 @@ JOIN bi ON bi.s_suppkey = l.l_suppkey
 GROUP BY ui.user_index, bi.business_index, bi.city"""}
 
 
+def _roundtrips(sql: dict[str, str]) -> dict[str, str]:
+    terms = ", ".join(_q(t) for t in P.CITY_TERMS)
+    sweep = sql["support_sweep"]
+    return {
+        "city_files_roundtrip": with_(RATINGS_SUPP, f"""
+terms AS (SELECT unnest([{terms}]) AS city_term),
+fan AS (SELECT t.city_term, r.* FROM ratings_supp r JOIN terms t
+          ON r.city IS NOT NULL AND contains(lower(r.city), lower(t.city_term)))""") + """
+SELECT city_term, count(*) AS n_rows, count(DISTINCT item_id) AS n_items FROM fan GROUP BY city_term""",
+        "ratings_csv_roundtrip": with_(RATINGS_SUPP) + f"""
+SELECT CAST(user_id AS INTEGER) AS user_id, CAST(item_id AS INTEGER) AS item_id, city,
+       {fx('CAST(CAST(rating AS FLOAT) AS DOUBLE)', 'rating')} FROM ratings_supp""",
+        "metric_csv_roundtrip": f"""
+SELECT support, n_itemsets AS numFreqItemsets, n_rules AS numAssociateRules,
+       tp AS TP, fp AS FP, fn AS FN, precision, recall
+FROM ({sweep}) s""",
+    }
+
+
 def _counts() -> dict[str, str]:
     mining = (BRAND_PAIRS, brand_split(), itemsets("tr", P.MIN_SUPPORT), rules(P.MIN_CONFIDENCE),
               fire("tr", "rules", "te"))

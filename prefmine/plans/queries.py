@@ -492,3 +492,59 @@ def q_ratings_from_files(spark, sf):
 
 
 QUERIES["ratings_from_files"] = q_ratings_from_files
+
+
+def _scratch(spark, what: str) -> str:
+    import uuid
+
+    from prefmine.session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/{what}/{uuid.uuid4().hex}"
+
+
+def q_city_files_roundtrip(spark, sf):
+    """City selections written in one partitioned job, read back per folder."""
+    path = _scratch(spark, "cities")
+    R.write_city_files(T.ratings_supp(spark, sf), path, P.CITY_TERMS)
+    back = spark.read.parquet(path)
+    return back.groupBy("city_term").agg(F.count(F.lit(1)).alias("n_rows"),
+                                         F.count_distinct("item_id").alias("n_items"))
+
+
+def q_ratings_csv_roundtrip(spark, sf):
+    """The rating table as header-less CSV, read back (or reused) with the
+    positional 4-column schema: rating narrows to float on the way."""
+    from prefmine.sources import files
+    path = _scratch(spark, "allRate")
+    back = files.read_or_build(spark, path, lambda: T.ratings_supp(spark, sf)
+                               .select("user_id", "item_id", "city", "rating"),
+                               fmt="csv", schema=files.RATING_CSV)
+    return back.select("user_id", "item_id", "city",
+                       fx(F.col("rating").cast("double"), "rating"))
+
+
+def q_metric_csv_roundtrip(spark, sf):
+    """Support sweep written as the two metric CSV layouts (counts; TP / FP /
+    FN / precision / recall), read back with their schemas, joined on support."""
+    from prefmine.plans.experiments import support_sweep
+    from prefmine.sources import files
+    train, test = _brand_split(spark, sf)
+    sweep = materialize(support_sweep(train, test, P.SUPPORT_SWEEP, P.MIN_CONFIDENCE), "sweep")
+    base = _scratch(spark, "metrics")
+    files.write_csv(sweep.select("support", F.col("n_itemsets").alias("numFreqItemsets"),
+                                 F.col("n_rules").alias("numAssociateRules")),
+                    f"{base}/freNum.csv", header=True)
+    files.write_csv(sweep.select("support", F.col("tp").alias("TP"), F.col("fp").alias("FP"),
+                                 F.col("fn").alias("FN"), "precision", "recall"),
+                    f"{base}/freqResult.csv", header=True)
+    counts = files.read_metric_csv(spark, f"{base}/freNum.csv", "freNum")
+    quality = files.read_metric_csv(spark, f"{base}/freqResult.csv", "freqResult")
+    j = counts.join(quality, "support")
+    return j.select(fx("support"), "numFreqItemsets", "numAssociateRules", "TP", "FP", "FN",
+                    fx("precision"), fx("recall"))
+
+
+QUERIES.update({
+    "city_files_roundtrip": q_city_files_roundtrip,
+    "ratings_csv_roundtrip": q_ratings_csv_roundtrip,
+    "metric_csv_roundtrip": q_metric_csv_roundtrip,
+})
