@@ -53,16 +53,26 @@ def local_session(cores: int | str = "*", shuffle_partitions: int | None = None,
     return spark
 
 
+_OWN_DIRS: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the setting is missing (a bare test session) do we make our own.
+    Only when the setting is missing (a bare test session) do we use the
+    context's checkpoint folder or make one of our own per application.  The
+    core setting itself cannot be changed at runtime, so it is left alone.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="prefmine-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    return d
+    if d:
+        return d
+    sc = spark.sparkContext
+    if sc.getCheckpointDir():
+        return sc.getCheckpointDir()
+    app = sc.applicationId
+    if app not in _OWN_DIRS:
+        _OWN_DIRS[app] = tempfile.mkdtemp(prefix="prefmine-ckpt-")
+    return _OWN_DIRS[app]
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
