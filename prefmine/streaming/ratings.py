@@ -42,9 +42,10 @@ def start(ratings: DataFrame, name: str, sink: str = "memory", path: str | None
     """Run the aggregate in update mode.
 
     ``sink="memory"`` keeps the current table queryable as ``name`` (tests);
-    ``sink="parquet"`` appends every micro-batch's changed rows under
-    ``path/batch_id=<n>`` (the latest batch holding a key has its current
-    value) through ``foreachBatch``.  Progress and state are kept under
+    ``sink="parquet"`` writes every micro-batch's changed rows to its own
+    folder ``path/batch_id=<n>`` (the latest batch holding a key has its
+    current value) through ``foreachBatch``; a re-run batch overwrites its
+    folder, so the sink is exactly-once.  Progress and state are kept under
     ``checkpoint_location`` (default: ``streams/<name>`` in the shared
     checkpoint folder), so restarting a query of the same name resumes it.
     """
@@ -60,8 +61,9 @@ def start(ratings: DataFrame, name: str, sink: str = "memory", path: str | None
             raise ValueError("parquet sink needs a path")
 
         def write_batch(batch: DataFrame, batch_id: int) -> None:
-            (batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append")
-             .partitionBy("batch_id").parquet(path))
+            # A micro-batch re-run after a failure overwrites its own folder:
+            # the sink is idempotent, so no row is written twice.
+            batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
         return w.outputMode("update").foreachBatch(write_batch).start()
     raise ValueError(f"unknown sink {sink!r}")
 
