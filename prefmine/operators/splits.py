@@ -11,11 +11,10 @@ import math
 from collections.abc import Sequence
 from decimal import Decimal
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefmine.functions.columns import hash_key, hash_unit, hex_threshold
-from prefmine.operators.indexing import positions_and_total
 
 
 def hash_split(df: DataFrame, keys: Sequence[str], test_fraction: float = 0.2,
@@ -32,14 +31,59 @@ def random_split(df: DataFrame, weights: Sequence[float] = (0.8, 0.2),
     return df.randomSplit(list(weights), seed=seed)
 
 
+# Rows of the boundary hash bucket the exact split may bring to the driver.
+MAX_BOUNDARY_ROWS = 100_000
+
+
+def _lex_less(cols: list[Column], values: list) -> Column:
+    """(c1, c2, ...) < (v1, v2, ...) in lexicographic order."""
+    cond = F.lit(False)
+    for c, v in reversed(list(zip(cols, values))):
+        cond = (c < F.lit(v)) | ((c == F.lit(v)) & cond)
+    return cond
+
+
 def exact_split(df: DataFrame, keys: Sequence[str], test_fraction: float = 0.1,
                 seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(train, test) with exactly ``floor(test_fraction * n)`` test rows: the
-    rows first in seeded-hash order.  ``keys`` must be unique per row."""
-    h = hash_key(*keys, seed=seed).alias("_h")
-    pos, n = positions_and_total(df.select("*", h), ["_h", *keys], "_pos")
-    # The cut-off is a literal: floor(fraction * n) in exact decimal arithmetic.
-    k = math.floor(Decimal(n) * Decimal(str(test_fraction)))
-    is_test = F.col("_pos") < F.lit(k)
+    rows first in (seeded md5 of the key, key) order.  ``keys`` must be unique
+    and non-null per row.
+
+    Only the cut-off row is needed, so it is found by narrowing hash-prefix
+    buckets instead of sorting: count rows per 4-hex-digit prefix (at most
+    65,536 counts to the driver), step into the bucket holding the cut-off,
+    repeat until that bucket has at most ``MAX_BOUNDARY_ROWS`` rows (md5 is
+    uniform: one step up to ~6.5e9 rows, two up to ~4e14), then read that
+    bucket and pick the exact row.  The split itself is a filter: no shuffle
+    of the data, no sort, and a re-run task makes the same decision.
+    Materialize ``df`` first when it is expensive: it is scanned once per step.
+    """
+    hd = df.select("*", hash_key(*keys, seed=seed).alias("_h"))
+    prefix, k_rem, n, k = "", 0, None, 0
+    while True:
+        cond = F.substring("_h", 1, len(prefix)) == F.lit(prefix) if prefix else F.lit(True)
+        counts = sorted((r[0], r[1]) for r in hd.where(cond)
+                        .groupBy(F.substring("_h", len(prefix) + 1, 4).alias("_b"))
+                        .agg(F.count(F.lit(1))).collect())
+        if n is None:
+            n = sum(c for _, c in counts)
+            k = math.floor(Decimal(n) * Decimal(str(test_fraction)))
+            if k <= 0 or k >= n:
+                empty = df.where(F.lit(False))
+                return (df, empty) if k <= 0 else (empty, df)
+            k_rem = k
+        before = 0
+        for b, c in counts:
+            if before + c > k_rem:
+                break
+            before += c
+        k_rem -= before
+        prefix += b
+        if c <= MAX_BOUNDARY_ROWS or len(prefix) >= 32:
+            break
+    bucket = (hd.where(F.substring("_h", 1, len(prefix)) == F.lit(prefix))
+              .select("_h", *keys).orderBy("_h", *keys).collect())
+    first_train = list(bucket[k_rem])
+    is_test = _lex_less([F.col("_h")] + [F.col(c) for c in keys], first_train)
     cols = df.columns
-    return pos.where(~is_test).select(*cols), pos.where(is_test).select(*cols)
+    return hd.where(~is_test).select(*cols), hd.where(is_test).select(*cols)

@@ -126,8 +126,8 @@ def q_split_80_20(spark, sf):
 
 
 def _brand_split(spark, sf):
-    return splits.exact_split(T.brand_pairs(spark, sf), ["user_id", "item"],
-                              P.BASKET_TEST_FRACTION, P.SEED)
+    pairs = materialize(T.brand_pairs(spark, sf), "brand_pairs")
+    return splits.exact_split(pairs, ["user_id", "item"], P.BASKET_TEST_FRACTION, P.SEED)
 
 
 def q_split_exact_tenth(spark, sf):

@@ -95,3 +95,15 @@ def test_city_filter_via_dimension_prunes_partitions(spark, tmp_dir):
     assert rows(fast.select("user_id", "item_id", "city")) == rows(slow.select("user_id", "item_id", "city"))
     plan = fast._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and " IN (" in plan
+
+
+def test_exact_split_multi_level_matches_sorted_order(spark, monkeypatch):
+    import hashlib
+    monkeypatch.setattr(splits, "MAX_BOUNDARY_ROWS", 1)   # force descending into sub-buckets
+    df = spark.range(0, 3000).select((F.col("id") * 37 % 3001).alias("u"), F.lit("x").alias("i"))
+    train, test = splits.exact_split(df, ["u", "i"], 0.37, seed=5)
+    keys = sorted((hashlib.md5(f"{u}|x|5".encode()).hexdigest(), u) for u in
+                  [r.u for r in df.collect()])
+    want = sorted(u for _, u in keys[:int(3000 * 0.37)])
+    assert sorted(r.u for r in test.collect()) == want
+    assert train.count() == 3000 - len(want)
