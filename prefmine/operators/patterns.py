@@ -128,7 +128,13 @@ def _recommended(p: DataFrame, rules: DataFrame) -> DataFrame:
              .select("user_id", "antecedent_key"))
     cons = rules.select(itemset_key("antecedent").alias("antecedent_key"),
                         F.explode("consequent").alias("item")).distinct()
-    return fired.join(cons, "antecedent_key").select("user_id", "item")
+    # A user's fired rows are already aggregated (at most one per distinct
+    # antecedent), so gathering them by user is bounded by the rule count,
+    # not by the data: a hot user cannot overload a task.  With every
+    # candidate of a user in one partition, the map-side combine of the
+    # following (user, item) aggregate removes the repeats before the shuffle.
+    return (fired.repartition("user_id").join(cons, "antecedent_key")
+            .select("user_id", "item"))
 
 
 def _user_items(pairs: DataFrame, user: str, item: str) -> DataFrame:
