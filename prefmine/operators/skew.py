@@ -26,23 +26,48 @@ def hot_key_salts(df: DataFrame, key, chunk: int) -> DataFrame:
             .select(*keys, F.ceil(F.col("_rows") / F.lit(chunk)).cast("int").alias("n_salt")))
 
 
+def _hot_table(df: DataFrame, keys: list[str], chunk: int, max_hot: int) -> DataFrame:
+    """The hot-key list, as a broadcast table when it has at most ``max_hot``
+    rows (usually it is empty or a handful), else the aggregate itself."""
+    agg = hot_key_salts(df, keys, chunk)
+    got = agg.limit(max_hot + 1).collect()
+    if len(got) > max_hot:
+        return agg
+    return F.broadcast(df.sparkSession.createDataFrame(got, agg.schema))
+
+
 def with_salts(df: DataFrame, key, chunk: int, max_hot: int = 100_000) -> DataFrame:
     """Add ``n_salt`` (1 for ordinary keys) to every row of ``df``.
 
     The hot-key list is computed once and, when it has at most ``max_hot``
-    rows (usually it is empty or a handful), comes back as a small broadcast
-    table; a longer list stays a shuffle join against the aggregate.  Null
-    key parts never match the hot list: they are never hot.
+    rows, comes back as a small broadcast table; a longer list stays a
+    shuffle join against the aggregate.  Null key parts never match the hot
+    list: they are never hot.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    agg = hot_key_salts(df, keys, chunk)
-    got = agg.limit(max_hot + 1).collect()
-    if len(got) <= max_hot:
-        spark = df.sparkSession
-        schema = agg.schema
-        hot = F.broadcast(spark.createDataFrame(got, schema) if got
-                          else spark.createDataFrame([], schema))
-    else:
-        hot = agg
+    hot = _hot_table(df, keys, chunk, max_hot)
     return (df.join(hot, keys, "left")
             .withColumn("n_salt", F.coalesce(F.col("n_salt"), F.lit(1))))
+
+
+def salted_join(fact: DataFrame, dim: DataFrame, keys, chunk: int,
+                max_hot: int = 100_000) -> DataFrame:
+    """Inner equi-join of a large ``fact`` with ``dim`` on ``keys`` where a
+    few keys may hold a large share of the fact rows.
+
+    Fact rows of a hot key are spread over ``n_salt`` buckets by a hash of the
+    whole row; the key's dimension rows are copied once per bucket.  Every
+    fact row meets each of its dimension rows exactly once, whatever bucket it
+    lands in, so the result equals the plain join while no task receives more
+    than about ``chunk`` fact rows of one key.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    hot = _hot_table(fact, keys, chunk, max_hot)
+    n = F.coalesce(F.col("n_salt"), F.lit(1))
+    f = (fact.join(hot, keys, "left")
+         .withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in fact.columns]), n).cast("int"))
+         .drop("n_salt"))
+    d = (dim.join(hot, keys, "left")
+         .withColumn("_salt", F.explode(F.sequence(F.lit(0), n - 1)))
+         .drop("n_salt"))
+    return f.join(d, keys + ["_salt"]).drop("_salt")

@@ -107,3 +107,17 @@ def test_exact_split_multi_level_matches_sorted_order(spark, monkeypatch):
     want = sorted(u for _, u in keys[:int(3000 * 0.37)])
     assert sorted(r.u for r in test.collect()) == want
     assert train.count() == 3000 - len(want)
+
+
+def test_salted_rating_build_equals_plain(spark):
+    # user u0 holds a third of all reviews, business b0 half of them
+    rv = [("u0", f"b{i % 3}", float(i % 5 + 1)) for i in range(40)]
+    rv += [(f"u{j}", f"b{j % 7}", float(j % 4 + 1)) for j in range(1, 81)]
+    reviews = spark.createDataFrame(rv, "user_key string, item_key string, rate double")
+    users = spark.createDataFrame([(f"u{j}", j) for j in range(81)], "user_key string, user_id int")
+    business = spark.createDataFrame([(f"b{i}", i, f"City{i % 2}") for i in range(7)],
+                                     "item_key string, item_id int, city string")
+    plain = rows(R.build_ratings(reviews, users, business))
+    salted = rows(R.build_ratings(reviews, users, business, skew_chunk=5))
+    assert plain == [r[:3] + (r[3],) for r in salted]
+    assert len(plain) > 0
