@@ -59,8 +59,9 @@ _OWN_DIRS: dict[str, str] = {}
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the setting is missing (a bare test session) do we use the
-    context's checkpoint folder or make one of our own per application.  The
+    Only when the setting is missing do we use the context's checkpoint
+    folder, or, in a local-mode session (tests), make one of our own per
+    application; a cluster session without a shared folder is an error.  The
     core setting itself cannot be changed at runtime, so it is left alone.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
@@ -69,6 +70,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return sc.getCheckpointDir()
+    if not sc.master.startswith("local"):
+        # Executors on other machines cannot see a local folder.
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     app = sc.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = tempfile.mkdtemp(prefix="prefmine-ckpt-")
