@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefmine.functions.columns import cosine, rmse, safe_ratio, weighted_mean
-from prefmine.operators.skew import with_salts
+from prefmine.operators.skew import hot_keys
 
 # Ratings a user may have before the pair join salts it.
 DEFAULT_CHUNK = 2048
@@ -40,24 +40,33 @@ def _std(ratings: DataFrame, user: str, item: str, rating: str, by: Sequence[str
 
 def item_similarity(ratings: DataFrame, user: str = "user_id", item: str = "item_id",
                     rating: str = "rating", chunk: int = DEFAULT_CHUNK,
-                    by: Sequence[str] = ()) -> DataFrame:
+                    by: Sequence[str] = (), max_hot: int = 100_000) -> DataFrame:
     """``(*by, item_a, item_b, similarity, n_common)`` for every pair ``a < b``
     with at least one common user.
 
     similarity = sum(ra*rb) / sqrt(sum(ra^2) * sum(rb^2)), sums over common
     users; 0 when a norm is 0.  Expects one rating per (group, user, item),
     which ``build_ratings`` guarantees.
+
+    Users with more than ``chunk`` ratings are hot.  No hot user: a plain
+    self-join.  Up to ``max_hot`` hot users: the list is broadcast, ordinary
+    users take the plain join and hot users the salted one.  More: every row
+    is tagged through a shuffle join with the hot list and salted.
     """
     by = list(by)
-    r = with_salts(_std(ratings, user, item, rating, by), by + ["user_id"], chunk)
-    r = r.withColumn("_b", F.pmod(F.xxhash64("item_id"), F.col("n_salt")).cast("int"))
-    fan = F.explode(F.sequence(F.lit(0), F.col("n_salt") - 1))
-    left = r.select(*by, "user_id", F.col("item_id").alias("item_a"), F.col("rating").alias("ra"),
-                    F.col("_b").alias("_bl"), fan.alias("_br"))
-    right = r.select(*by, "user_id", F.col("item_id").alias("item_b"), F.col("rating").alias("rb"),
-                     fan.alias("_bl"), F.col("_b").alias("_br"))
-    pairs = (left.join(right, by + ["user_id", "_bl", "_br"])
-             .where(F.col("item_a") < F.col("item_b")))
+    ukey = by + ["user_id"]
+    r = _std(ratings, user, item, rating, by)
+    hot, n_hot = hot_keys(r, ukey, chunk, max_hot)
+    if n_hot == 0:
+        pairs = _plain_pairs(r, by)
+    elif n_hot is not None:
+        # Ordinary users take the plain self-join; only hot users' ratings
+        # go through the salted bucket join.
+        pairs = (_plain_pairs(r.join(hot, ukey, "left_anti"), by)
+                 .unionByName(_salted_pairs(r.join(hot, ukey), by)))
+    else:
+        pairs = _salted_pairs(r.join(hot, ukey, "left")
+                              .withColumn("n_salt", F.coalesce("n_salt", F.lit(1))), by)
     agg = pairs.groupBy(*by, "item_a", "item_b").agg(
         F.sum(F.col("ra") * F.col("rb")).alias("_dot"),
         F.sum(F.col("ra") * F.col("ra")).alias("_na"),
@@ -67,6 +76,29 @@ def item_similarity(ratings: DataFrame, user: str = "user_id", item: str = "item
                       "n_common")
 
 
+def _plain_pairs(r: DataFrame, by: list[str]) -> DataFrame:
+    """``(*by, item_a, item_b, ra, rb)`` for a < b rated by the same user;
+    both join sides are the same subtree, so their shuffle is shared."""
+    left = r.select(*by, "user_id", F.col("item_id").alias("item_a"), F.col("rating").alias("ra"))
+    right = r.select(*by, "user_id", F.col("item_id").alias("item_b"), F.col("rating").alias("rb"))
+    return (left.join(right, by + ["user_id"]).where(F.col("item_a") < F.col("item_b"))
+            .select(*by, "item_a", "item_b", "ra", "rb"))
+
+
+def _salted_pairs(r: DataFrame, by: list[str]) -> DataFrame:
+    """Same pairs for ratings carrying ``n_salt``: a user's ratings split into
+    ``n_salt`` item-hash buckets and every bucket pair joined as its own key."""
+    r = r.withColumn("_b", F.pmod(F.xxhash64("item_id"), F.col("n_salt")).cast("int"))
+    fan = F.explode(F.sequence(F.lit(0), F.col("n_salt") - 1))
+    left = r.select(*by, "user_id", F.col("item_id").alias("item_a"), F.col("rating").alias("ra"),
+                    F.col("_b").alias("_bl"), fan.alias("_br"))
+    right = r.select(*by, "user_id", F.col("item_id").alias("item_b"), F.col("rating").alias("rb"),
+                     fan.alias("_bl"), F.col("_b").alias("_br"))
+    return (left.join(right, by + ["user_id", "_bl", "_br"])
+            .where(F.col("item_a") < F.col("item_b"))
+            .select(*by, "item_a", "item_b", "ra", "rb"))
+
+
 def symmetric(similarity: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Both directions of every pair: ``(*by, item_id, neighbor_id, similarity, n_common)``."""
     both = F.array(

@@ -26,14 +26,22 @@ def hot_key_salts(df: DataFrame, key, chunk: int) -> DataFrame:
             .select(*keys, F.ceil(F.col("_rows") / F.lit(chunk)).cast("int").alias("n_salt")))
 
 
-def _hot_table(df: DataFrame, keys: list[str], chunk: int, max_hot: int) -> DataFrame:
-    """The hot-key list, as a broadcast table when it has at most ``max_hot``
-    rows (usually it is empty or a handful), else the aggregate itself."""
+def hot_keys(df: DataFrame, keys: list[str], chunk: int, max_hot: int) -> tuple[DataFrame, int | None]:
+    """The hot-key list and its length.
+
+    With at most ``max_hot`` rows (usually it is empty or a handful) the list
+    comes back as a small broadcast table and its length; beyond the bound it
+    stays the aggregate (joined by a shuffle) and the length is None.
+    """
     agg = hot_key_salts(df, keys, chunk)
     got = agg.limit(max_hot + 1).collect()
     if len(got) > max_hot:
-        return agg
-    return F.broadcast(df.sparkSession.createDataFrame(got, agg.schema))
+        return agg, None
+    return F.broadcast(df.sparkSession.createDataFrame(got, agg.schema)), len(got)
+
+
+def _hot_table(df: DataFrame, keys: list[str], chunk: int, max_hot: int) -> DataFrame:
+    return hot_keys(df, keys, chunk, max_hot)[0]
 
 
 def with_salts(df: DataFrame, key, chunk: int, max_hot: int = 100_000) -> DataFrame:

@@ -180,3 +180,16 @@ def test_hot_list_over_bound_falls_back_to_shuffle_join(spark):
     big = rows(with_salts(df, "user_id", chunk=4, max_hot=0), "user_id", "item_id", "n_salt")
     assert small == big
     assert {u: s for u, _, s in small} == {1: 3, 2: 2, 3: 1}
+
+
+def test_similarity_paths_agree(spark):
+    t = [(1, i, float(i % 5 + 1)) for i in range(1, 13)]
+    t += [(2, i, float(i % 3 + 1)) for i in range(1, 9)]
+    t += [(u, i, float((u + i) % 4 + 1)) for u in range(3, 8) for i in range(1, 13, u)]
+    df = _ratings(spark, t)
+    base = rows(itemcf.item_similarity(df, chunk=10_000))          # no hot user
+    mixed = rows(itemcf.item_similarity(df, chunk=5))               # users 1, 2 hot, broadcast list
+    shuffled = rows(itemcf.item_similarity(df, chunk=5, max_hot=0))  # list over the bound
+    for other in (mixed, shuffled):
+        assert [r[:2] + r[3:] for r in base] == [r[:2] + r[3:] for r in other]
+        assert all(abs(a[2] - b[2]) < 1e-12 for a, b in zip(base, other))
