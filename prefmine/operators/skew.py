@@ -44,20 +44,6 @@ def _hot_table(df: DataFrame, keys: list[str], chunk: int, max_hot: int) -> Data
     return hot_keys(df, keys, chunk, max_hot)[0]
 
 
-def with_salts(df: DataFrame, key, chunk: int, max_hot: int = 100_000) -> DataFrame:
-    """Add ``n_salt`` (1 for ordinary keys) to every row of ``df``.
-
-    The hot-key list is computed once and, when it has at most ``max_hot``
-    rows, comes back as a small broadcast table; a longer list stays a
-    shuffle join against the aggregate.  Null key parts never match the hot
-    list: they are never hot.
-    """
-    keys = [key] if isinstance(key, str) else list(key)
-    hot = _hot_table(df, keys, chunk, max_hot)
-    return (df.join(hot, keys, "left")
-            .withColumn("n_salt", F.coalesce(F.col("n_salt"), F.lit(1))))
-
-
 def salted_join(fact: DataFrame, dim: DataFrame, keys, chunk: int,
                 max_hot: int = 100_000) -> DataFrame:
     """Inner equi-join of a large ``fact`` with ``dim`` on ``keys`` where a

@@ -172,16 +172,6 @@ def test_grouped_models_equal_separate_runs(spark):
         assert ev_g[g][0] == pytest.approx(ev.rmse, abs=1e-12)
 
 
-def test_hot_list_over_bound_falls_back_to_shuffle_join(spark):
-    from prefmine.operators.skew import with_salts
-    t = [(1, i, 1.0) for i in range(10)] + [(2, i, 1.0) for i in range(6)] + [(3, 0, 1.0)]
-    df = _ratings(spark, t)
-    small = rows(with_salts(df, "user_id", chunk=4), "user_id", "item_id", "n_salt")
-    big = rows(with_salts(df, "user_id", chunk=4, max_hot=0), "user_id", "item_id", "n_salt")
-    assert small == big
-    assert {u: s for u, _, s in small} == {1: 3, 2: 2, 3: 1}
-
-
 def test_similarity_paths_agree(spark):
     t = [(1, i, float(i % 5 + 1)) for i in range(1, 13)]
     t += [(2, i, float(i % 3 + 1)) for i in range(1, 9)]
