@@ -137,12 +137,15 @@ def _recommended(p: DataFrame, rules: DataFrame) -> DataFrame:
             .select("user_id", "item"))
 
 
-def _user_items(pairs: DataFrame, user: str, item: str) -> DataFrame:
-    return pairs.select(F.col(user).alias("user_id"), F.col(item).alias("item")).distinct()
+def _user_items(pairs: DataFrame, user: str, item: str, assume_distinct: bool = False) -> DataFrame:
+    """``(user_id, item)`` rows, de-duplicated unless the caller guarantees
+    distinct pairs (a repeated pair would count twice toward an antecedent)."""
+    p = pairs.select(F.col(user).alias("user_id"), F.col(item).alias("item"))
+    return p if assume_distinct else p.distinct()
 
 
 def fire_rules(pairs: DataFrame, rules: DataFrame, user: str = "user_id",
-               item: str = "item") -> DataFrame:
+               item: str = "item", assume_distinct: bool = False) -> DataFrame:
     """Recommendations ``(user_id, item)``: consequents of every rule whose
     antecedent is contained in the user's items, minus items the user has.
 
@@ -152,7 +155,7 @@ def fire_rules(pairs: DataFrame, rules: DataFrame, user: str = "user_id",
     no rows.  Every shuffle is keyed by (user, antecedent) or (user, item), so
     a user with a huge basket is spread over many tasks.
     """
-    p = _user_items(pairs, user, item)
+    p = _user_items(pairs, user, item, assume_distinct)
     rec = _recommended(p, rules).select("user_id", "item", F.lit(0).alias("_own"))
     # De-duplicate the recommendations and drop owned items in one
     # map-side-combined aggregate over (user, item) instead of a distinct
@@ -165,16 +168,17 @@ def fire_rules(pairs: DataFrame, rules: DataFrame, user: str = "user_id",
 
 def score_rules(train_pairs: DataFrame, rules: DataFrame, test_pairs: DataFrame,
                 user: str = "user_id", item: str = "item",
-                all_test_users: bool = False) -> DataFrame:
+                all_test_users: bool = False, assume_distinct: bool = False) -> DataFrame:
     """``tp_fp_fn(fire_rules(train_pairs, rules), test_pairs)`` fused: the
     recommended, owned and test rows are flagged and merged by one
-    (user, item) aggregate, then summed per user."""
-    p = _user_items(train_pairs, user, item)
+    (user, item) aggregate, then summed per user.  ``assume_distinct``: the
+    caller guarantees distinct train pairs (skips a de-duplicating shuffle)."""
+    p = _user_items(train_pairs, user, item, assume_distinct)
     flag = lambda df, r, o, t: df.select("user_id", "item", F.lit(r).alias("_r"),
                                          F.lit(o).alias("_o"), F.lit(t).alias("_t"))
     u = (flag(_recommended(p, rules), 1, 0, 0)
          .unionByName(flag(p, 0, 1, 0))
-         .unionByName(flag(_user_items(test_pairs, user, item), 0, 0, 1)))
+         .unionByName(flag(_user_items(test_pairs, user, item, True), 0, 0, 1)))
     flags = (u.groupBy("user_id", "item")
              .agg(F.max("_r").alias("_r"), F.max("_o").alias("_o"), F.max("_t").alias("_t"))
              .select("user_id", (F.col("_r") * (1 - F.col("_o"))).alias("_p"), "_t"))
@@ -226,7 +230,8 @@ def precision_recall(per_user: DataFrame) -> DataFrame:
 
 
 def mining_counts(train_pairs: DataFrame, itemsets: DataFrame, rules: DataFrame,
-                  user: str = "user_id", item: str = "item") -> DataFrame:
+                  user: str = "user_id", item: str = "item",
+                  assume_distinct: bool = False) -> DataFrame:
     """One row of pipeline counts: rules, distinct antecedents, itemsets,
     antecedents that yield a recommendation when taken as a basket, and
     users with at least one recommendation."""
@@ -239,8 +244,11 @@ def mining_counts(train_pairs: DataFrame, itemsets: DataFrame, rules: DataFrame,
         rules.agg(F.count(F.lit(1)).alias("n_rules")),
         ante.agg(F.count(F.lit(1)).alias("n_antecedents")),
         itemsets.agg(F.count(F.lit(1)).alias("n_itemsets")),
-        fire_rules(ante_pairs, rules).agg(F.count_distinct("user_id").alias("n_antecedents_predicting")),
-        fire_rules(train_pairs, rules, user, item).agg(F.count_distinct("user_id").alias("n_users_predicted")),
+        # An antecedent's items are distinct.
+        fire_rules(ante_pairs, rules, assume_distinct=True)
+        .agg(F.count_distinct("user_id").alias("n_antecedents_predicting")),
+        fire_rules(train_pairs, rules, user, item, assume_distinct)
+        .agg(F.count_distinct("user_id").alias("n_users_predicted")),
     ]
     names = ["n_rules", "n_antecedents", "n_itemsets", "n_antecedents_predicting", "n_users_predicted"]
     stacked = None

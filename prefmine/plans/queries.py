@@ -228,7 +228,8 @@ def q_distinct_antecedents(spark, sf):
 def _rule_preds(spark, sf):
     from prefmine.operators.patterns import fire_rules
     train, test, _, rules = _mined(spark, sf)
-    return train, test, fire_rules(train, rules)
+    # Brand pairs are distinct by construction.
+    return train, test, fire_rules(train, rules, assume_distinct=True)
 
 
 def q_rule_predictions(spark, sf):
@@ -239,13 +240,13 @@ def q_rule_predictions(spark, sf):
 def q_rule_tp_fp_fn(spark, sf):
     from prefmine.operators.patterns import score_rules
     train, test, _, rules = _mined(spark, sf)
-    return score_rules(train, rules, test)
+    return score_rules(train, rules, test, assume_distinct=True)
 
 
 def q_rule_precision_recall(spark, sf):
     from prefmine.operators.patterns import precision_recall, score_rules
     train, test, _, rules = _mined(spark, sf)
-    pr = precision_recall(score_rules(train, rules, test))
+    pr = precision_recall(score_rules(train, rules, test, assume_distinct=True))
     return pr.select("n_matched", "tp", "fp", "fn", fx("precision"), fx("recall"))
 
 
@@ -340,7 +341,7 @@ def q_neighbor_sweep(spark, sf):
 def q_support_sweep(spark, sf):
     from prefmine.plans.experiments import support_sweep
     train, test = _brand_split(spark, sf)
-    return support_sweep(train, test, P.SUPPORT_SWEEP, P.MIN_CONFIDENCE).select(
+    return support_sweep(train, test, P.SUPPORT_SWEEP, P.MIN_CONFIDENCE, assume_distinct=True).select(
         fx("support"), "n_itemsets", "n_rules", "n_matched", "tp", "fp", "fn",
         fx("precision"), fx("recall"))
 
@@ -427,7 +428,7 @@ QUERIES.update({
 def q_mining_counts(spark, sf):
     from prefmine.operators.patterns import mining_counts
     train, _, itemsets, rules = _mined(spark, sf)
-    return mining_counts(train, itemsets, rules)
+    return mining_counts(train, itemsets, rules, assume_distinct=True)
 
 
 def _city_long(spark, sf):
@@ -528,7 +529,8 @@ def q_metric_csv_roundtrip(spark, sf):
     from prefmine.plans.experiments import support_sweep
     from prefmine.sources import files
     train, test = _brand_split(spark, sf)
-    sweep = materialize(support_sweep(train, test, P.SUPPORT_SWEEP, P.MIN_CONFIDENCE), "sweep")
+    sweep = materialize(support_sweep(train, test, P.SUPPORT_SWEEP, P.MIN_CONFIDENCE,
+                                      assume_distinct=True), "sweep")
     base = _scratch(spark, "metrics")
     files.write_csv(sweep.select("support", F.col("n_itemsets").alias("numFreqItemsets"),
                                  F.col("n_rules").alias("numAssociateRules")),
