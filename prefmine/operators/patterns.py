@@ -88,15 +88,21 @@ def mine(basket_df: DataFrame, min_support: float, min_confidence: float,
     tables once makes later rule firing, counting and evaluation read files.
     """
     from prefmine.session import materialize
-    m = fit_fpgrowth(basket_df, min_support, min_confidence, num_partitions)
-    # Rule generation reads ``freqItemsets``: keep it cached while both
-    # tables are written so the FP-tree mining runs once.
-    fi = m.freqItemsets.persist()
+    # The fit caches its input only while fitting, and the itemsets are mined
+    # lazily afterwards; rule generation then reads ``freqItemsets``.  Keep
+    # the baskets and the itemsets cached until both tables are written, so
+    # the baskets are built once and the FP-tree mining runs once.
+    baskets_in = basket_df.select("items").persist()
     try:
-        itemsets = materialize(fi, "itemsets")
-        rules = materialize(m.associationRules, "rules")
+        m = fit_fpgrowth(baskets_in, min_support, min_confidence, num_partitions)
+        fi = m.freqItemsets.persist()
+        try:
+            itemsets = materialize(fi, "itemsets")
+            rules = materialize(m.associationRules, "rules")
+        finally:
+            fi.unpersist()
     finally:
-        fi.unpersist()
+        baskets_in.unpersist()
     return itemsets, rules
 
 
