@@ -228,8 +228,19 @@ def evaluate(predictions: DataFrame, actuals: DataFrame, user: str = "user_id",
         *by, "rmse", "n_covered", "n_actual", safe_ratio("n_covered", "n_actual").alias("coverage"))
 
 
-def itemcf_fit_predict(train: DataFrame, n: int, pad_zero: bool = False,
-                       chunk: int = DEFAULT_CHUNK, by: Sequence[str] = ()) -> DataFrame:
-    """Neighbours from ``train`` (the trained model)."""
+def fit_neighbors(train: DataFrame, n: int, pad_zero: bool = False, chunk: int = DEFAULT_CHUNK,
+                  by: Sequence[str] = (), write: bool = True) -> DataFrame:
+    """The item CF model: top-``n`` neighbours from ``train``.
+
+    ``write=True`` stores the model in the shared checkpoint folder and
+    returns the stored table.  Scoring then reads a small table with real
+    file sizes: Catalyst can broadcast it when it is small, and the scoring
+    join and aggregate get their own parallelism instead of inheriting the
+    few partitions AQE gives the compact neighbour shuffle.
+    """
     sim = item_similarity(train, chunk=chunk, by=by)
-    return top_neighbors(sim, n, pad_zero=pad_zero, items=train.select(*by, "item_id"), by=by)
+    nb = top_neighbors(sim, n, pad_zero=pad_zero, items=train.select(*by, "item_id"), by=by)
+    if not write:
+        return nb
+    from prefmine.session import materialize
+    return materialize(nb, "neighbors")

@@ -140,7 +140,7 @@ def q_split_exact_tenth(spark, sf):
 
 def _supp_neighbors(spark, sf, n=P.N_NEIGHBORS):
     train, test = _supp_split(spark, sf)
-    return train, test, itemcf.top_neighbors(itemcf.item_similarity(train), n)
+    return train, test, itemcf.fit_neighbors(train, n)
 
 
 def q_itemcf_predictions(spark, sf):
@@ -371,7 +371,7 @@ def q_metric_compare(spark, sf):
     """Per city: item CF (10 neighbours) vs ALS test RMSE on the same split."""
     from prefmine.operators import als
     train, test = _supp_split(spark, sf)
-    nb = itemcf.top_neighbors(itemcf.item_similarity(train), P.N_NEIGHBORS)
+    nb = itemcf.fit_neighbors(train, P.N_NEIGHBORS)
     cf = (test.join(itemcf.predict_pairs(nb, train, test), ["user_id", "item_id"])
           .groupBy("city").agg(F.sqrt(F.avg(F.pow(F.col("rating") - F.col("prediction"), 2)))
                                .alias("rmse_itemcf")))
