@@ -121,3 +121,12 @@ def test_salted_rating_build_equals_plain(spark):
     salted = rows(R.build_ratings(reviews, users, business, skew_chunk=5))
     assert plain == [r[:3] + (r[3],) for r in salted]
     assert len(plain) > 0
+
+
+def test_random_split_seeded_and_complete(spark):
+    r = T.ratings_supp(spark, SF001)
+    a1, b1 = splits.random_split(r, (0.8, 0.2), seed=0)
+    a2, b2 = splits.random_split(r, (0.8, 0.2), seed=0)
+    assert rows(b1) == rows(b2)
+    assert rows(a1.unionByName(b1)) == rows(r)
+    assert 0.1 < b1.count() / r.count() < 0.3
