@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.ml.fpm import FPGrowth, FPGrowthModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from prefmine.functions.columns import safe_ratio
 
@@ -121,19 +122,48 @@ def distinct_antecedents(rules: DataFrame) -> DataFrame:
                     "n_rules"))
 
 
-def _recommended(p: DataFrame, rules: DataFrame) -> DataFrame:
+# Distinct rule items that may be dictionary-encoded through the driver.
+MAX_VOCABULARY = 100_000
+
+
+def rule_vocabulary(rules: DataFrame) -> DataFrame | None:
+    """``(item, code)`` for every item of any rule, as a broadcast table, or
+    None when there are more than ``MAX_VOCABULARY`` of them.
+
+    Rule items are frequent items, so there are at most
+    (mean basket size / min support) of them: a small dictionary.
+    """
+    items = rules.select(F.explode(F.array_union("antecedent", "consequent")).alias("item")).distinct()
+    got = items.limit(MAX_VOCABULARY + 1).collect()
+    if len(got) > MAX_VOCABULARY:
+        return None
+    schema = T.StructType([items.schema["item"], T.StructField("code", T.IntegerType(), False)])
+    spark = rules.sparkSession
+    return F.broadcast(spark.createDataFrame([(r[0], i) for i, r in enumerate(got)], schema))
+
+
+def _encode(df: DataFrame, vocab: DataFrame | None) -> DataFrame:
+    """``item`` replaced by its integer code; rows of other items dropped."""
+    if vocab is None:
+        return df
+    rest = [c for c in df.columns if c != "item"]
+    return df.join(vocab, "item").select(*rest, F.col("code").alias("item"))
+
+
+def _recommended(p: DataFrame, rules: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
     """``(user_id, item)`` consequents of fired rules, with repeats and owned
-    items still in (``p`` is the user's distinct item rows)."""
+    items still in (``p`` is the user's distinct item rows; with ``vocab``,
+    items are integer codes)."""
     ante = distinct_antecedents(rules)
-    ante_items = ante.select("antecedent_key", "ante_size",
-                             F.explode("antecedent").alias("item"))
+    ante_items = _encode(ante.select("antecedent_key", "ante_size",
+                                     F.explode("antecedent").alias("item")), vocab)
     fired = (p.join(ante_items, "item")
              .groupBy("user_id", "antecedent_key", "ante_size")
              .agg(F.count(F.lit(1)).alias("_hit"))
              .where(F.col("_hit") == F.col("ante_size"))
              .select("user_id", "antecedent_key"))
-    cons = rules.select(itemset_key("antecedent").alias("antecedent_key"),
-                        F.explode("consequent").alias("item")).distinct()
+    cons = _encode(rules.select(itemset_key("antecedent").alias("antecedent_key"),
+                                F.explode("consequent").alias("item")).distinct(), vocab)
     # A user's fired rows are already aggregated (at most one per distinct
     # antecedent), so gathering them by user is bounded by the rule count,
     # not by the data: a hot user cannot overload a task.  With every
@@ -175,20 +205,43 @@ def fire_rules(pairs: DataFrame, rules: DataFrame, user: str = "user_id",
 def score_rules(train_pairs: DataFrame, rules: DataFrame, test_pairs: DataFrame,
                 user: str = "user_id", item: str = "item",
                 all_test_users: bool = False, assume_distinct: bool = False) -> DataFrame:
-    """``tp_fp_fn(fire_rules(train_pairs, rules), test_pairs)`` fused: the
+    """``tp_fp_fn(fire_rules(train_pairs, rules), test_pairs)`` fused.
+
+    Items are first replaced by integer codes from the rules' (small)
+    vocabulary: only rule items can fire an antecedent or be recommended, so
+    train and test rows of other items are dropped from the (user, item)
+    work, and the test basket size per user is counted on the side.  The
     recommended, owned and test rows are flagged and merged by one
-    (user, item) aggregate, then summed per user.  ``assume_distinct``: the
-    caller guarantees distinct train pairs (skips a de-duplicating shuffle)."""
-    p = _user_items(train_pairs, user, item, assume_distinct)
+    (user, item) aggregate; per user TP is the flagged overlap,
+    FP = recommended - TP and FN = test items - TP.  Without a small
+    vocabulary the same is done on the raw items.  ``assume_distinct``: the
+    caller guarantees distinct train and test pairs (skips de-duplicating
+    shuffles).
+    """
+    vocab = rule_vocabulary(rules)
+    train = _user_items(train_pairs, user, item, assume_distinct)
+    test = _user_items(test_pairs, user, item, assume_distinct)
+    p = _encode(train, vocab)
     flag = lambda df, r, o, t: df.select("user_id", "item", F.lit(r).alias("_r"),
                                          F.lit(o).alias("_o"), F.lit(t).alias("_t"))
-    u = (flag(_recommended(p, rules), 1, 0, 0)
+    u = (flag(_recommended(p, rules, vocab), 1, 0, 0)
          .unionByName(flag(p, 0, 1, 0))
-         .unionByName(flag(_user_items(test_pairs, user, item, True), 0, 0, 1)))
+         .unionByName(flag(_encode(test, vocab), 0, 0, 1)))
     flags = (u.groupBy("user_id", "item")
              .agg(F.max("_r").alias("_r"), F.max("_o").alias("_o"), F.max("_t").alias("_t"))
              .select("user_id", (F.col("_r") * (1 - F.col("_o"))).alias("_p"), "_t"))
-    return _per_user(flags, all_test_users)
+    pred = flags.groupBy("user_id").agg(F.sum(F.col("_p") * F.col("_t")).alias("_tp"),
+                                        F.sum("_p").alias("_np"))
+    n_test = test.groupBy("user_id").agg(F.count(F.lit(1)).alias("_nt"))
+    j = pred.join(n_test, "user_id", "full").select(
+        "user_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("_tp", "_np", "_nt")])
+    keep = F.col("_nt") > 0
+    if not all_test_users:
+        keep = keep & (F.col("_np") > 0)
+    return j.where(keep).select(
+        "user_id", F.col("_tp").cast("bigint").alias("tp"),
+        (F.col("_np") - F.col("_tp")).cast("bigint").alias("fp"),
+        (F.col("_nt") - F.col("_tp")).cast("bigint").alias("fn"))
 
 
 def tp_fp_fn(predicted: DataFrame, actual: DataFrame, user: str = "user_id",

@@ -80,3 +80,19 @@ def test_score_rules_equals_fire_then_tp_fp_fn(spark):
     fused_all = rows(patterns.score_rules(train, rules, test, all_test_users=True))
     composed_all = rows(patterns.tp_fp_fn(patterns.fire_rules(train, rules), test, all_test_users=True))
     assert fused_all == composed_all
+
+
+def test_score_rules_encoded_and_fallback_agree(spark, monkeypatch):
+    pairs = _pairs(spark, [(1, "a"), (1, "b"), (2, "a"), (3, "q"), (4, "a")])
+    test = _pairs(spark, [(1, "c"), (1, "z"), (2, "b"), (3, "y"), (5, "c")])
+    rules = spark.createDataFrame(
+        [(["a"], ["b"], 0.5, 1.0, 0.1), (["a", "b"], ["c"], 0.5, 1.0, 0.1), (["a"], ["d"], 0.5, 1.0, 0.1)],
+        "antecedent array<string>, consequent array<string>, confidence double, lift double, support double")
+    for everyone in (False, True):
+        want = rows(patterns.tp_fp_fn(patterns.fire_rules(pairs, rules), test, all_test_users=everyone))
+        assert rows(patterns.score_rules(pairs, rules, test, all_test_users=everyone)) == want
+        monkeypatch.setattr(patterns, "MAX_VOCABULARY", 0)     # force the raw-item path
+        assert rows(patterns.score_rules(pairs, rules, test, all_test_users=everyone)) == want
+        monkeypatch.undo()
+    # user 1: predicted c, d -> tp 1 (c), fp 1 (d), fn 1 (z); user 2: b, d vs b; user 4: b, d vs nothing
+    assert rows(patterns.score_rules(pairs, rules, test)) == [(1, 1, 1, 1), (2, 1, 1, 0)]
