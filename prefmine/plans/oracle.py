@@ -172,6 +172,8 @@ SELECT item_id, neighbor_id, {fx("similarity", "similarity")}, n_common, CAST(ra
     sql.update(_counts())
     sql.update(_files())
     sql.update(_roundtrips(sql))
+    # The streamed rating table equals the batch build.
+    sql["stream_ratings"] = sql["ratings_build"]
     return sql
 
 

@@ -550,3 +550,30 @@ QUERIES.update({
     "ratings_csv_roundtrip": q_ratings_csv_roundtrip,
     "metric_csv_roundtrip": q_metric_csv_roundtrip,
 })
+
+
+def q_stream_ratings(spark, sf):
+    """The rating build as a stream: review JSON files (from the tables) run
+    through the stateful streaming aggregate into the parquet sink; the
+    current table is the newest row per key."""
+    from prefmine.streaming import ratings as S
+    base = _scratch(spark, "stream")
+    rv = T.reviews(spark, sf, "supp").select(
+        F.col("user_key").cast("string").alias("user_id"),
+        F.col("item_key").cast("string").alias("business_id"), F.col("rate").alias("stars"))
+    rv.write.mode("overwrite").json(f"{base}/in")
+    users = T.users(spark, sf).select(F.col("user_key").cast("string").alias("user_key"), "user_id")
+    biz = T.business(spark, sf).select(F.col("item_key").cast("string").alias("item_key"),
+                                       "item_id", "city")
+    q = S.start(S.running_ratings(S.review_stream(spark, f"{base}/in", max_files_per_trigger=4),
+                                  users, biz),
+                f"stream_ratings_{base.rsplit('/', 1)[-1]}", sink="parquet", path=f"{base}/out",
+                trigger_once=True, checkpoint_location=f"{base}/ckpt")
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    cur = S.latest(f"{base}/out", spark)
+    return cur.select("user_id", "item_id", "city", fx("rating"))
+
+
+QUERIES["stream_ratings"] = q_stream_ratings
