@@ -8,7 +8,8 @@ count |A|.  For rules B -> c the recommendations of a user U are
 {c : B subset of U, c not in U}, the same set the one-antecedent-at-a-time
 procedure (union over antecedents A subset of U of the consequents of rules
 B subset of A) yields, since A = B is among the choices.  Rules never pass
-through the driver.
+through the driver; scoring only brings back the rules' item vocabulary, and
+only when it is small (see ``rule_vocabulary``).
 """
 
 from __future__ import annotations
