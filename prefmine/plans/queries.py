@@ -569,7 +569,10 @@ def q_stream_ratings(spark, sf):
                                   users, biz),
                 f"stream_ratings_{base.rsplit('/', 1)[-1]}", sink="parquet", path=f"{base}/out",
                 trigger_once=True, checkpoint_location=f"{base}/ckpt")
-    q.awaitTermination()
+    # availableNow stops by itself once the files present at start are done.
+    if not q.awaitTermination(3600):
+        q.stop()
+        raise TimeoutError("stream_ratings did not finish within an hour")
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     cur = S.latest(f"{base}/out", spark)
