@@ -46,7 +46,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int | None = None,
         builder = builder.config(k, v)
     n = shuffle_partitions or (os.cpu_count() if cores == "*" else int(cores) * 2)
     builder = (builder.config("spark.sql.shuffle.partitions", str(n))
-               .config("spark.driver.memory", driver_memory))
+               .config("spark.driver.memory", driver_memory)
+               # Small local shuffles: let AQE keep one partition per core
+               # instead of merging to 1 MB partitions.
+               .config("spark.sql.adaptive.coalescePartitions.minPartitionSize",
+                       os.environ.get("PREFMINE_MIN_PARTITION", "256k")))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
