@@ -17,6 +17,22 @@ from pyspark.sql import functions as F
 from prefmine.functions.columns import hash_key, hash_unit, hex_threshold
 
 
+def mark_split(df: DataFrame, keys: Sequence[str], test_fraction: float = 0.2,
+               seed: int = 0, name: str = "is_test") -> DataFrame:
+    """``df`` with the boolean ``name`` column of :func:`hash_split`.
+
+    Write the marked table once (``session.materialize``) when train and test
+    are scanned many times: the md5 is then computed once per row instead of
+    once per scan.
+    """
+    return df.withColumn(name, hash_unit(*keys, seed=seed) < F.lit(hex_threshold(test_fraction)))
+
+
+def split_marked(df: DataFrame, name: str = "is_test") -> tuple[DataFrame, DataFrame]:
+    """(train, test) of a table marked by :func:`mark_split`."""
+    return df.where(~F.col(name)).drop(name), df.where(F.col(name)).drop(name)
+
+
 def hash_split(df: DataFrame, keys: Sequence[str], test_fraction: float = 0.2,
                seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(train, test): a row is test when its seeded key hash falls under the

@@ -57,8 +57,11 @@ def q_json_ratings(spark, sf):
 # ---------------------------------------------------------------- item CF
 
 def _supp_split(spark, sf):
-    r = materialize(T.ratings_supp(spark, sf), "ratings_supp")
-    return splits.hash_split(r, ["user_id", "item_id"], P.TEST_FRACTION, P.SEED)
+    # The split flag is computed once and stored with the rating table: the
+    # train and test sides are scanned several times each.
+    r = materialize(splits.mark_split(T.ratings_supp(spark, sf), ["user_id", "item_id"],
+                                      P.TEST_FRACTION, P.SEED), "ratings_supp")
+    return splits.split_marked(r)
 
 
 def q_item_similarity(spark, sf):

@@ -130,3 +130,10 @@ def test_random_split_seeded_and_complete(spark):
     assert rows(b1) == rows(b2)
     assert rows(a1.unionByName(b1)) == rows(r)
     assert 0.1 < b1.count() / r.count() < 0.3
+
+
+def test_mark_split_equals_hash_split(spark):
+    r = T.ratings_supp(spark, SF001)
+    a, b = splits.hash_split(r, ["user_id", "item_id"], 0.2, seed=4)
+    c, d = splits.split_marked(splits.mark_split(r, ["user_id", "item_id"], 0.2, seed=4))
+    assert rows(a) == rows(c) and rows(b) == rows(d)
