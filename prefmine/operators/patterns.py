@@ -75,8 +75,10 @@ def fit_fpgrowth(basket_df: DataFrame, min_support: float, min_confidence: float
     """Spark ML FP-Growth; an itemset is frequent with at least
     ``ceil(min_support * n_baskets)`` baskets."""
     fp = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence)
-    if num_partitions:
-        fp = fp.setNumPartitions(num_partitions)
+    # The conditional-transaction shuffle follows the cluster's parallelism
+    # rather than however many partitions the basket aggregate ended with.
+    n = num_partitions or basket_df.sparkSession.sparkContext.defaultParallelism
+    fp = fp.setNumPartitions(n)
     return fp.fit(basket_df.select("items"))
 
 
