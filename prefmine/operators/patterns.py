@@ -172,7 +172,11 @@ def _recommended(p: DataFrame, rules: DataFrame, vocab: DataFrame | None = None)
     # not by the data: a hot user cannot overload a task.  With every
     # candidate of a user in one partition, the map-side combine of the
     # following (user, item) aggregate removes the repeats before the shuffle.
-    return (fired.repartition("user_id").join(cons, "antecedent_key")
+    # The count is explicit because the rows multiply by the consequents per
+    # antecedent right after: AQE would size the partitions from the small
+    # fired table and leave the expansion to a handful of tasks.
+    n = int(p.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (fired.repartition(n, "user_id").join(cons, "antecedent_key")
             .select("user_id", "item"))
 
 
