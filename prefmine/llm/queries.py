@@ -10,12 +10,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefmine.llm import kd_shards, mixing, packing, pii, quality, simhash, token_counts
+from prefmine.llm import chat, kd_shards, maxscore, mixing, packing, pii, quality, simhash, token_counts, url_templates
 from prefmine.llm.common import Scratch
+from prefmine.llm.oracle import ORACLE_SQL as ORACLE_SQL
 
 # Maximum sequence length of a document, in tokens.
 TOKEN_LIMIT = 2048
 SHARDS = 8
+# Rules of the URL filter: (verdict, host and path).
+URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"),
+             ("block", "net/fr/"))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -62,10 +66,19 @@ def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = mixing.plan(read(spark, sf_dir, "documents"), keep=["doc_id"])
     p = p.select("kept.doc_id", "size", "source_size", "target", "taken", "copies",
-                 F.get("positions", F.lit(0)).alias("first_position"), "place_in_source")
+                 F.get("positions", F.lit(0)).alias("at"), "place_in_source")
     # In training order; documents that are not taken come after, by their place.
-    order = F.coalesce("first_position", 1 + F.col("place_in_source"))
-    return p.repartitionByRange(order).sortWithinPartitions(order).drop("place_in_source")
+    order = F.coalesce("at", 1 + F.col("place_in_source"))
+    return (p.repartitionByRange(order).sortWithinPartitions(order)
+            .withColumn("first_position", F.round("at", 9)).drop("at", "place_in_source"))
+
+
+def op7_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chat(read(spark, sf_dir, "conversations"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +90,19 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's path names its document by number; the page is bad if the document is
+    labelled as of low quality or toxic, and unlabelled if the document is."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(
+        F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    named = pages.withColumn("names", F.regexp_extract(url_templates.path_of(F.col("url")), r"/(\d{1,18})(?:\.[A-Za-z]+)?/?$", 1))
+    named = named.withColumn("names", F.when(F.col("names") != "", F.col("names").cast("long")))
+    labelled = named.join(labels, named.names == labels.doc_id, "left").select("page_id", "url", "bad")
+    return url_templates.filter_urls(Scratch(spark, "op10").write(labelled), URL_RULES).select(
+        "page_id", "host", "path", "rule", "verdict", "template", "bad_share")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_kd_shards": op2_kd_shards,
@@ -84,7 +110,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_line_quality": op5_line_quality,
     "op6_mixing": op6_mixing,
+    "op7_maxscore": op7_maxscore,
+    "op8_chat": op8_chat,
     "op9_simhash": op9_simhash,
+    "op10_url_templates": op10_url_templates,
 }
-
-ORACLE_SQL: dict[str, str] = {}
