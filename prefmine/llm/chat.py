@@ -38,7 +38,7 @@ ROLE_OF = {name: i for i, r in enumerate(ROLES) for name in SPEAKERS[r]}
 NONE, OTHER = N, N + 1  # marker classes beside the roles: no marker, an unknown speaker
 _NAMES = "|".join(sorted(ROLE_OF, key=len, reverse=True))
 MARKER = re.compile(rf"\s*(?:<\|im_start\|>\s*(?P<t>{_NAMES})\b\s*|<\|(?P<p>{_NAMES})\|>\s*|(?P<inst>\[INST\])\s*|(?P<sys><<SYS>>)\s*"
-                    rf"|#{{1,4}}\s*(?P<h>{_NAMES})\s*:?\s*$|(?:#{{1,4}}\s*|\*\*|\[)?(?P<n>{_NAMES})(?:\s*\d+)?(?:\*\*|\])?\s*[:>]\s*(?:\*\*)?)", re.I)
+                    rf"|#{{1,4}}\s*(?P<h>{_NAMES})\s*:?\s*$|(?:#{{1,4}}\s*|\*\*|\[)?(?P<n>{_NAMES})(?:\s*\d+)?(?:\*\*|\])?\s*[:>]\s*(?:\*\*\s*)?)", re.I)
 CLOSER = re.compile(r"\s*(?:<\|im_end\|>|\[/INST\]|<</SYS>>)\s*$", re.I)
 
 FEATURES = 10  # ends with a question mark or not, five classes of length

@@ -48,11 +48,10 @@ class Rules:
 
 def line_fails(line: str, n_words: int, rules: Rules) -> str | None:
     """The rule that the line breaks: punctuation, navigation or boilerplate."""
-    symbols = sum(map(line.count, SYMBOLS))
-    if symbols > rules.symbols * n_words or line.count("!") > 1 + rules.shouts * n_words:
-        return "punctuation"
     if len(SEPARATORS.findall(line)) > max(1, n_words // 8) or NAVIGATION.match(line):
         return "navigation"
+    if sum(map(line.count, SYMBOLS)) > rules.symbols * n_words or line.count("!") > 1 + rules.shouts * n_words:
+        return "punctuation"
     if n_words <= 60 and BOILERPLATE.search(line):
         return "boilerplate"
     if TERMINAL.search(line[-64:]) is None and SENTENCE.search(line) is None:

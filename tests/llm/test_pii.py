@@ -1,0 +1,125 @@
+import hashlib
+import re
+
+import pytest
+from llm_fixtures import messy, nothing  # noqa: F401
+from pyspark.sql import functions as F
+
+from prefmine.llm import pii
+
+KEY = "test key"
+
+
+def run(spark, texts, key=KEY):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    return [r.text for r in pii.pseudonymise(df, key).orderBy("doc_id").collect()]
+
+
+def luhn(s):
+    d = [int(c) for c in re.sub(r"\D", "", s)][::-1]
+    return sum(v if i % 2 == 0 else v * 2 - 9 * (v > 4) for i, v in enumerate(d)) % 10 == 0
+
+
+def prf(key, kind, *parts):
+    return int(hashlib.sha256("|".join([key, kind, *map(str, parts), key]).encode()).hexdigest()[:15], 16)
+
+
+CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
+def undo_text(s, key, kind):
+    """Brute-force inverse of the text permutation."""
+    left, right = s[: len(s) // 2], s[len(s) // 2:]
+
+    def back(moving, fixed, i, side):
+        out = ""
+        for j, c in enumerate(moving):
+            for chars in CLASSES:
+                if c in chars:
+                    c = chars[(chars.index(c) - prf(key, kind, i, side, j, fixed)) % len(chars)]
+                    break
+            out += c
+        return out
+
+    for i in range(pii.ROUNDS // 2, 0, -1):
+        right = back(right, left, i, "r")
+        left = back(left, right, i, "l")
+    return left + right
+
+
+def undo(x, a, b, key, kind):
+    left, right = divmod(x, b)
+    for i in range(pii.ROUNDS // 2, 0, -1):
+        right = (right - prf(key, kind, i, "r", left)) % b
+        left = (left - prf(key, kind, i, "l", right)) % a
+    return left * b + right
+
+
+def test_round_trip_of_every_kind(spark):
+    mail, secret, ip = "jane.Doe-7@mail3.example.com", "2321bac4d15ec8f90433955b", "190.137.223.204"
+    out = run(spark, [mail, f'token = "{secret}"', ip])
+    name, top = out[0].rsplit(".", 1)
+    assert undo_text(name, KEY, "email") + "." + top == mail != out[0]
+    assert undo_text(out[1][9:-1], KEY, "secret") == secret
+    number = sum(int(o) << k for o, k in zip(out[2].split("."), (24, 16, 8, 0)))
+    back = undo(number, 65536, 65536, KEY, "ipv4")
+    assert ".".join(str(back >> k & 255) for k in (24, 16, 8, 0)) == ip
+
+
+def test_integer_permutation_is_a_bijection(spark):
+    got = spark.range(898).select(pii.permute(F.col("id"), 2, 449, KEY, "t").alias("y")).collect()
+    assert sorted(r.y for r in got) == list(range(898))
+
+
+def test_cards(spark):
+    cards = ["4111111111111111", "4012 8888 8888 1881", "3782-822463-10005", "5555555555554444"]
+    out = run(spark, cards)
+    for a, b in zip(cards, out):
+        assert a != b and luhn(b) and re.sub(r"\d", "9", a) == re.sub(r"\d", "9", b) and a[:2] == b[:2]
+    left_alone = ["4111111111111112", "9111111111111111", "123456789012345678901234"]
+    assert run(spark, left_alone) == left_alone
+
+
+def test_equal_values_stay_linked_and_formats_hold(spark):
+    out = run(spark, ["a 4111111111111111, 1984-02-29.", "b 4111-1111-1111-1111 29/02/1984", "+1 (826) 555-4081 190.137.223.204 +1 (826) 555-4081"])
+    assert re.search(r"\d{16}", out[0])[0] == re.search(r"\d{4}-\d{4}-\d{4}-\d{4}", out[1])[0].replace("-", "")
+    y, m, d = re.search(r"(\d{4})-(\d\d)-(\d\d)\.", out[0]).groups()
+    assert f"{d}/{m}/{y}" in out[1]
+    a, ip, b = re.fullmatch(r"(\+1 \(\d{3}\) \d{3}-\d{4}) (\d+\.\d+\.\d+\.\d+) (\+1 \(\d{3}\) \d{3}-\d{4})", out[2]).groups()
+    assert a == b and ip != "190.137.223.204" and a != "+1 (826) 555-4081"
+
+
+def test_invalid_and_other_text_is_left_alone(spark):
+    same = ["1983-02-29", "000-12-3456", "666-12-3456", "123-45-0000", "v1.2.3", "300.1.1.1", "1.2.3.4.5", "no 12345", "user@host", "plain",
+            "", None, "2024", "12/2024", "$1$ \\1"]
+    assert run(spark, same) == same
+
+
+def test_social_security_numbers_stay_valid(spark):
+    nums = [f"{a:03}-{g:02}-{s:04}" for a in (1, 665, 667, 899) for g in (1, 99) for s in (1, 9999)]
+    out = run(spark, nums)
+    assert len(set(out)) == len(nums)
+    assert all(re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}", s) for s in out)
+
+
+def test_key_decides(spark):
+    assert run(spark, ["4111111111111111"], "one") != run(spark, ["4111111111111111"], "two")
+
+
+def test_adjacent_finds_and_noise(spark):
+    out = run(spark, ["4465758382889437 4465758382889437### 4994226020900891$$$ x.19@mail5.example.com!! 233.233.171.252!!"])[0]
+    assert re.fullmatch(r"(\d{16}) \1### \d{16}\$\$\$ [a-z]\.\d\d@[a-z]{4}\d\.[a-z]{7}\.com!! [\d.]+!!", out)
+    for v in ("4465758382889437", "4994226020900891", "x.19@mail5", "233.233.171.252"):
+        assert v not in out
+
+
+def test_messy_and_empty_tables(spark, messy, nothing):
+    assert pii.pseudonymise(nothing, KEY).count() == 0
+    a, b = (sorted(map(str, df.collect())) for df in (messy, pii.pseudonymise(messy, KEY)))
+    assert a == b  # nothing in it is personal data
+
+
+@pytest.mark.parametrize("value", ["192.168.0.1", "2001-01-01", "415-555-2671"])
+def test_long_texts(spark, value):
+    out = run(spark, [("lorem ipsum dolor " * 20000) + value])[0]
+    assert value not in out and out.startswith("lorem ipsum") and len(out) >= 360000
