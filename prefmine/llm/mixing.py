@@ -101,13 +101,15 @@ def _placed(rows: DataFrame, targets: DataFrame) -> DataFrame:
     return prefix_sums(rows, ["place"], ["order", "size", "tie"], "size", "before", bucket)
 
 
-def _choose(placed: DataFrame) -> DataFrame:
+def _choose(placed: DataFrame, scratch: Scratch) -> DataFrame:
     """(place, filled, extra) per source for the last, broken epoch: the words of the
     documents that end before ``need``, and the ``before`` of the one document after
     them whose size comes nearest to what is then missing (null: none is nearer
     than nothing)."""
     inside = F.col("before") + F.col("size") <= F.col("need")
-    filled = placed.groupBy("place").agg(F.coalesce(F.sum(F.when(inside, F.col("size"))), F.lit(0)).alias("filled"))
+    # Written, so that the join below sees how small it is, or can split a hot source.
+    filled = scratch.write(placed.groupBy("place").agg(
+        F.coalesce(F.sum(F.when(inside, F.col("size"))), F.lit(0)).alias("filled")))
     off = F.abs(F.col("size") - (F.col("need") - F.col("filled")))
     return (placed.where((F.col("size") > 0) & ~inside).join(filled, "place")
             .groupBy("place", "filled", "need").agg(F.min(F.struct(off.alias("off"), F.col("before").alias("extra"))).alias("best"))
@@ -138,7 +140,7 @@ def plan(docs: DataFrame, keep: Sequence[str], id_col: str = "doc_id", text: str
     targets = targets.withColumn("whole", whole.cast("int"))
     targets = scratch.write(targets.withColumn("need", F.col("target") - F.col("whole") * F.col("source_size")))
     placed = scratch.write(_placed(compact, targets))
-    targets = scratch.write(targets.join(_choose(placed), "place", "left"))
+    targets = scratch.write(targets.join(_choose(placed, scratch), "place", "left"))
     if set(keep) != {id_col}:
         placed = _placed(_rows(docs, keep, id_col, text, source, seed), targets)
     else:
