@@ -11,7 +11,7 @@ import math
 from collections.abc import Sequence
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefmine.functions.columns import hash_key, hash_unit, hex_threshold
@@ -47,59 +47,58 @@ def random_split(df: DataFrame, weights: Sequence[float] = (0.8, 0.2),
     return df.randomSplit(list(weights), seed=seed)
 
 
-# Rows of the boundary hash bucket the exact split may bring to the driver.
-MAX_BOUNDARY_ROWS = 100_000
-
-
-def _lex_less(cols: list[Column], values: list) -> Column:
-    """(c1, c2, ...) < (v1, v2, ...) in lexicographic order."""
-    cond = F.lit(False)
-    for c, v in reversed(list(zip(cols, values))):
-        cond = (c < F.lit(v)) | ((c == F.lit(v)) & cond)
-    return cond
+# Hex digits of the order key that one narrowing step looks at (4,096 counts).
+_STEP = 3
 
 
 def exact_split(df: DataFrame, keys: Sequence[str], test_fraction: float = 0.1,
                 seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(train, test) with exactly ``floor(test_fraction * n)`` test rows: the
-    rows first in (seeded md5 of the key, key) order.  ``keys`` must be unique
-    and non-null per row.
-
-    Only the cut-off row is needed, so it is found by narrowing hash-prefix
-    buckets instead of sorting: count rows per 4-hex-digit prefix (at most
-    65,536 counts to the driver), step into the bucket holding the cut-off,
-    repeat until that bucket has at most ``MAX_BOUNDARY_ROWS`` rows (md5 is
-    uniform: one step up to ~6.5e9 rows, two up to ~4e14), then read that
-    bucket and pick the exact row.  The split itself is a filter: no shuffle
-    of the data, no sort, and a re-run task makes the same decision.
-    Materialize ``df`` first when it is expensive: it is scanned once per step.
+    rows first in (seeded md5 of the key, key) order.
+
+    Repeated keys and null key columns are ordered further by the row's place in
+    a written table, so every row is on exactly one side and the size is exact
+    whatever repeats.  The marked table is written once (``session.materialize``):
+    the md5 is computed once, both sides are filters on a stored flag, and a task
+    re-run after an executor loss makes the same decision.
+    """
+    marked = mark_exact_split(df, keys, test_fraction, seed)
+    return split_marked(marked)
+
+
+def mark_exact_split(df: DataFrame, keys: Sequence[str], test_fraction: float = 0.1,
+                     seed: int = 0, name: str = "is_test") -> DataFrame:
+    """``df`` with the boolean ``name`` of :func:`exact_split`, written once.
+
+    Only the cut-off is needed, so it is found by narrowing prefixes of one hex
+    order key instead of sorting: count rows for each value of the next three
+    digits (one row of at most 4,096 to pick from, chosen by a window), step into
+    the prefix that holds the cut-off, and repeat until a prefix ends exactly at
+    it.  The order key is the md5 (32 digits), then 16 digits of a second hash of
+    the typed key, then 16 digits of the row's place: it is unique, so the search
+    ends, and no bucket of rows is ever brought to the driver.
     """
-    hd = df.select("*", hash_key(*keys, seed=seed).alias("_h"))
-    prefix, k_rem, n, k = "", 0, None, 0
-    while True:
-        cond = F.substring("_h", 1, len(prefix)) == F.lit(prefix) if prefix else F.lit(True)
-        counts = sorted((r[0], r[1]) for r in hd.where(cond)
-                        .groupBy(F.substring("_h", len(prefix) + 1, 4).alias("_b"))
-                        .agg(F.count(F.lit(1))).collect())
-        if n is None:
-            n = sum(c for _, c in counts)
-            k = math.floor(Decimal(n) * Decimal(str(test_fraction)))
-            if k <= 0 or k >= n:
-                empty = df.where(F.lit(False))
-                return (df, empty) if k <= 0 else (empty, df)
-            k_rem = k
-        before = 0
-        for b, c in counts:
-            if before + c > k_rem:
-                break
-            before += c
-        k_rem -= before
-        prefix += b
-        if c <= MAX_BOUNDARY_ROWS or len(prefix) >= 32:
+    from prefmine.session import materialize, release
+    second = F.lpad(F.hex(F.xxhash64(*keys)), 16, "0")
+    placed = materialize(df.select(F.struct(*[F.col(c) for c in df.columns]).alias("row"),
+                                   F.concat(hash_key(*keys, seed=seed), second).alias("h"),
+                                   F.monotonically_increasing_id().alias("place")), "split")
+    keyed = placed.select("row", F.concat("h", F.lpad(F.lower(F.hex("place")), 16, "0")).alias("h"))
+    n = keyed.count()
+    k = math.floor(Decimal(n) * Decimal(str(test_fraction)))
+    prefix, rest = "", max(0, min(k, n))
+    while rest:  # rows of `prefix` that are still to be taken
+        digit = F.substring("h", len(prefix) + 1, _STEP)
+        counts = (keyed.where(F.col("h").startswith(prefix)).groupBy(digit.alias("d"))
+                  .agg(F.count(F.lit(1)).alias("c")))
+        upto = F.sum("c").over(Window.orderBy("d"))
+        hit = (counts.withColumn("upto", upto).where(F.col("upto") >= rest)
+               .agg(F.min(F.struct("upto", "d", "c")).alias("m")).first().m)
+        prefix += hit.d
+        rest -= hit.upto - hit.c
+        if rest == hit.c:  # the cut-off is the end of this prefix
             break
-    bucket = (hd.where(F.substring("_h", 1, len(prefix)) == F.lit(prefix))
-              .select("_h", *keys).orderBy("_h", *keys).collect())
-    first_train = list(bucket[k_rem])
-    is_test = _lex_less([F.col("_h")] + [F.col(c) for c in keys], first_train)
-    cols = df.columns
-    return hd.where(~is_test).select(*cols), hd.where(is_test).select(*cols)
+    is_test = (F.substring("h", 1, len(prefix)) <= F.lit(prefix)) if k > 0 else F.lit(False)
+    marked = materialize(keyed.select("row.*", is_test.alias(name)), "marked")
+    release(placed)
+    return marked

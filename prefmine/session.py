@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+import warnings
 
 from pyspark.sql import SparkSession
 
@@ -70,6 +72,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if d:
+        if not spark.sparkContext.master.startswith("local") and (":" not in d or d.startswith("file:")):
+            warnings.warn(f"spark.checkpoint.dir is {d}: on a cluster this must be a mount that the driver and "
+                          "all executors share", stacklevel=2)
         return d
     sc = spark.sparkContext
     if sc.getCheckpointDir():
@@ -102,9 +107,17 @@ def materialize(df, name: str = "table"):
     re-reads files instead of recomputing the joins), and the read-back plan
     carries real file sizes for Catalyst's broadcast decisions.
     """
-    import uuid
-
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._table_path = path
+    return out
+
+
+def release(*tables) -> None:
+    """Delete tables that :func:`materialize` wrote, once nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._table_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,53 +1,51 @@
-"""Relational source: distinct (business, user) pairs of open businesses in a
-city, read through Spark's JDBC source.
-
-The filter and the GROUP BY run in the database (the query is pushed as a
-subquery); rows arrive in ``fetchsize`` batches.  With ``num_partitions`` > 1
-the read is split into ranges of a numeric column so executors fetch in
-parallel.  Credentials are options, never literals in code.  No database is
-reachable in the test environment, so this path is exercised only for its
-option building.
+"""Relational source: the review and business tables through Spark's JDBC reader.
+
+Each table is read in parallel ranges of a numeric column, in ``fetchsize``
+batches; column selection and the filters of the pair job (city, open flag) are
+DataFrame expressions, which Spark pushes into the database's scan.  City text is
+a literal of the expression, never pasted into SQL.  Credentials are options.
+No database is reachable in the test environment, so only the option building and
+the job on equal DataFrames are tested.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-
-PAIRS_SQL = ("SELECT A.business_id AS item_id, A.user_id AS user_id "
-             "FROM review A JOIN business B ON A.business_id = B.id "
-             "WHERE B.city = ? AND B.is_open = 1 "
-             "GROUP BY A.business_id, A.user_id")
-
-
-def pairs_query(city: str) -> str:
-    return PAIRS_SQL.replace("?", "'" + city.replace("'", "''") + "'")
+from pyspark.sql import functions as F
+
+from prefmine.operators.patterns import distinct_pairs
+
+
+def table_options(url: str, table: str, fetchsize: int = 1000, column: str | None = None,
+                  lower: int | None = None, upper: int | None = None, num_partitions: int | None = None,
+                  **creds: str) -> dict[str, str]:
+    """Reader options; give ``column``, its bounds and ``num_partitions`` for
+    parallel range scans (rows outside the bounds go to the first and last)."""
+    opts = {"url": url, "dbtable": table, "fetchsize": str(fetchsize), **creds}
+    if column is not None:
+        if lower is None or upper is None or num_partitions is None:
+            raise ValueError("a partition column needs its bounds and a number of partitions")
+        opts |= {"partitionColumn": column, "lowerBound": str(lower), "upperBound": str(upper),
+                 "numPartitions": str(num_partitions)}
+    return opts
 
 
-def jdbc_options(url: str, city: str, user: str | None = None, password: str | None = None,
-                 fetchsize: int = 1000, driver: str | None = None) -> dict[str, str]:
-    opts = {"url": url, "query": pairs_query(city), "fetchsize": str(fetchsize)}
-    if user is not None:
-        opts["user"] = user
-    if password is not None:
-        opts["password"] = password
-    if driver is not None:
-        opts["driver"] = driver
-    return opts
+def read_table(spark: SparkSession, url: str, table: str, **options) -> DataFrame:
+    return spark.read.format("jdbc").options(**table_options(url, table, **options)).load()
 
 
-def read_pairs(spark: SparkSession, url: str, city: str, **kw) -> DataFrame:
-    """``(item_id, user_id)`` distinct pairs from the database."""
-    return spark.read.format("jdbc").options(**jdbc_options(url, city, **kw)).load()
+def pairs_of(review: DataFrame, business: DataFrame, city: str, accent_insensitive: bool = False) -> DataFrame:
+    """``(item_id, user_id)`` distinct pairs from tables with the columns
+    ``business_id, user_id`` and ``id, city, is_open``."""
+    return distinct_pairs(review.select(F.col("business_id").alias("item_id"), "user_id"),
+                          business.select(F.col("id").alias("item_id"), "city", "is_open"),
+                          city, accent_insensitive=accent_insensitive)
 
 
-def read_table_partitioned(spark: SparkSession, url: str, table: str, column: str,
-                           lower: int, upper: int, num_partitions: int,
-                           fetchsize: int = 1000, **creds) -> DataFrame:
-    """A whole table read in ``num_partitions`` parallel range scans."""
-    r = (spark.read.format("jdbc").option("url", url).option("dbtable", table)
-         .option("partitionColumn", column).option("lowerBound", lower)
-         .option("upperBound", upper).option("numPartitions", num_partitions)
-         .option("fetchsize", fetchsize))
-    for k, v in creds.items():
-        r = r.option(k, v)
-    return r.load()
+def read_pairs(spark: SparkSession, url: str, city: str, review: dict | None = None,
+               business: dict | None = None, **creds: str) -> DataFrame:
+    """The pair job on a database; ``review`` and ``business`` hold the options of
+    :func:`table_options` for each table (default names ``review``, ``business``)."""
+    tables = [read_table(spark, url, **{"table": name, **(opts or {}), **creds})
+              for name, opts in (("review", review), ("business", business))]
+    return pairs_of(*tables, city)

@@ -70,10 +70,32 @@ def test_metric_csv_schema(spark, tmp_dir):
     assert (r.support, r.numFreqItemsets, r.numAssociateRules) == (0.01, 325, 584)
 
 
-def test_jdbc_options_quote_city():
-    o = jdbc.jdbc_options("jdbc:mysql://db/yelp", "Montréal's", user="u", password="p")
-    assert "B.city = 'Montréal''s'" in o["query"] and o["fetchsize"] == "1000"
-    assert "GROUP BY A.business_id, A.user_id" in o["query"]
+def test_unfinished_folder_is_built_again(spark, tmp_dir):
+    p = tmp_dir + "/t"
+    os.makedirs(p + "/_temporary/0")
+    build = lambda: spark.range(1)
+    assert files.read_or_build(spark, p, build, schema=spark.range(1).schema).count() == 1
+    assert files.read_or_build(spark, p, lambda: 1 / 0).count() == 1
+
+
+def test_best_result_layouts_round_trip(spark, tmp_dir):
+    for layout, column in (("singleMachineTestTime", "trainTime"), ("bestResultForALS", "RMSE"), ("bestResultForItem", "RMSE")):
+        files.write_csv(spark.createDataFrame([(0.1,), (2.5,)], f"{column} double"), f"{tmp_dir}/{layout}", header=True)
+        assert rows(files.read_metric_csv(spark, f"{tmp_dir}/{layout}", layout), column) == [(0.1,), (2.5,)]
+
+
+def test_jdbc_table_options():
+    o = jdbc.table_options("jdbc:any", "review", column="id", lower=1, upper=9, num_partitions=4, user="u")
+    assert o == {"url": "jdbc:any", "dbtable": "review", "fetchsize": "1000", "user": "u", "partitionColumn": "id",
+                 "lowerBound": "1", "upperBound": "9", "numPartitions": "4"}
+    with pytest.raises(ValueError):
+        jdbc.table_options("jdbc:any", "review", column="id")
+
+
+def test_pairs_of_tables_take_any_city_text(spark):
+    review = spark.createDataFrame([("b1", "amy"), ("b1", "amy"), ("b2", "bob"), ("b3", "cat")], "business_id string, user_id string")
+    business = spark.createDataFrame([("b1", "L'Isle\\", 1), ("b2", "Other", 1), ("b3", "L'Isle\\", 0)], "id string, city string, is_open int")
+    assert rows(jdbc.pairs_of(review, business, "L'Isle\\")) == [("b1", "amy")]
 
 
 def test_streaming_running_average_equals_batch(spark, tmp_dir):
@@ -82,10 +104,14 @@ def test_streaming_running_average_equals_batch(spark, tmp_dir):
     _write(src + "/a.json", ['{"user_id": "amy", "business_id": "x", "stars": 5}',
                              '{"user_id": "bob", "business_id": "x", "stars": 1}'])
     _write(src + "/b.json", ['{"user_id": "amy", "business_id": "x", "stars": 2}',
-                             '{"user_id": "amy", "business_id": "y"}'])
+                             '{"user_id": "amy", "business_id": "y"}'])  # lacks its stars
     users = spark.createDataFrame([("amy", 0), ("bob", 1)], "user_key string, user_id int")
     biz = spark.createDataFrame([("x", 0, "Tempe"), ("y", 1, None)], "item_key string, item_id int, city string")
-    q = S.start(S.running_ratings(S.review_stream(spark, src, 1), users, biz), "ratings_test",
+    q = S.start(S.running_ratings(S.review_stream(spark, src, 1), users, biz), "ratings_bad", path=tmp_dir + "/bad",
+                trigger_once=True, checkpoint_location=tmp_dir + "/ckpt-bad")
+    with pytest.raises(Exception, match="bad JSON line"):
+        q.awaitTermination(120)
+    q = S.start(S.running_ratings(S.review_stream(spark, src, 1, on_error="drop"), users, biz), "ratings_test", sink="memory",
                 trigger_once=True, checkpoint_location=tmp_dir + "/ckpt")
     q.awaitTermination(120)
     got = rows(spark.table("ratings_test"), "user_id", "item_id", "rating")
@@ -105,3 +131,6 @@ def test_streaming_parquet_sink_latest_value(spark, tmp_dir):
     q.awaitTermination(120)
     got = S.latest(tmp_dir + "/out", spark).collect()
     assert [(r.user_id, r.item_id, r.city, r.n_reviews, r.rating) for r in got] == [(0, 0, None, 2, 3.0)]
+    last = S.compact(spark, tmp_dir + "/out", tmp_dir + "/compact")
+    again = S.latest(tmp_dir + "/compact", spark).collect()
+    assert [(r.user_id, r.n_reviews, r.rating, r.batch_id) for r in again] == [(0, 2, 3.0, last)]
