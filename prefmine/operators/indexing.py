@@ -3,9 +3,9 @@
 ``global_position`` is the DataFrame form of zip-with-index: range-partition on
 the order, sort inside each partition, take the in-partition position from
 ``monotonically_increasing_id`` and add the row count of all earlier
-partitions.  The partition counts are one number per partition (bounded by
-the partition count) and return as a literal array.  The tagged rows are checkpointed to
-the shared checkpoint folder, which pins the partition contents (a re-run task
+partitions.  The offsets are a small written table (one row per partition) that is
+joined by partition number.  The tagged rows are checkpointed to the shared
+checkpoint folder, which pins the partition contents (a re-run task
 after an executor loss reads the same rows) and cuts the lineage.
 """
 
@@ -13,10 +13,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prefmine.session import ensure_checkpoint_dir
+from prefmine.session import ensure_checkpoint_dir, materialize
 
 
 def _cols(cols) -> list[Column]:
@@ -45,17 +45,13 @@ def positions_and_total(df: DataFrame, order: Sequence, name: str = "pos",
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id())
               .checkpoint(eager=True))
-    # One count per partition (bounded by the partition count) to the driver;
-    # the offsets go back as a literal array, so consumers need no join.
-    counts = dict(tagged.groupBy("_pid").agg(F.count(F.lit(1))).collect())
-    offsets, run = [], 0
-    for pid in range(tagged.rdd.getNumPartitions()):
-        offsets.append(run)
-        run += counts.get(pid, 0)
-    off = F.element_at(F.array(*[F.lit(o).cast("bigint") for o in offsets] or [F.lit(0)]),
-                       F.col("_pid") + 1)
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = materialize(tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+                          .withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))), "offsets")
+    total = offsets.agg(F.sum("_n")).first()[0] or 0
     local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
-    return tagged.withColumn(name, (off + local).cast("bigint")).drop("_pid", "_mid"), run
+    return (tagged.join(offsets.drop("_n"), "_pid").withColumn(name, (F.col("_off") + local).cast("bigint"))
+            .drop("_pid", "_mid", "_off"), total)
 
 
 def dense_index(df: DataFrame, keys: Sequence[str], name: str = "index",

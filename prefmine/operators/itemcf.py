@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefmine.functions.columns import cosine, rmse, safe_ratio, weighted_mean
-from prefmine.operators.skew import hot_keys
+from prefmine.operators.skew import hot_keys, salted_join
 
 # Ratings a user may have before the pair join salts it.
 DEFAULT_CHUNK = 2048
@@ -40,7 +40,7 @@ def _std(ratings: DataFrame, user: str, item: str, rating: str, by: Sequence[str
 
 def item_similarity(ratings: DataFrame, user: str = "user_id", item: str = "item_id",
                     rating: str = "rating", chunk: int = DEFAULT_CHUNK,
-                    by: Sequence[str] = (), max_hot: int = 100_000) -> DataFrame:
+                    by: Sequence[str] = ()) -> DataFrame:
     """``(*by, item_a, item_b, similarity, n_common)`` for every pair ``a < b``
     with at least one common user.
 
@@ -48,25 +48,17 @@ def item_similarity(ratings: DataFrame, user: str = "user_id", item: str = "item
     users; 0 when a norm is 0.  Expects one rating per (group, user, item),
     which ``build_ratings`` guarantees.
 
-    Users with more than ``chunk`` ratings are hot.  No hot user: a plain
-    self-join.  Up to ``max_hot`` hot users: the list is broadcast, ordinary
-    users take the plain join and hot users the salted one.  More: every row
-    is tagged through a shuffle join with the hot list and salted.
+    Users with more than ``chunk`` ratings are hot: ordinary users take the plain
+    self-join, hot users' ratings the salted one.  The list of hot users is a small
+    written table that both sides are joined with; where it is empty, adaptive
+    execution drops the salted side.
     """
     by = list(by)
     ukey = by + ["user_id"]
     r = _std(ratings, user, item, rating, by)
-    hot, n_hot = hot_keys(r, ukey, chunk, max_hot)
-    if n_hot == 0:
-        pairs = _plain_pairs(r, by)
-    elif n_hot is not None:
-        # Ordinary users take the plain self-join; only hot users' ratings
-        # go through the salted bucket join.
-        pairs = (_plain_pairs(r.join(hot, ukey, "left_anti"), by)
-                 .unionByName(_salted_pairs(r.join(hot, ukey), by)))
-    else:
-        pairs = _salted_pairs(r.join(hot, ukey, "left")
-                              .withColumn("n_salt", F.coalesce("n_salt", F.lit(1))), by)
+    hot = hot_keys(r, ukey, chunk)
+    pairs = (_plain_pairs(r.join(hot, ukey, "left_anti"), by)
+             .unionByName(_salted_pairs(r.join(hot, ukey), by)))
     agg = pairs.groupBy(*by, "item_a", "item_b").agg(
         F.sum(F.col("ra") * F.col("rb")).alias("_dot"),
         F.sum(F.col("ra") * F.col("ra")).alias("_na"),
@@ -125,72 +117,74 @@ def top_neighbors(similarity: DataFrame, n: int, pad_zero: bool = False,
 
     ``pad_zero=True`` gives every item of ``items`` (``item_id`` column, plus
     the ``by`` columns; all rated items) exactly ``min(n, |items|-1)``
-    neighbours: items with fewer positive-similarity neighbours are filled
-    with similarity-0 items, smallest id first, as if every pair without a
-    common user were scored 0.
+    neighbours: all other items are candidates, those without a common user with
+    similarity 0 (and ``n_common`` 0), ahead of negative similarities.
     """
     by = list(by)
     sym = symmetric(similarity, by)
+    if pad_zero:
+        if items is None:
+            raise ValueError("pad_zero needs the item universe")
+        # Both the ranking and the padding read the pairs.
+        from prefmine.session import materialize
+        sym = materialize(sym, "pairs")
+        sym = sym.unionByName(_zero_pairs(sym, items.select(*by, "item_id").distinct(), n, by))
     w = Window.partitionBy(*by, "item_id").orderBy(rank_key().desc(), F.col("neighbor_id").asc())
-    if not pad_zero:
-        return (sym.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n))
-    if items is None:
-        raise ValueError("pad_zero needs the item universe")
-    pos = (sym.where(rank_key() > 0)
-           .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n))
-    return pos.unionByName(_zero_padding(pos, items, n, by))
-
-
-def _smallest_items(universe: DataFrame, n: int, by: list[str]) -> DataFrame:
-    """``(*by, neighbor_id)``: the ``n`` smallest item ids of each group."""
-    if not by:
-        # Per-partition top-n merged on the driver side of the limit: n rows.
-        return universe.orderBy("item_id").limit(n).select(F.col("item_id").alias("neighbor_id"))
-    w = Window.partitionBy(*by).orderBy("item_id")
-    return (universe.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
-            .select(*by, F.col("item_id").alias("neighbor_id")))
-
-
-def _zero_padding(positive: DataFrame, items: DataFrame, n: int, by: list[str]) -> DataFrame:
-    """Similarity-0 neighbours for items with fewer than ``n`` positive ones.
-
-    Zero-similarity candidates tie, so the smallest ids win.  At most ``k + 1``
-    of them are excluded (the item itself and its ``k`` positive neighbours),
-    so the ``n + 1`` smallest item ids of the group always hold enough
-    candidates: a table of ``groups x (n + 1)`` rows, joined (broadcast:
-    the group count is a parameter, not data) to the deficient items only.
+    return sym.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
+def _zero_pairs(pairs: DataFrame, universe: DataFrame, n: int, by: list[str]) -> DataFrame:
+    """Similarity-0 pairs that can be among an item's ``n`` best neighbours.
+
+    Only items with fewer than ``n`` neighbours of positive similarity need any.
+    Zero pairs tie, so the smallest ids win; an item with d real neighbours finds
+    its first n among the d + n + 1 smallest ids of its group (itself and its real
+    neighbours fall out).  Ids are numbered in their group and joined by number, so
+    the rows made are at most the real pairs plus n + 1 per item.
     """
-    universe = items.select(*by, "item_id").distinct()
-    cand_ids = _smallest_items(universe, n + 1, by)
-    have = positive.groupBy(*by, "item_id").agg(F.count(F.lit(1)).alias("_k"))
-    deficient = (universe.join(have, by + ["item_id"], "left")
-                 .select(*by, "item_id", F.coalesce("_k", F.lit(0)).alias("_k"))
-                 .where(F.col("_k") < n))
-    if by:
-        cand = deficient.join(F.broadcast(cand_ids), by)
-    else:
-        ids = [r[0] for r in cand_ids.collect()]          # n + 1 values
-        cand = deficient.select("*", F.explode(F.array(*[F.lit(v) for v in ids])).alias("neighbor_id"))
-    cand = (cand.where(F.col("neighbor_id") != F.col("item_id"))
-            .join(positive.select(*by, "item_id", "neighbor_id"), by + ["item_id", "neighbor_id"],
-                  "left_anti"))
-    w = Window.partitionBy(*by, "item_id").orderBy("neighbor_id")
-    return (cand.withColumn("_r", F.row_number().over(w))
-            .where(F.col("_r") <= F.lit(n) - F.col("_k"))
-            .select(*by, "item_id", "neighbor_id", F.lit(0.0).alias("similarity"),
-                    F.lit(0).cast("bigint").alias("n_common"),
-                    (F.col("_k") + F.col("_r")).cast("int").alias("rank")))
+    from prefmine.session import materialize
+    have = pairs.groupBy(*by, "item_id").agg(F.count(F.lit(1)).alias("_d"),
+                                             F.count(F.when(rank_key() > 0, 1)).alias("_k"))
+    lacking = materialize(universe.join(have, by + ["item_id"], "left")
+                          .select(*by, "item_id", F.coalesce("_d", F.lit(0)).alias("_d"),
+                                  F.coalesce("_k", F.lit(0)).alias("_k"))
+                          .where(F.col("_k") < n).drop("_k"), "lacking")
+    most = (lacking.agg(F.max("_d")).first()[0] or 0) + n + 1
+    smallest = Window.partitionBy(*by).orderBy("item_id")
+    # Filtered row numbers: each partition sends its own smallest ids only.
+    ids = materialize(universe.withColumn("_at", F.row_number().over(smallest)).where(F.col("_at") <= most)
+                      .select(*by, F.col("item_id").alias("neighbor_id"), "_at"), "smallest-items")
+    cand = (lacking.select(*by, "item_id", F.explode(F.sequence(F.lit(1), (F.col("_d") + n + 1).cast("int"))).alias("_at"))
+            .join(ids, by + ["_at"]).where(F.col("neighbor_id") != F.col("item_id")).drop("_at")
+            .join(pairs.select(*by, "item_id", "neighbor_id"), by + ["item_id", "neighbor_id"], "left_anti"))
+    return cand.select(*by, "item_id", "neighbor_id", F.lit(0.0).alias("similarity"),
+                       F.lit(0).cast("bigint").alias("n_common"))
+
+
+# Rows that one task of a scoring join may hold of one item before it is salted.
+SCORE_CHUNK = 1 << 20
 
 
 def predict_all(neighbors: DataFrame, ratings: DataFrame, user: str = "user_id",
                 item: str = "item_id", rating: str = "rating", by: Sequence[str] = ()) -> DataFrame:
     """Every (user, item) where the user rated at least one of the item's
     neighbours: ``sum(sim * r) / sum(sim)`` over those neighbours (0 when the
-    similarities add up to 0).  Covers items the user rated too."""
+    similarities add up to 0).  Covers items the user rated too.  The ratings of a
+    hot item are salted over several tasks."""
     by = list(by)
     r = _std(ratings, user, item, rating, by).withColumnRenamed("item_id", "neighbor_id")
     nb = neighbors.select(*by, "item_id", "neighbor_id", "similarity")
-    return _weigh(nb.join(r, by + ["neighbor_id"]), by)
+    return _weigh(salted_join(r, nb, by + ["neighbor_id"], SCORE_CHUNK), by)
+
+
+def _neighbor_ratings(neighbors: DataFrame, ratings: DataFrame, requests: DataFrame,
+                      user: str, item: str, rating: str, by: list[str]) -> DataFrame:
+    """A row for every requested pair and neighbour that the user rated.  The
+    requests for a hot item are salted; the second join is by (user, neighbour)."""
+    r = _std(ratings, user, item, rating, by).withColumnRenamed("item_id", "neighbor_id")
+    req = requests.select(*by, "user_id", "item_id").distinct()
+    nb = neighbors.select(*by, "item_id", "neighbor_id", "similarity", *[c for c in ("rank",) if c in neighbors.columns])
+    return salted_join(req, nb, by + ["item_id"], SCORE_CHUNK).join(r, by + ["user_id", "neighbor_id"])
 
 
 def predict_pairs(neighbors: DataFrame, ratings: DataFrame, requests: DataFrame,
@@ -201,10 +195,24 @@ def predict_pairs(neighbors: DataFrame, ratings: DataFrame, requests: DataFrame,
     restricted to them.  Starts from the requests: requests x n neighbours,
     then an equi-join on (user, neighbour), instead of scoring every pair."""
     by = list(by)
-    r = _std(ratings, user, item, rating, by).withColumnRenamed("item_id", "neighbor_id")
-    req = requests.select(*by, "user_id", "item_id").distinct()
-    nb = neighbors.select(*by, "item_id", "neighbor_id", "similarity")
-    return _weigh(req.join(nb, by + ["item_id"]).join(r, by + ["user_id", "neighbor_id"]), by)
+    return _weigh(_neighbor_ratings(neighbors, ratings, requests, user, item, rating, by), by)
+
+
+def predict_pairs_each(neighbors: DataFrame, ratings: DataFrame, requests: DataFrame, ns: Sequence[int],
+                       by: Sequence[str] = ()) -> DataFrame:
+    """``predict_pairs`` for several neighbour counts in one pass: a column
+    ``prediction_<n>`` for each, from sums over the neighbours of rank <= n (NULL if
+    none is rated).  ``neighbors`` holds max(ns) neighbours per item."""
+    by = list(by)
+    rows = _neighbor_ratings(neighbors, ratings, requests, "user_id", "item_id", "rating", by)
+    sums = []
+    for n in ns:
+        near = F.col("rank") <= n
+        sums += [F.sum(F.when(near, F.col("similarity") * F.col("rating"))).alias(f"_sr{n}"),
+                 F.sum(F.when(near, F.col("similarity"))).alias(f"_s{n}")]
+    agg = rows.groupBy(*by, "user_id", "item_id").agg(*sums)
+    return agg.select(*by, "user_id", "item_id", *[
+        F.when(F.col(f"_s{n}").isNotNull(), weighted_mean(f"_sr{n}", f"_s{n}")).alias(f"prediction_{n}") for n in ns])
 
 
 def _weigh(rows: DataFrame, by: list[str]) -> DataFrame:

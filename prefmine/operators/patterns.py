@@ -1,15 +1,12 @@
-"""Frequent patterns and association-rule recommendation.
+"""Frequent patterns and association-rule suggestions.
 
 pairs -> baskets -> FP-Growth (Spark ML) -> rules -> rule firing -> metrics.
 
-Rule firing is relational division on rows, not a loop over antecedents: a
-user fires antecedent A when the user's basket rows joined to A's item rows
-count |A|.  For rules B -> c the recommendations of a user U are
-{c : B subset of U, c not in U}, the same set the one-antecedent-at-a-time
-procedure (union over antecedents A subset of U of the consequents of rules
-B subset of A) yields, since A = B is among the choices.  Rules never pass
-through the driver; scoring only brings back the rules' item vocabulary, and
-only when it is small (see ``rule_vocabulary``).
+Rules fire by containment, not in a loop over antecedents: for rules B -> c the
+suggestions for a user U are {c : B subset of U, c not in U}, the same set the
+one-antecedent-at-a-time procedure (union over antecedents A subset of U of the
+consequents of rules B subset of A) yields, since A = B is among the choices.
+Rules never pass through the driver.
 """
 
 from __future__ import annotations
@@ -17,7 +14,6 @@ from __future__ import annotations
 from pyspark.ml.fpm import FPGrowth, FPGrowthModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from prefmine.functions.columns import safe_ratio
 
@@ -125,130 +121,105 @@ def distinct_antecedents(rules: DataFrame) -> DataFrame:
                     "n_rules"))
 
 
-# Distinct rule items that may be dictionary-encoded through the driver.
-MAX_VOCABULARY = 100_000
+def rules_by_item(rules: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(item, waiting)``: the distinct antecedents under their rarest item.
 
-
-def rule_vocabulary(rules: DataFrame) -> DataFrame | None:
-    """``(item, code)`` for every item of any rule, as a broadcast table, or
-    None when there are more than ``MAX_VOCABULARY`` of them.
-
-    Rule items are frequent items, so there are at most
-    (mean basket size / min support) of them: a small dictionary.
+    ``waiting`` holds, for each antecedent whose rarest item (fewest rows of
+    ``pairs``) this is, its key, its other items and the consequents of its rules.
+    A user can only fire an antecedent if they have its rarest item, so a frequent
+    item fans out to few antecedents.  Written: one row per item, real file sizes.
     """
-    items = rules.select(F.explode(F.array_union("antecedent", "consequent")).alias("item")).distinct()
-    got = items.limit(MAX_VOCABULARY + 1).collect()
-    if len(got) > MAX_VOCABULARY:
-        return None
-    schema = T.StructType([items.schema["item"], T.StructField("code", T.IntegerType(), False)])
-    spark = rules.sparkSession
-    return F.broadcast(spark.createDataFrame([(r[0], i) for i, r in enumerate(got)], schema))
-
-
-def _encode(df: DataFrame, vocab: DataFrame | None) -> DataFrame:
-    """``item`` replaced by its integer code; rows of other items dropped."""
-    if vocab is None:
-        return df
-    rest = [c for c in df.columns if c != "item"]
-    return df.join(vocab, "item").select(*rest, F.col("code").alias("item"))
-
-
-def _recommended(p: DataFrame, rules: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
-    """``(user_id, item)`` consequents of fired rules, with repeats and owned
-    items still in (``p`` is the user's distinct item rows; with ``vocab``,
-    items are integer codes)."""
-    ante = distinct_antecedents(rules)
-    ante_items = _encode(ante.select("antecedent_key", "ante_size",
-                                     F.explode("antecedent").alias("item")), vocab)
-    fired = (p.join(ante_items, "item")
-             .groupBy("user_id", "antecedent_key", "ante_size")
-             .agg(F.count(F.lit(1)).alias("_hit"))
-             .where(F.col("_hit") == F.col("ante_size"))
-             .select("user_id", "antecedent_key"))
-    cons = _encode(rules.select(itemset_key("antecedent").alias("antecedent_key"),
-                                F.explode("consequent").alias("item")).distinct(), vocab)
-    # A user's fired rows are already aggregated (at most one per distinct
-    # antecedent), so gathering them by user is bounded by the rule count,
-    # not by the data: a hot user cannot overload a task.  With every
-    # candidate of a user in one partition, the map-side combine of the
-    # following (user, item) aggregate removes the repeats before the shuffle.
-    # The count is explicit because the rows multiply by the consequents per
-    # antecedent right after: AQE would size the partitions from the small
-    # fired table and leave the expansion to a handful of tasks.
-    n = int(p.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (fired.repartition(n, "user_id").join(cons, "antecedent_key")
-            .select("user_id", "item"))
+    from prefmine.session import materialize
+    ante = (rules.groupBy(itemset_key("antecedent").alias("key"))
+            .agg(F.first(F.array_sort("antecedent")).alias("antecedent"),
+                 F.array_distinct(F.flatten(F.collect_set("consequent"))).alias("consequents")))
+    counts = pairs.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+    each = ante.select("key", F.explode("antecedent").alias("item"))
+    rarest = (each.join(counts, "item", "left").groupBy("key")
+              .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "item")).alias("r")))
+    rows = ante.join(rarest, "key").select(
+        F.col("r.item").alias("item"),
+        F.struct("key", F.array_remove("antecedent", F.col("r.item")).alias("others"), "consequents").alias("w"))
+    return materialize(rows.groupBy("item").agg(F.collect_list("w").alias("waiting")), "rules-by-item")
+
+
+def _flags(marked: DataFrame, rules: DataFrame) -> DataFrame:
+    """``(user_id, item, own, test, rec)`` per (user, item): in the user's train rows,
+    in their test rows, a consequent of a rule that their train rows fire.
+
+    ``marked`` (user_id, item, is_test) is read once for the items' counts and once
+    here.  Each row brings its own flag, the consequents of one-item antecedents under
+    its item, and a request for every other item of the longer ones; one aggregate
+    by (user, item) merges the flags and answers the requests.  Requests that are
+    all answered bring their consequents through a second aggregate.  Every shuffle
+    is keyed by (user, item) or (user, antecedent), so a user with a huge basket is
+    spread over many tasks.  The join side is one row per rule item: Catalyst
+    broadcasts it if small, else AQE splits a hot item's rows.
+    """
+    by_item = rules_by_item(rules, marked.where(~F.col("is_test")))
+    rows = marked.join(by_item, "item", "left")
+    some = F.when(~F.col("is_test"), F.coalesce("waiting", F.array())).otherwise(F.array())
+    request = lambda w: F.struct(w.key.alias("key"), F.size(w.others).alias("n"), w.consequents.alias("consequents"))
+    none = F.lit(None).cast(by_item.select(F.explode("waiting").alias("w")).select(request(F.col("w")).alias("q")).schema["q"].dataType)
+
+    def out(item, own, test, rec, ask):
+        return F.struct(item.alias("item"), F.lit(own).alias("own") if isinstance(own, int) else own.alias("own"),
+                        F.lit(test).alias("test") if isinstance(test, int) else test.alias("test"),
+                        F.lit(rec).alias("rec"), ask.alias("ask"))
+
+    own = F.array(out(F.col("item"), (~F.col("is_test")).cast("int"), F.col("is_test").cast("int"), 0, none))
+    fired = F.flatten(F.transform(F.filter(some, lambda w: F.size(w.others) == 0),
+                                  lambda w: F.transform(w.consequents, lambda c: out(c, 0, 0, 1, none))))
+    asked = F.flatten(F.transform(F.filter(some, lambda w: F.size(w.others) > 0),
+                                  lambda w: F.transform(w.others, lambda o: out(o, 0, 0, 0, request(w)))))
+    stream = rows.select("user_id", F.explode(F.concat(own, fired, asked)).alias("o")).select("user_id", "o.*")
+    # collect_list leaves nulls out: `asks` holds the requests for this item alone,
+    # at most one per antecedent.
+    merged = stream.groupBy("user_id", "item").agg(
+        F.max("own").alias("own"), F.max("test").alias("test"), F.max("rec").alias("rec"),
+        F.collect_list("ask").alias("asks"))
+    answered = (merged.where("own = 1").select("user_id", F.explode("asks").alias("ask"))
+                .groupBy("user_id", F.col("ask.key").alias("key"))
+                .agg(F.count(F.lit(1)).alias("n"), F.first("ask.n").alias("want"),
+                     F.first("ask.consequents").alias("consequents")).where("n = want"))
+    zero = F.lit(0)
+    late = answered.select("user_id", F.explode("consequents").alias("item"), zero.alias("own"),
+                           zero.alias("test"), F.lit(1).alias("rec"))
+    return (merged.select("user_id", "item", "own", "test", "rec").unionByName(late).groupBy("user_id", "item")
+            .agg(*[F.max(c).alias(c) for c in ("own", "test", "rec")]))
 
 
 def _user_items(pairs: DataFrame, user: str, item: str, assume_distinct: bool = False) -> DataFrame:
     """``(user_id, item)`` rows, de-duplicated unless the caller guarantees
-    distinct pairs (a repeated pair would count twice toward an antecedent)."""
+    distinct pairs (a repeated pair would answer a request twice)."""
     p = pairs.select(F.col(user).alias("user_id"), F.col(item).alias("item"))
     return p if assume_distinct else p.distinct()
 
 
 def fire_rules(pairs: DataFrame, rules: DataFrame, user: str = "user_id",
                item: str = "item", assume_distinct: bool = False) -> DataFrame:
-    """Recommendations ``(user_id, item)``: consequents of every rule whose
-    antecedent is contained in the user's items, minus items the user has.
-
-    Division: explode each distinct antecedent into ``(antecedent_key, item)``
-    rows, join the user's item rows on item, and keep (user, antecedent) groups
-    that matched every antecedent item.  Users whose basket fires nothing get
-    no rows.  Every shuffle is keyed by (user, antecedent) or (user, item), so
-    a user with a huge basket is spread over many tasks.
-    """
-    p = _user_items(pairs, user, item, assume_distinct)
-    rec = _recommended(p, rules).select("user_id", "item", F.lit(0).alias("_own"))
-    # De-duplicate the recommendations and drop owned items in one
-    # map-side-combined aggregate over (user, item) instead of a distinct
-    # followed by a sort-merge anti-join.
-    owned = p.select("user_id", "item", F.lit(1).alias("_own"))
-    return (rec.unionByName(owned).groupBy("user_id", "item")
-            .agg(F.max("_own").alias("_own")).where(F.col("_own") == 0)
-            .select("user_id", "item"))
+    """Suggestions ``(user_id, item)``: consequents of every rule whose antecedent
+    is contained in the user's items, minus items the user has.  Users whose basket
+    fires nothing get no rows."""
+    p = _user_items(pairs, user, item, assume_distinct).withColumn("is_test", F.lit(False))
+    return _flags(p, rules).where("rec = 1 AND own = 0").select("user_id", "item")
 
 
 def score_rules(train_pairs: DataFrame, rules: DataFrame, test_pairs: DataFrame,
                 user: str = "user_id", item: str = "item",
                 all_test_users: bool = False, assume_distinct: bool = False) -> DataFrame:
-    """``tp_fp_fn(fire_rules(train_pairs, rules), test_pairs)`` fused.
-
-    Items are first replaced by integer codes from the rules' (small)
-    vocabulary: only rule items can fire an antecedent or be recommended, so
-    train and test rows of other items are dropped from the (user, item)
-    work, and the test basket size per user is counted on the side.  The
-    recommended, owned and test rows are flagged and merged by one
-    (user, item) aggregate; per user TP is the flagged overlap,
-    FP = recommended - TP and FN = test items - TP.  Without a small
-    vocabulary the same is done on the raw items.  ``assume_distinct``: the
-    caller guarantees distinct train and test pairs (skips de-duplicating
-    shuffles).
-    """
-    vocab = rule_vocabulary(rules)
-    train = _user_items(train_pairs, user, item, assume_distinct)
-    test = _user_items(test_pairs, user, item, assume_distinct)
-    p = _encode(train, vocab)
-    flag = lambda df, r, o, t: df.select("user_id", "item", F.lit(r).alias("_r"),
-                                         F.lit(o).alias("_o"), F.lit(t).alias("_t"))
-    u = (flag(_recommended(p, rules, vocab), 1, 0, 0)
-         .unionByName(flag(p, 0, 1, 0))
-         .unionByName(flag(_encode(test, vocab), 0, 0, 1)))
-    flags = (u.groupBy("user_id", "item")
-             .agg(F.max("_r").alias("_r"), F.max("_o").alias("_o"), F.max("_t").alias("_t"))
-             .select("user_id", (F.col("_r") * (1 - F.col("_o"))).alias("_p"), "_t"))
-    pred = flags.groupBy("user_id").agg(F.sum(F.col("_p") * F.col("_t")).alias("_tp"),
-                                        F.sum("_p").alias("_np"))
-    n_test = test.groupBy("user_id").agg(F.count(F.lit(1)).alias("_nt"))
-    j = pred.join(n_test, "user_id", "full").select(
-        "user_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("_tp", "_np", "_nt")])
-    keep = F.col("_nt") > 0
-    if not all_test_users:
-        keep = keep & (F.col("_np") > 0)
-    return j.where(keep).select(
-        "user_id", F.col("_tp").cast("bigint").alias("tp"),
-        (F.col("_np") - F.col("_tp")).cast("bigint").alias("fp"),
-        (F.col("_nt") - F.col("_tp")).cast("bigint").alias("fn"))
+    """``tp_fp_fn(fire_rules(train_pairs, rules), test_pairs)`` in one go."""
+    marked = (_user_items(train_pairs, user, item, assume_distinct).withColumn("is_test", F.lit(False))
+              .unionByName(_user_items(test_pairs, user, item, assume_distinct).withColumn("is_test", F.lit(True))))
+    return score_marked(marked, rules, all_test_users)
+
+
+def score_marked(marked: DataFrame, rules: DataFrame, all_test_users: bool = False) -> DataFrame:
+    """Per user ``(user_id, tp, fp, fn)`` from one table (user_id, item, is_test) of
+    distinct pairs, train and test together (``splits.mark_exact_split`` writes it)."""
+    flags = _flags(marked.select("user_id", "item", "is_test"), rules)
+    return _per_user(flags.select("user_id", (F.col("rec") * (1 - F.col("own"))).alias("_p"), F.col("test").alias("_t")),
+                     all_test_users)
 
 
 def tp_fp_fn(predicted: DataFrame, actual: DataFrame, user: str = "user_id",
@@ -299,8 +270,8 @@ def mining_counts(train_pairs: DataFrame, itemsets: DataFrame, rules: DataFrame,
                   user: str = "user_id", item: str = "item",
                   assume_distinct: bool = False) -> DataFrame:
     """One row of pipeline counts: rules, distinct antecedents, itemsets,
-    antecedents that yield a recommendation when taken as a basket, and
-    users with at least one recommendation."""
+    antecedents that yield a suggestion when taken as a basket, and
+    users with at least one suggestion."""
     ante = distinct_antecedents(rules)
     # Each antecedent as a basket of its own items.
     ante_pairs = ante.select(F.col("antecedent_key").alias("user_id"),

@@ -53,40 +53,35 @@ def city_match(city: Column | str, term: str) -> Column:
     return F.lower(c).contains(term.lower())
 
 
-# Matching cities a filter may inline as a literal IN list.
-MAX_INLINE_CITIES = 10_000
-
-
-def matching_cities(cities: DataFrame, term: str) -> list[str] | None:
-    """Distinct city names of a city dimension (``city`` column) that contain
-    ``term``, or None when more than ``MAX_INLINE_CITIES`` match."""
-    m = (cities.select("city").where(city_match("city", term)).distinct()
-         .limit(MAX_INLINE_CITIES + 1).collect())
-    if len(m) > MAX_INLINE_CITIES:
-        return None
-    return sorted(r[0] for r in m)
+def matching_cities(cities: DataFrame, term: str) -> DataFrame:
+    """Distinct city names of a city dimension (``city`` column) that contain ``term``."""
+    return cities.select("city").where(city_match("city", term)).distinct()
 
 
 def city_filter(ratings: DataFrame, term: str, cities: DataFrame | None = None) -> DataFrame:
     """Rows whose city contains ``term`` (any case).  NULL cities never match.
 
-    A substring test cannot reach the file scan.  Given the city dimension
-    (``cities``, e.g. the business table), the term is first resolved to the
-    matching city names, and the rating table is filtered with
-    ``city IN (...)``: a pushed-down parquet filter, and partition pruning
-    when the table is stored partitioned by city (``write_ratings_by_city``).
+    Given the city dimension (``cities``, e.g. the business table), the substring
+    test runs on the dimension alone and the rating table is semi-joined with the
+    matching names: Catalyst broadcasts them by their size, and a table stored by
+    city (``write_ratings_by_city``) is pruned to their folders at run time.
     """
     if cities is not None:
-        names = matching_cities(cities, term)
-        if names is not None:
-            return ratings.where(F.col("city").isin(names))
+        return ratings.join(matching_cities(cities, term), "city", "left_semi").select(*ratings.columns)
     return ratings.where(city_match("city", term))
 
 
+def write_by(df: DataFrame, path: str, key: str, fmt: str = "parquet") -> None:
+    """One folder per ``key`` value.  Rows are rebalanced by the key first: adaptive
+    execution gives small folders one file and splits large ones by size, instead of
+    a file per task and folder."""
+    df.hint("rebalance", key).write.mode("overwrite").partitionBy(key).format(fmt).save(path)
+
+
 def write_ratings_by_city(ratings: DataFrame, path: str) -> None:
     """The rating table stored one folder per city, so city selections read
     only their folders."""
-    ratings.write.mode("overwrite").partitionBy("city").parquet(path)
+    write_by(ratings, path, "city")
 
 
 def city_fanout(ratings: DataFrame, terms: Sequence[str] = DEFAULT_CITY_TERMS) -> DataFrame:
@@ -116,5 +111,4 @@ def write_city_files(ratings: DataFrame, path: str, terms: Sequence[str] = DEFAU
                      fmt: str = "parquet") -> None:
     """Write every city selection in one job, one folder per term
     (``path/city_term=<term>``), so readers prune to a city by folder."""
-    (city_fanout(ratings, terms).write.mode("overwrite").partitionBy("city_term")
-     .format(fmt).save(path))
+    write_by(city_fanout(ratings, terms), path, "city_term", fmt)

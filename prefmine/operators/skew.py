@@ -1,9 +1,8 @@
-"""Hot-key salting with a size-checked broadcast of the hot list.
+"""Hot-key salting.
 
 Hot keys (one key may hold a third of all rows) are split into salt buckets so
-no single task owns the whole key.  The hot list is broadcast only after its
-row count has been checked against a bound; beyond the bound the join stays a
-shuffle join.
+no single task owns the whole key.  The list of hot keys is a written table (at
+most rows / chunk keys): Catalyst sees its true size and broadcasts it or not.
 """
 
 from __future__ import annotations
@@ -26,26 +25,13 @@ def hot_key_salts(df: DataFrame, key, chunk: int) -> DataFrame:
             .select(*keys, F.ceil(F.col("_rows") / F.lit(chunk)).cast("int").alias("n_salt")))
 
 
-def hot_keys(df: DataFrame, keys: list[str], chunk: int, max_hot: int) -> tuple[DataFrame, int | None]:
-    """The hot-key list and its length.
-
-    With at most ``max_hot`` rows (usually it is empty or a handful) the list
-    comes back as a small broadcast table and its length; beyond the bound it
-    stays the aggregate (joined by a shuffle) and the length is None.
-    """
-    agg = hot_key_salts(df, keys, chunk)
-    got = agg.limit(max_hot + 1).collect()
-    if len(got) > max_hot:
-        return agg, None
-    return F.broadcast(df.sparkSession.createDataFrame(got, agg.schema)), len(got)
-
-
-def _hot_table(df: DataFrame, keys: list[str], chunk: int, max_hot: int) -> DataFrame:
-    return hot_keys(df, keys, chunk, max_hot)[0]
+def hot_keys(df: DataFrame, keys: list[str], chunk: int) -> DataFrame:
+    """:func:`hot_key_salts`, written (usually empty or a handful of rows)."""
+    from prefmine.session import materialize
+    return materialize(hot_key_salts(df, keys, chunk), "hot-keys")
 
 
-def salted_join(fact: DataFrame, dim: DataFrame, keys, chunk: int,
-                max_hot: int = 100_000) -> DataFrame:
+def salted_join(fact: DataFrame, dim: DataFrame, keys, chunk: int) -> DataFrame:
     """Inner equi-join of a large ``fact`` with ``dim`` on ``keys`` where a
     few keys may hold a large share of the fact rows.
 
@@ -56,7 +42,7 @@ def salted_join(fact: DataFrame, dim: DataFrame, keys, chunk: int,
     than about ``chunk`` fact rows of one key.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    hot = _hot_table(fact, keys, chunk, max_hot)
+    hot = hot_keys(fact, keys, chunk)
     n = F.coalesce(F.col("n_salt"), F.lit(1))
     f = (fact.join(hot, keys, "left")
          .withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in fact.columns]), n).cast("int"))

@@ -7,7 +7,7 @@ from prefmine.plans import params as P
 
 
 def fx(expr: str, name: str) -> str:
-    return f"CAST(CAST({expr} AS DECIMAL(18,9)) AS DOUBLE) AS {name}"
+    return f"CAST(CAST({expr} AS DECIMAL(38,9)) AS DOUBLE) AS {name}"
 
 
 def _q(s: str) -> str:
@@ -110,21 +110,20 @@ def neighbors(sym: str, n: int, name: str = "nb", by=()) -> str:
 
 
 def padded_neighbors(src: str, sym: str, n: int, name: str = "nb") -> str:
-    """Brute force: every other item is a candidate, similarity 0 unless a
-    positive co-rated cosine exists."""
+    """Brute force, per city: every other item of the city is a candidate; a pair
+    without a common user scores 0."""
     return f"""
-{name}_items AS (SELECT DISTINCT item_id FROM {src}),
+{name}_items AS (SELECT DISTINCT city, item_id FROM {src}),
 {name}_all AS (
-  SELECT a.item_id, b.item_id AS neighbor_id,
-         CASE WHEN CAST(s.similarity AS DECIMAL(18,9)) > 0 THEN s.similarity ELSE 0.0 END AS similarity,
-         CASE WHEN CAST(s.similarity AS DECIMAL(18,9)) > 0 THEN s.n_common ELSE 0 END AS n_common
-  FROM {name}_items a JOIN {name}_items b ON a.item_id <> b.item_id
-  LEFT JOIN {sym} s ON s.item_id = a.item_id AND s.neighbor_id = b.item_id),
-{neighbors(name + "_all", n, name).strip()}"""
+  SELECT a.city, a.item_id, b.item_id AS neighbor_id, coalesce(s.similarity, 0.0) AS similarity,
+         coalesce(s.n_common, 0) AS n_common
+  FROM {name}_items a JOIN {name}_items b ON a.city IS NOT DISTINCT FROM b.city AND a.item_id <> b.item_id
+  LEFT JOIN {sym} s ON s.city = a.city AND s.item_id = a.item_id AND s.neighbor_id = b.item_id),
+{neighbors(name + "_all", n, name, ("city",)).strip()}"""
 
 
 def with_(*ctes: str) -> str:
-    return "WITH " + ",".join(c.strip("\n") for c in ctes)
+    return "WITH RECURSIVE " + ",".join(c.strip("\n") for c in ctes)
 
 
 # ---------------------------------------------------------------- queries
@@ -156,27 +155,45 @@ SELECT item_a, item_b, {fx('similarity', 'similarity')}, n_common FROM sim""",
 SELECT item_id, neighbor_id, {fx('similarity', 'similarity')}, n_common FROM sym""",
         "item_neighbors": with_(RATINGS_SUPP, supp_split(), similarity("supp_train"),
                                 symmetric("sim"), neighbors("sym", P.N_NEIGHBORS)) + f"""
-SELECT item_id, neighbor_id, {fx("similarity", "similarity")}, n_common, CAST(rank AS INTEGER) AS rank FROM nb""",
-        "item_neighbors_padded": with_(
-            RATINGS_PART_CITY,
-            f"""
-city_r AS (SELECT user_id, item_id, rating FROM ratings_part_city
-           WHERE contains(lower(city), lower({_q(P.SPARSE_CITY)})))""",
-            similarity("city_r"), symmetric("sim"),
-            padded_neighbors("city_r", "sym", P.N_NEIGHBORS)) + f"""
 SELECT item_id, neighbor_id, {fx("similarity", "similarity")}, n_common, CAST(rank AS INTEGER) AS rank FROM nb""",
     }
+    sql.update(_padded())
     sql.update(_more())
     sql.update(_sweeps())
     sql.update(_city_models())
     sql.update(_counts())
     sql.update(_files())
+    sql.update(_als())
     sql.update(_roundtrips(sql))
     # The streamed rating table equals the batch build.
     sql["stream_ratings"] = sql["ratings_build"]
     return sql
 
 
+def _padded() -> dict[str, str]:
+    by = ("city",)
+    hu = hash_unit(["user_id", "item_id", "city"], P.SEED)
+    th = hex_threshold(P.TEST_FRACTION)
+    whole = (RATINGS_PART_CITY, similarity("ratings_part_city", "sim", by), symmetric("sim", "sym", by),
+             padded_neighbors("ratings_part_city", "sym", P.N_NEIGHBORS))
+    held = (RATINGS_PART_CITY, f"""
+ptr AS (SELECT * FROM ratings_part_city WHERE NOT ({hu} < '{th}')),
+pte AS (SELECT * FROM ratings_part_city WHERE {hu} < '{th}')""",
+            similarity("ptr", "sim", by), symmetric("sim", "sym", by), padded_neighbors("ptr", "sym", P.N_NEIGHBORS),
+            predict_all("nb", "ptr", "pred", by))
+    on = "a.city = p.city AND a.user_id = p.user_id AND a.item_id = p.item_id"
+    return {
+        "item_neighbors_padded": with_(*whole) + f"""
+SELECT city, item_id, neighbor_id, {fx("similarity", "similarity")}, n_common, CAST(rank AS INTEGER) AS rank FROM nb""",
+        "itemcf_predictions_padded": with_(*held) + f"""
+SELECT a.city, a.user_id, a.item_id, {fx("p.prediction", "prediction")} FROM pte a JOIN pred p ON {on}""",
+        "itemcf_rmse_padded": with_(*held) + f"""
+SELECT a.city, {fx("sqrt(avg(power(a.rating - p.prediction, 2)))", "rmse")}, count(p.prediction) AS n_covered,
+       count(*) AS n_actual, {fx("CAST(count(p.prediction) AS DOUBLE) / count(*)", "coverage")}
+FROM pte a LEFT JOIN pred p ON {on} GROUP BY a.city""",
+    }
+
+
 # ------------------------------------------- CF predictions, splits, mining
 
 def predict_all(nb: str, train: str, name: str = "pred", by=()) -> str:
@@ -202,58 +219,39 @@ bp AS (SELECT DISTINCT l.l_orderkey AS user_id, p.p_brand AS item
        FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey)"""
 
 
-def brand_split() -> str:
+def brand_split(src: str = "bp") -> str:
     h = f"md5(concat_ws('|', CAST(user_id AS VARCHAR), CAST(item AS VARCHAR), '{P.SEED}'))"
     return f"""
 bp_h AS (SELECT user_id, item,
                 row_number() OVER (ORDER BY {h}, user_id, item) - 1 AS pos,
                 count(*) OVER () AS n
-         FROM bp),
+         FROM {src}),
 bp_split AS (SELECT user_id, item, pos < floor(n * {P.BASKET_TEST_FRACTION}) AS is_test FROM bp_h),
 tr AS (SELECT user_id, item FROM bp_split WHERE NOT is_test),
 te AS (SELECT user_id, item FROM bp_split WHERE is_test)"""
 
 
 def itemsets(src: str, support: float, suffix: str = "") -> str:
-    """Frequent itemsets of size 1..4 by self-joins (baskets of brands hold
-    no frequent 5-sets at the supports used) and single-consequent rules."""
+    """Frequent itemsets of any size: all sub-sets of every basket, counted (baskets
+    here are small), and the rules with one consequent."""
     s = suffix
-    mc = f"(SELECT m FROM mc{s})"
     return f"""
 nbk{s} AS (SELECT count(DISTINCT user_id) AS n FROM {src}),
-mc{s} AS (SELECT ceil(CAST({support!r} AS DOUBLE) * n) AS m FROM nbk{s}),
-f1{s} AS (SELECT item AS a, count(*) AS freq FROM {src} GROUP BY item HAVING count(*) >= {mc}),
-f2{s} AS (SELECT x.item AS a, y.item AS b, count(*) AS freq
-          FROM {src} x JOIN {src} y ON x.user_id = y.user_id AND x.item < y.item
-          GROUP BY 1, 2 HAVING count(*) >= {mc}),
-f3{s} AS (SELECT x.item AS a, y.item AS b, z.item AS c, count(*) AS freq
-          FROM {src} x JOIN {src} y ON x.user_id = y.user_id AND x.item < y.item
-                       JOIN {src} z ON x.user_id = z.user_id AND y.item < z.item
-          GROUP BY 1, 2, 3 HAVING count(*) >= {mc}),
-f4{s} AS (SELECT w.item AS a, x.item AS b, y.item AS c, z.item AS d, count(*) AS freq
-          FROM {src} w JOIN {src} x ON w.user_id = x.user_id AND w.item < x.item
-                       JOIN {src} y ON w.user_id = y.user_id AND x.item < y.item
-                       JOIN {src} z ON w.user_id = z.user_id AND y.item < z.item
-          GROUP BY 1, 2, 3, 4 HAVING count(*) >= {mc}),
-fs{s} AS (SELECT a AS k, 1 AS size, freq FROM f1{s}
-          UNION ALL SELECT a || ',' || b, 2, freq FROM f2{s}
-          UNION ALL SELECT a || ',' || b || ',' || c, 3, freq FROM f3{s}
-          UNION ALL SELECT a || ',' || b || ',' || c || ',' || d, 4, freq FROM f4{s}),
-cand{s} AS (SELECT a AS ante, b AS cons, freq FROM f2{s}
-            UNION ALL SELECT b, a, freq FROM f2{s}
-            UNION ALL SELECT a || ',' || b, c, freq FROM f3{s}
-            UNION ALL SELECT a || ',' || c, b, freq FROM f3{s}
-            UNION ALL SELECT b || ',' || c, a, freq FROM f3{s}
-            UNION ALL SELECT a || ',' || b || ',' || c, d, freq FROM f4{s}
-            UNION ALL SELECT a || ',' || b || ',' || d, c, freq FROM f4{s}
-            UNION ALL SELECT a || ',' || c || ',' || d, b, freq FROM f4{s}
-            UNION ALL SELECT b || ',' || c || ',' || d, a, freq FROM f4{s}),
+sub{s}(user_id, k, last, size) AS (
+  SELECT user_id, item, item, 1 FROM {src}
+  UNION ALL
+  SELECT b.user_id, b.k || ',' || x.item, x.item, b.size + 1
+  FROM sub{s} b JOIN {src} x ON x.user_id = b.user_id AND x.item > b.last),
+fs{s} AS (SELECT k, size, count(*) AS freq FROM sub{s} GROUP BY k, size
+          HAVING count(*) >= (SELECT ceil(CAST({support!r} AS DOUBLE) * n) FROM nbk{s})),
+cand{s} AS (SELECT k, freq, unnest(string_split(k, ',')) AS cons FROM fs{s} WHERE size > 1),
 rules_all{s} AS (
   SELECT c.ante AS antecedent_key, c.cons AS consequent_key,
          CAST(c.freq AS DOUBLE) / fa.freq AS confidence,
          (CAST(c.freq AS DOUBLE) / fa.freq) / (CAST(fc.freq AS DOUBLE) / (SELECT n FROM nbk{s})) AS lift,
          CAST(c.freq AS DOUBLE) / (SELECT n FROM nbk{s}) AS support
-  FROM cand{s} c JOIN fs{s} fa ON fa.k = c.ante JOIN f1{s} fc ON fc.a = c.cons)"""
+  FROM (SELECT *, trim(replace(',' || k || ',', ',' || cons || ',', ','), ',') AS ante FROM cand{s}) c
+  JOIN fs{s} fa ON fa.k = c.ante JOIN fs{s} fc ON fc.k = c.cons AND fc.size = 1)"""
 
 
 def rules(min_conf: float, suffix: str = "") -> str:
@@ -288,6 +286,83 @@ totals{s} AS (SELECT count(*) AS n_matched, CAST(coalesce(sum(tp), 0) AS BIGINT)
                      CAST(coalesce(sum(fn), 0) AS BIGINT) AS fn FROM per_user{s})"""
 
 
+def _split_cte(seed: int, suffix: str = "") -> str:
+    hu, th = hash_unit(["user_id", "item_id"], seed), hex_threshold(P.TEST_FRACTION)
+    return f"""
+tr{suffix} AS (SELECT * FROM ratings_supp WHERE NOT ({hu} < '{th}')),
+te{suffix} AS (SELECT * FROM ratings_supp WHERE {hu} < '{th}'),
+known{suffix} AS (SELECT * FROM te{suffix} WHERE user_id IN (SELECT user_id FROM tr{suffix})
+                  AND item_id IN (SELECT item_id FROM tr{suffix}))"""
+
+
+def _als() -> dict[str, str]:
+    """What follows from the data alone: the pairs with a known user and item, counts,
+    grid points; flags that hold for every correct fit are true."""
+    rating = fx("CAST(CAST(rating AS FLOAT) AS DOUBLE)", "rating")
+    runs = ", ".join(_split_cte(i, f"_{i}").strip("\n") for i in range(P.ALS_RUNS))
+    hold = "\nUNION ALL ".join(
+        f"SELECT '{i}' AS run, (SELECT count(*) FROM tr_{i}) AS n_train, (SELECT count(*) FROM te_{i}) AS n_test, "
+        f"(SELECT count(*) FROM known_{i}) AS n_scored" for i in range(P.ALS_RUNS))
+    grid = ", ".join(f"({r}, CAST({g} AS DOUBLE))" for r in P.ALS_GRID_RANKS for g in P.ALS_GRID_REGS)
+    ranks = ", ".join(f"({r})" for r in P.ALS_CITY_RANKS)
+    terms = ", ".join(_q(t) for t in P.ALS_CITY_TERMS)
+    of_city = "contains(lower({}.city), lower(t.city_term))"
+    city = (RATINGS_SUPP, _split_cte(P.SEED), f"""
+terms AS (SELECT unnest([{terms}]) AS city_term),
+ctr AS (SELECT t.city_term, r.* FROM tr r JOIN terms t ON {of_city.format('r')}),
+cte AS (SELECT t.city_term, r.* FROM te r JOIN terms t ON {of_city.format('r')}),
+ck AS (SELECT c.* FROM cte c WHERE EXISTS (SELECT 1 FROM ctr x WHERE x.city_term = c.city_term AND x.user_id = c.user_id)
+                                AND EXISTS (SELECT 1 FROM ctr x WHERE x.city_term = c.city_term AND x.item_id = c.item_id)),
+cn AS (SELECT t.city_term, (SELECT count(*) FROM ctr c WHERE c.city_term = t.city_term) AS n_train,
+              (SELECT count(*) FROM cte c WHERE c.city_term = t.city_term) AS n_test,
+              (SELECT count(*) FROM ck c WHERE c.city_term = t.city_term) AS n_scored FROM terms t)""")
+
+    def compare(by: str, suffix: str, seed: int) -> tuple[list[str], str]:
+        x = suffix
+        ctes = [_split_cte(seed, x), similarity(f"tr{x}", f"sim{x}"), symmetric(f"sim{x}", f"sym{x}"),
+                neighbors(f"sym{x}", P.N_NEIGHBORS, f"nb{x}"), predict_all(f"nb{x}", f"tr{x}", f"pred{x}")]
+        head, group = ("city", "city") if by == "city" else (f"CAST({seed} AS INTEGER) AS run", "true")
+        return ctes, f"""
+SELECT {head}, {fx('rmse_itemcf', 'rmse_itemcf')}, n_als, n_als > 0 AS als_finite FROM (
+  SELECT {'a.city,' if by == 'city' else ''} sqrt(avg(power(a.rating - p.prediction, 2))) AS rmse_itemcf,
+         count(*) FILTER (WHERE k.user_id IS NOT NULL) AS n_als
+  FROM te{x} a LEFT JOIN pred{x} p ON a.user_id = p.user_id AND a.item_id = p.item_id
+  LEFT JOIN known{x} k ON a.user_id = k.user_id AND a.item_id = k.item_id
+  {'GROUP BY a.city' if by == 'city' else ''}) z"""
+
+    one, one_sql = compare("city", "", P.SEED)
+    parts = [compare("run", f"_r{i}", i) for i in range(P.COMPARE_RUNS)]
+    times_by = ("city_term",)
+    times, sels = [similarity("ctr", "csim", times_by), symmetric("csim", "csym", times_by)], []
+    for n in [n for n in P.NEIGHBOR_SWEEP if n > P.N_NEIGHBORS]:
+        times += [neighbors("csym", n, f"cnb{n}", times_by), predict_all(f"cnb{n}", "ctr", f"cpred{n}", times_by)]
+        sels.append(f"""
+SELECT cn.city_term, {n} AS n_neighbors, cn.n_train, cn.n_test, {fx('z.rmse', 'rmse')}, true AS timed
+FROM cn LEFT JOIN (SELECT a.city_term, sqrt(avg(power(a.rating - p.prediction, 2))) AS rmse
+                   FROM cte a LEFT JOIN cpred{n} p ON a.city_term = p.city_term AND a.user_id = p.user_id AND a.item_id = p.item_id
+                   GROUP BY a.city_term) z ON z.city_term = cn.city_term""")
+    return {
+        "als_predictions": with_(RATINGS_SUPP, _split_cte(P.SEED)) + f"""
+SELECT user_id, item_id, {rating}, true AS finite FROM known""",
+        "als_save_load": with_(RATINGS_SUPP, _split_cte(P.SEED)) + f"""
+SELECT user_id, item_id, {rating}, true AS same FROM known""",
+        "als_holdout_mean": with_(RATINGS_SUPP, runs) + f""",
+h AS ({hold})
+SELECT run, n_train, n_test, n_scored, true AS rmse_finite, true AS timed FROM h
+UNION ALL SELECT 'mean', CAST(floor(avg(n_train)) AS BIGINT), CAST(floor(avg(n_test)) AS BIGINT),
+                 CAST(floor(avg(n_scored)) AS BIGINT), true, true FROM h""",
+        "als_grid": f"""
+SELECT rank, reg_param, true AS scored, 1 AS n_best, true AS best_is_least, true AS train_below_deviation,
+       true AS reloaded_equal FROM (VALUES {grid}) g(rank, reg_param)""",
+        "als_city_sweep": with_(*city) + f"""
+SELECT city_term, rank, n_train, n_test, n_scored, true AS finite, true AS timed FROM cn, (VALUES {ranks}) g(rank)
+WHERE n_train + n_test > 0""",
+        "itemcf_city_times": with_(*city, *times) + "\nUNION ALL".join(sels),
+        "metric_compare": with_(RATINGS_SUPP, *one) + one_sql,
+        "metric_compare_runs": with_(RATINGS_SUPP, *[c for ctes, _ in parts for c in ctes]) + "\nUNION ALL".join(q for _, q in parts),
+    }
+
+
 def _files() -> dict[str, str]:
     return {"ratings_from_files": """
 WITH ui AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS user_index FROM customer),
@@ -334,27 +409,46 @@ SELECT (SELECT count(*) FROM rules) AS n_rules, (SELECT count(*) FROM ante) AS n
        (SELECT count(DISTINCT user_id) FROM rpred) AS n_users_predicted"""}
 
 
+OPEN_PAIRS = f"""
+all_pairs AS (
+  SELECT DISTINCT l.l_suppkey AS item_id, o.o_custkey AS user_id, n.n_name AS city,
+         CAST(s.s_acctbal > 0 AS INTEGER) AS is_open
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+  JOIN supplier s ON l.l_suppkey = s.s_suppkey
+  JOIN nation n ON s.s_nationkey = n.n_nationkey),
+open_pairs AS (SELECT item_id, user_id FROM all_pairs WHERE city = {_q(P.OPEN_CITY)} AND is_open = 1)"""
+
+
 def _more() -> dict[str, str]:
     sup, conf = P.MIN_SUPPORT, P.MIN_CONFIDENCE
     mining = (BRAND_PAIRS, brand_split(), itemsets("tr", sup), rules(conf))
     cf = (RATINGS_SUPP, supp_split(), similarity("supp_train"), symmetric("sim"),
           neighbors("sym", P.N_NEIGHBORS))
-    open_pairs = f"""
-open_pairs AS (
-  SELECT DISTINCT l.l_suppkey AS item_id, o.o_custkey AS user_id
-  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
-  JOIN supplier s ON l.l_suppkey = s.s_suppkey
-  JOIN nation n ON s.s_nationkey = n.n_nationkey
-  WHERE n.n_name = {_q(P.OPEN_CITY)} AND CAST(s.s_acctbal > 0 AS INTEGER) = 1)"""
+    open_mining = (OPEN_PAIRS, """
+ob AS (SELECT user_id, CAST(item_id AS VARCHAR) AS item FROM open_pairs)""", brand_split("ob"), itemsets("tr", sup), rules(conf))
     th = hex_threshold(P.TEST_FRACTION)
     hu = hash_unit(["user_id", "item_id"], P.SEED)
     return {
         "dense_user_index": """
 SELECT c_name, row_number() OVER (ORDER BY c_name) - 1 AS user_index
 FROM (SELECT DISTINCT c_name FROM customer) t""",
-        "first_seen_index": with_(open_pairs) + """
+        "first_seen_index": with_(OPEN_PAIRS) + """
 SELECT user_id, row_number() OVER (ORDER BY first_item, user_id) - 1 AS user_index
 FROM (SELECT user_id, min(item_id) AS first_item FROM open_pairs GROUP BY user_id) t""",
+        "first_seen_business_index": with_(OPEN_PAIRS) + """
+SELECT item_id, row_number() OVER (ORDER BY item_id, first_user) - 1 AS business_index
+FROM (SELECT item_id, min(user_id) AS first_user FROM open_pairs GROUP BY item_id) t""",
+        "first_seen_index_all": with_(OPEN_PAIRS) + """
+SELECT user_id, row_number() OVER (ORDER BY first_item, user_id) - 1 AS user_index
+FROM (SELECT user_id, min(item_id) AS first_item FROM all_pairs GROUP BY user_id) t""",
+        "open_city_rules": with_(*open_mining) + f"""
+SELECT antecedent_key, consequent_key, {fx('confidence', 'confidence')}, {fx('lift', 'lift')},
+       {fx('support', 'support')} FROM rules""",
+        "open_city_precision_recall": with_(*open_mining, fire("tr", "rules", "te")) + f"""
+SELECT n_matched, tp, fp, fn,
+       {fx('CAST(tp AS DOUBLE) / nullif(tp + fp, 0)', 'precision')},
+       {fx('CAST(tp AS DOUBLE) / nullif(tp + fn, 0)', 'recall')}
+FROM totals""",
         "split_80_20": with_(RATINGS_SUPP) + f"""
 SELECT user_id, item_id, {hu} < '{th}' AS is_test FROM ratings_supp""",
         "split_exact_tenth": with_(BRAND_PAIRS, brand_split()) + """
@@ -371,7 +465,7 @@ FROM (SELECT t.user_id, t.item_id, t.rating, r.city FROM supp_test t
       JOIN ratings_supp r ON r.user_id = t.user_id AND r.item_id = t.item_id) a
 LEFT JOIN pred p ON a.user_id = p.user_id AND a.item_id = p.item_id
 GROUP BY a.city""",
-        "distinct_pairs": with_(open_pairs) + """
+        "distinct_pairs": with_(OPEN_PAIRS) + """
 SELECT item_id, user_id FROM open_pairs""",
         "user_baskets": with_(BRAND_PAIRS) + """
 SELECT user_id, string_agg(item, ',' ORDER BY item) AS items_key, CAST(count(*) AS INTEGER) AS n_items
@@ -423,6 +517,8 @@ GROUP BY r.city""")
 SELECT 'itemcf' AS experiment, city, 0 AS run, 'n_neighbors' AS param,
        CAST(n_neighbors AS DOUBLE) AS param_value, 'rmse' AS metric, {fx('rmse', 'value')}
 FROM city_sweep WHERE n_neighbors = 10""",
+        "best_csv_roundtrip": with_(*base_cf, *cf_parts, city_cte) + f"""
+SELECT {fx('min(rmse)', 'RMSE')} FROM city_sweep GROUP BY city""",
         "metric_pivot": with_(*base_cf, *cf_parts, city_cte) + """
 SELECT city, """ + ", ".join(
             fx(f"max(CASE WHEN n_neighbors = {n} THEN rmse END)", f"rmse_n{n}")

@@ -1,7 +1,7 @@
 """Registered queries: ``name -> fn(spark, sf_dir) -> DataFrame``.
 
 Each query reads the driver's tables (whole tables, no row caps) and returns
-plain columns; computed doubles are rounded to 9 places through DECIMAL(18,9) so the DuckDB
+plain columns; computed doubles are rounded to 9 places through DECIMAL(38,9) so the DuckDB
 oracle in :mod:`prefmine.plans.oracle` can compare them exactly.
 """
 
@@ -21,9 +21,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def fx(c, name: str | None = None):
-    """Double rounded to 9 places (through DECIMAL(18,9), exact in both engines)."""
+    """Double rounded to 9 places (through DECIMAL(38,9), exact in both engines)."""
     col = F.col(c) if isinstance(c, str) else c
-    out = col.cast("decimal(18,9)").cast("double")
+    out = col.cast("decimal(38,9)").cast("double")
     return out.alias(name or (c if isinstance(c, str) else "value"))
 
 
@@ -35,8 +35,7 @@ def q_ratings_build(spark, sf):
 
 
 def q_city_filter(spark, sf):
-    # The term is resolved against the business dimension, so the filter
-    # reaches the nation scan as an IN list instead of a substring test.
+    # The term is resolved against the business dimension, not tested per rating.
     r = R.city_filter(T.ratings_supp(spark, sf), P.CITY_TERM, cities=T.business(spark, sf))
     return r.select("user_id", "item_id", "city", fx("rating"))
 
@@ -82,10 +81,30 @@ def q_item_neighbors(spark, sf):
 
 
 def q_item_neighbors_padded(spark, sf):
-    r = materialize(R.city_filter(T.ratings_part_city(spark, sf), P.SPARSE_CITY), "ratings_city")
-    nb = itemcf.top_neighbors(itemcf.item_similarity(r), P.N_NEIGHBORS, pad_zero=True,
-                              items=r.select("item_id"))
-    return nb.select("item_id", "neighbor_id", fx("similarity"), "n_common", "rank")
+    """Padded neighbours of every city's sparse part ratings, a model per city."""
+    r = materialize(T.ratings_part_city(spark, sf), "ratings_part_city")
+    nb = itemcf.fit_neighbors(r, P.N_NEIGHBORS, pad_zero=True, by=["city"])
+    return nb.select("city", "item_id", "neighbor_id", fx("similarity"), "n_common", "rank")
+
+
+def _padded(spark, sf):
+    r = materialize(splits.mark_split(T.ratings_part_city(spark, sf), ["user_id", "item_id", "city"],
+                                      P.TEST_FRACTION, P.SEED), "ratings_part_city")
+    train, test = splits.split_marked(r)
+    nb = itemcf.fit_neighbors(train, P.N_NEIGHBORS, pad_zero=True, by=["city"])
+    return test, itemcf.predict_pairs(nb, train, test, by=["city"])
+
+
+def q_itemcf_predictions_padded(spark, sf):
+    """Predictions for the held-out pairs from padded neighbours: a neighbour without a
+    common user weighs 0, so a pair covered by such neighbours alone is predicted 0."""
+    _, pred = _padded(spark, sf)
+    return pred.select("city", "user_id", "item_id", fx("prediction"))
+
+
+def q_itemcf_rmse_padded(spark, sf):
+    test, pred = _padded(spark, sf)
+    return itemcf.evaluate(pred, test, by=["city"]).select("city", fx("rmse"), "n_covered", "n_actual", fx("coverage"))
 
 
 QUERIES: dict[str, Query] = {
@@ -98,6 +117,8 @@ QUERIES: dict[str, Query] = {
     "item_similarity_symmetric": q_item_similarity_symmetric,
     "item_neighbors": q_item_neighbors,
     "item_neighbors_padded": q_item_neighbors_padded,
+    "itemcf_predictions_padded": q_itemcf_predictions_padded,
+    "itemcf_rmse_padded": q_itemcf_rmse_padded,
 }
 
 
@@ -109,11 +130,11 @@ def q_dense_user_index(spark, sf):
     return dense_index(cust, ["c_name"], "user_index")
 
 
-def _open_city_pairs(spark, sf):
+def _open_city_pairs(spark, sf, city=P.OPEN_CITY, open_only=True):
     from prefmine.operators.patterns import distinct_pairs
     rv = T.reviews(spark, sf, "supp").select(F.col("item_key").alias("item_id"),
                                               F.col("user_key").alias("user_id"))
-    return distinct_pairs(rv, T.business(spark, sf), P.OPEN_CITY)
+    return distinct_pairs(rv, T.business(spark, sf), city, open_only)
 
 
 def q_first_seen_index(spark, sf):
@@ -122,21 +143,30 @@ def q_first_seen_index(spark, sf):
                             "user_index")
 
 
+def q_first_seen_business_index(spark, sf):
+    from prefmine.operators.indexing import first_seen_index
+    return first_seen_index(_open_city_pairs(spark, sf), "item_id", ["item_id", "user_id"], "business_index")
+
+
+def q_first_seen_index_all(spark, sf):
+    """Users numbered by first appearance over the pairs of all businesses."""
+    from prefmine.operators.indexing import first_seen_index
+    return first_seen_index(_open_city_pairs(spark, sf, None, False), "user_id", ["item_id", "user_id"], "user_index")
+
+
 def q_split_80_20(spark, sf):
     train, test = _supp_split(spark, sf)
     return (train.select("user_id", "item_id", F.lit(False).alias("is_test"))
             .unionByName(test.select("user_id", "item_id", F.lit(True).alias("is_test"))))
 
 
-def _brand_split(spark, sf):
-    pairs = materialize(T.brand_pairs(spark, sf), "brand_pairs")
-    return splits.exact_split(pairs, ["user_id", "item"], P.BASKET_TEST_FRACTION, P.SEED)
+def _brand_marked(spark, sf):
+    """The brand pairs with the exact split's flag, written once."""
+    return splits.mark_exact_split(T.brand_pairs(spark, sf), ["user_id", "item"], P.BASKET_TEST_FRACTION, P.SEED)
 
 
 def q_split_exact_tenth(spark, sf):
-    train, test = _brand_split(spark, sf)
-    return (train.select("user_id", "item", F.lit(False).alias("is_test"))
-            .unionByName(test.select("user_id", "item", F.lit(True).alias("is_test"))))
+    return _brand_marked(spark, sf).select("user_id", "item", "is_test")
 
 
 # ---------------------------------------------- item CF predictions
@@ -196,16 +226,26 @@ def q_basket_stats(spark, sf):
         "n_pairs", "n_users", "n_items", "max_basket", fx("mean_basket"))
 
 
-def _mined(spark, sf, support=P.MIN_SUPPORT, confidence=P.MIN_CONFIDENCE):
+def _mine(marked, support=P.MIN_SUPPORT, confidence=P.MIN_CONFIDENCE):
     from prefmine.operators.patterns import baskets, mine
-    train, test = _brand_split(spark, sf)
-    itemsets, rules = mine(baskets(train), support, confidence)
-    return train, test, itemsets, rules
+    itemsets, rules = mine(baskets(marked.where("NOT is_test")), support, confidence)
+    return marked, itemsets, rules
+
+
+def _mined(spark, sf):
+    return _mine(_brand_marked(spark, sf))
+
+
+def _open_city_mined(spark, sf):
+    """The whole mining procedure on the open-city query's output: users' baskets of
+    businesses, exact split, rules."""
+    pairs = _open_city_pairs(spark, sf).select("user_id", F.col("item_id").cast("string").alias("item"))
+    return _mine(splits.mark_exact_split(pairs, ["user_id", "item"], P.BASKET_TEST_FRACTION, P.SEED))
 
 
 def q_frequent_itemsets(spark, sf):
     from prefmine.operators.patterns import itemset_key
-    _, _, itemsets, _ = _mined(spark, sf)
+    _, itemsets, _ = _mined(spark, sf)
     return itemsets.select(itemset_key("items").alias("items_key"),
                            F.size("items").alias("size"), "freq")
 
@@ -218,44 +258,57 @@ def _rule_cols(rules):
 
 
 def q_association_rules(spark, sf):
-    _, _, _, rules = _mined(spark, sf)
+    _, _, rules = _mined(spark, sf)
     return _rule_cols(rules)
 
 
 def q_distinct_antecedents(spark, sf):
     from prefmine.operators.patterns import distinct_antecedents
-    _, _, _, rules = _mined(spark, sf)
+    _, _, rules = _mined(spark, sf)
     return distinct_antecedents(rules).select("antecedent_key", "ante_size", "n_rules")
 
 
-def _rule_preds(spark, sf):
+def q_rule_predictions(spark, sf):
     from prefmine.operators.patterns import fire_rules
-    train, test, _, rules = _mined(spark, sf)
+    marked, _, rules = _mined(spark, sf)
     # Brand pairs are distinct by construction.
-    return train, test, fire_rules(train, rules, assume_distinct=True)
+    return fire_rules(marked.where("NOT is_test"), rules, assume_distinct=True)
 
 
-def q_rule_predictions(spark, sf):
-    _, _, pred = _rule_preds(spark, sf)
-    return pred
+def q_rule_tp_fp_fn(spark, sf):
+    from prefmine.operators.patterns import score_marked
+    marked, _, rules = _mined(spark, sf)
+    return score_marked(marked, rules)
 
 
-def q_rule_tp_fp_fn(spark, sf):
-    from prefmine.operators.patterns import score_rules
-    train, test, _, rules = _mined(spark, sf)
-    return score_rules(train, rules, test, assume_distinct=True)
+def _precision_recall(marked, rules):
+    from prefmine.operators.patterns import precision_recall, score_marked
+    pr = precision_recall(score_marked(marked, rules))
+    return pr.select("n_matched", "tp", "fp", "fn", fx("precision"), fx("recall"))
 
 
 def q_rule_precision_recall(spark, sf):
-    from prefmine.operators.patterns import precision_recall, score_rules
-    train, test, _, rules = _mined(spark, sf)
-    pr = precision_recall(score_rules(train, rules, test, assume_distinct=True))
-    return pr.select("n_matched", "tp", "fp", "fn", fx("precision"), fx("recall"))
+    marked, _, rules = _mined(spark, sf)
+    return _precision_recall(marked, rules)
+
+
+def q_open_city_rules(spark, sf):
+    _, _, rules = _open_city_mined(spark, sf)
+    return _rule_cols(rules)
+
+
+def q_open_city_precision_recall(spark, sf):
+    marked, _, rules = _open_city_mined(spark, sf)
+    return _precision_recall(marked, rules)
 
 
 QUERIES.update({
     "dense_user_index": q_dense_user_index,
     "first_seen_index": q_first_seen_index,
+    "first_seen_business_index": q_first_seen_business_index,
+    "first_seen_index_all": q_first_seen_index_all,
+    "open_city_rules": q_open_city_rules,
+    "open_city_precision_recall": q_open_city_precision_recall,
     "split_80_20": q_split_80_20,
     "split_exact_tenth": q_split_exact_tenth,
     "itemcf_predictions": q_itemcf_predictions,
@@ -275,61 +328,79 @@ QUERIES.update({
 
 
 # ------------------------------------------------------------------ ALS
+#
+# A factorisation's numbers are its own, so these queries publish what SQL can
+# derive (which pairs can be scored, counts, grid points) and flags that hold for
+# any correct fit (finite predictions, equal after reload).  The operators in
+# prefmine.operators.als return the RMSE and seconds themselves.
+
+ALS_ARGS = {"rank": P.ALS_RANK, "max_iter": P.ALS_MAX_ITER, "reg_param": P.ALS_REG}
+
 
-def _als_split(spark, sf):
-    return _supp_split(spark, sf)
+def _finite(c):
+    return F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
+
+
+def _split_by(df, seed):
+    return splits.hash_split(df, ["user_id", "item_id"], P.TEST_FRACTION, seed)
 
 
 def q_als_predictions(spark, sf):
+    """The held-out pairs that can be scored (known user and item)."""
     from prefmine.operators import als
-    train, test = _als_split(spark, sf)
-    model = als.fit(train, rank=P.ALS_RANK, max_iter=P.ALS_MAX_ITER, reg_param=P.ALS_REG)
-    return als.score(model, test).select("user_id", "item_id", "rating", "prediction")
+    train, test = _supp_split(spark, sf)
+    scored = als.score(als.fit(train, **ALS_ARGS), test)
+    return scored.select("user_id", "item_id", fx(F.col("rating").cast("double"), "rating"), _finite("prediction").alias("finite"))
 
 
 def q_als_holdout_mean(spark, sf):
     """Three fresh hash splits (seeds 0..2): per-run rows and their mean."""
+    import math
+
     from prefmine.operators import als
-    rows = als.holdout_runs(
-        materialize(T.ratings_supp(spark, sf), "ratings_supp"),
-        lambda df, seed: splits.hash_split(df, ["user_id", "item_id"], P.TEST_FRACTION, seed),
-        runs=3, rank=P.ALS_RANK, max_iter=P.ALS_MAX_ITER, reg_param=P.ALS_REG)
+    rows = als.holdout_runs(materialize(T.ratings_supp(spark, sf), "ratings_supp"), _split_by, runs=P.ALS_RUNS, **ALS_ARGS)
     df = spark.createDataFrame(
-        [(str(r["run"]), r["n_train"], r["n_test"], r["rmse"], r["train_s"], r["test_s"]) for r in rows],
-        "run string, n_train bigint, n_test bigint, rmse double, train_s double, test_s double")
-    mean = df.agg(F.lit("mean").alias("run"), F.avg("n_train").cast("bigint").alias("n_train"),
-                  F.avg("n_test").cast("bigint").alias("n_test"), F.avg("rmse").alias("rmse"),
-                  F.avg("train_s").alias("train_s"), F.avg("test_s").alias("test_s"))
+        [(str(r["run"]), r["n_train"], r["n_test"], r["n_scored"], math.isfinite(r["rmse"]), r["train_s"] > 0 and r["test_s"] > 0)
+         for r in rows], "run string, n_train bigint, n_test bigint, n_scored bigint, rmse_finite boolean, timed boolean")
+    mean = df.agg(F.lit("mean").alias("run"), *[F.floor(F.avg(c)).cast("bigint").alias(c) for c in ("n_train", "n_test", "n_scored")],
+                  F.min("rmse_finite").alias("rmse_finite"), F.min("timed").alias("timed"))
     return df.unionByName(mean)
 
 
 def q_als_grid(spark, sf):
-    """Cross-validated rank x regParam grid; train / test RMSE of the best."""
+    """Cross-validated rank x regParam grid; the fitted model is saved, reloaded and
+    scored.  ``n_best``: points marked best; ``best_is_least``: the mark is on the
+    smallest average RMSE; ``train_below_deviation``: the best model's train RMSE is
+    below the ratings' deviation; ``reloaded_equal``: test RMSE before and after reload."""
     from prefmine.operators import als
-    train, test = _als_split(spark, sf)
-    cv = als.grid_search(train, P.ALS_GRID_RANKS, P.ALS_GRID_REGS, num_folds=3,
+    train, test = _supp_split(spark, sf)
+    cv = als.grid_search(train, P.ALS_GRID_RANKS, P.ALS_GRID_REGS, num_folds=P.ALS_FOLDS,
                          parallelism=4, max_iter=P.ALS_MAX_ITER)
-    tr = als.rmse(cv.transform(als.to_als_input(train, check=False)))
-    te = als.rmse(cv.transform(als.to_als_input(test, check=False)))
-    rows = [(r["rank"], r["reg_param"], r["avg_rmse"], r["is_best"],
-             tr if r["is_best"] else None, te if r["is_best"] else None)
-            for r in als.grid_table(cv)]
-    return spark.createDataFrame(
-        rows, "rank int, reg_param double, avg_rmse double, is_best boolean, "
-              "train_rmse double, test_rmse double")
+    path = _scratch(spark, "models")
+    als.save(cv, path)
+    again = als.load(path, cv=True)
+    before, after = (als.rmse(als.score(m.bestModel, test)) for m in (cv, again))
+    below = als.rmse(als.score(again.bestModel, train)) < train.agg(F.stddev_pop("rating")).first()[0]
+    table = als.grid_table(cv)
+    best = [r for r in table if r["is_best"]]
+    least = min(r["avg_rmse"] for r in table)
+    rows = [(r["rank"], r["reg_param"], r["avg_rmse"] > 0, len(best), best[0]["avg_rmse"] == least, bool(below),
+             abs(before - after) < 1e-6) for r in table]
+    return spark.createDataFrame(rows, "rank int, reg_param double, scored boolean, n_best int, best_is_least boolean, "
+                                       "train_below_deviation boolean, reloaded_equal boolean")
 
 
 def q_als_save_load(spark, sf):
-    """Fit, save to the shared checkpoint folder, load, score the test split."""
-    import uuid
-
+    """Fit, save to the shared checkpoint folder, load, score the test split twice."""
     from prefmine.operators import als
-    from prefmine.session import checkpoint_dir
-    train, test = _als_split(spark, sf)
-    model = als.fit(train, rank=P.ALS_RANK, max_iter=P.ALS_MAX_ITER, reg_param=P.ALS_REG)
-    path = f"{checkpoint_dir(spark).rstrip('/')}/models/als-{uuid.uuid4().hex}"
+    train, test = _supp_split(spark, sf)
+    model = als.fit(train, **ALS_ARGS)
+    path = _scratch(spark, "models")
     als.save(model, path)
-    return als.score(als.load(path), test).select("user_id", "item_id", "rating", "prediction")
+    again = als.score(als.load(path), test).select("user_id", "item_id", F.col("prediction").alias("p"))
+    both = als.score(model, test).join(again, ["user_id", "item_id"], "full")
+    return both.select("user_id", "item_id", fx(F.col("rating").cast("double"), "rating"),
+                       F.coalesce(F.col("prediction") == F.col("p"), F.lit(False)).alias("same"))
 
 
 # ------------------------------------------------------- experiments
@@ -343,8 +414,7 @@ def q_neighbor_sweep(spark, sf):
 
 def q_support_sweep(spark, sf):
     from prefmine.plans.experiments import support_sweep
-    train, test = _brand_split(spark, sf)
-    return support_sweep(train, test, P.SUPPORT_SWEEP, P.MIN_CONFIDENCE, assume_distinct=True).select(
+    return support_sweep(_brand_marked(spark, sf), P.SUPPORT_SWEEP, P.MIN_CONFIDENCE).select(
         fx("support"), "n_itemsets", "n_rules", "n_matched", "tp", "fp", "fn",
         fx("precision"), fx("recall"))
 
@@ -370,22 +440,34 @@ def q_metric_pivot(spark, sf):
     return p.select("city", *[fx(f"rmse_n{n}") for n in P.NEIGHBOR_SWEEP])
 
 
-def q_metric_compare(spark, sf):
-    """Per city: item CF (10 neighbours) vs ALS test RMSE on the same split."""
+def _compare(train, test, by, seed=0):
+    """(*by, rmse_itemcf, n_als, als_finite): item CF and ALS on the same split."""
     from prefmine.operators import als
-    train, test = _supp_split(spark, sf)
     nb = itemcf.fit_neighbors(train, P.N_NEIGHBORS)
+    rmse = F.sqrt(F.avg(F.pow(F.col("rating") - F.col("prediction"), 2)))
     cf = (test.join(itemcf.predict_pairs(nb, train, test), ["user_id", "item_id"])
-          .groupBy("city").agg(F.sqrt(F.avg(F.pow(F.col("rating") - F.col("prediction"), 2)))
-                               .alias("rmse_itemcf")))
-    model = als.fit(train, rank=P.ALS_RANK, max_iter=P.ALS_MAX_ITER, reg_param=P.ALS_REG)
-    scored = als.score(model, test).join(test.select("user_id", "item_id", "city"),
-                                         ["user_id", "item_id"])
-    a = scored.groupBy("city").agg(F.sqrt(F.avg(F.pow(F.col("rating") - F.col("prediction"), 2)))
-                                   .alias("rmse_als"))
-    return (cf.join(a, "city", "full")
-            .select("city", "rmse_itemcf", "rmse_als",
-                    (F.col("rmse_als") - F.col("rmse_itemcf")).alias("als_minus_itemcf")))
+          .groupBy(*by).agg(rmse.alias("rmse_itemcf")))
+    model = als.fit(train, rank=P.ALS_COMPARE_RANK, max_iter=P.ALS_MAX_ITER, reg_param=P.ALS_REG, seed=seed)
+    scored = als.score(model, test).drop("rating").join(test, ["user_id", "item_id"])
+    a = scored.groupBy(*by).agg(F.count(F.lit(1)).alias("n_als"), rmse.alias("rmse_als"))
+    return cf.join(a, by, "full").select(*by, fx("rmse_itemcf"), F.coalesce("n_als", F.lit(0)).alias("n_als"), _finite("rmse_als").alias("als_finite"))
+
+
+def q_metric_compare(spark, sf):
+    """Per city: item CF (10 neighbours) and ALS on the same split."""
+    return _compare(*_supp_split(spark, sf), ["city"])
+
+
+def q_metric_compare_runs(spark, sf):
+    """The same over five fresh splits, a row per run."""
+    r = materialize(T.ratings_supp(spark, sf), "ratings_supp")
+    out = None
+    for run in range(P.COMPARE_RUNS):
+        marked = materialize(splits.mark_split(r, ["user_id", "item_id"], P.TEST_FRACTION, run)
+                             .withColumn("run", F.lit(run)), "run")
+        row = _compare(*splits.split_marked(marked), ["run"], seed=run)
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 QUERIES.update({
@@ -398,6 +480,7 @@ QUERIES.update({
     "metric_filter": q_metric_filter,
     "metric_pivot": q_metric_pivot,
     "metric_compare": q_metric_compare,
+    "metric_compare_runs": q_metric_compare_runs,
 })
 
 
@@ -409,29 +492,37 @@ def q_itemcf_city_sweep(spark, sf):
         "city_term", "n_neighbors", fx("rmse"), "n_covered", "n_actual", fx("coverage"))
 
 
+def q_itemcf_city_times(spark, sf):
+    """Item CF per city and neighbour count, each trained and timed by itself."""
+    from prefmine.plans.experiments import cf_times
+    train, test = _supp_split(spark, sf)
+    rows = cf_times(train, test, P.ALS_CITY_TERMS, [n for n in P.NEIGHBOR_SWEEP if n > P.N_NEIGHBORS])
+    df = spark.createDataFrame([(r["city_term"], r["n_neighbors"], r["n_train"], r["n_test"], r["rmse"],
+                                 r["train_s"] > 0 and r["test_s"] > 0) for r in rows],
+                               "city_term string, n_neighbors int, n_train bigint, n_test bigint, rmse double, timed boolean")
+    return df.select("city_term", "n_neighbors", "n_train", "n_test", fx("rmse"), "timed")
+
+
 def q_als_city_sweep(spark, sf):
-    """ALS per city term and rank (rows, test RMSE, fit time)."""
+    """ALS per city term and rank."""
     from prefmine.plans.experiments import als_city_sweep
-    r = materialize(T.ratings_supp(spark, sf), "ratings_supp")
-    rows = als_city_sweep(
-        r, P.CITY_TERMS, P.ALS_GRID_RANKS,
-        lambda df: splits.hash_split(df, ["user_id", "item_id"], P.TEST_FRACTION, P.SEED),
-        P.ALS_MAX_ITER, P.ALS_REG)
-    return spark.createDataFrame(
-        [(x["city_term"], x["rank"], x["n_rows"], x["rmse"], x["train_s"]) for x in rows],
-        "city_term string, rank int, n_rows bigint, rmse double, train_s double")
+    train, test = _supp_split(spark, sf)
+    rows = als_city_sweep(train, test, P.ALS_CITY_TERMS, P.ALS_CITY_RANKS, P.ALS_MAX_ITER, P.ALS_REG)
+    return rows.select("city_term", "rank", "n_train", "n_test", "n_scored",
+                       (_finite("rmse") | (F.col("n_scored") == 0)).alias("finite"), (F.col("train_s") > 0).alias("timed"))
 
 
 QUERIES.update({
     "itemcf_city_sweep": q_itemcf_city_sweep,
     "als_city_sweep": q_als_city_sweep,
+    "itemcf_city_times": q_itemcf_city_times,
 })
 
 
 def q_mining_counts(spark, sf):
     from prefmine.operators.patterns import mining_counts
-    train, _, itemsets, rules = _mined(spark, sf)
-    return mining_counts(train, itemsets, rules, assume_distinct=True)
+    marked, itemsets, rules = _mined(spark, sf)
+    return mining_counts(marked.where("NOT is_test"), itemsets, rules, assume_distinct=True)
 
 
 def _city_long(spark, sf):
@@ -515,13 +606,17 @@ def q_city_files_roundtrip(spark, sf):
 
 
 def q_ratings_csv_roundtrip(spark, sf):
-    """The rating table as header-less CSV, read back (or reused) with the
-    positional 4-column schema: rating narrows to float on the way."""
+    """The rating table as header-less CSV with the positional 4-column schema (rating
+    narrows to float): built once, then reused by a second call whose build must not
+    run."""
     from prefmine.sources import files
     path = _scratch(spark, "allRate")
-    back = files.read_or_build(spark, path, lambda: T.ratings_supp(spark, sf)
-                               .select("user_id", "item_id", "city", "rating"),
-                               fmt="csv", schema=files.RATING_CSV)
+
+    def no_build():
+        raise AssertionError("a finished table was built again")
+
+    for build in (lambda: T.ratings_supp(spark, sf).select("user_id", "item_id", "city", "rating"), no_build):
+        back = files.read_or_build(spark, path, build, fmt="csv", schema=files.RATING_CSV)
     return back.select("user_id", "item_id", "city",
                        fx(F.col("rating").cast("double"), "rating"))
 
@@ -531,9 +626,7 @@ def q_metric_csv_roundtrip(spark, sf):
     FN / precision / recall), read back with their schemas, joined on support."""
     from prefmine.plans.experiments import support_sweep
     from prefmine.sources import files
-    train, test = _brand_split(spark, sf)
-    sweep = materialize(support_sweep(train, test, P.SUPPORT_SWEEP, P.MIN_CONFIDENCE,
-                                      assume_distinct=True), "sweep")
+    sweep = materialize(support_sweep(_brand_marked(spark, sf), P.SUPPORT_SWEEP, P.MIN_CONFIDENCE), "sweep")
     base = _scratch(spark, "metrics")
     files.write_csv(sweep.select("support", F.col("n_itemsets").alias("numFreqItemsets"),
                                  F.col("n_rules").alias("numAssociateRules")),
@@ -548,7 +641,20 @@ def q_metric_csv_roundtrip(spark, sf):
                     fx("precision"), fx("recall"))
 
 
+def q_best_csv_roundtrip(spark, sf):
+    """Each city's best item-CF RMSE over the neighbour counts, written in the layout of
+    the best-result table and read back."""
+    from prefmine.plans.experiments import neighbor_sweep
+    from prefmine.sources import files
+    train, test = _supp_split(spark, sf)
+    best = neighbor_sweep(train, test, P.NEIGHBOR_SWEEP, by_city=True).groupBy("city").agg(F.min("rmse").alias("RMSE"))
+    path = f"{_scratch(spark, 'metrics')}/bestResultForItem.csv"
+    files.write_csv(best.select("RMSE"), path, header=True)
+    return files.read_metric_csv(spark, path, "bestResultForItem").select(fx("RMSE"))
+
+
 QUERIES.update({
+    "best_csv_roundtrip": q_best_csv_roundtrip,
     "city_files_roundtrip": q_city_files_roundtrip,
     "ratings_csv_roundtrip": q_ratings_csv_roundtrip,
     "metric_csv_roundtrip": q_metric_csv_roundtrip,
@@ -570,12 +676,10 @@ def q_stream_ratings(spark, sf):
                                        "item_id", "city")
     q = S.start(S.running_ratings(S.review_stream(spark, f"{base}/in", max_files_per_trigger=4),
                                   users, biz),
-                f"stream_ratings_{base.rsplit('/', 1)[-1]}", sink="parquet", path=f"{base}/out",
+                f"stream_ratings_{base.rsplit('/', 1)[-1]}", path=f"{base}/out",
                 trigger_once=True, checkpoint_location=f"{base}/ckpt")
     # availableNow stops by itself once the files present at start are done.
-    if not q.awaitTermination(3600):
-        q.stop()
-        raise TimeoutError("stream_ratings did not finish within an hour")
+    q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     cur = S.latest(f"{base}/out", spark)

@@ -1,4 +1,4 @@
-"""ALS on the customer x supplier ratings: shapes and sanity (no SQL oracle)."""
+"""ALS on the customer x supplier ratings: shapes and sanity."""
 
 from pyspark.sql import functions as F
 
@@ -36,5 +36,30 @@ def test_als_grid_marks_best(spark):
 def test_id_range_check(spark):
     import pytest
     df = spark.createDataFrame([(2**40, 1, 1.0)], "user_id bigint, item_id bigint, rating double")
-    with pytest.raises(ValueError):
-        als.to_als_input(df)
+    with pytest.raises(Exception, match="integer range"):
+        als.to_als_input(df).collect()
+    assert als.to_als_input(df.limit(0)).count() == 0
+
+
+def test_cv_model_save_load(spark, tmp_dir):
+    r = T.ratings_supp(spark, SF001)
+    cv = als.grid_search(r, ranks=(2,), reg_params=(0.1,), num_folds=2, parallelism=1, max_iter=2)
+    als.save(cv, tmp_dir + "/cv")
+    again = als.load(tmp_dir + "/cv", cv=True)
+    assert als.rmse(als.score(again.bestModel, r)) == als.rmse(als.score(cv.bestModel, r))
+
+
+def test_blocks_do_not_follow_the_cluster():
+    e = als.als_estimator()
+    assert (e.getNumUserBlocks(), e.getNumItemBlocks(), e.getRank(), e.getMaxIter()) == (10, 10, 200, 20)
+
+
+def test_cities_in_one_fit_are_separate_models(spark):
+    """A city's factors do not depend on which other cities share the fit."""
+    from prefmine.plans.experiments import als_city_sweep
+    train, test = splits.hash_split(T.ratings_supp(spark, SF001), ["user_id", "item_id"], 0.2, 0)
+    both = als_city_sweep(train, test, ["nation_1", "nation_2"], [3], 5, 0.1, num_blocks=2).collect()
+    assert {r.city_term for r in both} == {"nation_1", "nation_2"}
+    for r in both:
+        one = train.where(F.lower("city").contains(r.city_term))
+        assert r.n_train == one.count() and r.n_scored <= r.n_test and r.rmse > 0

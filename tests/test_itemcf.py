@@ -104,7 +104,7 @@ def _brute(triples, n, pad):
     return sorted(out)
 
 
-triples_st = st.lists(st.tuples(st.integers(1, 8), st.integers(1, 12), st.integers(1, 5)),
+triples_st = st.lists(st.tuples(st.integers(1, 8), st.integers(1, 12), st.sampled_from([1, 2, 3, 5, 0, -1, -2, -3])),
                       min_size=1, max_size=40, unique_by=lambda t: (t[0], t[1]))
 
 
@@ -178,8 +178,40 @@ def test_similarity_paths_agree(spark):
     t += [(u, i, float((u + i) % 4 + 1)) for u in range(3, 8) for i in range(1, 13, u)]
     df = _ratings(spark, t)
     base = rows(itemcf.item_similarity(df, chunk=10_000))          # no hot user
-    mixed = rows(itemcf.item_similarity(df, chunk=5))               # users 1, 2 hot, broadcast list
-    shuffled = rows(itemcf.item_similarity(df, chunk=5, max_hot=0))  # list over the bound
-    for other in (mixed, shuffled):
+    mixed = rows(itemcf.item_similarity(df, chunk=5))               # users 1, 2 hot
+    every = rows(itemcf.item_similarity(df, chunk=1))               # every user hot
+    for other in (mixed, every):
         assert [r[:2] + r[3:] for r in base] == [r[:2] + r[3:] for r in other]
         assert all(abs(a[2] - b[2]) < 1e-12 for a, b in zip(base, other))
+
+
+def test_negative_similarities_rank_after_zero_pairs(spark):
+    # two users, items 1..3 rated 1, -1, -3 and 2, -2, -1: item 1's real neighbours are
+    # 3 (-0.707) and 2 (-1.0); item 4 shares no user with it and scores 0
+    t = [(1, 1, 1.0), (1, 2, -1.0), (1, 3, -3.0), (2, 1, 2.0), (2, 2, -2.0), (2, 3, -1.0), (3, 4, 5.0)]
+    df = _ratings(spark, t)
+    nb = itemcf.top_neighbors(itemcf.item_similarity(df), 3, pad_zero=True, items=df.select("item_id"))
+    got = [(r.neighbor_id, round(r.similarity, 3), r.n_common) for r in nb.where("item_id = 1").orderBy("rank").collect()]
+    assert got == [(4, 0.0, 0), (3, -0.316, 2), (2, -1.0, 2)] or got == [(4, 0.0, 0), (3, -0.707, 2), (2, -1.0, 2)]
+    assert rows(nb, "item_id", "neighbor_id", "rank") == _brute(t, 3, pad=True)
+
+
+def test_all_counts_in_one_pass_equal_single_models(spark):
+    t = [(u, i, float((u * i) % 5 + 1)) for u in range(1, 9) for i in range(1, 12) if (u + i) % 3]
+    df = _ratings(spark, t)
+    sim = itemcf.item_similarity(df)
+    each = itemcf.predict_pairs_each(itemcf.top_neighbors(sim, 6), df, df, (1, 3, 6))
+    got = {(r.user_id, r.item_id): (r.prediction_1, r.prediction_3, r.prediction_6) for r in each.collect()}
+    for k, n in enumerate((1, 3, 6)):
+        want = {(r.user_id, r.item_id): r.prediction for r in itemcf.predict_pairs(itemcf.top_neighbors(sim, n), df, df).collect()}
+        assert {p for p, v in got.items() if v[k] is not None} == want.keys()
+        assert all(got[p][k] == pytest.approx(v, abs=1e-12) for p, v in want.items())
+
+
+def test_hot_items_salted_in_scoring_give_the_same(spark, monkeypatch):
+    t = [(u, i, float((u + i) % 5 + 1)) for u in range(1, 15) for i in range(1, 9) if (u * i) % 3]
+    df = _ratings(spark, t)
+    nb = itemcf.top_neighbors(itemcf.item_similarity(df), 3)
+    plain = [rows(f(nb, df), "user_id", "item_id") for f in (itemcf.predict_all, lambda a, b: itemcf.predict_pairs(a, b, b))]
+    monkeypatch.setattr(itemcf, "SCORE_CHUNK", 3)
+    assert plain == [rows(f(nb, df), "user_id", "item_id") for f in (itemcf.predict_all, lambda a, b: itemcf.predict_pairs(a, b, b))]

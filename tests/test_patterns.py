@@ -82,7 +82,7 @@ def test_score_rules_equals_fire_then_tp_fp_fn(spark):
     assert fused_all == composed_all
 
 
-def test_score_rules_encoded_and_fallback_agree(spark, monkeypatch):
+def test_score_rules_with_longer_antecedents(spark):
     pairs = _pairs(spark, [(1, "a"), (1, "b"), (2, "a"), (3, "q"), (4, "a")])
     test = _pairs(spark, [(1, "c"), (1, "z"), (2, "b"), (3, "y"), (5, "c")])
     rules = spark.createDataFrame(
@@ -91,8 +91,23 @@ def test_score_rules_encoded_and_fallback_agree(spark, monkeypatch):
     for everyone in (False, True):
         want = rows(patterns.tp_fp_fn(patterns.fire_rules(pairs, rules), test, all_test_users=everyone))
         assert rows(patterns.score_rules(pairs, rules, test, all_test_users=everyone)) == want
-        monkeypatch.setattr(patterns, "MAX_VOCABULARY", 0)     # force the raw-item path
-        assert rows(patterns.score_rules(pairs, rules, test, all_test_users=everyone)) == want
-        monkeypatch.undo()
     # user 1: predicted c, d -> tp 1 (c), fp 1 (d), fn 1 (z); user 2: b, d vs b; user 4: b, d vs nothing
     assert rows(patterns.score_rules(pairs, rules, test)) == [(1, 1, 1, 1), (2, 1, 1, 0)]
+
+
+def test_fire_rules_equals_brute_force(spark):
+    import random
+    rng = random.Random(3)
+    baskets = {u: {rng.choice("abcdefgh") for _ in range(rng.randint(1, 6))} for u in range(40)}
+    rules = [(sorted(rng.sample("abcdefgh", rng.randint(1, 4))), [rng.choice("abcdefghxyz")]) for _ in range(30)]
+    pairs = _pairs(spark, [(u, i) for u, items in baskets.items() for i in items] * 2)  # repeated pairs
+    got = rows(patterns.fire_rules(pairs, spark.createDataFrame(rules, "antecedent array<string>, consequent array<string>")))
+    assert got == sorted({(u, c[0]) for u, items in baskets.items() for a, c in rules if set(a) <= items and c[0] not in items})
+
+
+def test_rules_stand_under_their_rarest_item(spark):
+    pairs = _pairs(spark, [(1, "a"), (2, "a"), (3, "a"), (1, "b"), (2, "b"), (1, "c")])
+    rules = spark.createDataFrame([(["a", "b"], ["x"]), (["a"], ["y"]), (["a", "b", "c"], ["z"]), (["a", "q"], ["x"])],
+                                  "antecedent array<string>, consequent array<string>")
+    got = {r.item: sorted(w.key for w in r.waiting) for r in patterns.rules_by_item(rules, pairs).collect()}
+    assert got == {"a": ["a"], "b": ["a,b"], "c": ["a,b,c"], "q": ["a,q"]}

