@@ -217,12 +217,17 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     t = F.col(text)
     parts = F.split(t, FOUND, -1)
     # parts[0] + pseudonym(found[0]) + parts[1] + ...
-    swapped = _let(finds(text), lambda found: F.when(F.size(found) > 0, F.array_join(
+    swapped = _let(_found(t), lambda found: F.when(F.size(found) > 0, F.array_join(
         F.zip_with(parts, F.transform(found, lambda s: pseudonym(s, key)),
                    lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")).otherwise(t))
     return docs.withColumn(text, F.when(t.rlike(CHEAP), swapped).otherwise(t))
 
 
+def _found(t: Column) -> Column:
+    return F.regexp_extract_all(t, F.lit(f"({FOUND})"), 1)
+
+
 def finds(text: str = "text") -> Column:
     """Array of the strings that the patterns find in the text, before validation."""
-    return F.regexp_extract_all(F.col(text), F.lit(f"({FOUND})"), 1)
+    t = F.col(text)
+    return F.when(t.rlike(CHEAP), _found(t)).otherwise(F.array().cast("array<string>"))
