@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefmine.llm.common import Scratch, free_name, pieces
@@ -95,8 +95,10 @@ def links(points: DataFrame, k: int, scratch: Scratch, wide: int = WIDE) -> Data
     :func:`_wide_links`.  Both are exact, so ``wide`` only bounds the work.
     """
     v = variants(points, k)
-    n = F.count(F.lit(1)).over(Window.partitionBy("at", "key"))
-    shared = scratch.write(v.withColumn("n", n).where("n > 1"))
+    # Counted by a combined aggregate and joined back, not by a window: a variant that
+    # very many fingerprints share is then never one task's work.
+    often = scratch.write(v.groupBy("at", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    shared = scratch.write(v.join(often, ["at", "key"]))
     narrow = shared.where(F.col("n") <= wide)
     pairs = (narrow.select("at", "key", F.col("fp").alias("a"))
              .join(narrow.select("at", "key", F.col("fp").alias("b")), ["at", "key"])
