@@ -135,8 +135,10 @@ def line_first_quality(docs: DataFrame, text: str = "text", rules: Rules = Rules
             names = [c.split()[0] for c in schema.split(", ")]
             yield pd.DataFrame(rows, columns=names)
 
+    # Declared nondeterministic so that a later filter on the verdict is not pushed
+    # below it, which would judge every text twice.
     tmp = free_name(docs.columns, "quality_")
-    out = docs.withColumn(tmp, verdicts(F.col(text)))
+    out = docs.withColumn(tmp, verdicts.asNondeterministic()(F.col(text)))
     names = [c.split()[0] for c in SCHEMA.split(", ")]
     drop = [c for c in docs.columns if c.lower() in {*names, *([clean.lower()] if clean else [])}]
     cols = [F.col(c) for c in docs.columns if c not in drop]
