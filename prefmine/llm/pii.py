@@ -1,7 +1,7 @@
 """Format-preserving pseudonyms for personal data, in native expressions.
 
-Validated numbers and dates (payment cards, social security and phone numbers,
-IPv4 addresses, calendar dates), e-mail addresses and quoted secrets are replaced
+Validated numbers and dates (payment cards, bank accounts, social security and phone
+numbers, IPv4 addresses, calendar dates), e-mail addresses and quoted secrets are replaced
 by keyed permutations of themselves inside their own format, by Feistel networks
 whose round function is SHA-256 over the key.  A permutation is a function of
 the value and the key alone: equal values get equal pseudonyms in every document,
@@ -26,6 +26,7 @@ PATTERNS = {
              r"|(?<![\d+])\+[2-9]\d{0,2}[ -]?(?:\(\d{1,4}\)[ -]?)?\d{2,4}(?:[ -]?\d{2,4}){1,3}(?!\d)"
              r"|(?<![\d(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d.-])\d{3}(?<sepa>[.-])\d{3}\k<sepa>\d{4}(?![.-]?\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<!\d)(?:\d{4}(?<sepb>[ -])\d{4}\k<sepb>\d{4}\k<sepb>\d{4}|\d{4}(?<sepc>[ -])\d{6}\k<sepc>\d{5}|\d{13,19})(?!\d)",
 }
 FOUND = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -182,6 +183,35 @@ def ssn(s: Column, key: str) -> Column:
     return _let(permute(x, SSN_A, SSN_B, key, "ssn"), fill)
 
 
+def mod97(s: Column) -> Column:
+    """The ISO 7064 remainder of a string of digits and upper-case letters (A = 10)."""
+    chars = F.filter(F.split(s, ""), lambda c: c != "")
+    value = lambda c: F.when(c.rlike("^[0-9]$"), c.cast("int")).otherwise(F.instr(F.lit(_CLASSES[2]), c) + 9)
+    return F.aggregate(chars, F.lit(0), lambda a, c: ((a * F.when(c.rlike("^[0-9]$"), 10).otherwise(100) + value(c)) % 97).cast("int"))
+
+
+def is_iban(s: Column) -> Column:
+    plain = F.replace(s, F.lit(" "), F.lit(""))
+    return (F.length(plain) <= 34) & (mod97(F.concat(F.substr(plain, F.lit(5), F.length(plain)), F.substr(plain, F.lit(1), F.lit(4)))) == 1)
+
+
+def iban(s: Column, key: str) -> Column:
+    """Inside the valid account numbers of the same country and shape."""
+    def fill(plain: Column) -> Column:
+        land = F.substr(plain, F.lit(1), F.lit(2))
+        body = permute_text(F.substr(plain, F.lit(5), F.length(plain)), key, "iban")
+        return _let(body, lambda b: F.concat(
+            land, F.lpad((98 - mod97(F.concat(b, land, F.lit("00")))).cast("string"), 2, "0"), b))
+
+    made = _let(F.replace(s, F.lit(" "), F.lit("")), fill)
+    # The spaces stay where they are.
+    chars = F.filter(F.split(s, ""), lambda c: c != "")
+    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
+    return _let(made, lambda m: F.aggregate(chars, start, lambda a, c: F.when(
+        c == " ", F.struct(F.concat(a.out, c).alias("out"), a["at"].alias("at"))).otherwise(
+        F.struct(F.concat(a.out, F.substr(m, a["at"], F.lit(1))).alias("out"), (a["at"] + 1).alias("at"))), lambda a: a.out))
+
+
 def phone(s: Column, key: str) -> Column:
     """All digits but a leading country code, in place."""
     code = F.regexp_extract(s, r"^\+\d{1,3}(?=[ .(-])|^\+\d", 0)
@@ -202,6 +232,7 @@ def pseudonym(s: Column, key: str) -> Column:
             .when(s.rlike(r"^(\d{4}[-/]\d{2}[-/]\d{2}|\d{2}[-/.]\d{2}[-/.]\d{4})$"), F.coalesce(date(s, key), s))
             .when(s.rlike(r"^\d{3}-\d{2}-\d{4}$"), F.when(is_ssn(s), ssn(s, key)).otherwise(s))
             .when(s.rlike(r"^[+(]|^\d{3}[.-]\d{3}[.-]\d{4}$"), phone(s, key))
+            .when(s.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9 ]{8,}$"), F.when(is_iban(s), iban(s, key)).otherwise(s))
             .when(s.rlike(r"^[\d -]{13,23}$"), F.when(is_card(s), card(s, key)).otherwise(s))
             .otherwise(permute_text(s, key, "secret")))
 

@@ -102,6 +102,19 @@ def test_social_security_numbers_stay_valid(spark):
     assert all(re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}", s) for s in out)
 
 
+def test_bank_accounts_stay_valid(spark):
+    def ok(s):
+        s = s.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+    good = ["DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "FR1420041010050500013M02606"]
+    assert all(map(ok, good))
+    for a, b in zip(good, run(spark, good)):
+        assert a != b and ok(b) and a[:2] == b[:2] and [c == " " for c in a] == [c == " " for c in b]
+    bad = ["DE88 3704 0044 0532 0130 00", "AB12 WORDS IN CAPS HERE"]
+    assert run(spark, bad) == bad
+
+
 def test_key_decides(spark):
     assert run(spark, ["4111111111111111"], "one") != run(spark, ["4111111111111111"], "two")
 
