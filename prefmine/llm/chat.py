@@ -43,6 +43,7 @@ CLOSER = re.compile(r"\s*(?:<\|im_end\|>|\[/INST\]|<</SYS>>)\s*$", re.I)
 
 FEATURES = 10  # ends with a question mark or not, five classes of length
 SPEAKER_TRUST, SWITCH = 0.97, 0.02
+GROUP_ROWS = 4096
 
 
 def speaker_class(label: str | None) -> int:
@@ -193,30 +194,41 @@ def _decoded(rows: DataFrame, model: Model, scratch: Scratch, block_rows: int) -
     blocks = scratch.write(blocks.join(opens, "conv").withColumn(
         "opening", F.struct("stretch", "fine", "part") == F.col("open")).drop("open"))
 
+    # Many blocks (or conversations) go to one pandas call, about GROUP_ROWS rows.
+    groups = max(1, -(-blocks.count() // GROUP_ROWS))
+    dealt = lambda df, *k: df.withColumn("deal", F.pmod(F.xxhash64(*k), F.lit(groups)))
+
     def summed(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["turn", "hash", "row"])
-        m = model.matrix([list(o) for o in pdf["obs"]], bool(pdf["opening"].iloc[0]))
-        return pdf[key].iloc[:1].assign(m=[m.ravel().tolist()])
+        out = []
+        for k, b in pdf.sort_values([*key, "turn", "hash", "row"]).groupby(key, sort=False):
+            m = model.matrix([list(o) for o in b["obs"]], bool(b["opening"].iloc[0]))
+            out.append((*k, m.ravel().tolist()))
+        return pd.DataFrame(out, columns=[*key, "m"])
 
     kinds = "conv string, stretch long, fine long, part long"
-    matrices = scratch.write(blocks.groupBy(*key).applyInPandas(summed, f"{kinds}, m array<double>"))
+    matrices = scratch.write(dealt(blocks, *key).groupBy("deal").applyInPandas(summed, f"{kinds}, m array<double>"))
 
     def borders(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["stretch", "fine", "part"])
-        ends = chain([np.array(m).reshape(N, N) for m in pdf["m"]])
-        return pdf[key].assign(enter=[a for a, _ in ends], leave=[b for _, b in ends])
+        out = []
+        for _, c in pdf.sort_values(key).groupby("conv", sort=False):
+            ends = chain([np.array(m).reshape(N, N) for m in c["m"]])
+            out.append(c[key].assign(enter=[a for a, _ in ends], leave=[b for _, b in ends]))
+        return pd.concat(out)
 
-    ends = scratch.write(matrices.groupBy("conv").applyInPandas(borders, f"{kinds}, enter int, leave int"))
+    ends = scratch.write(dealt(matrices, "conv").groupBy("deal").applyInPandas(borders, f"{kinds}, enter int, leave int"))
     with_ends = blocks.join(ends, key)
 
     def decode(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["turn", "hash", "row"])
-        opening, enter = bool(pdf["opening"].iloc[0]), int(pdf["enter"].iloc[0])
-        roles = model.decode([list(o) for o in pdf["obs"]], opening, enter, int(pdf["leave"].iloc[0]))
-        before = [None if opening else enter] + [r[-1] for r in roles[:-1]]
-        return pd.DataFrame({"row": pdf["row"], "roles": roles, "before": pd.array(before, "Int32")})
-
-    return with_ends.groupBy(*key).applyInPandas(decode, "row long, roles array<int>, before int")
+        rows, roles, before = [], [], []
+        for _, b in pdf.sort_values([*key, "turn", "hash", "row"]).groupby(key, sort=False):
+            opening, enter = bool(b["opening"].iloc[0]), int(b["enter"].iloc[0])
+            found = model.decode([list(o) for o in b["obs"]], opening, enter, int(b["leave"].iloc[0]))
+            rows += b["row"].tolist()
+            roles += found
+            before += [None if opening else enter] + [r[-1] for r in found[:-1]]
+        return pd.DataFrame({"row": rows, "roles": roles, "before": pd.array(before, "Int32")})
+
+    return dealt(with_ends, *key).groupBy("deal").applyInPandas(decode, "row long, roles array<int>, before int")
 
 
 def format_chat(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", speaker: str = "role",
