@@ -148,50 +148,45 @@ def _flags(marked: DataFrame, rules: DataFrame) -> DataFrame:
     in their test rows, a consequent of a rule that their train rows fire.
 
     ``marked`` (user_id, item, is_test) is read once for the items' counts and once
-    here.  Each row brings its own flag, the consequents of one-item antecedents under
-    its item, and a request for every other item of the longer ones; one aggregate
-    by (user, item) merges the flags and answers the requests.  Requests that are
-    all answered bring their consequents through a second aggregate.  Every shuffle
-    is keyed by (user, item) or (user, antecedent), so a user with a huge basket is
-    spread over many tasks.  The join side is one row per rule item: Catalyst
-    broadcasts it if small, else AQE splits a hot item's rows.
+    here: each row brings its own flag and the consequents of the one-item antecedents
+    under its item, merged by one combined aggregate.  Longer antecedents, if there
+    are any, are tried only for users who have their rarest item: a request for every
+    other item is joined with the train rows by (user, item), and antecedents with all
+    requests met bring their consequents.  Every shuffle is keyed by (user, item) or
+    (user, antecedent), so a user with a huge basket is spread over many tasks.  The
+    rule side is one row per rule item: Catalyst broadcasts it if small, else AQE
+    splits a hot item's rows.
     """
     by_item = rules_by_item(rules, marked.where(~F.col("is_test")))
-    rows = marked.join(by_item, "item", "left")
-    some = F.when(~F.col("is_test"), F.coalesce("waiting", F.array())).otherwise(F.array())
-    request = lambda w: F.struct(w.key.alias("key"), F.size(w.others).alias("n"), w.consequents.alias("consequents"))
-    none = F.lit(None).cast(by_item.select(F.explode("waiting").alias("w")).select(request(F.col("w")).alias("q")).schema["q"].dataType)
-
-    def out(item, own, test, rec, ask):
-        return F.struct(item.alias("item"), F.lit(own).alias("own") if isinstance(own, int) else own.alias("own"),
-                        F.lit(test).alias("test") if isinstance(test, int) else test.alias("test"),
-                        F.lit(rec).alias("rec"), ask.alias("ask"))
-
-    own = F.array(out(F.col("item"), (~F.col("is_test")).cast("int"), F.col("is_test").cast("int"), 0, none))
-    fired = F.flatten(F.transform(F.filter(some, lambda w: F.size(w.others) == 0),
-                                  lambda w: F.transform(w.consequents, lambda c: out(c, 0, 0, 1, none))))
-    asked = F.flatten(F.transform(F.filter(some, lambda w: F.size(w.others) > 0),
-                                  lambda w: F.transform(w.others, lambda o: out(o, 0, 0, 0, request(w)))))
-    stream = rows.select("user_id", F.explode(F.concat(own, fired, asked)).alias("o")).select("user_id", "o.*")
-    # collect_list leaves nulls out: `asks` holds the requests for this item alone,
-    # at most one per antecedent.
-    merged = stream.groupBy("user_id", "item").agg(
-        F.max("own").alias("own"), F.max("test").alias("test"), F.max("rec").alias("rec"),
-        F.collect_list("ask").alias("asks"))
-    answered = (merged.where("own = 1").select("user_id", F.explode("asks").alias("ask"))
-                .groupBy("user_id", F.col("ask.key").alias("key"))
-                .agg(F.count(F.lit(1)).alias("n"), F.first("ask.n").alias("want"),
-                     F.first("ask.consequents").alias("consequents")).where("n = want"))
-    zero = F.lit(0)
-    late = answered.select("user_id", F.explode("consequents").alias("item"), zero.alias("own"),
-                           zero.alias("test"), F.lit(1).alias("rec"))
-    return (merged.select("user_id", "item", "own", "test", "rec").unionByName(late).groupBy("user_id", "item")
-            .agg(*[F.max(c).alias(c) for c in ("own", "test", "rec")]))
+    single = by_item.select("item", F.flatten(F.transform(F.filter("waiting", lambda w: F.size(w.others) == 0),
+                                                          lambda w: w.consequents)).alias("consequents"))
+    one, zero = F.lit(1), F.lit(0)
+    is_test = F.col("is_test").cast("int")
+    some = F.when(~F.col("is_test"), F.col("consequents"))
+    stream = (marked.join(single, "item", "left").select(
+        "user_id", "is_test", F.posexplode(F.concat(F.array("item"), F.coalesce(some, F.array())))
+        .alias("at", "item"))
+        .select("user_id", "item", F.when(F.col("at") == 0, 1 - is_test).otherwise(0).alias("own"),
+                F.when(F.col("at") == 0, is_test).otherwise(0).alias("test"), F.when(F.col("at") > 0, 1).otherwise(0).alias("rec")))
+    if by_item.where(F.exists("waiting", lambda w: F.size(w.others) > 0)).isEmpty():
+        return _merge(stream)
+    train = marked.where(~F.col("is_test")).select("user_id", "item")
+    longer = by_item.select("item", F.explode(F.filter("waiting", lambda w: F.size(w.others) > 0)).alias("w"))
+    asked = train.join(longer, "item").select("user_id", "w.key", F.size("w.others").alias("want"), "w.consequents",
+                                              F.explode("w.others").alias("item"))
+    met = (asked.join(train, ["user_id", "item"]).groupBy("user_id", "key", "want", "consequents")
+           .agg(F.count(one).alias("n")).where("n = want"))
+    late = met.select("user_id", F.explode("consequents").alias("item"), zero.alias("own"), zero.alias("test"), one.alias("rec"))
+    return _merge(stream.unionByName(late))
+
+
+def _merge(flags: DataFrame) -> DataFrame:
+    return flags.groupBy("user_id", "item").agg(*[F.max(c).alias(c) for c in ("own", "test", "rec")])
 
 
 def _user_items(pairs: DataFrame, user: str, item: str, assume_distinct: bool = False) -> DataFrame:
     """``(user_id, item)`` rows, de-duplicated unless the caller guarantees
-    distinct pairs (a repeated pair would answer a request twice)."""
+    distinct pairs (a repeated pair would meet a request twice)."""
     p = pairs.select(F.col(user).alias("user_id"), F.col(item).alias("item"))
     return p if assume_distinct else p.distinct()
 
