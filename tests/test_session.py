@@ -14,3 +14,14 @@ def test_cluster_conf_sizes_partitions_from_peak_shuffle():
 def test_checkpoint_dir_reads_session_setting(spark):
     d = checkpoint_dir(spark)
     assert d and spark.sparkContext.getCheckpointDir() is not None
+
+
+def test_release_deletes_a_written_table(spark):
+    import os
+
+    from prefmine.session import materialize, release
+    df = materialize(spark.range(5), "t")
+    path = df._table_path.removeprefix("file:")
+    assert df.count() == 5 and os.path.isdir(path)
+    release(df)
+    assert not os.path.exists(path)
