@@ -52,11 +52,6 @@ def free_name(df_columns: Sequence[str], name: str) -> str:
     return name
 
 
-def unsigned_unit(h: Column) -> Column:
-    """A 64-bit hash as a double in [0, 1)."""
-    return (F.shiftrightunsigned(h, 11).cast("double")) / F.lit(float(1 << 53))
-
-
 def prefix_sums(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str,
                 name: str, bucket: Column, buckets: int = PREFIX_BUCKETS) -> DataFrame:
     """``df`` with ``name``: the sum of ``value`` over the rows of its group that
