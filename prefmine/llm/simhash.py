@@ -96,9 +96,11 @@ def links(points: DataFrame, k: int, scratch: Scratch, wide: int = WIDE) -> Data
     """
     v = variants(points, k)
     # Counted by a combined aggregate and joined back, not by a window: a variant that
-    # very many fingerprints share is then never one task's work.
+    # very many fingerprints share is then never one task's work.  The counts grow with
+    # the corpus, so the join is a sort-merge join at every size, whose hot variants
+    # adaptive execution splits.
     often = scratch.write(v.groupBy("at", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    shared = scratch.write(v.join(often, ["at", "key"]))
+    shared = scratch.write(v.hint("merge").join(often, ["at", "key"]))
     narrow = shared.where(F.col("n") <= wide)
     pairs = (narrow.select("at", "key", F.col("fp").alias("a"))
              .join(narrow.select("at", "key", F.col("fp").alias("b")), ["at", "key"])
