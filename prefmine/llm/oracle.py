@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from prefmine.llm import mixing
+from prefmine.llm import mixing, quality, url_templates
 
 WORDS = r"CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT)"
 
@@ -67,4 +67,96 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS s
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5"""
 
-ORACLE_SQL = {"op6_mixing": MIXING, "op7_maxscore": MAXSCORE}
+def _re(pattern: str) -> str:
+    """A Python pattern as a SQL string for RE2, whose \w and \W know ASCII alone."""
+    return "'" + pattern.replace(r"\W", r"[^\p{L}\p{N}_]").replace(r"\w", r"[\p{L}\p{N}_]").replace("'", "''") + "'"
+
+
+def line_quality(rules: quality.Rules = quality.Rules()) -> str:
+    symbols = "len(regexp_extract_all({}, '[#*$%&|<>]'))"
+    navigation, boilerplate = (_re("(?i)" + p.pattern) for p in (quality.NAVIGATION, quality.BOILERPLATE))
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+p AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM w),
+g AS (SELECT doc_id, i, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' '
+                        || lead(w, 4) OVER o AS g FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+twice AS (SELECT doc_id, g FROM g WHERE g IS NOT NULL GROUP BY doc_id, g HAVING count(*) > 1),
+cover AS (SELECT g.doc_id, count(DISTINCT g.i + k.k) AS n FROM g JOIN twice USING (doc_id, g), range(0, 5) k(k) GROUP BY g.doc_id),
+l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
+n AS (SELECT doc_id, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM l),
+f AS (SELECT doc_id, line, n,
+             len(regexp_extract_all(line, {_re(quality.SEPARATORS.pattern)})) > greatest(1, n // 8)
+             OR regexp_matches(line, {navigation})
+             OR {symbols.format('line')} > {rules.symbols}e0 * n
+             OR len(line) - len(replace(line, '!', '')) > 1 + {rules.shouts}e0 * n
+             OR (n <= 60 AND regexp_matches(line, {boilerplate}))
+             OR (NOT regexp_matches(right(line, 64), {_re(quality.TERMINAL.pattern)})
+                 AND NOT regexp_matches(line, {_re(quality.SENTENCE.pattern)})) AS fails
+      FROM n WHERE n > 0),
+x AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dup, CAST(coalesce(sum(n) FILTER (WHERE fails), 0) AS BIGINT) AS lost
+      FROM f GROUP BY doc_id),
+a AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+             CAST({symbols.format('t')} AS BIGINT) AS n_symbols, coalesce(x.dup, 0) AS n_dup_lines,
+             coalesce(cover.n, 0) AS n_repeat_words, coalesce(x.lost, 0) AS lost_words
+      FROM w LEFT JOIN x ON x.doc_id = w.doc_id LEFT JOIN cover ON cover.doc_id = w.doc_id),
+b AS (SELECT *, n_words < {rules.min_words} OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM a)
+SELECT *, NOT base_failed AND lost_words <= {rules.lost}e0 * n_words AS kept FROM b"""
+
+
+def url_filter(rules, depth: int = 8, z: float = 2.58, smoothing: float = 8.0, reject: float = 0.5) -> str:
+    ending = r"\.[A-Za-z][A-Za-z0-9]{0,4}$"
+    name = f"regexp_replace(s, '{ending}', '')"
+    tests = ((r"regexp_matches({}, '^\d{{4}}[-_]\d{{2}}([-_]\d{{2}})?$')", "date"), (r"regexp_matches({}, '^\d+$')", "number"),
+             (r"regexp_matches({}, '^[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}$')", "uuid"),
+             (r"regexp_matches({0}, '^[0-9a-fA-F]{{8,}}$') AND regexp_matches({0}, '\d')", "hash"),
+             (r"regexp_matches({0}, '\d') AND len({0}) >= 12", "mixed"))
+    kinds = " ".join(f"WHEN {t.format(name)} THEN '{{{k}}}' || regexp_extract(s, '({ending[:-1]})$', 1)" for t, k in tests)
+    fits = lambda r: (f"(host = '{r[: r.index('/')]}' OR ends_with(host, '.{r[: r.index('/')]}')) "
+                      f"AND starts_with(path, '{r[r.index('/'):]}')")
+    longest = sorted(rules, key=lambda r: (-len(r[1]), r[1]), reverse=False)
+    case = lambda i: "CASE " + " ".join(f"WHEN {fits(r[1])} THEN '{r[i]}'" for r in longest) + " END"
+    levels = ["t0 AS (SELECT *, '' AS node FROM counts)"]
+    for i in range(depth):
+        levels.append(f"""
+c{i} AS (SELECT host, node, segs[{i + 1}] AS child, sum(n) AS cn, sum(b) AS cb FROM t{i} GROUP BY 1, 2, 3),
+p{i} AS (SELECT host, node, CAST(sum(cb) AS DOUBLE) / sum(cn) AS p, sum(cn) AS pn, sum(cb) AS pb FROM c{i} GROUP BY 1, 2 HAVING sum(cn) > 0),
+a{i} AS (SELECT c.host, c.node, c.child FROM c{i} c JOIN p{i} p ON p.host = c.host AND p.node = c.node
+         WHERE c.child IS NOT NULL AND c.cn > 0 AND p.pb > 0 AND p.pb < p.pn
+           AND abs(CAST(c.cb AS DOUBLE) / c.cn - p.p) / sqrt(p.p * (1 - p.p) / c.cn) > {z}e0),
+t{i + 1} AS (SELECT t.host, t.raw, t.segs, t.n, t.b,
+                    t.node || CASE WHEN t.segs[{i + 1}] IS NULL THEN '' WHEN a.child IS NOT NULL THEN '/' || a.child ELSE '/*' END AS node
+             FROM t{i} t LEFT JOIN a{i} a ON a.host = t.host AND a.node = t.node AND a.child = t.segs[{i + 1}])""")
+    smooth = f"({{}} + {smoothing}e0 * {{}}) / ({{}} + {smoothing}e0)"
+    return f"""
+WITH lab AS (SELECT doc_id, bool_or(quality = 0 OR toxic = 1) AS bad FROM labels GROUP BY doc_id),
+r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+h AS (SELECT page_id, translate(coalesce(regexp_extract(rest, '^([^/?#]*)', 1), ''), '{url_templates.UPPER}', '{url_templates.LOWER}') AS host,
+             coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM r),
+m AS (SELECT h.*, lab.bad FROM h LEFT JOIN lab ON lab.doc_id =
+        TRY_CAST(nullif(regexp_extract(path, '/([0-9]{{1,18}})(?:[.][A-Za-z]+)?/?$', 1), '') AS BIGINT)),
+q AS (SELECT *, string_split(regexp_replace(path, '^/', ''), '/') AS parts FROM m),
+e AS (SELECT page_id, host, path, bad, CASE WHEN len(parts) > {depth} THEN list_concat(parts[1:{depth - 1}], ['**']) ELSE parts END AS parts FROM q),
+u AS (SELECT page_id, unnest(parts) AS s, generate_subscripts(parts, 1) AS i FROM e),
+v AS (SELECT page_id, i, CASE {kinds} ELSE s END AS s FROM u),
+y AS (SELECT page_id, list(s ORDER BY i) AS segs, string_agg(s, '/' ORDER BY i) AS raw FROM v GROUP BY page_id),
+k AS (SELECT e.page_id, e.host, e.path, e.bad, y.segs, y.raw FROM e JOIN y ON y.page_id = e.page_id),
+counts AS (SELECT host, raw, segs, count(bad) AS n, coalesce(sum(CAST(bad AS INTEGER)), 0) AS b FROM k GROUP BY host, raw, segs),
+{",".join(levels)},
+every AS (SELECT CASE WHEN sum(n) > 0 THEN CAST(sum(b) AS DOUBLE) / sum(n) ELSE 0e0 END AS prior FROM counts),
+hosts AS (SELECT host, {smooth.format('sum(b)', '(SELECT prior FROM every)', 'sum(n)')} AS share FROM counts GROUP BY host),
+leaf AS (SELECT t.host, t.node, {smooth.format('sum(t.b)', 'any_value(hosts.share)', 'sum(t.n)')} AS share
+         FROM t{depth} t JOIN hosts ON hosts.host = t.host GROUP BY t.host, t.node),
+z AS (SELECT k.page_id, k.host, k.path, t.node AS template, leaf.share
+      FROM k JOIN t{depth} t ON t.host = k.host AND t.raw = k.raw JOIN leaf ON leaf.host = t.host AND leaf.node = t.node)
+SELECT page_id, host, path, {case(1)} AS rule,
+       coalesce({case(0)}, CASE WHEN share >= {reject}e0 THEN 'block' ELSE 'allow' END) AS verdict,
+       template, round(share, 9) AS bad_share FROM z"""
+
+
+# Rules of the registered URL filter: (verdict, host and path).
+URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"),
+             ("block", "net/fr/"))
+
+ORACLE_SQL = {"op5_line_quality": line_quality(), "op6_mixing": MIXING, "op7_maxscore": MAXSCORE,
+              "op10_url_templates": url_filter(URL_RULES)}

@@ -12,14 +12,11 @@ from pyspark.sql import functions as F
 
 from prefmine.llm import chat, kd_shards, maxscore, mixing, packing, pii, quality, simhash, token_counts, url_templates
 from prefmine.llm.common import Scratch
-from prefmine.llm.oracle import ORACLE_SQL as ORACLE_SQL
+from prefmine.llm.oracle import ORACLE_SQL as ORACLE_SQL, URL_RULES
 
 # Maximum sequence length of a document, in tokens.
 TOKEN_LIMIT = 2048
 SHARDS = 8
-# Rules of the URL filter: (verdict, host and path).
-URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"),
-             ("block", "net/fr/"))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -100,7 +97,7 @@ def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = named.withColumn("names", F.when(F.col("names") != "", F.col("names").cast("long")))
     labelled = named.join(labels, named.names == labels.doc_id, "left").select("page_id", "url", "bad")
     return url_templates.filter_urls(Scratch(spark, "op10").write(labelled), URL_RULES).select(
-        "page_id", "host", "path", "rule", "verdict", "template", "bad_share")
+        "page_id", "host", "path", "rule", "verdict", "template", F.round("bad_share", 9).alias("bad_share"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -133,4 +133,4 @@ def test_every_operator_is_registered():
 
     names = entry.queries()
     assert [sum(q.startswith(f"op{n}_") for q in names) for n in range(1, 11)] == [1] * 10
-    assert "pipeline" in names and set(queries.ORACLE_SQL) <= set(entry.oracle_sql())
+    assert "pipeline" in names and set(queries.ORACLE_SQL) <= set(entry.oracle_sql()) and len(queries.ORACLE_SQL) == 4
