@@ -24,6 +24,7 @@ OPEN_CITY = "NATION_1"       # city of the distinct-pairs query (equality)
 ALS_RANK = 200
 ALS_MAX_ITER = 20
 ALS_REG = 0.1
+ALS_BLOCKS = 16          # factor blocks: two waves of tasks on eight cores
 ALS_RUNS = 3
 ALS_FOLDS = 3
 ALS_GRID_RANKS = (50, 100, 200)

@@ -334,7 +334,7 @@ QUERIES.update({
 # any correct fit (finite predictions, equal after reload).  The operators in
 # prefmine.operators.als return the RMSE and seconds themselves.
 
-ALS_ARGS = {"rank": P.ALS_RANK, "max_iter": P.ALS_MAX_ITER, "reg_param": P.ALS_REG}
+ALS_ARGS = {"rank": P.ALS_RANK, "max_iter": P.ALS_MAX_ITER, "reg_param": P.ALS_REG, "num_blocks": P.ALS_BLOCKS}
 
 
 def _finite(c):
