@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -209,11 +210,10 @@ def _decoded(rows: DataFrame, model: Model, scratch: Scratch, block_rows: int) -
     matrices = scratch.write(dealt(blocks, *key).groupBy("deal").applyInPandas(summed, f"{kinds}, m array<double>"))
 
     def borders(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, c in pdf.sort_values(key).groupby("conv", sort=False):
-            ends = chain([np.array(m).reshape(N, N) for m in c["m"]])
-            out.append(c[key].assign(enter=[a for a, _ in ends], leave=[b for _, b in ends]))
-        return pd.concat(out)
+        pdf, ends = pdf.sort_values(key), []
+        for _, c in groupby(zip(pdf["conv"], pdf["m"]), key=lambda r: r[0]):
+            ends += chain([np.array(m).reshape(N, N) for _, m in c])
+        return pdf[key].assign(enter=[a for a, _ in ends], leave=[b for _, b in ends])
 
     ends = scratch.write(dealt(matrices, "conv").groupBy("deal").applyInPandas(borders, f"{kinds}, enter int, leave int"))
     with_ends = blocks.join(ends, key)
