@@ -68,7 +68,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5"""
 
 def _re(pattern: str) -> str:
-    """A Python pattern as a SQL string for RE2, whose \w and \W know ASCII alone."""
+    r"""A Python pattern as a SQL string for RE2, whose \w and \W know ASCII alone."""
     return "'" + pattern.replace(r"\W", r"[^\p{L}\p{N}_]").replace(r"\w", r"[\p{L}\p{N}_]").replace("'", "''") + "'"
 
 
