@@ -46,13 +46,14 @@ def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in training order, as often as their source's target takes them."""
+    """Documents in training order, as often as their source's target takes them.  The
+    columns stay those of ``docs``; the order goes on as that of the written rows."""
     return mixing.mix(docs).select(*docs.columns)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents packed into sequences."""
-    return packing.pack(docs)
+    """Pieces of documents packed into sequences; bin ids ascend along the training order."""
+    return packing.pack(docs, order=mixing.written_order(docs))
 
 
 STAGES = [

@@ -76,6 +76,21 @@ def prefix_sums(df: DataFrame, group: Sequence[str], order: Sequence[str], value
             .drop(off, b))
 
 
+def places(df: DataFrame, order: Sequence[str], name: str, scratch: Scratch) -> DataFrame:
+    """``df`` with ``name``: the place (from 0) of each row in the order of the columns
+    ``order``, which are unique together.  Range partitions are sorted and written;
+    the rows of the partitions before are one number per partition.  No task holds
+    more than its range, whatever repeats among the leading columns.
+    """
+    at, part, off = (free_name(df.columns, n) for n in ("at_", "part_", "offset_"))
+    d = scratch.write(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()))
+    d = d.withColumn(part, F.shiftright(at, 33))  # as monotonically_increasing_id makes it
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = scratch.write(d.groupBy(part).agg(F.count(F.lit(1)).alias(off))
+                            .withColumn(off, F.coalesce(F.sum(off).over(before), F.lit(0))))
+    return d.join(offsets, part).withColumn(name, F.col(off) + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).drop(at, part, off)
+
+
 def pieces(text: str, size: int = 1 << 18) -> Iterator[str]:
     """``text`` in slices of about ``size`` characters, cut only in front of
     ASCII white space, so no word is cut however long the text is."""

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -169,3 +170,18 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     p = plan(docs, keep=docs.columns, **options)
     copies = p.select("kept", F.explode("positions").alias("position"))
     return copies.repartitionByRange("position").sortWithinPartitions("position").select("kept.*")
+
+
+def written_order(mixed: DataFrame) -> list[Column]:
+    """Columns that put a table written from :func:`mix` back into training order: the
+    number of the partition that wrote the file, the file's number in it, and the row's
+    place in the file.  None for a table that was not read from files, whose rows
+    stand in training order as they are."""
+    try:
+        meta = mixed.metadataColumn("_metadata")
+        mixed.select(meta["row_index"]).schema
+    except AnalysisException:
+        return []
+    name = meta["file_name"]
+    return [F.regexp_extract(name, r"^part-(\d+)", 1).try_cast("long"), F.regexp_extract(name, r"-c(\d+)\.", 1).try_cast("long"),
+            name, meta["row_index"]]

@@ -13,10 +13,10 @@ from bisect import bisect_left, insort
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefmine.llm.common import Scratch
+from prefmine.llm.common import Scratch, places
 from prefmine.llm.mixing import word_count
 
 BIN_BITS = 32
@@ -64,8 +64,19 @@ def _codes(values: pd.Series, shared_only: bool) -> list[int]:
     return codes.tolist()
 
 
+def _along(bins: Sequence[int], words: Sequence[int], rows: Sequence[int]) -> dict[int, int]:
+    """New numbers of the bins: by the mean row of their words."""
+    held: dict[int, list[int]] = {}
+    for b, n, i in zip(bins, words, rows):
+        h = held.setdefault(b, [0, 0])
+        h[0] += n * i
+        h[1] += n
+    return {b: k for k, b in enumerate(sorted(held, key=lambda b: (held[b][0] / held[b][1], b)))}
+
+
 def pack(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text: str = "text", source: str = "source",
-         cluster: str | None = None, per_source: int = 4, block_rows: int = 4096) -> DataFrame:
+         cluster: str | None = None, per_source: int = 4, block_rows: int = 4096,
+         order: Sequence[Column] | None = None) -> DataFrame:
     """A row for every piece: (id, part, start_word, n_words, bin, bin_offset).
 
     A document longer than ``capacity`` words is cut into full pieces, which fill a
@@ -78,13 +89,24 @@ def pack(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text: st
     Rows are dealt to blocks of about ``block_rows`` by a hash of their place in a
     written table, so neither a source nor a group of copies can fill a block; bins
     never span blocks.  Bin ids are unique, not consecutive.
+
+    With ``order`` (columns; none: the rows as they stand) the blocks are contiguous
+    ranges of that order instead, ties as the rows stand, and bin ids ascend along it:
+    block by block, and in a block by the mean place of the words in the bin.
     """
     scratch = Scratch(docs.sparkSession, "packing")
     dup = F.xxhash64(text) if cluster is None else F.when(F.col(cluster).isNotNull(), F.xxhash64(cluster))
     rows = scratch.write(docs.select(F.col(id_col).alias("id"), word_count(text).alias("n"), F.col(source).alias("src"),
-                                     dup.alias("dup"), F.monotonically_increasing_id().alias("row")))
-    blocks = max(1, -(-rows.count() // block_rows))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
+                                     dup.alias("dup"), F.monotonically_increasing_id().alias("row"),
+                                     *[c.alias(f"order{i}") for i, c in enumerate(order or [])]))
+    count = rows.count()
+    blocks, ordered = max(1, -(-count // block_rows)), order is not None
+    if not ordered:
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
+    else:
+        rows = places(rows, [*[f"order{i}" for i in range(len(order))], "row"], "place", scratch)
+        rows = rows.select("id", "n", "src", "dup", F.col("place").alias("row"),
+                           F.floor(F.col("place") * blocks / max(1, count)).alias("block"))
     id_type = rows.schema["id"].dataType.simpleString()
 
     def pack_block(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -95,17 +117,25 @@ def pack(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text: st
         bins, offsets, used = best_fit(rest[some].tolist(), _codes(pdf["src"][some], False),
                                        _codes(pdf["dup"][some], True), capacity, per_source)
         placed = dict(zip(some, zip(bins, offsets)))
-        out = []
+        out, at = [], []
         for i, (ident, n) in enumerate(zip(pdf["id"], pdf["n"])):
             full = n // capacity
             for part in range(full):
-                out.append((ident, part, part * capacity, capacity, base + used, 0))
+                out.append((ident, part, part * capacity, capacity, used, 0))
+                at.append(i)
                 used += 1
             if i in placed:
                 b, offset = placed[i]
-                out.append((ident, full, full * capacity, n - full * capacity, base + b, offset))
+                out.append((ident, full, full * capacity, n - full * capacity, b, offset))
+                at.append(i)
             elif not n:
                 out.append((ident, 0, 0, 0, None, None))
+                at.append(i)
+        if ordered:
+            filled = [(r[4], r[3], i) for r, i in zip(out, at) if r[4] is not None]
+            number = _along(*zip(*filled)) if filled else {}
+            out = [(*r[:4], number.get(r[4]), r[5]) for r in out]
+        out = [(*r[:4], None if r[4] is None else base + r[4], r[5]) for r in out]
         out = pd.DataFrame(out, columns=["id", "part", "start_word", "n_words", "bin", "bin_offset"])
         return out.astype({"bin": "Int64", "bin_offset": "Int64", **({"id": "Int64"} if id_type == "bigint" else {})})
 

@@ -5,7 +5,9 @@ import pytest
 from llm_fixtures import SF001, messy, nothing  # noqa: F401
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from prefmine.llm import mixing, packing
+from prefmine.llm.common import Scratch
 
 
 def sized(spark, sizes, text="word "):
@@ -156,3 +158,32 @@ def test_packing_of_messy_rows(messy):
     empty = [r for r in out if r.bin is None]
     assert len(empty) == sum(not (r.text or "").split() for r in messy.collect())
     assert all((r.part, r.n_words) == (0, 0) for r in empty)
+
+
+def test_bins_follow_the_schedule(spark):
+    """Through the pipeline's stages: another schedule gives another order of bins."""
+    docs = sized(spark, [(s, 600) for s in "abc"] * 300)
+    for schedules, sign in ((mixing.SCHEDULES, 1), (mixing.SCHEDULES[::-1], -1)):
+        mixed = Scratch(spark, "t").write(mixing.mix(docs, schedules=schedules))
+        out = corpus_pipeline.sequences(spark, mixed, "").join(docs.select("doc_id", "source"), "doc_id").orderBy("bin").collect()
+        share = lambda rs, s: sum(r.source == s for r in rs) / len(rs)
+        early, late = out[: len(out) // 4], out[-len(out) // 4:]
+        assert sign * (share(early, "a") - share(late, "a")) > 0.1 and sign * (share(early, "c") - share(late, "c")) < -0.05
+
+
+@pytest.mark.parametrize("written", [True, False])
+def test_blocks_are_ranges_of_the_order(spark, written):
+    """Bins of later blocks hold later rows; none is lost, ties and nulls included."""
+    rng = random.Random(8)
+    rows = [(i, "word " * rng.choice([0, 1, 30, 99, 250]), f"s{i % 9}", rng.choice([None, *range(40)])) for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, at long").repartition(5)
+    df = Scratch(spark, "t").write(df) if written else df
+    out = packing.pack(df, capacity=100, block_rows=64, order=[F.col("at")]).collect()
+    assert sum(r.n_words for r in out) == sum(len(t.split()) for _, t, _, _ in rows) and {r.doc_id for r in out} == set(range(700))
+    at = {i: -1 if a is None else a for i, _, _, a in rows}
+    blocks = defaultdict(list)
+    for r in out:
+        if r.bin is not None:
+            blocks[r.bin >> packing.BIN_BITS].append(at[r.doc_id])
+    assert sorted(blocks) == list(range(11))
+    assert all(max(blocks[b]) <= min(blocks[b + 1]) for b in range(10))
