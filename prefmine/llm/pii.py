@@ -16,23 +16,48 @@ from pyspark.sql import functions as F
 
 ROUNDS = 10
 
-# What is found (Java regular expressions), tried in this order at each place.
+# Lengths of bank account numbers (IBAN registry).
+IBAN_LENGTHS = {land: n for n, lands in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK ST TN VG", 25: "LY PT",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for land in lands.split()}
+
+
+def _iban_pattern() -> str:
+    """Groups of four to the country's length; for other countries any fitting length."""
+    by_length: dict[int, list[str]] = {}
+    for land, n in IBAN_LENGTHS.items():
+        by_length.setdefault(n, []).append(land)
+    fixed = [rf"(?:{'|'.join(lands)})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+             for n, lands in by_length.items()]
+    other = rf"(?!{'|'.join(IBAN_LENGTHS)})[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?"
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}\d{{2}})(?:{'|'.join([*fixed, other])})(?![A-Za-z0-9])"
+
+
+# What is found (Java regular expressions), tried in this order at each place.  A
+# secret is found with its closing quote, in which no other find ends: that tells it
+# from numbers of the same shape.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "secret": r"(?<=[\"'])(?<=(?i:token|secret|passwd|password|api_key|api-key|apikey)[\"']? ?[=:] ?[\"'])(?=[^\"']*\d)[A-Za-z0-9_+/=-]{16,512}+(?=[\"'])",
+    "secret": r"(?<=[\"'])(?<=(?i:token|secret|passwd|password|api_key|api-key|apikey)[\"']? ?[=:] ?[\"'])(?=[^\"']*\d)[A-Za-z0-9_+/=-]{16,}+[\"']",
     "ipv4": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)",
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4}|\d{2}-\d{2}-\d{4})(?![./-]?\d)",
     "phone": r"(?<![\d+])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
              r"|(?<![\d+])\+[2-9]\d{0,2}[ -]?(?:\(\d{1,4}\)[ -]?)?\d{2,4}(?:[ -]?\d{2,4}){1,3}(?!\d)"
              r"|(?<![\d(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d.-])\d{3}(?<sepa>[.-])\d{3}\k<sepa>\d{4}(?![.-]?\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": _iban_pattern(),
     "card": r"(?<!\d)(?:\d{4}(?<sepb>[ -])\d{4}\k<sepb>\d{4}\k<sepb>\d{4}|\d{4}(?<sepc>[ -])\d{6}\k<sepc>\d{5}|\d{13,19})(?!\d)",
 }
 FOUND = "|".join(f"(?:{p})" for p in PATTERNS.values())
+_SECRET = "[\"']$"
 # Every find has a digit or an at sign; texts without either are not searched.
 CHEAP = "[0-9@]"
 
+# Halves of a permuted text over this many characters stand as their digest in the rounds.
+LONG_HALF = 256
+
 # Days of the 400 years from 1700-01-01 on: 146,097 = 189 * 773.
 FIRST_DAY, DAYS_A, DAYS_B = "1700-01-01", 189, 773
 # Valid social security numbers: 898 areas (001-899 but 666), 99 groups, 9999 serials.
@@ -82,13 +107,16 @@ def permute_text(s: Column, key: str, kind: str) -> Column:
     """A keyed permutation of the strings of one shape: digits stay digits, lower
     and upper case letters stay such, all else stays as it is.  A Feistel network
     over the two halves; each round shifts every character of one half inside its
-    class by a keyed function of the other half."""
+    class by a keyed function of the other half (of its digest, if it is long: the
+    work is linear in the length)."""
     half = (F.length(s) / 2).cast("int")
     start = F.struct(F.substr(s, F.lit(1), half).alias("l"), F.substr(s, half + 1, F.length(s)).alias("r"))
 
     def shifted(moving: Column, fixed: Column, i: Column, side: str) -> Column:
         chars = F.filter(F.split(moving, ""), lambda c: c != "")
-        return F.array_join(F.transform(chars, lambda c, j: _shift_char(c, _prf(key, kind, i, F.lit(side), j, fixed))), "")
+        told = F.when(F.length(fixed) > LONG_HALF, F.sha2(fixed, 256)).otherwise(fixed)
+        return _let(told, lambda f: F.array_join(F.transform(chars, lambda c, j: _shift_char(
+            c, _prf(key, kind, i, F.lit(side), j, f))), ""))
 
     def step(st: Column, i: Column) -> Column:
         return _let(F.struct(shifted(st.l, st.r, i, "l").alias("l"), st.r.alias("r")), lambda t: F.struct(
@@ -192,7 +220,9 @@ def mod97(s: Column) -> Column:
 
 def is_iban(s: Column) -> Column:
     plain = F.replace(s, F.lit(" "), F.lit(""))
-    return (F.length(plain) <= 34) & (mod97(F.concat(F.substr(plain, F.lit(5), F.length(plain)), F.substr(plain, F.lit(1), F.lit(4)))) == 1)
+    lengths = F.create_map(*[F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair])
+    n = F.try_element_at(lengths, F.substr(plain, F.lit(1), F.lit(2)))
+    return F.coalesce(F.length(plain) == n, F.length(plain).between(12, 34)) & (mod97(F.concat(F.substr(plain, F.lit(5), F.length(plain)), F.substr(plain, F.lit(1), F.lit(4)))) == 1)
 
 
 def iban(s: Column, key: str) -> Column:
@@ -212,6 +242,15 @@ def iban(s: Column, key: str) -> Column:
         F.struct(F.concat(a.out, F.substr(m, a["at"], F.lit(1))).alias("out"), (a["at"] + 1).alias("at"))), lambda a: a.out))
 
 
+def iban_and_tail(s: Column, key: str) -> Column:
+    """The longest valid account number that ``s`` begins with, up to a space or the
+    end, replaced; what follows, or all if there is none, stays."""
+    groups = F.split(s, " ")
+    starts = F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(groups, F.lit(1), k), " "))
+    return _let(F.get(F.filter(starts, is_iban), F.lit(0)), lambda v: F.coalesce(
+        F.concat(iban(v, key), F.substr(s, F.length(v) + 1, F.length(s))), s))
+
+
 def phone(s: Column, key: str) -> Column:
     """All digits but a leading country code, in place."""
     code = F.regexp_extract(s, r"^\+\d{1,3}(?=[ .(-])|^\+\d", 0)
@@ -226,15 +265,17 @@ def email(s: Column, key: str) -> Column:
 
 
 def pseudonym(s: Column, key: str) -> Column:
-    """The pseudonym of one found string, or the string itself if it is not valid."""
-    return (F.when(s.contains("@"), email(s, key))
+    """The pseudonym of one found string (a secret with its closing quote), or the string
+    itself if it is not valid."""
+    bare = F.substr(s, F.lit(1), F.length(s) - 1)
+    return (F.when(s.rlike(_SECRET), F.concat(permute_text(bare, key, "secret"), F.right(s, F.lit(1))))
+            .when(s.contains("@"), email(s, key))
             .when(s.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), ipv4(s, key))
             .when(s.rlike(r"^(\d{4}[-/]\d{2}[-/]\d{2}|\d{2}[-/.]\d{2}[-/.]\d{4})$"), F.coalesce(date(s, key), s))
             .when(s.rlike(r"^\d{3}-\d{2}-\d{4}$"), F.when(is_ssn(s), ssn(s, key)).otherwise(s))
             .when(s.rlike(r"^[+(]|^\d{3}[.-]\d{3}[.-]\d{4}$"), phone(s, key))
-            .when(s.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9 ]{8,}$"), F.when(is_iban(s), iban(s, key)).otherwise(s))
-            .when(s.rlike(r"^[\d -]{13,23}$"), F.when(is_card(s), card(s, key)).otherwise(s))
-            .otherwise(permute_text(s, key, "secret")))
+            .when(s.rlike(r"^[A-Z]{2}"), iban_and_tail(s, key))
+            .otherwise(F.when(is_card(s), card(s, key)).otherwise(s)))
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -261,4 +302,5 @@ def _found(t: Column) -> Column:
 def finds(text: str = "text") -> Column:
     """Array of the strings that the patterns find in the text, before validation."""
     t = F.col(text)
-    return F.when(t.rlike(CHEAP), _found(t)).otherwise(F.array().cast("array<string>"))
+    bare = F.transform(_found(t), lambda s: F.regexp_replace(s, _SECRET, ""))
+    return F.when(t.rlike(CHEAP), bare).otherwise(F.array().cast("array<string>"))

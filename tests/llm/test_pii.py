@@ -136,3 +136,36 @@ def test_messy_and_empty_tables(spark, messy, nothing):
 def test_long_texts(spark, value):
     out = run(spark, [("lorem ipsum dolor " * 20000) + value])[0]
     assert value not in out and out.startswith("lorem ipsum") and len(out) >= 360000
+
+
+def test_words_after_a_bank_account(spark):
+    def ok(s):
+        return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+    numbers = ["ES91 2100 0418 4502 0005 1332", "ES9121000418450200051332", "BE68 5390 0754 7034", "NO93 8601 1117 947"]
+    body = "12345678901234"  # a country without a fixed length
+    numbers.append(f"ZZ{98 - int(body + '353500') % 97:02} 1234 5678 9012 34")
+    for tail in (" BIC CAIXESBB", " THIS", " 4111 1111 1111 1111"):
+        for a, b in zip(numbers, run(spark, [n + tail for n in numbers])):
+            assert ok(a.replace(" ", "")) and ok(b[: len(a)].replace(" ", "")) and b[: len(a)] != a
+            assert [c == " " for c in b[: len(a)]] == [c == " " for c in a]
+            if "4111" not in tail:
+                assert b[len(a):] == tail
+            elif a[:2] != "ZZ":
+                assert luhn(b[len(a):]) and b[len(a):] != tail
+
+
+@pytest.mark.parametrize("secret", ["1234567890123456", "12345678901234567890123", "AB12CD34EF56GH78", "1984-02-29-000000", "+a8Zk3/Qw+9xPq7Lm==",
+                                    "0123456789012345678901234567890123456789", "k3" * 300, "Zz9_" * 5000])
+def test_a_secret_of_any_shape_or_length(spark, secret):
+    text = f"x token = '{secret}' y 4111111111111111"
+    out = run(spark, [text, text])
+    assert out[0] == out[1] and out[0].startswith("x token = '") and luhn(out[0][-16:]) and out[0][-19:-16] == " y "
+    got = out[0][11: 11 + len(secret)]
+    shape = lambda s: re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub(r"\d", "0", s)))
+    assert got != secret and shape(got) == shape(secret)
+    assert sum(a != b for a, b in zip(got, secret)) > len(re.sub(r"\W|_", "", secret)) / 2
+    if len(secret) <= 512:
+        assert undo_text(got, KEY, "secret") == secret
+    df = spark.createDataFrame([(text,)], "text string")
+    assert df.select(pii.finds()).first()[0] == [secret, "4111111111111111"]
