@@ -9,8 +9,8 @@ and lines of one role become one canonical turn.
 
 Conversations are decoded in blocks of a bounded number of rows: each block is
 summed up as a matrix (best score from every role before it to every role at its
-end), the matrices of a conversation give the roles at the block borders, and
-with those every block is decoded on its own.  That is exact, and a conversation
+end), the matrices of a conversation give the roles at the block borders (through
+their products, in a tree of bounded groups), and with those every block is decoded on its own.  That is exact, and a conversation
 with a third of all rows is spread over many tasks.
 """
 
@@ -18,14 +18,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefmine.llm.common import Scratch
+from prefmine.llm.common import Scratch, places
 
 ROLES = ("system", "user", "assistant")
 N = len(ROLES)
@@ -45,6 +44,7 @@ CLOSER = re.compile(r"\s*(?:<\|im_end\|>|\[/INST\]|<</SYS>>)\s*$", re.I)
 FEATURES = 10  # ends with a question mark or not, five classes of length
 SPEAKER_TRUST, SWITCH = 0.97, 0.02
 GROUP_ROWS = 4096
+FAN = 512  # matrices of a conversation that are multiplied in one call
 
 
 def speaker_class(label: str | None) -> int:
@@ -131,15 +131,15 @@ class Model:
         return [[next(flat) for _ in codes] for codes in rows]
 
 
-def chain(matrices: list[np.ndarray]) -> list[tuple[int, int]]:
-    """(role before, role at the end) of each block on the best path over all."""
-    score, back = np.zeros(N), []
-    score[1:] = -np.inf  # what stands before a conversation is role 0 by convention
+def chain(matrices: list[np.ndarray], enter: int = 0, leave: int | None = None) -> list[tuple[int, int]]:
+    """(role before, role at the end) of each block on the best path over all, from the
+    role ``enter`` (before a conversation: 0 by convention) to the best or given end."""
+    score, back = np.where(np.arange(N) == enter, 0.0, -np.inf), []
     for m in matrices:
         reach = score[:, None] + m
         back.append(reach.argmax(0))
         score = reach.max(0)
-    state, out = int(score.argmax()), []
+    state, out = int(score.argmax()) if leave is None else leave, []
     for b in reversed(back):
         before = int(b[state])
         out.append((before, state))
@@ -177,23 +177,62 @@ def _observed(speaker: Column, text: Column) -> Column:
     return see(speaker, text)
 
 
-def _decoded(rows: DataFrame, model: Model, scratch: Scratch, block_rows: int) -> DataFrame:
+def _blocks(rows: DataFrame, scratch: Scratch, block_rows: int) -> DataFrame:
+    """``rows`` with ``place`` and ``block``: no more than ``block_rows`` consecutive rows of
+    a conversation, in the order (turn, hash, row), which repeated rows share by row.
+    The first place of a conversation comes to its rows by (conversation, stretch of
+    places), so no key has many rows."""
+    placed = places(rows, ["conv", "turn", "hash", "row"], "place", scratch)
+    placed = placed.withColumn("stretch", F.floor(F.col("place") / GROUP_ROWS))
+    runs = scratch.write(placed.groupBy("conv", "stretch").agg(F.min("place").alias("start")))
+    starts = runs.groupBy("conv").agg(F.min("start").alias("start"))
+    starts = scratch.write(runs.select("conv", "stretch").join(starts, "conv"))
+    return scratch.write(placed.join(starts, ["conv", "stretch"]).select(
+        "row", "conv", "place", "obs", F.floor((F.col("place") - F.col("start")) / block_rows).alias("block")))
+
+
+def _borders(matrices: DataFrame, scratch: Scratch, dealt, fan: int) -> DataFrame:
+    """(conv, block, enter, leave) from (conv, block, m).  Max-plus products of up to
+    ``fan`` matrices in a row, level by level until ``fan`` are left of a conversation; then
+    down again, the ends of a product giving those of its factors."""
+    def product(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for k, c in pdf.sort_values(["conv", "up", "block"]).groupby(["conv", "up"], sort=False):
+            best = None
+            for m in c["m"]:
+                m = np.array(m).reshape(N, N)
+                best = m if best is None else (best[:, :, None] + m[None]).max(1)
+            out.append((*k, best.ravel().tolist()))
+        return pd.DataFrame(out, columns=["conv", "block", "m"])
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, ends = pdf.sort_values(["conv", "up", "block"]), []
+        for _, c in pdf.groupby(["conv", "up"], sort=False):
+            leave = c["leave"].iloc[0]
+            ends += chain([np.array(m).reshape(N, N) for m in c["m"]], int(c["enter"].iloc[0]), None if pd.isna(leave) else int(leave))
+        return pdf[["conv", "block"]].assign(enter=[a for a, _ in ends], leave=[b for _, b in ends])
+
+    last = matrices.agg(F.max("block")).first()[0] or 0
+    levels = [matrices.withColumn("up", F.floor(F.col("block") / fan))]
+    while last >= fan:
+        last //= fan
+        up = scratch.write(dealt(levels[-1], "conv", "up").groupBy("deal").applyInPandas(product, "conv string, block long, m array<double>"))
+        levels.append(up.withColumn("up", F.floor(F.col("block") / fan)))
+    ends = None
+    for level in reversed(levels):
+        if ends is None:
+            level = level.withColumn("enter", F.lit(0)).withColumn("leave", F.lit(None).cast("int"))
+        else:
+            level = level.join(ends.withColumnRenamed("block", "up"), ["conv", "up"])
+        ends = scratch.write(dealt(level, "conv", "up").groupBy("deal").applyInPandas(walk, "conv string, block long, enter int, leave int"))
+    return ends
+
+
+def _decoded(rows: DataFrame, model: Model, scratch: Scratch, block_rows: int, fan: int = FAN) -> DataFrame:
     """(row, roles, before): the role of every line, and the role before the row (null
     at the start of a conversation)."""
-    # Blocks: stretches of turns; a stretch with more rows (repeated turn numbers) is
-    # cut again along the order inside it: turn, then hash.
-    stretch = rows.withColumn("stretch", F.floor(F.col("turn") / block_rows))
-    crowd = scratch.write(stretch.groupBy("conv", "stretch").agg(F.count(F.lit(1)).alias("crowd")))
-    cut = F.ceil(F.col("crowd") / block_rows)
-    unit = F.shiftright("hash", 32)  # 31 bits
-    blocks = scratch.write(stretch.join(crowd, ["conv", "stretch"]).select(
-        "row", "conv", "turn", "hash", "obs", "stretch",
-        F.when(cut > 1, F.col("turn")).otherwise(0).alias("fine"),
-        F.when(cut > 1, F.shiftright(unit * cut, 31)).otherwise(0).alias("part")))
-    key = ["conv", "stretch", "fine", "part"]
-    opens = scratch.write(blocks.groupBy("conv").agg(F.min(F.struct("stretch", "fine", "part")).alias("open")))
-    blocks = scratch.write(blocks.join(opens, "conv").withColumn(
-        "opening", F.struct("stretch", "fine", "part") == F.col("open")).drop("open"))
+    blocks = _blocks(rows, scratch, block_rows)
+    key = ["conv", "block"]
 
     # Many blocks (or conversations) go to one pandas call, about GROUP_ROWS rows.
     groups = max(1, -(-blocks.count() // GROUP_ROWS))
@@ -201,27 +240,17 @@ def _decoded(rows: DataFrame, model: Model, scratch: Scratch, block_rows: int) -
 
     def summed(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for k, b in pdf.sort_values([*key, "turn", "hash", "row"]).groupby(key, sort=False):
-            m = model.matrix([list(o) for o in b["obs"]], bool(b["opening"].iloc[0]))
-            out.append((*k, m.ravel().tolist()))
+        for k, b in pdf.sort_values([*key, "place"]).groupby(key, sort=False):
+            out.append((*k, model.matrix([list(o) for o in b["obs"]], k[1] == 0).ravel().tolist()))
         return pd.DataFrame(out, columns=[*key, "m"])
 
-    kinds = "conv string, stretch long, fine long, part long"
-    matrices = scratch.write(dealt(blocks, *key).groupBy("deal").applyInPandas(summed, f"{kinds}, m array<double>"))
-
-    def borders(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, ends = pdf.sort_values(key), []
-        for _, c in groupby(zip(pdf["conv"], pdf["m"]), key=lambda r: r[0]):
-            ends += chain([np.array(m).reshape(N, N) for _, m in c])
-        return pdf[key].assign(enter=[a for a, _ in ends], leave=[b for _, b in ends])
-
-    ends = scratch.write(dealt(matrices, "conv").groupBy("deal").applyInPandas(borders, f"{kinds}, enter int, leave int"))
-    with_ends = blocks.join(ends, key)
+    matrices = scratch.write(dealt(blocks, *key).groupBy("deal").applyInPandas(summed, "conv string, block long, m array<double>"))
+    with_ends = blocks.join(_borders(matrices, scratch, dealt, fan), key)
 
     def decode(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, roles, before = [], [], []
-        for _, b in pdf.sort_values([*key, "turn", "hash", "row"]).groupby(key, sort=False):
-            opening, enter = bool(b["opening"].iloc[0]), int(b["enter"].iloc[0])
+        for (_, block), b in pdf.sort_values([*key, "place"]).groupby(key, sort=False):
+            opening, enter = block == 0, int(b["enter"].iloc[0])
             found = model.decode([list(o) for o in b["obs"]], opening, enter, int(b["leave"].iloc[0]))
             rows += b["row"].tolist()
             roles += found

@@ -134,3 +134,23 @@ def test_every_operator_is_registered():
     names = entry.queries()
     assert [sum(q.startswith(f"op{n}_") for q in names) for n in range(1, 11)] == [1] * 10
     assert "pipeline" in names and set(queries.ORACLE_SQL) <= set(entry.oracle_sql()) and len(queries.ORACLE_SQL) == 4
+
+
+def test_repeated_rows_are_cut_into_bounded_blocks(spark):
+    rows = [(1, 7, "user", "same")] * 90 + [(1, None, None, "no turn")] * 70 + [(2, t, "user", "x") for t in range(30)] + [(None, 0, "user", "y")] * 3
+    df = spark.createDataFrame(rows, SCHEMA).select(
+        F.monotonically_increasing_id().alias("row"), F.coalesce(F.col("conv_id").cast("string"), F.lit("none")).alias("conv"),
+        F.coalesce("turn", F.lit(-1)).alias("turn"), F.hash("text").cast("long").alias("hash"), F.array(F.lit(1)).alias("obs"))
+    sizes = {(r.conv, r.block): r["count"] for r in chat._blocks(df, Scratch(spark, "t"), 8).groupBy("conv", "block").count().collect()}
+    assert max(sizes.values()) <= 8 and sum(sizes.values()) == len(rows)
+    assert [sum(c == conv for c, _ in sizes) for conv in ("1", "2", "none")] == [20, 4, 1]
+
+
+def test_borders_by_a_tree_equal_one_chain(spark):
+    rng = np.random.default_rng(6)
+    convs = {"a": 70, "b": 1, "c": 9, "d": 3}
+    ms = {c: [rng.normal(size=(chat.N, chat.N)) for _ in range(n)] for c, n in convs.items()}
+    df = spark.createDataFrame([(c, i, m.ravel().tolist()) for c, l in ms.items() for i, m in enumerate(l)], "conv string, block long, m array<double>")
+    dealt = lambda d, *k: d.withColumn("deal", F.pmod(F.xxhash64(*k), F.lit(5)))
+    got = {(r.conv, r.block): (r.enter, r.leave) for r in chat._borders(df, Scratch(spark, "t"), dealt, 3).collect()}
+    assert got == {(c, i): e for c, l in ms.items() for i, e in enumerate(chat.chain(l))}
