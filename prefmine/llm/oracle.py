@@ -154,9 +154,23 @@ SELECT page_id, host, path, {case(1)} AS rule,
        template, round(share, 9) AS bad_share FROM z"""
 
 
+VECTORS = """
+WITH RECURSIVE d AS (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS v FROM embeddings),
+ok AS (SELECT * FROM d WHERE v IS NOT NULL AND len(list_filter(v, x -> x IS NULL OR NOT isfinite(x))) = 0
+                             AND len(list_filter(v, x -> x <> 0)) > 0),
+near AS (SELECT a.r AS a, b.r AS b, a.vec_id AS ida, b.vec_id AS idb FROM ok a JOIN ok b
+         ON a.r <> b.r AND list_cosine_similarity(a.v, b.v) >= 0.95e0),
+reach AS (SELECT DISTINCT a, ida AS id FROM near UNION SELECT near.b, reach.id FROM reach JOIN near ON near.a = reach.a),
+least AS (SELECT a, min(id) AS least FROM reach GROUP BY a),
+links AS (SELECT a, count(*) AS n FROM near GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(least(least, vec_id), vec_id) AS component_id,
+       coalesce(vec_id = coalesce(least(least, vec_id), vec_id), false) AS kept
+FROM d LEFT JOIN links ON links.a = d.r LEFT JOIN least ON least.a = d.r"""
+
+
 # Rules of the registered URL filter: (verdict, host and path).
 URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"),
              ("block", "net/fr/"))
 
 ORACLE_SQL = {"op5_line_quality": line_quality(), "op6_mixing": MIXING, "op7_maxscore": MAXSCORE,
-              "op10_url_templates": url_filter(URL_RULES)}
+              "op10_url_templates": url_filter(URL_RULES), "op13_vector_dedup": VECTORS}
