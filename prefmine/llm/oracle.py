@@ -155,9 +155,9 @@ SELECT page_id, host, path, {case(1)} AS rule,
 
 
 VECTORS = """
-WITH RECURSIVE d AS (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS v FROM embeddings),
-ok AS (SELECT * FROM d WHERE v IS NOT NULL AND len(list_filter(v, x -> x IS NULL OR NOT isfinite(x))) = 0
-                             AND len(list_filter(v, x -> x <> 0)) > 0),
+WITH RECURSIVE d AS (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+ok AS (SELECT * FROM d WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                             AND len(list_filter(v, lambda x: x <> 0)) > 0),
 near AS (SELECT a.r AS a, b.r AS b, a.vec_id AS ida, b.vec_id AS idb FROM ok a JOIN ok b
          ON a.r <> b.r AND list_cosine_similarity(a.v, b.v) >= 0.95e0),
 reach AS (SELECT DISTINCT a, ida AS id FROM near UNION SELECT near.b, reach.id FROM reach JOIN near ON near.a = reach.a),
