@@ -168,9 +168,36 @@ SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(least(least,
 FROM d LEFT JOIN links ON links.a = d.r LEFT JOIN least ON least.a = d.r"""
 
 
+COLLOCATIONS = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+o AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase
+      FROM o CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS size) WHERE i + size - 1 <= len(w)),
+f AS (SELECT lang, size, phrase, CAST(count(*) AS HUGEINT) AS f FROM g GROUP BY ALL),
+c AS (SELECT lang, size, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE size > 1 AND f >= 30),
+k AS (SELECT *, unnest(range(1, size)) AS k FROM c),
+s AS (SELECT k.lang, k.phrase, k.a, k.k, x.f AS l, y.f AS r, 2000000 * k.a // (x.f + y.f) AS score FROM k
+      JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(k.w[1:k.k], ' ')
+      JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(k.w[k.k + 1:k.size], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+h AS (SELECT lang, a, w, size, unnest(range(1, size)) AS i FROM c WHERE size > 2),
+h2 AS (SELECT lang, a, array_to_string(w[i:i + n - 1], ' ') AS phrase, n, size
+       FROM h CROSS JOIN (SELECT unnest([2, 3]) AS n) WHERE n < size AND i + n - 1 <= size),
+held AS (SELECT lang, phrase, max(a) AS longer FROM h2 GROUP BY ALL),
+t AS (SELECT lang, sum(f) AS n FROM f WHERE size = 1 GROUP BY lang),
+e AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(b.phrase)) AS rank
+      FROM b LEFT JOIN held ON held.lang = b.lang AND held.phrase = b.phrase WHERE longer IS NULL OR 100 * longer < 80 * a)
+SELECT e.lang, CAST(rank AS BIGINT) AS rank, e.phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+       CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM e JOIN t ON t.lang = e.lang WHERE rank <= 2000"""
+
+
 # Rules of the registered URL filter: (verdict, host and path).
 URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"),
              ("block", "net/fr/"))
 
 ORACLE_SQL = {"op5_line_quality": line_quality(), "op6_mixing": MIXING, "op7_maxscore": MAXSCORE,
-              "op10_url_templates": url_filter(URL_RULES), "op13_vector_dedup": VECTORS}
+              "op10_url_templates": url_filter(URL_RULES), "op11_collocations": COLLOCATIONS,
+              "op13_vector_dedup": VECTORS}

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefmine.llm import chat, kd_shards, maxscore, mixing, packing, pii, quality, simhash, token_counts, url_templates, vectors
+from prefmine.llm import chat, collocations, kd_shards, maxscore, mixing, packing, pii, quality, simhash, token_counts, url_templates, vectors
 from prefmine.llm.common import Scratch
 from prefmine.llm.oracle import ORACLE_SQL as ORACLE_SQL, URL_RULES
 
@@ -100,6 +100,10 @@ def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "host", "path", "rule", "verdict", "template", F.round("bad_share", 9).alias("bad_share"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"), min_count=30, top=2000)
+
+
 def op13_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return vectors.near_vectors(table, threshold=0.95).select("vec_id", "n_links", "component_id", "kept")
@@ -116,5 +120,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_simhash": op9_simhash,
     "op10_url_templates": op10_url_templates,
+    "op11_collocations": op11_collocations,
     "op13_vector_dedup": op13_vector_dedup,
 }
