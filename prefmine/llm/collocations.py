@@ -39,7 +39,7 @@ PARTITION_MASS = 1 << 22
 CHUNK_BYTES = 1 << 21
 # N-gram hashes a task gathers before it sums them up, and counters it holds before it hands them on.
 GATHERED = 1 << 21
-HELD = 1 << 19
+HELD = 1 << 17
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -52,7 +52,7 @@ def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK_BYTES) -> Iterat
     long a text is.  The first ``old`` words were the last of the run before; only phrases
     that reach past them are new."""
     waiting: dict[bytes, list] = {}
-    for b in batches:
+    for b in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
         for lang, text in zip(b["lang"].cast(pa.binary()).to_pylist(), b["text"].cast(pa.binary()).to_pylist()):
             if not text:
                 continue
@@ -130,7 +130,7 @@ class Vocabulary(dict):
     """Word -> number, with the words' hashes (0 where the bitmap rules a word out).
     It forgets everything when it holds more than ``limit`` words."""
 
-    def __init__(self, lang: bytes, bits: np.ndarray, limit: int = 1 << 18):
+    def __init__(self, lang: bytes, bits: np.ndarray, limit: int = 1 << 16):
         import xxhash
 
         self.digest, self.seed, self.bits, self.limit = xxhash.xxh64_intdigest, xxhash.xxh64_intdigest(lang, 42), bits, limit
