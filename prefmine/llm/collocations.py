@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -250,34 +251,43 @@ def surviving_grams(docs: DataFrame, words, mass: int, min_count: int, partition
             .groupBy("part").applyInArrow(merged, "h long"))
 
 
-def phrase_counts(docs: DataFrame, words, grams, min_count: int) -> DataFrame:
+def phrase_counts(docs: DataFrame, words, grams, mass: int, min_count: int, partition_mass: int = PARTITION_MASS) -> DataFrame:
     """(lang, phrase, size, f): exact counts of the phrases of 2 to LONGEST words that occur
-    ``min_count`` times or more in a language; phrases are space-joined."""
+    ``min_count`` times or more in a language; phrases are space-joined.
+
+    Tasks sum up what both bitmaps let through and hand it on as one row for each of the
+    hash partitions of :func:`surviving_grams`, where the sums of all tasks meet."""
+    bits = max(0, (mass // partition_mass).bit_length())
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, Vocabulary] = {}
         held: Counter = Counter()
 
         def told() -> pa.RecordBatch:
-            keys = list(held)
-            out = pa.record_batch([pa.array([k[0] for k in keys], pa.binary()), pa.array([k[1] for k in keys], pa.binary()),
-                                   pa.array(list(held.values()), pa.int64())], names=["lang", "phrase", "f"])
+            keys = sorted(held)
+            parts = np.array([k[0] for k in keys], np.int64)
+            ends = pa.array(np.append(np.flatnonzero(np.diff(parts, prepend=-1)), len(keys)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(c, kind)) for c, kind in
+                     (([k[1] for k in keys], pa.binary()), ([k[2] for k in keys], pa.binary()), ([held[k] for k in keys], pa.int64()))]
             held.clear()
-            return out
+            return pa.record_batch([pa.array(np.unique(parts)), *lists], names=["part", "langs", "phrases", "f"])
 
         for lang, words_, old in chunks(batches):
             own = known.get(lang) or known.setdefault(lang, Vocabulary(lang, words.value))
             ids, h = own.numbered(words_)
             before = ids  # numbers of the (n-1)-grams by place, -1 where one was let through by neither bitmap
             for n, starts, hashes in gram_hashes(h, 0):
-                starts = starts[held_in(grams.value, hashes)]
+                through = held_in(grams.value, hashes)
                 if n > 2:  # both parts of a frequent phrase are frequent
-                    starts = starts[(before[starts] >= 0) & (before[starts + 1] >= 0)]
+                    through &= (before[starts] >= 0) & (before[starts + 1] >= 0)
+                starts, hashes = starts[through], hashes[through]
                 # A number for each different n-gram, from those of its first part and its last word.
                 _, first, own_no = np.unique(before[starts] << 32 | ids[starts + n - 1], return_index=True, return_inverse=True)
-                new = starts + n > old
-                times = np.bincount(own_no[new], minlength=len(first))
-                for at, f in zip(starts[first[times > 0]].tolist(), times[times > 0].tolist()):
-                    held[lang, b" ".join(words_[at : at + n])] += f
+                times = np.bincount(own_no[starts + n > old], minlength=len(first))
+                new = times > 0
+                parts = hashes[first[new]] >> np.uint64(64 - bits) if bits else np.zeros(new.sum(), np.uint64)
+                for part, at, f in zip(parts.tolist(), starts[first[new]].tolist(), times[new].tolist()):
+                    held[part, lang, b" ".join(words_[at : at + n])] += f
                 before = np.full(len(ids), -1, np.int64)
                 before[starts] = own_no
             if len(held) >= HELD:
@@ -285,9 +295,14 @@ def phrase_counts(docs: DataFrame, words, grams, min_count: int) -> DataFrame:
         if held:
             yield told()
 
-    return (docs.mapInArrow(count, "lang binary, phrase binary, f long")
-            .groupBy(F.col("lang").cast("string").alias("lang"), F.col("phrase").cast("string").alias("phrase"))
-            .agg(F.sum("f").alias("f")).where(F.col("f") >= min_count)
+    def summed(t: pa.Table) -> pa.Table:
+        flat = pa.table([t[c].combine_chunks().flatten() for c in ("langs", "phrases", "f")], names=["lang", "phrase", "f"])
+        f = flat.group_by(["lang", "phrase"]).aggregate([("f", "sum")])
+        return f.filter(pc.greater_equal(f["f_sum"], min_count)).select(["lang", "phrase", "f_sum"]).rename_columns(["lang", "phrase", "f"])
+
+    return (docs.mapInArrow(count, "part long, langs array<binary>, phrases array<binary>, f array<long>")
+            .groupBy("part").applyInArrow(summed, "lang binary, phrase binary, f long")
+            .select(F.col("lang").cast("string").alias("lang"), F.col("phrase").cast("string").alias("phrase"), "f")
             .select("lang", "phrase", F.size(F.split("phrase", " ")).alias("size"), "f"))
 
 
@@ -317,7 +332,7 @@ def collocations(docs: DataFrame, min_count: int = 30, top: int = 2000, held_sha
     frequent = spark.sparkContext.broadcast(bitmap(often.select(F.xxhash64("lang", "word").alias("h")), bits))
     grams = scratch.write(surviving_grams(docs, frequent, mass, min_count, partition_mass))
     through = spark.sparkContext.broadcast(bitmap(grams, bits))
-    phrases = scratch.write(phrase_counts(docs, frequent, through, min_count))
+    phrases = scratch.write(phrase_counts(docs, frequent, through, mass, min_count, partition_mass))
     scratch.drop(grams)
     return ranked(phrases, words, min_count, top, held_share)
 
