@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prefmine.llm.common import Scratch
+from prefmine.llm.common import Scratch, packed, unpacked
 
 LONGEST = 4  # words of a phrase
 NO_LANG = "und"
@@ -173,17 +173,6 @@ def gram_hashes(h: np.ndarray, old: int) -> Iterator[tuple[int, np.ndarray, np.n
         yield n, starts, (x ^ (x >> np.uint64(29))) & np.uint64(0xFFFFFFFFFFFF0000)
 
 
-def _packed(values: np.ndarray) -> bytes:
-    """Numbers in as few bytes as the largest needs, bytes of equal weight side by side."""
-    size = next(s for s in (1, 2, 4, 8) if s == 8 or int(values.max(initial=0)) < 1 << 8 * s)
-    return bytes([size]) + np.ascontiguousarray(values.astype(f"<u{size}").view(np.uint8).reshape(-1, size).T).tobytes()
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    size = data[0]
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8, offset=1).reshape(size, -1).T).view(f"<u{size}").ravel().astype(np.uint64)
-
-
 class MisraGries:
     """A mergeable summary: at most ``capacity`` counters, each below the true count by
     at most ``error`` <= mass / (capacity + 1)."""
@@ -224,7 +213,7 @@ def surviving_grams(docs: DataFrame, words, mass: int, min_count: int, partition
             keys, counts = np.unique(np.concatenate(held), return_counts=True)
             keys >>= np.uint64(16)
             cuts = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(48 - bits))
-            rows = [(p, int(c.sum()), _packed(np.diff(k, prepend=np.uint64(0))), _packed(c))
+            rows = [(p, int(c.sum()), packed(np.diff(k, prepend=np.uint64(0))), packed(c))
                     for p, (k, c) in enumerate(zip(np.split(keys, cuts), np.split(counts, cuts))) if len(k)]
             return pa.record_batch([pa.array([r[i] for r in rows], kind) for i, kind in
                                     enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["part", "mass", "keys", "counts"])
@@ -243,7 +232,7 @@ def surviving_grams(docs: DataFrame, words, mass: int, min_count: int, partition
     def merged(t: pa.Table) -> pa.Table:
         own = MisraGries(sum(t["mass"].to_pylist()) // min_count + 1)
         for keys, counts in zip(t["keys"], t["counts"]):
-            own.merge(np.cumsum(_unpacked(keys.as_py()), dtype=np.uint64), _unpacked(counts.as_py()).astype(np.int64))
+            own.merge(np.cumsum(unpacked(keys.as_py()), dtype=np.uint64), unpacked(counts.as_py()).astype(np.int64))
         keep = own.counts + own.error >= min_count
         return pa.table([pa.array((own.keys[keep] << np.uint64(16)).view(np.int64))], names=["h"])
 

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefmine.llm import chat, collocations, kd_shards, maxscore, mixing, packing, pii, quality, simhash, token_counts, url_templates, vectors
+from prefmine.llm import alignment, chat, collocations, kd_shards, maxscore, mixing, packing, pii, quality, simhash, token_counts, url_templates, vectors
 from prefmine.llm.common import Scratch
 from prefmine.llm.oracle import ORACLE_SQL as ORACLE_SQL, URL_RULES
 
@@ -104,6 +104,14 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read(spark, sf_dir, "documents"), min_count=30, top=2000)
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    aligned, _ = alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+    return aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op13_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return vectors.near_vectors(table, threshold=0.95).select("vec_id", "n_links", "component_id", "kept")
@@ -121,5 +129,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_url_templates": op10_url_templates,
     "op11_collocations": op11_collocations,
+    "op12_alignment": op12_alignment,
     "op13_vector_dedup": op13_vector_dedup,
 }

@@ -9,7 +9,7 @@ import xxhash
 from llm_fixtures import SF001, messy, nothing  # noqa: F401
 from pyspark.sql import functions as F
 
-from prefmine.llm import collocations, queries
+from prefmine.llm import collocations, common, queries
 
 UPPER = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 
@@ -109,7 +109,7 @@ def test_bitmap_misses_no_hash(spark, bits):
 def test_packed_numbers_round_trip():
     for v in ([], [0], [255, 1], [256], [1 << 40, 3], [(1 << 64) - 1]):
         a = np.array(v, np.uint64)
-        assert collocations._unpacked(collocations._packed(a)).tolist() == v
+        assert common.unpacked(common.packed(a)).tolist() == v
 
 
 def test_messy_and_empty_tables(spark, messy, nothing):
