@@ -107,7 +107,7 @@ def rank_key(similarity_col: str = "similarity"):
 
 
 def top_neighbors(similarity: DataFrame, n: int, pad_zero: bool = False,
-                  items: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
+                  items: DataFrame | None = None, by: Sequence[str] = (), one_sided: bool = False) -> DataFrame:
     """The ``n`` most similar neighbours per item with their ``rank`` (1-based).
 
     Order: similarity (9 places) descending, neighbour id ascending.  The
@@ -119,9 +119,16 @@ def top_neighbors(similarity: DataFrame, n: int, pad_zero: bool = False,
     the ``by`` columns; all rated items) exactly ``min(n, |items|-1)``
     neighbours: all other items are candidates, those without a common user with
     similarity 0 (and ``n_common`` 0), ahead of negative similarities.
+
+    ``one_sided``: ``similarity`` also names the ``item_id`` (one of the pair) whose
+    list a row belongs to.
     """
     by = list(by)
-    sym = symmetric(similarity, by)
+    if one_sided:
+        other = F.when(F.col("item_a") == F.col("item_id"), F.col("item_b")).otherwise(F.col("item_a"))
+        sym = similarity.select(*by, "item_id", other.alias("neighbor_id"), "similarity", "n_common")
+    else:
+        sym = symmetric(similarity, by)
     if pad_zero:
         if items is None:
             raise ValueError("pad_zero needs the item universe")

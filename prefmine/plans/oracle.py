@@ -165,6 +165,7 @@ SELECT item_id, neighbor_id, {fx("similarity", "similarity")}, n_common, CAST(ra
     sql.update(_files())
     sql.update(_als())
     sql.update(_roundtrips(sql))
+    sql.update(_kept(sql))
     # The streamed rating table equals the batch build.
     sql["stream_ratings"] = sql["ratings_build"]
     return sql
@@ -581,3 +582,12 @@ WHERE pos >= 5 AND pos < 10""",
         "metric_threshold": with_(*ctes, sweep, long_) + f"""
 SELECT {cols} FROM city_long WHERE metric = 'coverage' AND value > 0.5""",
     }
+
+
+def _kept(sql: dict[str, str]) -> dict[str, str]:
+    """Tables kept up to date batch by batch equal those built at once."""
+    return {
+        "similarity_by_batches": sql["item_similarity"],
+        "neighbors_by_batches": with_(RATINGS_SUPP, similarity("ratings_supp"), symmetric("sim"), neighbors("sym", P.N_NEIGHBORS)) + f"""
+SELECT item_id, neighbor_id, {fx("similarity", "similarity")}, n_common, CAST(rank AS INTEGER) AS rank FROM nb""",
+    }

@@ -687,3 +687,43 @@ def q_stream_ratings(spark, sf):
 
 
 QUERIES["stream_ratings"] = q_stream_ratings
+
+
+# ------------------------------------------------- similarity by batches
+
+def _review_batches(spark, sf, item):
+    """Reviews in three batches by ship year; a pair reviewed in several of them changes
+    its rating with each."""
+    li = T.table(spark, sf, "lineitem").select("l_orderkey", item, "l_quantity", "l_shipdate")
+    od = T.table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    rv = materialize(li.join(od, li.l_orderkey == od.o_orderkey).select(
+        F.col("o_custkey").alias("user_id"), F.col(item).alias("item_id"), F.col("l_quantity").alias("rate"),
+        F.pmod(F.coalesce(F.year("l_shipdate"), F.lit(0)), F.lit(3)).alias("batch")), "review-batches")
+    return {f"year-{b}": rv.where(F.col("batch") == b).drop("batch") for b in range(3)}
+
+
+def _by_batches(spark, sf, item):
+    from prefmine.operators.increments import SimilarityStore
+    store = SimilarityStore(spark, _scratch(spark, "similarity"), P.N_NEIGHBORS)
+    for name, reviews in _review_batches(spark, sf, item).items():
+        store.apply(name, reviews)
+        store.apply(name, reviews)  # a repeated batch changes nothing
+    return store
+
+
+def q_similarity_by_batches(spark, sf):
+    """All co-rated pairs after three batches of reviews, from stored sums and their changes."""
+    return _by_batches(spark, sf, "l_partkey").similarity().select("item_a", "item_b", fx("similarity"), "n_common")
+
+
+def q_neighbors_by_batches(spark, sf):
+    """Neighbour lists after the same batches by supplier, then compacted."""
+    store = _by_batches(spark, sf, "l_suppkey")
+    store.compact()
+    return store.neighbors().select("item_id", "neighbor_id", fx("similarity"), "n_common", "rank")
+
+
+QUERIES.update({
+    "similarity_by_batches": q_similarity_by_batches,
+    "neighbors_by_batches": q_neighbors_by_batches,
+})
