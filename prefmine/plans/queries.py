@@ -341,10 +341,6 @@ def _finite(c):
     return F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
 
 
-def _split_by(df, seed):
-    return splits.hash_split(df, ["user_id", "item_id"], P.TEST_FRACTION, seed)
-
-
 def q_als_predictions(spark, sf):
     """The held-out pairs that can be scored (known user and item)."""
     from prefmine.operators import als
@@ -353,18 +349,37 @@ def q_als_predictions(spark, sf):
     return scored.select("user_id", "item_id", fx(F.col("rating").cast("double"), "rating"), _finite("prediction").alias("finite"))
 
 
-def q_als_holdout_mean(spark, sf):
-    """Three fresh hash splits (seeds 0..2): per-run rows and their mean."""
-    import math
+def _mark_by(df, seed):
+    return splits.mark_split(df, ["user_id", "item_id"], P.TEST_FRACTION, seed)
 
+
+def q_als_holdout_mean(spark, sf):
+    """Three fresh hash splits (seeds 0..2): per-run rows and their mean, the mean of RMSE and
+    seconds included (``rmse_finite`` and ``timed`` of that row say that they lie within the
+    runs' least and greatest)."""
     from prefmine.operators import als
-    rows = als.holdout_runs(materialize(T.ratings_supp(spark, sf), "ratings_supp"), _split_by, runs=P.ALS_RUNS, **ALS_ARGS)
-    df = spark.createDataFrame(
-        [(str(r["run"]), r["n_train"], r["n_test"], r["n_scored"], math.isfinite(r["rmse"]), r["train_s"] > 0 and r["test_s"] > 0)
-         for r in rows], "run string, n_train bigint, n_test bigint, n_scored bigint, rmse_finite boolean, timed boolean")
-    mean = df.agg(F.lit("mean").alias("run"), *[F.floor(F.avg(c)).cast("bigint").alias(c) for c in ("n_train", "n_test", "n_scored")],
-                  F.min("rmse_finite").alias("rmse_finite"), F.min("timed").alias("timed"))
-    return df.unionByName(mean)
+    rows = als.holdout_runs(materialize(T.ratings_supp(spark, sf), "ratings_supp"), _mark_by, runs=P.ALS_RUNS, **ALS_ARGS)
+    table = als.holdout_table(spark, rows)
+    among = lambda c: F.col(c).between(min(r[c] for r in rows) * (1 - 1e-12), max(r[c] for r in rows) * (1 + 1e-12))
+    return table.select("run", *[F.floor(c).cast("bigint").alias(c) for c in ("n_train", "n_test", "n_scored")],
+                        (_finite("rmse") & among("rmse")).alias("rmse_finite"),
+                        ((F.col("train_s") > 0) & (F.col("test_s") > 0) & among("train_s") & among("test_s")).alias("timed"))
+
+
+def q_als_certificate(spark, sf):
+    """A fit with the original settings, saved and reloaded, certified: the reloaded user factors solve
+    their normal equations (``stationary``), and the RMSE recomputed from the factors is
+    the evaluator's (``rmse_equal``) on the held-out pairs that can be scored."""
+    from prefmine.operators import als
+    train, test = _supp_split(spark, sf)
+    model = als.fit(train, **ALS_ARGS)
+    path = _scratch(spark, "models")
+    als.save(model, path)
+    row = als.certificate(als.load(path), train, test, P.ALS_REG)
+    told = als.rmse_evaluator().evaluate(als.score(model, test))
+    return row.select("n_users", "n_train", "n_scored", (F.col("worst") < 1e-3).alias("stationary"),
+                      (F.abs(F.col("test_rmse") - F.lit(told)) < 1e-5 * F.lit(told)).alias("rmse_equal"),
+                      (F.col("train_rmse") < F.col("test_rmse")).alias("train_fits_better"))
 
 
 def q_als_grid(spark, sf):
@@ -473,6 +488,7 @@ def q_metric_compare_runs(spark, sf):
 QUERIES.update({
     "als_predictions": q_als_predictions,
     "als_holdout_mean": q_als_holdout_mean,
+    "als_certificate": q_als_certificate,
     "als_grid": q_als_grid,
     "als_save_load": q_als_save_load,
     "neighbor_sweep": q_neighbor_sweep,

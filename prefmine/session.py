@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import warnings
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, Observation, SparkSession
 
 # Settings every prefmine job wants.  AQE re-plans joins from runtime sizes,
 # splits skewed join partitions and coalesces small shuffle partitions.
@@ -73,6 +73,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     d = spark.conf.get("spark.checkpoint.dir", None)
     if d:
         if not spark.sparkContext.master.startswith("local") and (":" not in d or d.startswith("file:")):
+            # May be a mount that the driver and all executors share; only the cluster can know.
             warnings.warn(f"spark.checkpoint.dir is {d}: on a cluster this must be a mount that the driver and "
                           "all executors share", stacklevel=2)
         return d
@@ -98,7 +99,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def materialize(df, name: str = "table"):
+def materialize(df, name: str = "table", **metrics: Column):
     """Write ``df`` as parquet under the shared checkpoint folder and read it back.
 
     Use when a derived table feeds several consumers (the rating table feeds
@@ -106,12 +107,20 @@ def materialize(df, name: str = "table"):
     evaluation): it is computed once, its lineage is cut (a lost executor
     re-reads files instead of recomputing the joins), and the read-back plan
     carries real file sizes for Catalyst's broadcast decisions.
+
+    ``metrics`` are aggregates (``rows=F.count(F.lit(1))``) observed while the rows are
+    written; ``.metrics`` of the returned table has their values, so no job of its own
+    counts what was just written.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    seen = Observation()
+    if metrics:
+        df = df.observe(seen, *[c.alias(k) for k, c in metrics.items()])
     df.write.mode("overwrite").parquet(path)
     out = spark.read.parquet(path)
     out._table_path = path
+    out.metrics = seen.get if metrics else {}
     return out
 
 

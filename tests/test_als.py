@@ -63,3 +63,52 @@ def test_cities_in_one_fit_are_separate_models(spark):
     for r in both:
         one = train.where(F.lower("city").contains(r.city_term))
         assert r.n_train == one.count() and r.n_scored <= r.n_test and r.rmse > 0
+
+
+def _tiny(spark):
+    import numpy as np
+    rng = np.random.default_rng(0)
+    rows = [(u, i, float(rng.integers(1, 6))) for u in range(30) for i in range(12) if rng.random() < 0.5] + [(5, i + 100, 2.0) for i in range(40)]
+    return rows, spark.createDataFrame(rows, "user_id int, item_id int, rating double")
+
+
+def test_certificate_against_an_independent_solver(spark, tmp_dir):
+    import numpy as np
+    rows, df = _tiny(spark)
+    m = als.fit(df, rank=4, max_iter=6, reg_param=0.1, num_blocks=2)
+    y = {r.id: np.array(r.features) for r in m.itemFactors.collect()}
+    x = {r.id: np.array(r.features) for r in m.userFactors.collect()}
+    for u in {r[0] for r in rows}:
+        own = [(i, v) for w, i, v in rows if w == u]
+        a = sum(np.outer(y[i], y[i]) for i, _ in own) + 0.1 * len(own) * np.eye(4)
+        assert np.allclose(np.linalg.solve(a, sum(v * y[i] for i, v in own)), x[u], atol=1e-4)
+    res = {r.user_id: r for r in als.normal_equation_residuals(m, df, 0.1).collect()}
+    assert max(r.residual / r.scale for r in res.values()) < 1e-4
+    assert {u: r.n for u, r in res.items()} == {u: sum(w == u for w, _, _ in rows) for u in res}
+    one = als.certificate(m, df, df.limit(50), 0.1).first()
+    want = np.sqrt(np.mean([(x[u] @ y[i] - v) ** 2 for u, i, v in rows]))
+    assert abs(one.train_rmse - want) < 1e-6 and one.worst < 1e-4 and one.n_scored == 50 and one.n_users == 30
+
+
+def test_a_wrong_model_has_no_certificate(spark):
+    _, df = _tiny(spark)
+    m = als.fit(df, rank=4, max_iter=6, reg_param=0.1, num_blocks=2)
+    assert als.certificate(m, df, df, 0.5).first().worst > 1e-3          # another regularisation
+    assert als.certificate(m, df.withColumn("rating", F.col("rating") + 1), df, 0.1).first().worst > 1e-3
+
+
+def test_holdout_means_and_observed_sizes(spark):
+    r = T.ratings_supp(spark, SF001)
+    mark = lambda df, seed: splits.mark_split(df, ["user_id", "item_id"], 0.2, seed)
+    runs = als.holdout_runs(r, mark, runs=2, rank=3, max_iter=2, num_blocks=2)
+    for run in runs:
+        train, test = splits.hash_split(r, ["user_id", "item_id"], 0.2, run["run"])
+        assert (run["n_train"], run["n_test"]) == (train.count(), test.count())
+    table = {t.run: t for t in als.holdout_table(spark, runs).collect()}
+    for c in ("rmse", "train_s", "test_s", "n_scored"):
+        assert abs(table["mean"][c] - sum(t[c] for t in runs) / 2) < 1e-9
+
+
+def test_blocks_follow_ratings_and_rank():
+    assert als.blocks_for(1000, 10) == 4 and als.blocks_for(10**12, 200) == 400
+    assert als.blocks_for(10**7, 200) == 60
