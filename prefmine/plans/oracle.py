@@ -590,6 +590,10 @@ SELECT {cols} FROM city_long WHERE metric = 'coverage' AND value > 0.5""",
 def _kept(sql: dict[str, str]) -> dict[str, str]:
     """Tables kept up to date batch by batch equal those built at once."""
     return {
+        "colocated_predictions": sql["itemcf_predictions"],
+        "colocated_rmse_test": sql["itemcf_rmse_test"],
+        "itemsets_from_rows": sql["frequent_itemsets"],
+        "rules_from_rows": sql["association_rules"],
         "similarity_by_batches": sql["item_similarity"],
         "neighbors_by_batches": with_(RATINGS_SUPP, similarity("ratings_supp"), symmetric("sim"), neighbors("sym", P.N_NEIGHBORS)) + f"""
 SELECT item_id, neighbor_id, {fx("similarity", "similarity")}, n_common, CAST(rank AS INTEGER) AS rank FROM nb""",

@@ -743,3 +743,56 @@ QUERIES.update({
     "similarity_by_batches": q_similarity_by_batches,
     "neighbors_by_batches": q_neighbors_by_batches,
 })
+
+
+# ------------------------------------------------ co-located rating tables
+
+def _colocated(spark, sf):
+    from prefmine.operators import colocated
+    train, test = _supp_split(spark, sf)
+    r = colocated.store(train, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return r, test, colocated.fit_neighbors(r, P.N_NEIGHBORS)
+
+
+def q_colocated_predictions(spark, sf):
+    """All predictions from bucketed tables: neither the pair join nor the scoring join shuffles ratings."""
+    from prefmine.operators import colocated
+    r, _, nb = _colocated(spark, sf)
+    return colocated.predict_all(nb, r).select("user_id", "item_id", fx("prediction"))
+
+
+def q_colocated_rmse_test(spark, sf):
+    from prefmine.operators import colocated
+    r, test, nb = _colocated(spark, sf)
+    return _eval_cols(colocated.evaluate(nb, r, test))
+
+
+QUERIES.update({
+    "colocated_predictions": q_colocated_predictions,
+    "colocated_rmse_test": q_colocated_rmse_test,
+})
+
+
+# ----------------------------------------------- mining from long rows
+
+def _mined_from_rows(spark, sf):
+    from prefmine.operators.longmine import mine_rows
+    marked = _brand_marked(spark, sf)
+    return mine_rows(marked.where("NOT is_test"), P.MIN_SUPPORT, P.MIN_CONFIDENCE)
+
+
+def q_itemsets_from_rows(spark, sf):
+    """The frequent itemsets of the train pairs, mined without building baskets."""
+    from prefmine.operators.patterns import itemset_key
+    itemsets, _ = _mined_from_rows(spark, sf)
+    return itemsets.select(itemset_key("items").alias("items_key"), F.size("items").alias("size"), "freq")
+
+
+def q_rules_from_rows(spark, sf):
+    return _rule_cols(_mined_from_rows(spark, sf)[1])
+
+
+QUERIES.update({
+    "itemsets_from_rows": q_itemsets_from_rows,
+    "rules_from_rows": q_rules_from_rows,
+})
