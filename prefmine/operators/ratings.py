@@ -6,6 +6,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -112,3 +113,31 @@ def write_city_files(ratings: DataFrame, path: str, terms: Sequence[str] = DEFAU
     """Write every city selection in one job, one folder per term
     (``path/city_term=<term>``), so readers prune to a city by folder."""
     write_by(city_fanout(ratings, terms), path, "city_term", fmt)
+
+
+def city_codes(cities: DataFrame) -> DataFrame:
+    """(city, city_code): the distinct non-null city names, coded once in name order."""
+    from prefmine.operators.indexing import dense_index
+    from prefmine.session import materialize
+    codes = dense_index(cities.where(F.col("city").isNotNull()), ["city"], "city_code")
+    # An int, as folder names are read back: an equal type lets Catalyst prune the folders.
+    return materialize(codes.select("city", F.col("city_code").cast("int").alias("city_code")), "city-codes")
+
+
+def coded_ratings(ratings: DataFrame, codes: DataFrame) -> DataFrame:
+    """``ratings`` with the integer ``city_code`` in place of the name (null for a null city or one
+    without a code)."""
+    return ratings.join(codes, "city", "left").drop("city")
+
+
+def matching_codes(codes: DataFrame, terms: Sequence[str] = DEFAULT_CITY_TERMS) -> DataFrame:
+    """(city_code, city, city_term): all terms matched against the dictionary in one pass."""
+    some = functools.reduce(lambda a, b: a | b, [city_match("city", t) for t in terms])
+    return city_fanout(codes.where(some), terms)
+
+
+def fanout_by_code(coded: DataFrame, matches: DataFrame) -> DataFrame:
+    """:func:`city_fanout` on coded ratings: an equi-join on the code, no text is searched.
+    Stored by code (``write_by(coded, path, "city_code")``), only the folders of matching
+    cities are read."""
+    return coded.join(matches, "city_code").drop("city_code")

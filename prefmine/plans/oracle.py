@@ -360,6 +360,9 @@ SELECT rank, reg_param, true AS scored, 1 AS n_best, true AS best_is_least, true
        true AS reloaded_equal FROM (VALUES {grid}) g(rank, reg_param)""",
         "als_city_sweep": with_(*city) + f"""
 SELECT city_term, rank, n_train, n_test, n_scored, true AS finite, true AS timed FROM cn, (VALUES {ranks}) g(rank)
+WHERE n_train + n_test > 0""",
+        "als_rank_rows": with_(*city) + """
+SELECT city_term, CAST(100 AS INTEGER) AS rank, n_train, n_test, n_scored, true AS finite, true AS timed FROM cn
 WHERE n_train + n_test > 0""",
         "itemcf_city_times": with_(*city, *times) + "\nUNION ALL".join(sels),
         "metric_compare": with_(RATINGS_SUPP, *one) + one_sql,
@@ -588,8 +591,24 @@ SELECT {cols} FROM city_long WHERE metric = 'coverage' AND value > 0.5""",
 
 
 def _kept(sql: dict[str, str]) -> dict[str, str]:
-    """Tables kept up to date batch by batch equal those built at once."""
+    """Tables kept up to date batch by batch, coded or rebuilt equal those built at once."""
+    lines = """
+WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS review_id, o_custkey, l_suppkey, l_quantity
+           FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+    bad = lines + f"""
+SELECT review_id, CASE review_id % {P.FLAWED} WHEN 1 THEN 'missing user_id' ELSE 'malformed' END AS reason, true AS placed
+FROM r WHERE review_id % {P.FLAWED} < 3"""
     return {
+        "ratings_rebuilt": sql["ratings_build"],
+        "city_fanout_coded": sql["city_fanout"],
+        "user_ids_by_batches": sql["first_seen_index_all"],
+        "quarantine_good": lines + f"""
+SELECT CAST(o_custkey AS BIGINT) AS user_id, CAST(l_suppkey AS BIGINT) AS business_id, {fx('l_quantity', 'stars')}
+FROM r WHERE review_id % {P.FLAWED} >= 3""",
+        "quarantine_bad": bad,
+        "quarantine_stream": bad,
+        "split_random": with_(RATINGS_SUPP) + """
+SELECT count(*) AS n_rows, true AS disjoint_and_repeated, true AS near_weights FROM ratings_supp""",
         "colocated_predictions": sql["itemcf_predictions"],
         "colocated_rmse_test": sql["itemcf_rmse_test"],
         "itemsets_from_rows": sql["frequent_itemsets"],

@@ -31,3 +31,5 @@ ALS_GRID_RANKS = (50, 100, 200)
 ALS_GRID_REGS = (0.1, 0.02)
 ALS_CITY_RANKS = (20, 50, 100, 200, 300)
 ALS_COMPARE_RANK = 50
+
+FLAWED = 97              # of so many review lines one is cut short, one has no user, one no number

@@ -434,24 +434,53 @@ def q_support_sweep(spark, sf):
         fx("precision"), fx("recall"))
 
 
-def _city_sweep_long(spark, sf):
-    from prefmine.plans.experiments import neighbor_sweep, to_long
-    train, test = _supp_split(spark, sf)
-    wide = neighbor_sweep(train, test, P.NEIGHBOR_SWEEP, by_city=True)
-    return to_long(wide, "itemcf", "n_neighbors", "n_neighbors", ["rmse", "coverage"], "city")
+def _ledger(spark, sf, *tables):
+    """(ledger of the shared folder, name of the input tables): queries on the same inputs share it."""
+    from prefmine.plans import ledger as L
+    from prefmine.session import checkpoint_dir
+    return (L.Ledger(spark, f"{checkpoint_dir(spark).rstrip('/')}/ledger"),
+            L.data_id(spark, [f"{sf.rstrip('/')}/{t}.parquet" for t in tables]))
+
+
+RATING_TABLES = ("lineitem", "orders", "customer", "supplier", "nation")
+
+
+def _cf_ledger(spark, sf, experiment, sweep, city):
+    led, data = _ledger(spark, sf, *RATING_TABLES)
+
+    def fit(points):
+        train, test = _supp_split(spark, sf)
+        return sweep(train, test, [p["n_neighbors"] for p in points])
+
+    # The counts of a sweep share one model and one scoring pass.
+    return led.sweep(data, experiment, [{"n_neighbors": n} for n in P.NEIGHBOR_SWEEP], fit,
+                     ["rmse", "n_covered", "n_actual", "coverage"], city, together=True)
+
+
+def _one_model(spark, sf):
+    """Ledger rows: one item CF model, its test RMSE per city of the item."""
+    from prefmine.plans.experiments import neighbor_sweep
+    return _cf_ledger(spark, sf, "itemcf", lambda tr, te, ns: neighbor_sweep(tr, te, ns, by_city=True), "city")
+
+
+def _city_models(spark, sf):
+    """Ledger rows: a model per city term."""
+    from prefmine.plans.experiments import city_neighbor_sweep
+    return _cf_ledger(spark, sf, "itemcf by city", lambda tr, te, ns: city_neighbor_sweep(tr, te, P.CITY_TERMS, ns), "city_term")
 
 
 def q_metric_filter(spark, sf):
+    from prefmine.plans import ledger as L
     from prefmine.plans.experiments import select_rows
-    m = select_rows(_city_sweep_long(spark, sf), param_value=10.0, metric="rmse")
+    m = select_rows(L.long_rows(_one_model(spark, sf), "n_neighbors"), param_value=10.0, metric="rmse")
     return m.select("experiment", "city", "run", "param", "param_value", "metric", fx("value"))
 
 
 def q_metric_pivot(spark, sf):
-    from prefmine.plans.experiments import neighbor_sweep, pivot
-    train, test = _supp_split(spark, sf)
-    wide = neighbor_sweep(train, test, P.NEIGHBOR_SWEEP, by_city=True)
-    p = pivot(wide, "city", "n_neighbors", "rmse", P.NEIGHBOR_SWEEP, "rmse_n")
+    from prefmine.plans import ledger as L
+    from prefmine.plans.experiments import pivot
+    wide = L.wide_rows(_one_model(spark, sf), ["n_neighbors"], ["rmse"])
+    p = pivot(wide.withColumn("n_neighbors", F.col("n_neighbors").cast("int")), "city", "n_neighbors", "rmse", P.NEIGHBOR_SWEEP, "rmse_n")
     return p.select("city", *[fx(f"rmse_n{n}") for n in P.NEIGHBOR_SWEEP])
 
 
@@ -519,18 +548,48 @@ def q_itemcf_city_times(spark, sf):
     return df.select("city_term", "n_neighbors", "n_train", "n_test", fx("rmse"), "timed")
 
 
-def q_als_city_sweep(spark, sf):
-    """ALS per city term and rank."""
+ALS_CITY_METRICS = ("n_train", "n_test", "n_scored", "rmse", "train_s", "test_s")
+
+
+def _als_cities(spark, sf, ranks=P.ALS_CITY_RANKS):
+    """Ledger rows of ALS per city term and rank; each rank's fits are committed together."""
     from prefmine.plans.experiments import als_city_sweep
-    train, test = _supp_split(spark, sf)
-    rows = als_city_sweep(train, test, P.ALS_CITY_TERMS, P.ALS_CITY_RANKS, P.ALS_MAX_ITER, P.ALS_REG)
+    led, data = _ledger(spark, sf, *RATING_TABLES)
+
+    def fit(points):
+        train, test = _supp_split(spark, sf)
+        return materialize(als_city_sweep(train, test, P.ALS_CITY_TERMS, [p["rank"] for p in points], P.ALS_MAX_ITER, P.ALS_REG), "als-cities")
+
+    return led.sweep(data, "als by city", [{"rank": r} for r in ranks], fit, ALS_CITY_METRICS, "city_term")
+
+
+def _als_city_rows(spark, sf, ranks=P.ALS_CITY_RANKS):
+    from prefmine.plans import ledger as L
+    rows = L.wide_rows(_als_cities(spark, sf, ranks), ["rank"], ALS_CITY_METRICS)
+    return rows.select(F.col("city").alias("city_term"), F.col("rank").cast("int").alias("rank"),
+                       *[F.col(c).cast("bigint").alias(c) for c in ("n_train", "n_test", "n_scored")], "rmse", "train_s", "test_s")
+
+
+def _als_city_flags(rows):
     return rows.select("city_term", "rank", "n_train", "n_test", "n_scored",
                        (_finite("rmse") | (F.col("n_scored") == 0)).alias("finite"), (F.col("train_s") > 0).alias("timed"))
 
 
+def q_als_city_sweep(spark, sf):
+    """ALS per city term and rank, each fitted and timed by itself."""
+    return _als_city_flags(_als_city_rows(spark, sf))
+
+
+def q_als_rank_rows(spark, sf):
+    """The rows of one rank of that table, from the ledger."""
+    from prefmine.plans.experiments import select_rows
+    return _als_city_flags(select_rows(_als_city_rows(spark, sf, [100]), rank=100))
+
+
 QUERIES.update({
     "itemcf_city_sweep": q_itemcf_city_sweep,
     "als_city_sweep": q_als_city_sweep,
+    "als_rank_rows": q_als_rank_rows,
     "itemcf_city_times": q_itemcf_city_times,
 })
 
@@ -542,10 +601,9 @@ def q_mining_counts(spark, sf):
 
 
 def _city_long(spark, sf):
-    from prefmine.plans.experiments import city_neighbor_sweep, to_long
-    train, test = _supp_split(spark, sf)
-    wide = city_neighbor_sweep(train, test, P.CITY_TERMS, P.NEIGHBOR_SWEEP)
-    return to_long(wide, "itemcf", "n_neighbors", "n_neighbors", ["rmse", "coverage"], "city_term")
+    from prefmine.plans import ledger as L
+    rows = L.long_rows(_city_models(spark, sf), "n_neighbors").where(F.col("metric").isin("rmse", "coverage"))
+    return rows.withColumn("experiment", F.lit("itemcf"))
 
 
 def q_metric_head(spark, sf):
@@ -660,10 +718,8 @@ def q_metric_csv_roundtrip(spark, sf):
 def q_best_csv_roundtrip(spark, sf):
     """Each city's best item-CF RMSE over the neighbour counts, written in the layout of
     the best-result table and read back."""
-    from prefmine.plans.experiments import neighbor_sweep
     from prefmine.sources import files
-    train, test = _supp_split(spark, sf)
-    best = neighbor_sweep(train, test, P.NEIGHBOR_SWEEP, by_city=True).groupBy("city").agg(F.min("rmse").alias("RMSE"))
+    best = _one_model(spark, sf).where(F.col("metric") == "rmse").groupBy("city").agg(F.min("value").alias("RMSE"))
     path = f"{_scratch(spark, 'metrics')}/bestResultForItem.csv"
     files.write_csv(best.select("RMSE"), path, header=True)
     return files.read_metric_csv(spark, path, "bestResultForItem").select(fx("RMSE"))
@@ -796,3 +852,133 @@ QUERIES.update({
     "itemsets_from_rows": q_itemsets_from_rows,
     "rules_from_rows": q_rules_from_rows,
 })
+
+
+# ---------------------------- versioned reuse, quarantine, growing ids, city codes
+
+def q_ratings_rebuilt(spark, sf):
+    """The rating table of a folder of review files, reused while the folder stays as it is
+    and rebuilt after more files arrive."""
+    from prefmine.sources import files
+    base = _scratch(spark, "versioned")
+    rv = T.reviews(spark, sf, "supp").withColumn("late", F.pmod(F.xxhash64("user_key", "item_key", "rate"), F.lit(2)) == 1)
+    rv = materialize(rv, "reviews")
+    users, business = T.users(spark, sf), T.business(spark, sf).drop("is_open")
+
+    def ratings(build):
+        return files.read_or_build(spark, f"{base}/ratings", build, fmt="parquet", inputs=[f"{base}/reviews"], city="all")
+
+    def build():
+        return R.build_ratings(spark.read.parquet(f"{base}/reviews"), users, business)
+
+    def no_build():
+        raise AssertionError("an up-to-date table was built again")
+
+    rv.where("NOT late").drop("late").write.parquet(f"{base}/reviews")
+    ratings(build)
+    ratings(no_build)
+    rv.where("late").drop("late").write.mode("append").parquet(f"{base}/reviews")
+    ratings(build)
+    return ratings(no_build).select("user_id", "item_id", "city", fx("rating"))
+
+
+def _flawed_reviews(spark, sf):
+    """Folder of review JSON lines made from the tables, some of them bad by their number: cut short, without
+    a user, with a word for the stars; a blank line after some."""
+    path = _scratch(spark, "flawed")
+    li = T.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
+    od = T.table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    rv = li.join(od, li.l_orderkey == od.o_orderkey).select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("review_id"), F.col("o_custkey").cast("string").alias("user_id"),
+        F.col("l_suppkey").cast("string").alias("business_id"), F.col("l_quantity").alias("stars"))
+    flaw = F.pmod("review_id", F.lit(P.FLAWED))
+    whole = F.to_json(F.struct("review_id", "user_id", "business_id", "stars"))
+    line = (F.when(flaw == 0, F.expr("substring(whole, 1, length(whole) - 3)"))
+            .when(flaw == 1, F.to_json(F.struct("review_id", "business_id", "stars")))
+            .when(flaw == 2, F.to_json(F.struct("review_id", "user_id", "business_id", F.lit("many").alias("stars"))))
+            .when(flaw == 3, F.concat("whole", F.lit("\n  "))).otherwise(F.col("whole")))
+    rv.withColumn("whole", whole).select(line.alias("value")).write.text(path)
+    return path
+
+
+def _bad_columns(bad):
+    return bad.select(F.regexp_extract("line", r'"review_id":(\d+)', 1).cast("bigint").alias("review_id"), "reason", (F.col("line_number") > 0).alias("placed"))
+
+
+def _quarantined(spark, sf):
+    from prefmine.sources import files, quarantine
+    return quarantine.read_json(spark, _flawed_reviews(spark, sf), files.REVIEW_JSON, ["user_id", "business_id", "stars"],
+                                _scratch(spark, "quarantine"), max_bad_share=0.5)
+
+
+def q_quarantine_good(spark, sf):
+    """The good rows of flawed review files."""
+    good, _, _ = _quarantined(spark, sf)
+    return good.select(F.col("user_id").cast("bigint").alias("user_id"), F.col("business_id").cast("bigint").alias("business_id"), fx("stars"))
+
+
+def q_quarantine_bad(spark, sf):
+    """Their bad lines with the reason; the line number is that of the file."""
+    return _bad_columns(_quarantined(spark, sf)[1])
+
+
+def q_quarantine_stream(spark, sf):
+    """Bad lines of the same files read as a stream."""
+    from prefmine.sources import files, quarantine
+    out = _scratch(spark, "quarantine")
+    q = quarantine.start_stream(spark, _flawed_reviews(spark, sf), files.REVIEW_JSON, ["user_id", "business_id", "stars"], out,
+                                f"quarantine_{out.rsplit('/', 1)[-1]}", max_bad_share=0.5, max_files_per_trigger=4, available_now=True)
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return _bad_columns(quarantine.bad_lines(spark.read.parquet(out)))
+
+
+def q_user_ids_by_batches(spark, sf):
+    """User ids from a dictionary that three batches of pairs extend, in order of appearance."""
+    from prefmine.operators.iddict import KeyDictionary
+    pairs = materialize(_open_city_pairs(spark, sf, None, False), "pairs", most=F.max("item_id"))
+    third = F.floor(F.col("item_id") * 3 / F.lit((pairs.metrics["most"] or 0) + 1))
+    ids = KeyDictionary(spark, _scratch(spark, "ids"), "user_id", "user_index")
+    for b in range(3):
+        for _ in range(2):  # a repeated batch changes nothing
+            ids.append(f"items-{b}", pairs.where(third == b), ["item_id", "user_id"])
+    return ids.ids()
+
+
+def q_city_fanout_coded(spark, sf):
+    """The city selections from ratings stored by city code; names are matched on the dictionary alone."""
+    codes = R.city_codes(T.business(spark, sf))
+    path = _scratch(spark, "by-city-code")
+    R.write_by(R.coded_ratings(T.ratings_supp(spark, sf), codes), path, "city_code")
+    out = R.fanout_by_code(spark.read.parquet(path), R.matching_codes(codes, P.CITY_TERMS))
+    return out.select("city_term", "user_id", "item_id", "city", fx("rating"))
+
+
+def q_split_random(spark, sf):
+    """Spark's own random split of the rating table: nothing lost, nothing on both sides, the same rows
+    again, sizes around the weights."""
+    r = materialize(T.ratings_supp(spark, sf), "ratings_supp", n=F.count(F.lit(1)))
+    key = ["user_id", "item_id", "city"]
+    (a, b), (a2, b2) = splits.random_split(r, (0.8, 0.2), P.SEED), splits.random_split(r, (0.8, 0.2), P.SEED)
+    sides = None
+    for bit, df in enumerate((a, b, a2, b2)):
+        own = df.select(*key, F.lit(1 << bit).alias("side"))
+        sides = own if sides is None else sides.unionByName(own)
+    # 5: first side both times, 10: second side both times.
+    marks = sides.groupBy(*key).agg(F.sum("side").alias("mark"))
+    one = marks.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("mark") == 5).alias("train"), F.count_if(F.col("mark") == 10).alias("test"))
+    spread = 6 * F.sqrt(F.col("n") * F.lit(0.16))
+    return one.select(F.lit(r.metrics["n"]).cast("bigint").alias("n_rows"), (F.col("train") + F.col("test") == F.col("n")).alias("disjoint_and_repeated"),
+                      (F.abs(F.col("test") - 0.2 * F.col("n")) <= spread).alias("near_weights"))
+
+
+QUERIES.update({
+    "ratings_rebuilt": q_ratings_rebuilt,
+    "quarantine_good": q_quarantine_good,
+    "quarantine_bad": q_quarantine_bad,
+    "quarantine_stream": q_quarantine_stream,
+    "user_ids_by_batches": q_user_ids_by_batches,
+    "city_fanout_coded": q_city_fanout_coded,
+    "split_random": q_split_random,
+})
