@@ -361,6 +361,14 @@ SELECT rank, reg_param, true AS scored, 1 AS n_best, true AS best_is_least, true
         "als_city_sweep": with_(*city) + f"""
 SELECT city_term, rank, n_train, n_test, n_scored, true AS finite, true AS timed FROM cn, (VALUES {ranks}) g(rank)
 WHERE n_train + n_test > 0""",
+        "metric_layouts": with_(*city) + f"""
+SELECT layout, CAST(n AS BIGINT) AS n_rows, true AS same FROM (
+  SELECT unnest(['alsRMSE', 'itemRMSE', 'alsItem', 'freNum', 'freqResult']) AS layout,
+         unnest([{len(P.ALS_GRID_RANKS) * len(P.ALS_GRID_REGS)}, {len(P.NEIGHBOR_SWEEP)}, {P.COMPARE_RUNS}, {len(P.SUPPORT_SWEEP)}, {len(P.SUPPORT_SWEEP)}]) AS n
+  UNION ALL SELECT 'alsRst', count(*) FROM cn, (VALUES {ranks}) g(rank) WHERE n_train + n_test > 0
+  UNION ALL SELECT 'clRst', count(*) * {len([n for n in P.NEIGHBOR_SWEEP if n > P.N_NEIGHBORS])} FROM cn
+  UNION ALL SELECT unnest(['singleMachineTestTime', 'bestResultForALS']), unnest([count(*), count(*)]) FROM cn WHERE n_train + n_test > 0
+  UNION ALL SELECT 'bestResultForItem', count(DISTINCT city) FROM te) z""",
         "als_rank_rows": with_(*city) + """
 SELECT city_term, CAST(100 AS INTEGER) AS rank, n_train, n_test, n_scored, true AS finite, true AS timed FROM cn
 WHERE n_train + n_test > 0""",

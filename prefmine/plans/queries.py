@@ -382,6 +382,14 @@ def q_als_certificate(spark, sf):
                       (F.col("train_rmse") < F.col("test_rmse")).alias("train_fits_better"))
 
 
+GRID_POINTS = [{"rank": r, "regParam": g} for r in P.ALS_GRID_RANKS for g in P.ALS_GRID_REGS]
+
+
+def _grid_frame(spark, table):
+    return spark.createDataFrame([(r["rank"], r["reg_param"], r["avg_rmse"], r["is_best"]) for r in table],
+                                 "rank int, regParam double, avg_rmse double, is_best boolean")
+
+
 def q_als_grid(spark, sf):
     """Cross-validated rank x regParam grid; the fitted model is saved, reloaded and
     scored.  ``n_best``: points marked best; ``best_is_least``: the mark is on the
@@ -397,6 +405,9 @@ def q_als_grid(spark, sf):
     before, after = (als.rmse(als.score(m.bestModel, test)) for m in (cv, again))
     below = als.rmse(als.score(again.bestModel, train)) < train.agg(F.stddev_pop("rating")).first()[0]
     table = als.grid_table(cv)
+    led, data = _ledger(spark, sf, *RATING_TABLES)
+    if led.missing(data, "als grid", GRID_POINTS):
+        led.record(data, "als grid", GRID_POINTS, _grid_frame(spark, table), ["avg_rmse", "is_best"])
     best = [r for r in table if r["is_best"]]
     least = min(r["avg_rmse"] for r in table)
     rows = [(r["rank"], r["reg_param"], r["avg_rmse"] > 0, len(best), best[0]["avg_rmse"] == least, bool(below),
@@ -427,9 +438,23 @@ def q_neighbor_sweep(spark, sf):
         "n_neighbors", fx("rmse"), "n_covered", "n_actual", fx("coverage"))
 
 
-def q_support_sweep(spark, sf):
+SUPPORT_METRICS = ("n_itemsets", "n_rules", "n_matched", "tp", "fp", "fn", "precision", "recall")
+
+
+def _supports(spark, sf):
+    """Ledger rows of the support sweep, as a row per support."""
+    from prefmine.plans import ledger as L
     from prefmine.plans.experiments import support_sweep
-    return support_sweep(_brand_marked(spark, sf), P.SUPPORT_SWEEP, P.MIN_CONFIDENCE).select(
+    led, data = _ledger(spark, sf, "lineitem", "part")
+    rows = led.sweep(data, "rules by support", [{"support": s} for s in P.SUPPORT_SWEEP],
+                     lambda points: support_sweep(_brand_marked(spark, sf), [p["support"] for p in points], P.MIN_CONFIDENCE),
+                     SUPPORT_METRICS, together=True)
+    wide = L.wide_rows(rows, ["support"], SUPPORT_METRICS)
+    return wide.select("support", *[F.col(c).cast("bigint").alias(c) for c in SUPPORT_METRICS[:6]], "precision", "recall")
+
+
+def q_support_sweep(spark, sf):
+    return _supports(spark, sf).select(
         fx("support"), "n_itemsets", "n_rules", "n_matched", "tp", "fp", "fn",
         fx("precision"), fx("recall"))
 
@@ -485,7 +510,7 @@ def q_metric_pivot(spark, sf):
 
 
 def _compare(train, test, by, seed=0):
-    """(*by, rmse_itemcf, n_als, als_finite): item CF and ALS on the same split."""
+    """(*by, rmse_itemcf, n_als, rmse_als): item CF and ALS on the same split."""
     from prefmine.operators import als
     nb = itemcf.fit_neighbors(train, P.N_NEIGHBORS)
     rmse = F.sqrt(F.avg(F.pow(F.col("rating") - F.col("prediction"), 2)))
@@ -494,24 +519,39 @@ def _compare(train, test, by, seed=0):
     model = als.fit(train, rank=P.ALS_COMPARE_RANK, max_iter=P.ALS_MAX_ITER, reg_param=P.ALS_REG, seed=seed)
     scored = als.score(model, test).drop("rating").join(test, ["user_id", "item_id"])
     a = scored.groupBy(*by).agg(F.count(F.lit(1)).alias("n_als"), rmse.alias("rmse_als"))
-    return cf.join(a, by, "full").select(*by, fx("rmse_itemcf"), F.coalesce("n_als", F.lit(0)).alias("n_als"), _finite("rmse_als").alias("als_finite"))
+    return cf.join(a, by, "full").select(*by, "rmse_itemcf", F.coalesce("n_als", F.lit(0)).alias("n_als"), "rmse_als")
+
+
+def _compared(rows, *by):
+    return rows.select(*by, fx("rmse_itemcf"), F.col("n_als").cast("bigint").alias("n_als"), _finite("rmse_als").alias("als_finite"))
 
 
 def q_metric_compare(spark, sf):
     """Per city: item CF (10 neighbours) and ALS on the same split."""
-    return _compare(*_supp_split(spark, sf), ["city"])
+    return _compared(_compare(*_supp_split(spark, sf), ["city"]), "city")
+
+
+COMPARED = ("rmse_itemcf", "n_als", "rmse_als")
+
+
+def _compare_runs(spark, sf):
+    """Ledger rows of five fresh splits, as a row per run."""
+    from prefmine.plans import ledger as L
+    led, data = _ledger(spark, sf, *RATING_TABLES)
+
+    def fit(points):
+        run = int(points[0]["split"])
+        marked = materialize(splits.mark_split(T.ratings_supp(spark, sf), ["user_id", "item_id"], P.TEST_FRACTION, run)
+                             .withColumn("split", F.lit(run)), "run")
+        return _compare(*splits.split_marked(marked), ["split"], seed=run)
+
+    rows = led.sweep(data, "itemcf and als", [{"split": i} for i in range(P.COMPARE_RUNS)], fit, COMPARED)
+    return L.wide_rows(rows.drop("run").withColumn("run", F.lit(0)), ["split"], COMPARED)
 
 
 def q_metric_compare_runs(spark, sf):
     """The same over five fresh splits, a row per run."""
-    r = materialize(T.ratings_supp(spark, sf), "ratings_supp")
-    out = None
-    for run in range(P.COMPARE_RUNS):
-        marked = materialize(splits.mark_split(r, ["user_id", "item_id"], P.TEST_FRACTION, run)
-                             .withColumn("run", F.lit(run)), "run")
-        row = _compare(*splits.split_marked(marked), ["run"], seed=run)
-        out = row if out is None else out.unionByName(row)
-    return out
+    return _compared(_compare_runs(spark, sf).drop("run").withColumn("run", F.col("split").cast("int")), "run")
 
 
 QUERIES.update({
@@ -537,15 +577,31 @@ def q_itemcf_city_sweep(spark, sf):
         "city_term", "n_neighbors", fx("rmse"), "n_covered", "n_actual", fx("coverage"))
 
 
+CF_TIMES = ("n_train", "n_test", "rmse", "train_s", "test_s")
+
+
+def _cf_times(spark, sf):
+    """Ledger rows of item CF per city and neighbour count, each trained and timed by itself, as a row each."""
+    from prefmine.plans import ledger as L
+    from prefmine.plans.experiments import cf_times
+    led, data = _ledger(spark, sf, *RATING_TABLES)
+
+    def fit(points):
+        train, test = _supp_split(spark, sf)
+        rows = cf_times(train, test, P.ALS_CITY_TERMS, [int(p["n_neighbors"]) for p in points])
+        return spark.createDataFrame([tuple(r[c] for c in ("city_term", "n_neighbors", *CF_TIMES)) for r in rows],
+                                     "city_term string, n_neighbors int, n_train bigint, n_test bigint, rmse double, train_s double, test_s double")
+
+    rows = led.sweep(data, "itemcf times", [{"n_neighbors": n} for n in P.NEIGHBOR_SWEEP if n > P.N_NEIGHBORS], fit, CF_TIMES, "city_term", together=True)
+    wide = L.wide_rows(rows, ["n_neighbors"], CF_TIMES)
+    return wide.select(F.col("city").alias("city_term"), F.col("n_neighbors").cast("int").alias("n_neighbors"),
+                       F.col("n_train").cast("bigint").alias("n_train"), F.col("n_test").cast("bigint").alias("n_test"), "rmse", "train_s", "test_s")
+
+
 def q_itemcf_city_times(spark, sf):
     """Item CF per city and neighbour count, each trained and timed by itself."""
-    from prefmine.plans.experiments import cf_times
-    train, test = _supp_split(spark, sf)
-    rows = cf_times(train, test, P.ALS_CITY_TERMS, [n for n in P.NEIGHBOR_SWEEP if n > P.N_NEIGHBORS])
-    df = spark.createDataFrame([(r["city_term"], r["n_neighbors"], r["n_train"], r["n_test"], r["rmse"],
-                                 r["train_s"] > 0 and r["test_s"] > 0) for r in rows],
-                               "city_term string, n_neighbors int, n_train bigint, n_test bigint, rmse double, timed boolean")
-    return df.select("city_term", "n_neighbors", "n_train", "n_test", fx("rmse"), "timed")
+    return _cf_times(spark, sf).select("city_term", "n_neighbors", "n_train", "n_test", fx("rmse"),
+                                       ((F.col("train_s") > 0) & (F.col("test_s") > 0)).alias("timed"))
 
 
 ALS_CITY_METRICS = ("n_train", "n_test", "n_scored", "rmse", "train_s", "test_s")
@@ -698,9 +754,8 @@ def q_ratings_csv_roundtrip(spark, sf):
 def q_metric_csv_roundtrip(spark, sf):
     """Support sweep written as the two metric CSV layouts (counts; TP / FP /
     FN / precision / recall), read back with their schemas, joined on support."""
-    from prefmine.plans.experiments import support_sweep
     from prefmine.sources import files
-    sweep = materialize(support_sweep(_brand_marked(spark, sf), P.SUPPORT_SWEEP, P.MIN_CONFIDENCE), "sweep")
+    sweep = _supports(spark, sf)
     base = _scratch(spark, "metrics")
     files.write_csv(sweep.select("support", F.col("n_itemsets").alias("numFreqItemsets"),
                                  F.col("n_rules").alias("numAssociateRules")),
@@ -982,3 +1037,60 @@ QUERIES.update({
     "city_fanout_coded": q_city_fanout_coded,
     "split_random": q_split_random,
 })
+
+
+# ------------------------------------------- all ten metric tables as files
+
+def _metric_tables(spark, sf):
+    """Layout name -> its table, from the ledger (missing points are run)."""
+    from prefmine.operators import als
+    from prefmine.plans import ledger as L
+    led, data = _ledger(spark, sf, *RATING_TABLES)
+
+    def grid(points):
+        train, _ = _supp_split(spark, sf)
+        cv = als.grid_search(train, P.ALS_GRID_RANKS, P.ALS_GRID_REGS, num_folds=P.ALS_FOLDS, parallelism=4, max_iter=P.ALS_MAX_ITER)
+        return _grid_frame(spark, als.grid_table(cv))
+
+    points = L.wide_rows(led.sweep(data, "als grid", GRID_POINTS, grid, ["avg_rmse", "is_best"], together=True), ["rank", "regParam"], ["avg_rmse"])
+    neighbors = _cf_ledger(spark, sf, "itemcf all cities", _neighbor_sweep, None)
+    runs, cities, times, supports = _compare_runs(spark, sf), _als_city_rows(spark, sf), _cf_times(spark, sf), _supports(spark, sf)
+    best = lambda rows, city, rmse: rows.groupBy(city).agg(F.min(rmse).alias("RMSE")).select("RMSE")
+    return {
+        "alsRMSE": points.select("regParam", F.col("rank").cast("int").alias("rankValue"), F.col("avg_rmse").alias("RMSE")),
+        "itemRMSE": L.wide_rows(neighbors, ["n_neighbors"], ["rmse"]).select(F.col("n_neighbors").cast("int").alias("neighbor_number"), F.col("rmse").alias("RMSE")),
+        "alsItem": runs.select(F.col("rmse_als").alias("RMSE_ALS"), F.col("rmse_itemcf").alias("RMSE_Item")),
+        "freNum": supports.select("support", F.col("n_itemsets").alias("numFreqItemsets"), F.col("n_rules").alias("numAssociateRules")),
+        "freqResult": supports.select("support", F.col("tp").alias("TP"), F.col("fp").alias("FP"), F.col("fn").alias("FN"), "precision", "recall"),
+        "alsRst": cities.select(F.col("rank").alias("rankOfALS"), F.col("city_term").alias("cityName"), F.col("n_train").alias("DataSize"),
+                                F.col("rmse").alias("RMSE"), F.col("train_s").alias("trainTime")),
+        "clRst": times.select(F.col("n_neighbors").alias("neighborNumber"), F.col("city_term").alias("cityName"), F.col("rmse").alias("RMSE"),
+                              F.col("train_s").alias("trainTime"), F.col("test_s").alias("testTime")),
+        "singleMachineTestTime": cities.where("rank = 100").select(F.col("train_s").alias("trainTime")),
+        "bestResultForALS": best(cities, "city_term", "rmse"),
+        "bestResultForItem": best(_one_model(spark, sf).where("metric = 'rmse'"), "city", "value"),
+    }
+
+
+def _neighbor_sweep(train, test, ns):
+    from prefmine.plans.experiments import neighbor_sweep
+    return neighbor_sweep(train, test, ns)
+
+
+def q_metric_layouts(spark, sf):
+    """All ten metric tables written as files and read back by their layouts: rows, and whether
+    every value came back (both sides counted row by row)."""
+    from prefmine.sources import files
+    base, out = _scratch(spark, "layouts"), None
+    for name, table in _metric_tables(spark, sf).items():
+        table = materialize(table, name)
+        files.write_csv(table, f"{base}/{name}.csv", header=True)
+        back = files.read_metric_csv(spark, f"{base}/{name}.csv", name)
+        sides = table.select(*back.columns, F.lit(1).alias("_side")).unionByName(back.withColumn("_side", F.lit(-1)))
+        same = sides.groupBy(*back.columns).agg(F.sum("_side").alias("d"), F.count_if(F.col("_side") == 1).alias("n"))
+        row = same.agg(F.lit(name).alias("layout"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), (F.max(F.abs("d")) == 0).alias("same"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+QUERIES["metric_layouts"] = q_metric_layouts
