@@ -36,9 +36,13 @@ SPEAKERS = {
 }
 ROLE_OF = {name: i for i, r in enumerate(ROLES) for name in SPEAKERS[r]}
 NONE, OTHER = N, N + 1  # marker classes beside the roles: no marker, an unknown speaker
+# Names that are as often words of a text ("Answer: 42"): markers only in rows without a speaker label.
+WEAK = {"instruction", "instructions", "context", "customer", "question", "q", "client", "student", "me", "model", "answer", "a", "agent",
+        "response", "teacher", "sys"}
 _NAMES = "|".join(sorted(ROLE_OF, key=len, reverse=True))
+# Special tokens, a heading of the name alone, and the name with a colon (or, from two letters on, with > right behind it).
 MARKER = re.compile(rf"\s*(?:<\|im_start\|>\s*(?P<t>{_NAMES})\b\s*|<\|(?P<p>{_NAMES})\|>\s*|(?P<inst>\[INST\])\s*|(?P<sys><<SYS>>)\s*"
-                    rf"|#{{1,4}}\s*(?P<h>{_NAMES})\s*:?\s*$|(?:#{{1,4}}\s*|\*\*|\[)?(?P<n>{_NAMES})(?:\s*\d+)?(?:\*\*|\])?\s*[:>]\s*(?:\*\*\s*)?)", re.I)
+                    rf"|#{{1,4}}\s*(?P<h>{_NAMES})\s*:?\s*$|(?:#{{1,4}}\s*|\*\*|\[)?(?P<n>{_NAMES})(?:\s*\d+)?(?:\*\*|\])?(?:\s*:|(?<=\w\w)>)\s*(?:\*\*\s*)?)", re.I)
 CLOSER = re.compile(r"\s*(?:<\|im_end\|>|\[/INST\]|<</SYS>>)\s*$", re.I)
 
 FEATURES = 10  # ends with a question mark or not, five classes of length
@@ -53,15 +57,17 @@ def speaker_class(label: str | None) -> int:
     return ROLE_OF.get(name, OTHER) if name else NONE
 
 
-def read_line(line: str) -> tuple[int, str]:
-    """(marker class, content): the marker is cut off the line."""
+def read_line(line: str, labelled: bool = False) -> tuple[int, str, bool]:
+    """(marker class, rest of the line, whether the marker is a special token).  In a row
+    with a speaker label a weak name is no marker.  A closing token on the line of a special
+    token goes with it."""
     m = MARKER.match(line)
-    line = CLOSER.sub("", line)
-    if not m:
-        return NONE, line
-    who = m["t"] or m["p"] or m["h"] or m["n"]
+    who = m and (m["t"] or m["p"] or m["h"] or m["n"])
+    if not m or labelled and (m["h"] or m["n"] or "").lower() in WEAK:
+        return NONE, line, False
     kind = ROLE_OF[who.lower()] if who else ROLES.index("user" if m["inst"] else "system")
-    return kind, line[m.end():]
+    special = not (m["h"] or m["n"])
+    return kind, CLOSER.sub("", line[m.end():]) if special else line[m.end():], special
 
 
 def feature(content: str) -> int:
@@ -73,15 +79,41 @@ def feature(content: str) -> int:
 def observe(label: str | None, text: str | None) -> list[int]:
     """A code for every line: marker class * FEATURES + feature.  The row's label is
     the marker of its first line unless the line has its own."""
-    out = []
+    out, given = [], speaker_class(label)
     for i, line in enumerate((text or "").split("\n")):
-        kind, content = read_line(line)
+        kind, content, _ = read_line(line, given < N)
         if kind == NONE and i == 0:
-            kind = speaker_class(label)
-        out.append(kind * FEATURES + feature(content))
+            kind = given
+        out.append(kind * FEATURES + feature(CLOSER.sub("", content)))
     return out
 
 
+def turns_of(label: str | None, text: str | None, states: list[int], before: int | None) -> list[dict]:
+    """The runs of lines of one role in a row: part, role, opens, content.
+
+    A marker is cut off where the decoded role is its own and a turn opens there, and a
+    closing token where such a special token opened the turn in this row; every other
+    line stays whole, so no character outside true markers is lost.  A labelled row
+    opens by its label: its first line is cut only if a special token or a strong name starts it.
+    """
+    parts: list[dict] = []
+    last, token, given = before, False, speaker_class(label)
+    for line, state in zip((text or "").split("\n"), states):
+        kind, rest, special = read_line(line, given < N)
+        new = not parts or state != last
+        cut = kind == state and new and state != last
+        if new:
+            token = cut and special
+        shown = rest if cut else line
+        shown = CLOSER.sub("", shown) if token else shown
+        if new:
+            parts.append({"part": len(parts), "role": ROLES[state], "opens": state != last, "content": []})
+        if not (cut and not shown):
+            parts[-1]["content"].append(shown)
+        last = state
+    return [{**p, "content": "\n".join(p["content"])} for p in parts]
+
+
 class Model:
     """Log probabilities: of the first role, of a turn's role after the last one's,
     inside a row, and of each observation."""
@@ -261,46 +293,42 @@ def _decoded(rows: DataFrame, model: Model, scratch: Scratch, block_rows: int, f
 
 
 def format_chat(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", speaker: str = "role",
-                text: str = "text", block_rows: int = 512) -> DataFrame:
-    """(conv, turn, part, role, opens, content, rendered): the turns of every
+                text: str = "text", block_rows: int = 512, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(conv, turn, *keep, part, role, opens, content, rendered): the turns of every
     conversation with recovered roles, a row for each run of lines of one role.
 
     ``rendered`` is the canonical form: ``<|role|>`` and a line break where a turn opens
     (``opens``: the role differs from that of the lines before), the content, and a
     line break; a conversation's rendered rows in the order (turn, part) are its
     transcript.  Speaker labels may be null, unknown or wrong, and markers in the text
-    may start other turns.  Rows of one conversation are ordered by turn (null first,
+    may start other turns; a marker is cut off only where such a turn opens
+    (:func:`turns_of`), all other text stays.  Rows of one conversation are ordered by turn (null first,
     as turn -1), ties by a hash of speaker and text; repeated rows are repeated turns.
     Rows with a null conversation are conversations of their own.  A null or empty
-    text is one empty line.  An empty table gives no rows.
+    text is one empty line; a text of any length is read line by line.  Other columns of the input, whatever their
+    names, take no part; those named in ``keep`` are passed through (not under a name of the result).  An
+    empty table gives no rows.
     """
     scratch = Scratch(turns.sparkSession, "chat")
     seen = _observed(F.col(speaker).cast("string"), F.col(text))
+    keep = tuple(c for c in keep if c not in (conv, turn, "part", "role", "opens", "content", "rendered"))
     rows = scratch.write(turns.select(
         F.monotonically_increasing_id().alias("row"), F.col(conv).alias("conv_in"), F.col(turn).alias("turn_in"),
         F.coalesce(F.col(turn).try_cast("long"), F.lit(-1)).alias("turn"), F.shiftrightunsigned(F.xxhash64(speaker, text), 1).alias("hash"),
-        F.col(text).alias("text"), seen.alias("seen")).withColumn(
+        F.col(speaker).cast("string").alias("label"), F.col(text).alias("text"), seen.alias("seen"),
+        (F.struct(*keep) if keep else F.struct(F.lit(0).alias("_"))).alias("rest")).withColumn(
             "conv", F.coalesce(F.col("conv_in").cast("string"), F.concat(F.lit("row "), "row"))))
     compact = rows.select("row", "conv", "turn", "hash", "seen.role", "seen.obs")
     model = train(compact)
     roles = scratch.write(_decoded(compact, model, scratch, block_rows))
 
     @F.pandas_udf("array<struct<part:int,role:string,opens:boolean,content:string>>")
-    def runs(texts: pd.Series, states: pd.Series, before: pd.Series) -> pd.Series:
-        out = []
-        for t, s, b in zip(texts, states, before):
-            parts, last = [], None if pd.isna(b) else int(b)
-            for line, state in zip((t if isinstance(t, str) else "").split("\n"), s):
-                kind, content = read_line(line)
-                if not parts or state != last:
-                    parts.append({"part": len(parts), "role": ROLES[state], "opens": state != last, "content": [content]})
-                elif content or kind == NONE:
-                    parts[-1]["content"].append(content)
-                last = state
-            out.append([{**p, "content": "\n".join(p["content"])} for p in parts])
-        return pd.Series(out)
-
-    done = rows.join(roles, "row").select(F.col("conv_in").alias(conv), F.col("turn_in").alias(turn),
-                                          F.inline(runs("text", "roles", "before")))
+    def runs(labels: pd.Series, texts: pd.Series, states: pd.Series, before: pd.Series) -> pd.Series:
+        clean = lambda v: v if isinstance(v, str) else None
+        return pd.Series([turns_of(clean(a), clean(t), list(s), None if pd.isna(b) else int(b))
+                          for a, t, s, b in zip(labels, texts, states, before)])
+
+    done = rows.join(roles, "row").select(F.col("conv_in").alias(conv), F.col("turn_in").alias(turn), *[F.col("rest").getField(c).alias(c) for c in keep],
+                                          F.inline(runs("label", "text", "roles", "before")))
     head = F.when(F.col("opens"), F.concat(F.lit("<|"), "role", F.lit("|>\n"))).otherwise("")
     return done.withColumn("rendered", F.concat(head, "content", F.lit("\n")))

@@ -75,7 +75,15 @@ def op7_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_chat(read(spark, sf_dir, "conversations"))
+    """All conversations, a quarter of the speakers (by a hash of conversation and turn) hidden from the
+    operator: ``hidden`` marks them, ``given`` is the table's role, ``accuracy`` the share of hidden rows
+    whose role came back."""
+    turns = read(spark, sf_dir, "conversations")
+    hidden = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4)) == 0
+    asked = turns.select("conv_id", "turn", F.when(~hidden, F.col("role")).alias("speaker"), "text", F.col("role").alias("given"), hidden.alias("hidden"))
+    out = Scratch(spark, "op8").write(chat.format_chat(asked, speaker="speaker", keep=("given", "hidden")))
+    right = out.where("hidden AND part = 0").agg(F.avg((F.col("role") == F.col("given")).cast("double"))).first()[0]
+    return out.withColumn("accuracy", F.round(F.lit(right).cast("double"), 6))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

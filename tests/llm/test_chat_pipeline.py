@@ -41,7 +41,91 @@ def test_viterbi_in_blocks_equals_all_paths(model, seed):
     ("Human: hi", (1, "hi")), ("### Assistant", (2, "")), ("<|im_start|>system", (0, "")), ("<|user|> ask", (1, "ask")), ("[INST] do it [/INST]", (1, "do it")),
     ("**Bot:** sure", (2, "sure")), ("Q: why?", (1, "why?")), ("A day in May", (chat.NONE, "A day in May")), ("plain", (chat.NONE, "plain")), ("", (chat.NONE, ""))])
 def test_markers(line, want):
-    assert chat.read_line(line) == want
+    assert chat.read_line(line)[:2] == want
+
+
+@pytest.mark.parametrize("line", ["Q > 0 holds", "a > b holds", "A > B", "Questions: none", "User 1 is here", "me > you"])
+def test_no_markers(line):
+    assert chat.read_line(line) == (chat.NONE, line, False)
+
+
+@pytest.mark.parametrize("line", ["Answer: 42", "Model: T-800 is old, why", "Context: a war", "Response: 200 OK", "# Answer", "Q: is a letter", "Question: why?"])
+def test_weak_names_in_labelled_rows_are_text(spark, line):
+    assert chat.read_line(line, True) == (chat.NONE, line, False)
+    rows = [(c, t, r, f"some {r} text here") for c in range(30) for t, r in enumerate(["user", "assistant"] * 2)]
+    rows += [(99, 0, "user", line), (99, 1, "assistant", line), (99, 2, "user", "x\n" + line)]
+    out = chat.format_chat(spark.createDataFrame(rows, SCHEMA)).where("conv_id = 99").orderBy("turn").collect()
+    assert [(r.role, r.content) for r in out] == [("user", line), ("assistant", line), ("user", "x\n" + line)]
+
+
+def test_no_text_is_lost():
+    """Whatever the labels and decoded roles: the contents, with the markers cut where a turn opens put back, are the text."""
+    rng = random.Random(0)
+    lines = ["Answer: 42", "Human: hi", "a > b holds", "plain", "", "### Assistant", "<|im_start|>user go<|im_end|>", "[INST] do it [/INST]", "# Answer",
+             "Bot> x", "x <|im_end|>", "System: be kind", "<<SYS>> rules <</SYS>>", "  indented ", "Model: T-800"]
+    for _ in range(3000):
+        text = "\n".join(rng.choice(lines) for _ in range(rng.randint(1, 6)))
+        states, before = [rng.randrange(3) for _ in text.split("\n")], rng.choice([None, 0, 1, 2])
+        label = rng.choice([None, "user", "assistant", "robot"])
+        parts = chat.turns_of(label, text, states, before)
+        got, want, last, token = iter("\n".join(p["content"] for p in parts if p["content"] or True).split("\n")), [], before, False
+        for i, (line, state) in enumerate(zip(text.split("\n"), states)):
+            opens = state != last
+            kind, rest, special = chat.read_line(line, label in ("user", "assistant"))
+            if i == 0 or opens:
+                token = opens and kind == state and special
+            shown = rest if opens and kind == state else line
+            want.append(chat.CLOSER.sub("", shown) if token else shown)
+            last = state
+        assert [x for x in got if x] == [x for x in want if x]
+        assert [p["role"] for p in parts] == [chat.ROLES[k] for k, _ in itertools.groupby(states)]
+
+
+def brute_chat(rows):
+    """{(conv, turn, part): (role, opens, content)}: plain counts and one plain Viterbi per conversation,
+    rows (conv, turn, label, text) with distinct turns."""
+    convs = {}
+    for c, t, label, text in sorted(rows, key=lambda r: r[:2]):
+        convs.setdefault(c, []).append((t, label, text, chat.observe(label, text)))
+    first, after, shown = np.zeros(3), np.zeros((3, 3)), np.zeros((3, chat.FEATURES))
+    for own in convs.values():
+        known = [(t, chat.speaker_class(a), o) for t, a, _, o in own if chat.speaker_class(a) < 3]
+        for k, (t, a, o) in enumerate(known):
+            first[a] += k == 0
+            for x in o:
+                shown[a, x % chat.FEATURES] += 1
+            if k + 1 < len(known) and known[k + 1][0] == t + 1:
+                after[a, known[k + 1][1]] += 1
+    m = chat.Model(first, after, shown)
+    out = {}
+    for c, own in convs.items():
+        codes = [(i, x) for _, _, _, o in own for i, x in enumerate(o)]
+        score, back = m.first + m.emit[codes[0][1]], []
+        for i, x in codes[1:]:
+            reach = score[:, None] + m.step(x, i == 0)
+            back.append(reach.argmax(0))
+            score = reach.max(0)
+        path = [int(score.argmax())]
+        for b in reversed(back):
+            path.append(int(b[path[-1]]))
+        path, at, last = path[::-1], 0, None
+        for t, label, text, o in own:
+            states = path[at : at + len(o)]
+            for p in chat.turns_of(label, text, states, last):
+                out[c, t, p["part"]] = (p["role"], p["opens"], p["content"])
+            at, last = at + len(o), states[-1]
+    return out
+
+
+def test_whole_query_equals_brute_force(spark):
+    got = queries.QUERIES["op8_chat"](spark, SF001).collect()
+    table = spark.read.parquet(f"{SF001}/conversations.parquet").withColumn("hidden", F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4)) == 0).collect()
+    want = brute_chat([(r.conv_id, r.turn, None if r.hidden else r.role, r.text) for r in table])
+    assert {(r.conv_id, r.turn, r.part): (r.role, r.opens, r.content) for r in got} == want and len(got) == len(want)
+    given = {(r.conv_id, r.turn): (r.role, r.hidden) for r in table}
+    assert all((r.given, r.hidden) == given[r.conv_id, r.turn] for r in got) and sum(r.hidden for r in got) > 10
+    asked = [r for r in got if r.hidden and r.part == 0]
+    assert {r.accuracy for r in got} == {round(sum(r.role == r.given for r in asked) / len(asked), 6)} and got[0].accuracy >= 0.9
 
 
 def test_given_roles_are_kept(spark):
@@ -132,8 +216,8 @@ def test_every_operator_is_registered():
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert [sum(q.startswith(f"op{n}_") for q in names) for n in range(1, 11)] == [1] * 10
-    assert "pipeline" in names and set(queries.ORACLE_SQL) <= set(entry.oracle_sql()) and len(queries.ORACLE_SQL) == 4
+    assert [sum(q.startswith(f"op{n}_") for q in names) for n in range(1, 14)] == [1] * 13
+    assert "pipeline" in names and set(queries.ORACLE_SQL) <= set(entry.oracle_sql()) and len(queries.ORACLE_SQL) == 6
 
 
 def test_repeated_rows_are_cut_into_bounded_blocks(spark):
