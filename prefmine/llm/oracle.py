@@ -104,7 +104,7 @@ b AS (SELECT *, n_words < {rules.min_words} OR 100 * n_repeat_words > 20 * n_wor
 SELECT *, NOT base_failed AND lost_words <= {rules.lost}e0 * n_words AS kept FROM b"""
 
 
-def url_filter(rules, depth: int = 8, z: float = 2.58, smoothing: float = 8.0, reject: float = 0.5) -> str:
+def url_filter(rules, depth: int = 12, z: float = 2.58, smoothing: float = 8.0, reject: float = 0.5) -> str:
     ending = r"\.[A-Za-z][A-Za-z0-9]{0,4}$"
     name = f"regexp_replace(s, '{ending}', '')"
     tests = ((r"regexp_matches({}, '^\d{{4}}[-_]\d{{2}}([-_]\d{{2}})?$')", "date"), (r"regexp_matches({}, '^\d+$')", "number"),
@@ -119,14 +119,25 @@ def url_filter(rules, depth: int = 8, z: float = 2.58, smoothing: float = 8.0, r
     levels = ["t0 AS (SELECT *, '' AS node FROM counts)"]
     for i in range(depth):
         levels.append(f"""
-c{i} AS (SELECT host, node, segs[{i + 1}] AS child, sum(n) AS cn, sum(b) AS cb FROM t{i} GROUP BY 1, 2, 3),
-p{i} AS (SELECT host, node, CAST(sum(cb) AS DOUBLE) / sum(cn) AS p, sum(cn) AS pn, sum(cb) AS pb FROM c{i} GROUP BY 1, 2 HAVING sum(cn) > 0),
-a{i} AS (SELECT c.host, c.node, c.child FROM c{i} c JOIN p{i} p ON p.host = c.host AND p.node = c.node
-         WHERE c.child IS NOT NULL AND c.cn > 0 AND p.pb > 0 AND p.pb < p.pn
-           AND abs(CAST(c.cb AS DOUBLE) / c.cn - p.p) / sqrt(p.p * (1 - p.p) / c.cn) > {z}e0),
+c{i} AS (SELECT host, node, segs[{i + 1}] AS child, sum(n) AS cn, sum(b) AS cb FROM t{i} WHERE len(segs) > {i} GROUP BY 1, 2, 3),
+p{i} AS (SELECT host, node, sum(cn) AS pn, sum(cb) AS pb FROM c{i} GROUP BY 1, 2),
+o{i} AS (SELECT c.*, CAST(p.pb AS DOUBLE) / p.pn AS p, c.cb - c.cn * (CAST(p.pb AS DOUBLE) / p.pn) AS over
+         FROM c{i} c JOIN p{i} p ON p.host = c.host AND p.node = c.node WHERE c.cn > 0 AND p.pb > 0 AND p.pb < p.pn),
+a{i} AS (SELECT *, CASE WHEN over > 0 THEN '+' ELSE '-' END AS side, CAST(cb AS DOUBLE) / cn AS share FROM o{i}
+         WHERE abs(over) - 0.5e0 > {z}e0 * sqrt(cn * p * (1 - p))),
+k{i} AS (SELECT host, node, side, cn, cb, share, count(*) AS kids, min(child) AS name,
+                lag(cn) OVER w AS n0, lag(cb) OVER w AS b0 FROM a{i} GROUP BY 1, 2, 3, 4, 5, 6
+         WINDOW w AS (PARTITION BY host, node, side ORDER BY share, cn)),
+e{i} AS (SELECT *, (CAST(cb AS DOUBLE) + b0) / (cn + n0) AS pool FROM k{i}),
+r{i} AS (SELECT *, sum(CASE WHEN share - CAST(b0 AS DOUBLE) / n0 > {z}e0 * sqrt(pool * (1 - pool) * (1e0 / cn + 1e0 / n0)) THEN 1 ELSE 0 END)
+                   OVER (PARTITION BY host, node, side ORDER BY share, cn) AS run FROM e{i}),
+l{i} AS (SELECT host, node, side, cn, cb, CASE WHEN sum(kids) OVER w = 1 THEN replace(min(name) OVER w, '*', '%2A')
+                ELSE '*' || side || CAST(run + 1 AS VARCHAR) END AS branch FROM r{i} WINDOW w AS (PARTITION BY host, node, side, run)),
+b{i} AS (SELECT a.host, a.node, a.child, l.branch FROM a{i} a JOIN l{i} l ON l.host = a.host AND l.node = a.node AND l.side = a.side
+         AND l.cn = a.cn AND l.cb = a.cb),
 t{i + 1} AS (SELECT t.host, t.raw, t.segs, t.n, t.b,
-                    t.node || CASE WHEN t.segs[{i + 1}] IS NULL THEN '' WHEN a.child IS NOT NULL THEN '/' || a.child ELSE '/*' END AS node
-             FROM t{i} t LEFT JOIN a{i} a ON a.host = t.host AND a.node = t.node AND a.child = t.segs[{i + 1}])""")
+                    t.node || CASE WHEN len(t.segs) <= {i} THEN '' ELSE '/' || coalesce(x.branch, '*') END AS node
+             FROM t{i} t LEFT JOIN b{i} x ON x.host = t.host AND x.node = t.node AND x.child = t.segs[{i + 1}])""")
     smooth = f"({{}} + {smoothing}e0 * {{}}) / ({{}} + {smoothing}e0)"
     return f"""
 WITH lab AS (SELECT doc_id, bool_or(quality = 0 OR toxic = 1) AS bad FROM labels GROUP BY doc_id),
@@ -136,7 +147,7 @@ h AS (SELECT page_id, translate(coalesce(regexp_extract(rest, '^([^/?#]*)', 1),
 m AS (SELECT h.*, lab.bad FROM h LEFT JOIN lab ON lab.doc_id =
         TRY_CAST(nullif(regexp_extract(path, '/([0-9]{{1,18}})(?:[.][A-Za-z]+)?/?$', 1), '') AS BIGINT)),
 q AS (SELECT *, string_split(regexp_replace(path, '^/', ''), '/') AS parts FROM m),
-e AS (SELECT page_id, host, path, bad, CASE WHEN len(parts) > {depth} THEN list_concat(parts[1:{depth - 1}], ['**']) ELSE parts END AS parts FROM q),
+e AS (SELECT page_id, host, path, bad, CASE WHEN len(parts) > {depth} THEN error('unroll more levels') ELSE parts END AS parts FROM q),
 u AS (SELECT page_id, unnest(parts) AS s, generate_subscripts(parts, 1) AS i FROM e),
 v AS (SELECT page_id, i, CASE {kinds} ELSE s END AS s FROM u),
 y AS (SELECT page_id, list(s ORDER BY i) AS segs, string_agg(s, '/' ORDER BY i) AS raw FROM v GROUP BY page_id),

@@ -100,24 +100,43 @@ def test_variable_segments(spark):
     assert {r.s: r.g for r in df.select("s", url_templates.generalised(F.col("s")).alias("g")).collect()} == segs
 
 
+def brute_branches(kids, z):
+    """{child: branch} of a node's children {name: (labelled, bad)}, one by one."""
+    pn, pb = sum(n for n, _ in kids.values()), sum(b for _, b in kids.values())
+    out = {k: "*" for k in kids}
+    if not 0 < pb < pn:
+        return out
+    p = pb / pn
+    for side in (1, -1):
+        far = [k for k, (n, b) in kids.items() if n and (b - n * p) * side > 0 and abs(b - n * p) - 0.5 > z * math.sqrt(n * p * (1 - p))]
+        runs = []
+        for k in sorted(far, key=lambda k: (kids[k][1] / kids[k][0], kids[k][0])):
+            n, b = kids[k]
+            if runs:
+                n0, b0 = kids[runs[-1][-1]]
+                q = (b + b0) / (n + n0)
+                if b / n - b0 / n0 <= z * math.sqrt(q * (1 - q) * (1 / n + 1 / n0)):
+                    runs[-1].append(k)
+                    continue
+            runs.append([k])
+        for i, run in enumerate(runs):
+            out.update({k: k.replace("*", "%2A") if len(run) == 1 else f"*{'+' if side > 0 else '-'}{i + 1}" for k in run})
+    return out
+
+
 def brute_templates(rows, z, smoothing):
-    """rows: (host, segments, bad).  The tree, node by node."""
+    """rows: (host, segments, bad).  The tree, node by node, to its end."""
     rows = [(h, tuple(s), b) for h, s, b in rows]
     node = {(h, s): "" for h, s, _ in rows}
     lab = lambda pred: [b for h, s, b in rows if b is not None and pred(h, s)]
     for level in range(max(len(s) for _, s, _ in rows)):
-        new = {}
-        for (h, s), at in node.items():
-            if level >= len(s):
-                new[h, s] = at
-                continue
-            here = lambda h2, s2: h2 == h and node[h2, s2] == at  # noqa: E731, B023
-            kids = lab(here)
-            mine = lab(lambda h2, s2: here(h2, s2) and level < len(s2) and s2[level] == s[level])  # noqa: B023
-            p = sum(kids) / len(kids) if kids else 0
-            apart = mine and 0 < p < 1 and abs(sum(mine) / len(mine) - p) / math.sqrt(p * (1 - p) / len(mine)) > z
-            new[h, s] = at + ("/" + s[level] if apart else "/*")
-        node = new
+        kids = {}
+        for h, s, b in rows:
+            if len(s) > level:
+                n, bad = kids.setdefault((h, node[h, s]), {}).get(s[level], (0, 0))
+                kids[h, node[h, s]][s[level]] = (n + (b is not None), bad + bool(b))
+        branch = {k: brute_branches(v, z) for k, v in kids.items()}
+        node = {(h, s): at + (f"/{branch[h, at][s[level]]}" if len(s) > level else "") for (h, s), at in node.items()}
     every = lab(lambda h, s: True)
     prior = sum(every) / len(every) if every else 0.0
     smooth = lambda bs, to: (sum(bs) + smoothing * to) / (len(bs) + smoothing)
@@ -125,6 +144,35 @@ def brute_templates(rows, z, smoothing):
             for (h, s), t in node.items()}
 
 
+def test_similar_deviating_siblings_are_judged_together(spark):
+    """100 branches of 5 labelled pages, 10 of them all bad: each alone is too thin to be blocked."""
+    rows = [(100 * b + i, f"https://h.org/b{b:03d}/p{i}", b % 10 == 3, None, None, None) for b in range(100) for i in range(5)]
+    out = url_templates.filter_urls(pages(spark, rows), []).collect()
+    assert {(r.page_id // 100 % 10 == 3, r.verdict) for r in out} == {(True, "block"), (False, "allow")}
+
+
+def test_deep_segments_decide(spark):
+    """The eighth segment alone tells good from bad."""
+    rows = [(i, f"https://h.org/a/b/c/d/e/f/g/{'good' if i % 2 else 'bad'}/p{i}", i % 2 == 0, None, None, None) for i in range(400)]
+    out = url_templates.filter_urls(pages(spark, rows), []).collect()
+    assert {(r.page_id % 2 == 0, r.verdict) for r in out} == {(True, "block"), (False, "allow")}
+
+
+def test_chance_does_not_set_branches_apart(spark):
+    """Homogeneous labels: good pages stay, whatever a thin branch shows."""
+    rng = random.Random(5)
+    rows = [(i, f"https://h.org/s{i % 150}/p{i}", rng.random() < 0.1, None, None, None) for i in range(900)]
+    out = url_templates.filter_urls(pages(spark, rows), []).collect()
+    assert sum(r.verdict == "block" for r in out) <= 0.03 * len(out)
+
+
+def test_long_and_lone_paths(spark):
+    rows = [(0, "https://h.org/" + "x/" * 300 + "a", True, None, None, None), (1, "https://h.org/y*/z", False, None, None, None),
+            (2, "https://g.org/" + "long" * 5000, None, None, None, None)]
+    out = {r.page_id: r for r in url_templates.filter_urls(pages(spark, rows), []).collect()}
+    assert out[0].template == "/*" * 301 and out[1].template == "/*/*" and out[2].template == "/*"
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_templates_equal_brute_force(spark, seed):
     rng = random.Random(seed)
