@@ -11,6 +11,8 @@ into shards, whose results are merged.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -18,18 +20,19 @@ from pyspark.sql import functions as F
 
 from prefmine.llm.common import Scratch
 
-# Components beyond this (after scaling) would not leave room for a sum in a long.
-LARGEST = 1 << 28
+# Components of this size (after scaling) do not fit a long.
+TOO_LARGE = float(1 << 63)
 NO_ID = (1 << 63) - 1
 
 
 def integer_vector(v: Column, scale: float = 256.0) -> Column:
     """floor(scale * x) of every component as long; null for a vector that is null,
-    or holds a null or non-finite component, or one too large for exact sums."""
-    ok = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) <= F.lit(LARGEST / scale))
+    or holds a null or non-finite component.  A finite component that fits no long fails the job."""
     d = F.transform(v, lambda x: x.cast("double"))
-    whole = F.transform(d, lambda x: F.when(ok(x), F.floor(x * F.lit(scale))).cast("long"))
-    return F.when(F.forall(whole, lambda x: x.isNotNull()), whole)
+    ok = F.forall(d, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
+    floor = lambda x: F.when(F.abs(x * F.lit(scale)) < F.lit(TOO_LARGE), F.floor(x * F.lit(scale)).cast("long")).otherwise(
+        F.raise_error(F.lit("a component times the scale does not fit a long")).cast("long"))
+    return F.when(ok, F.transform(d, floor))
 
 
 def _matrix(column: pa.ChunkedArray, width: int | None = None) -> np.ndarray:
@@ -97,6 +100,19 @@ def shard_top(blocks: list[Block], q: np.ndarray, own_row: int, k: int) -> list[
     return best
 
 
+def wide_rows(m: np.ndarray) -> np.ndarray:
+    """Rows with a component so large that a sum of products could leave the range of a long."""
+    limit = math.isqrt(((1 << 63) - 1) // max(1, m.shape[1]))
+    return ((m > limit) | (m < -limit)).any(1)
+
+
+def wide_top(x: np.ndarray, ids: np.ndarray, rows: np.ndarray, q: np.ndarray, own_row: int, k: int) -> list[tuple[int, int, int]]:
+    """As :func:`shard_top`, in whole numbers of any size, vector by vector."""
+    query = [int(c) for c in q]
+    found = [(sum(int(a) * b for a, b in zip(v, query)), int(i), int(r)) for v, i, r in zip(x, ids, rows) if r != own_row]
+    return sorted(found, key=lambda t: (-t[0], t[1], t[2]))[:k]
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding",
           scale: float = 256.0, shard_rows: int = 8192, block_rows: int = 2048, query_rows: int = 8192) -> DataFrame:
     """(query_id, rank, vec_id, score): for every row with ``is_query`` the ``k``
@@ -105,7 +121,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     All rows are compared; only a row itself is left out, so repeated rows find each
     other.  Vectors that :func:`integer_vector` finds null take no part, shorter
     vectors count as filled up with zeros; rows with a null id are found (after the
-    others at a tie, with vec_id null).  Shards and query blocks hold a bounded
+    others at a tie, with vec_id null).  Vectors so large that a sum might leave the range of a
+    long are scored in whole numbers of any size; a score among the results that fits no long
+    fails the job.  Columns other than ``id_col`` and ``vec_col``, whatever their names, take no part.  Shards and query blocks hold a bounded
     number of rows, dealt by a hash of the row's place in a written table, and every
     pair of a shard and a query block is one task; an empty table gives no rows.
     """
@@ -130,10 +148,15 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
             width = max(q.shape[1], x.shape[1])
             q, x = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (q, x))
             ids, places = (np.asarray(left[c].combine_chunks()) for c in ("id", "row"))
-            first = np.argsort(-np.abs(x).sum(1), kind="stable")  # large vectors raise the needed score early
-            blocks = [Block(x[i], ids[i], places[i]) for i in np.array_split(first, -(-len(first) // block_rows))]
-            for vector, ident, own in zip(q, right["id"].to_pylist(), right["row"].to_pylist()):
-                out += [(own, ident, *t) for t in shard_top(blocks, vector, own, k)]
+            wide, ask_wide = wide_rows(x), wide_rows(q)
+            first = np.flatnonzero(~wide)
+            first = first[np.argsort(-np.abs(x[first]).sum(1), kind="stable")]  # large vectors raise the needed score early
+            blocks = [Block(x[i], ids[i], places[i]) for i in np.array_split(first, max(1, -(-len(first) // block_rows))) if len(i)]
+            for vector, large, ident, own in zip(q, ask_wide, right["id"].to_pylist(), right["row"].to_pylist()):
+                best = wide_top(x, ids, places, vector, own, k) if large else shard_top(blocks, vector, own, k)
+                if wide.any() and not large:
+                    best = sorted([*best, *wide_top(x[wide], ids[wide], places[wide], vector, own, k)], key=lambda t: (-t[0], t[1], t[2]))[:k]
+                out += [(own, ident, *t) for t in best]
         names = ("query_row", "query_id", "score", "vec_id", "row")
         return pa.table({c: pa.array([t[i] for t in out], pa.int64()) for i, c in enumerate(names)})
 

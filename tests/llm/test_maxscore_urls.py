@@ -43,6 +43,23 @@ def test_few_rows_and_none(spark):
     assert maxscore.top_k(df.where("vec_id = 1"), ask).count() == 0
 
 
+def test_very_large_components_take_part(spark):
+    """Beyond what a long can sum up: exact, as query and as candidate; a result beyond a long raises."""
+    rng = random.Random(9)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(6)]) for i in range(120)]
+    rows += [(1000, [3e6, 0.0, 0.0, 0.0, 0.0, 0.0]), (1050, [0.0, 2e7, 0.0, 0.0, 0.0, 1e-3]), (1100, [0.0, 0.0, 1e12, 0.0, 0.0, 0.0]),
+             (1101, [1e6, -1e6, 0.0, 0.0, 0.0, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    kinds = df.selectExpr("vec_id", "embedding", "'x' AS row", "1 AS v", "2 AS shard", "3 AS score")
+    got = maxscore.top_k(kinds, F.col("vec_id") % 50 == 0, k=3, shard_rows=40, block_rows=16, query_rows=4).collect()
+    assert sorted(map(tuple, got), key=str) == brute_top(rows, 3)
+    over = spark.createDataFrame([(0, [1e16]), (1, [1e16])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="Overflow|too large|out of range|does not fit|too big"):
+        maxscore.top_k(over, F.col("vec_id") % 50 == 0).collect()
+    with pytest.raises(Exception, match="does not fit a long"):
+        maxscore.top_k(spark.createDataFrame([(0, [1e300]), (1, [1.0])], df.schema), F.col("vec_id") % 50 == 0).collect()
+
+
 def test_blocks_are_pruned():
     rng = np.random.default_rng(0)
     x = rng.integers(-3, 4, (4000, 16))
