@@ -45,9 +45,8 @@ def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    return pii.pseudonymise(docs.withColumn("n_found", F.size(pii.finds())), pii_key(spark)).select(
-        "doc_id", "text", F.greatest("n_found", F.lit(0)).alias("n_found"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, pii_key(spark), count="n_found")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
