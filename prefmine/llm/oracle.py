@@ -90,8 +90,11 @@ f AS (SELECT doc_id, line, n,
              OR regexp_matches(line, {navigation})
              OR {symbols.format('line')} > {rules.symbols}e0 * n
              OR len(line) - len(replace(line, '!', '')) > 1 + {rules.shouts}e0 * n
-             OR (n <= 60 AND regexp_matches(line, {boilerplate}))
-             OR (NOT regexp_matches(right(line, 64), {_re(quality.TERMINAL.pattern)})
+             OR (regexp_matches(line, {boilerplate}) AND coalesce(list_sum(list_transform(
+                   list_filter(regexp_extract_all(line, {_re(quality.PART.pattern)}), lambda p: regexp_matches(p, {boilerplate})),
+                   lambda p: len(regexp_extract_all(p, '[^\x20\x09-\x0D]+')))), 0) >= {rules.boilerplate}e0 * n)
+             OR (NOT contains('{quality.TERMINALS}', right(rtrim(rtrim(line, chr(32) || chr(9) || chr(13) || chr(11) || chr(12)),
+                                                                 '{quality.CLOSERS.replace("'", "''")}'), 1))
                  AND NOT regexp_matches(line, {_re(quality.SENTENCE.pattern)})) AS fails
       FROM n WHERE n > 0),
 x AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dup, CAST(coalesce(sum(n) FILTER (WHERE fails), 0) AS BIGINT) AS lost

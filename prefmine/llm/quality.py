@@ -16,32 +16,41 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefmine.llm.common import free_name
+from prefmine.llm.common import WORD, free_name
 
+WORDS = re.compile(WORD)
 SYMBOLS = "#*$%&|<>"
-# What a sentence may end with, closing quotes and brackets aside.
-TERMINAL = re.compile(r"""[.!?…:;。！？；：؟।॥]['"”’»)\]}`]*\s*$""")
+# What a sentence may end with; closing quotes, brackets and blanks after it are aside.
+TERMINALS, CLOSERS, BLANKS = ".!?…:;。！？；：؟।॥", "'\"”’»)]}`", " \t\r\x0b\x0c"
 # A sentence that ends inside the line: the line is prose that breaks off.
 SENTENCE = re.compile(r"""\w[.!?…][’'"”»)]*\s+\w|[。！？।]""")
 SEPARATORS = re.compile(r" [|»›·•/>] | :: |^\s*[|»›·•]|[|»›·•]\s*$")
 NAVIGATION = re.compile(r"^\W*(?:home|menu|login|log in|sign in|sign up|register|subscribe|search|next|previous|prev|"
                         r"back to top|read more|click here|share(?: this)?|contact(?: us)?|about(?: us)?|skip to content)"
                         r"(?:\W+(?:home|menu|login|sign in|sign up|register|search|contact|about|next|previous))*\W*$", re.I)
+# In English, German, French and Spanish.
 BOILERPLATE = re.compile(r"lorem ipsum|\bjavascript\b|\bcookies?\b.{0,40}\b(?:policy|consent|accept|settings)\b|"
-                         r"\b(?:accept|use)\b.{0,20}\bcookies\b|terms of (?:use|service)|privacy policy|"
-                         r"all rights reserved|copyright (?:©|\(c\))|licensed under the|powered by \w+", re.I)
+                         r"\b(?:accept|use|uses|verwende[nt]?|nutzen|akzeptieren|utilisons|utilise|acceptez|utilizamos|utiliza|usamos|aceptar)\b.{0,20}\bcookies\b|"
+                         r"terms of (?:use|service)|privacy policy|datenschutzerklärung|politique de confidentialité|política de privacidad|"
+                         r"all rights reserved|alle rechte vorbehalten|tous droits réservés|todos los derechos reservados|"
+                         r"copyright (?:©|\(c\))|\b(?:licensed|released|published) under (?:the|a|an|cc|mit|gpl|apache|bsd|lgpl|mpl|creative commons)\b|"
+                         r"lizenziert unter|sous licence|bajo (?:la )?licencia|powered by \w+", re.I)
+# A sentence of a line: up to its end marks.
+PART = re.compile(r"[^.!?]+[.!?]*")
 
 
 @dataclass(frozen=True)
 class Rules:
     """Thresholds, as shares.  A line of words fails if its symbols exceed
     ``symbols`` of its words, or exclamations beyond one exceed ``shouts`` of its
-    words (punctuation); a document is rejected if removed lines held more than
+    words (punctuation), or if boilerplate sentences hold ``boilerplate`` or more of its
+    words; a document is rejected if removed lines held more than
     ``lost`` of its words.  ``min_words`` and ``repeats`` are the base rules."""
 
     symbols: float = 0.2
     shouts: float = 0.5
     lost: float = 0.4
+    boilerplate: float = 0.5
     min_words: int = 10
     repeats: float = 0.2
 
@@ -52,9 +61,10 @@ def line_fails(line: str, n_words: int, rules: Rules) -> str | None:
         return "navigation"
     if sum(map(line.count, SYMBOLS)) > rules.symbols * n_words or line.count("!") > 1 + rules.shouts * n_words:
         return "punctuation"
-    if n_words <= 60 and BOILERPLATE.search(line):
+    if BOILERPLATE.search(line) and sum(len(WORDS.findall(p)) for p in PART.findall(line) if BOILERPLATE.search(p)) >= rules.boilerplate * n_words:
         return "boilerplate"
-    if TERMINAL.search(line[-64:]) is None and SENTENCE.search(line) is None:
+    end = line.rstrip(BLANKS).rstrip(CLOSERS)
+    if not (end and end[-1] in TERMINALS) and SENTENCE.search(line) is None:
         return "punctuation"
     return None
 

@@ -56,6 +56,11 @@ def test_labelled_quality_is_recovered(spark):
     ("A plain sentence ends here.", None), ("She said “stop!”", None), ("Is it 漢字。", None), ("no end at all", "punctuation"),
     ("One ends here. The next breaks off", None), ("word*** other### more&&&.", "punctuation"), ("GO!! NOW!! BUY!!", "punctuation"),
     ("Home | About | Contact | Login", "navigation"), ("« Previous", "navigation"), ("Please enable JavaScript to go on.", "boilerplate"),
+    ("Released under the MIT License.", "boilerplate"), ("Licensed under CC BY-NC 4.0.", "boilerplate"), ("Alle Rechte vorbehalten.", "boilerplate"),
+    ("Tous droits réservés.", "boilerplate"), ("Wir verwenden Cookies.", "boilerplate"), ("The film was released under another name.", None),
+    ("A good line." + " " * 70, None), ("A good line.”)" + "\t" * 300, None), ("word. " * 80 + "All rights reserved.", None),
+    ("All rights reserved by us and " + "so on and " * 30 + "so forth.", "boilerplate"), ("An end? " + "not " * 90, None), ("'”", "punctuation"),
+    ("We tell. " * 30 + "See our privacy policy.", None),
     ("All rights reserved.", "boilerplate"), ("Lorem ipsum dolor sit amet.", "boilerplate")])
 def test_line_rules(line, rule):
     assert quality.line_fails(line, len(line.split()), quality.Rules()) == rule
