@@ -77,6 +77,25 @@ def prefix_sums(df: DataFrame, group: Sequence[str], order: Sequence[str], value
             .drop(off, b))
 
 
+def running_sums(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, name: str, scratch: Scratch) -> DataFrame:
+    """``df`` with ``name``: the sum of ``value`` over the rows of its group (columns that are
+    not null) before it in ``order``, whose columns are unique together.
+
+    Rows are sorted in range partitions and written; a window holds the rows of one group
+    in one such partition, and one total per (group, partition) is scanned group by group.
+    So neither a large group nor a key that very many rows share is one task's work.
+    """
+    at, part, off = (free_name(df.columns, n) for n in ("at_", "part_", "offset_"))
+    keys = [*group, *order]
+    d = scratch.write(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(at, F.monotonically_increasing_id()))
+    d = d.withColumn(part, F.shiftright(at, 33))  # as monotonically_increasing_id makes it
+    before = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    totals = scratch.write(d.groupBy(*group, part).agg(F.sum(value).alias(off)).withColumn(off, F.coalesce(F.sum(off).over(before), F.lit(0))))
+    inside = Window.partitionBy(*group, part).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    return (d.join(totals, [*group, part])
+            .withColumn(name, F.col(off) + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop(at, part, off))
+
+
 def places(df: DataFrame, order: Sequence[str], name: str, scratch: Scratch) -> DataFrame:
     """``df`` with ``name``: the place (from 0) of each row in the order of the columns
     ``order``, which are unique together.  Range partitions are sorted and written;

@@ -92,7 +92,7 @@ def shard_documents(docs: DataFrame, dims: Sequence[str], id_col: str = "doc_id"
     weighted median.  Equal coordinates are ordered by a hash of id, text and
     metadata, and rows equal in all of these by their place in the table, so ties
     and repeated rows split evenly.  Null metadata has the smallest coordinate; a
-    null or empty text has size 1.  An empty table gives no rows.
+    null or empty text has size 1, texts of any length are only measured.  An empty table gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "kd")
@@ -142,7 +142,10 @@ def shard_documents(docs: DataFrame, dims: Sequence[str], id_col: str = "doc_id"
         spans = {c: s for n, (first, m) in spans.items()
                  for c, s in ((2 * n, (first, m // 2)), (2 * n + 1, (first + m // 2, m - m // 2)))}
     leaf = local_table(spark, list(leaves.items()) or [(1, 0)], "node_ long, shard int")
-    points = points.join(leaf, "node_").select("kept_", "size_", "shard", "tie_", F.lit(1).cast("long").alias("one_"))
-    bucket = F.shiftrightunsigned(F.col("tie_"), BITS - PREFIX_BUCKETS.bit_length() + 1).cast("int")
-    out = prefix_sums(points, ["shard"], ["tie_"], "one_", "slot", bucket)
+    # Slots follow a hash of the row's place, so repeated rows are spread like all others.
+    points = points.join(leaf, "node_").select("kept_", "size_", "shard", F.xxhash64("copy_").alias("at_"), "copy_", F.lit(1).cast("long").alias("one_"))
+    bucket = F.shiftrightunsigned(F.col("at_"), 64 - PREFIX_BUCKETS.bit_length() + 1).cast("int")
+    # An order by the unsigned hash, whose first bits are the bucket.
+    points = points.withColumn("at_", F.col("at_").bitwiseXOR(F.lit(-(1 << 63))))
+    out = prefix_sums(points, ["shard"], ["at_", "copy_"], "one_", "slot", bucket)
     return out.select("kept_.*", F.col("size_").alias("size"), "shard", "slot")

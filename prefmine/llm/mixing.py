@@ -5,7 +5,8 @@ follows its weight schedule over time.  The integral of the schedule is the
 source's cumulative demand for words; inverting it turns a document's place in
 its source (words before it, in a seeded hash order) into a training position in
 [0, 1), and the mix is the documents range-sorted by position.  Everything is
-DataFrame work; a source with a third of all rows is spread over hash buckets.
+DataFrame work; a source with a third of all rows, or rows that share one id, are
+spread over range partitions.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prefmine.llm.common import PREFIX_BUCKETS, WORD, Scratch, prefix_sums
+from prefmine.llm.common import WORD, Scratch, running_sums
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -89,17 +90,16 @@ def training_time(demand: Column, place: Column, schedules=SCHEDULES) -> Column:
 def _rows(docs: DataFrame, keep: Sequence[str], id_col: str, text: str, source: str, seed: int) -> DataFrame:
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
     return docs.select(F.struct(*[F.col(c) for c in keep]).alias("kept"), F.col(source).alias("src"),
-                       word_count(text).alias("size"), order.alias("order"), F.xxhash64(text).alias("tie"))
+                       word_count(text).alias("size"), order.alias("order"), F.xxhash64(text).alias("tie"),
+                       F.monotonically_increasing_id().alias("row"))
 
 
-def _placed(rows: DataFrame, targets: DataFrame) -> DataFrame:
+def _placed(rows: DataFrame, targets: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows with their source's target columns and ``before``: the words that come
     before them in their source."""
-    assert PREFIX_BUCKETS == 16**3
     t = targets.withColumnRenamed("src", "t_src")
     rows = rows.join(t, rows.src.eqNullSafe(t.t_src)).drop("t_src")
-    bucket = F.conv(F.substring("order", 1, 3), 16, 10).cast("int")
-    return prefix_sums(rows, ["place"], ["order", "size", "tie"], "size", "before", bucket)
+    return running_sums(rows, ["place"], ["order", "size", "tie", "row"], "size", "before", scratch).drop("row")
 
 
 def _choose(placed: DataFrame, scratch: Scratch) -> DataFrame:
@@ -129,7 +129,7 @@ def plan(docs: DataFrame, keep: Sequence[str], id_col: str = "doc_id", text: str
     remainder best.  So a source's taken words miss its target by less than half
     a document, and reruns agree.  Rows with the same id are ordered by size and
     text; wholly equal rows are exchangeable.  Null sources are a source; null or
-    empty texts have size 0 and are taken with the words around them.  An empty table
+    empty texts have size 0 and are taken with the words around them; a text of any length is one document.  An empty table
     gives no rows.  Sizes and places are found on compact rows; the texts are read
     once for that, and once more if ``keep`` holds them.
     """
@@ -140,10 +140,10 @@ def plan(docs: DataFrame, keep: Sequence[str], id_col: str = "doc_id", text: str
                                F.lit(max_epochs)), F.lit(0))
     targets = targets.withColumn("whole", whole.cast("int"))
     targets = scratch.write(targets.withColumn("need", F.col("target") - F.col("whole") * F.col("source_size")))
-    placed = scratch.write(_placed(compact, targets))
+    placed = scratch.write(_placed(compact, targets, scratch))
     targets = scratch.write(targets.join(_choose(placed, scratch), "place", "left"))
     if set(keep) != {id_col}:
-        placed = _placed(_rows(docs, keep, id_col, text, source, seed), targets)
+        placed = _placed(_rows(docs, keep, id_col, text, source, seed), targets, scratch)
     else:
         placed = placed.join(targets.select("place", "filled", "extra"), "place")
     extra = F.coalesce((F.col("before") == F.col("extra")) & (F.col("size") > 0), F.lit(False))

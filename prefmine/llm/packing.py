@@ -76,7 +76,7 @@ def _along(bins: Sequence[int], words: Sequence[int], rows: Sequence[int]) -> di
 
 def pack(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text: str = "text", source: str = "source",
          cluster: str | None = None, per_source: int = 4, block_rows: int = 4096,
-         order: Sequence[Column] | None = None) -> DataFrame:
+         order: Sequence[Column] | None = None, words: str | None = None) -> DataFrame:
     """A row for every piece: (id, part, start_word, n_words, bin, bin_offset).
 
     A document longer than ``capacity`` words is cut into full pieces, which fill a
@@ -86,6 +86,9 @@ def pack(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text: st
     have no words.  A document without words gives one row with null bin.  Repeated
     rows are packed one by one, as duplicates of each other.
 
+    ``words`` names a column with the number of words, for tables without the text (then ``cluster`` is
+    needed).  Other columns, whatever their names, take no part; an empty table gives no rows.
+
     Rows are dealt to blocks of about ``block_rows`` by a hash of their place in a
     written table, so neither a source nor a group of copies can fill a block; bins
     never span blocks.  Bin ids are unique, not consecutive.
@@ -96,7 +99,7 @@ def pack(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text: st
     """
     scratch = Scratch(docs.sparkSession, "packing")
     dup = F.xxhash64(text) if cluster is None else F.when(F.col(cluster).isNotNull(), F.xxhash64(cluster))
-    rows = scratch.write(docs.select(F.col(id_col).alias("id"), word_count(text).alias("n"), F.col(source).alias("src"),
+    rows = scratch.write(docs.select(F.col(id_col).alias("id"), (F.col(words).cast("long") if words else word_count(text)).alias("n"), F.col(source).alias("src"),
                                      dup.alias("dup"), F.monotonically_increasing_id().alias("row"),
                                      *[c.alias(f"order{i}") for i, c in enumerate(order or [])]))
     count = rows.count()

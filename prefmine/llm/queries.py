@@ -50,7 +50,12 @@ def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read(spark, sf_dir, "documents"))
+    """Near copies (SimHash components) are one duplicate cluster: they do not share a bin."""
+    scratch = Scratch(spark, "op4")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    prints = scratch.write(simhash.with_fingerprint(docs).select("doc_id", "source", "fingerprint", mixing.word_count("text").alias("n_words")))
+    groups = simhash.near_duplicates(prints, k=2).select("fingerprint", "component")
+    return packing.pack(prints.join(groups, "fingerprint"), cluster="component", words="n_words")
 
 
 def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

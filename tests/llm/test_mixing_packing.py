@@ -1,4 +1,5 @@
 import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -6,7 +7,7 @@ from llm_fixtures import SF001, messy, nothing  # noqa: F401
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from prefmine.llm import mixing, packing
+from prefmine.llm import mixing, packing, queries
 from prefmine.llm.common import Scratch
 
 
@@ -187,3 +188,36 @@ def test_blocks_are_ranges_of_the_order(spark, written):
             blocks[r.bin >> packing.BIN_BITS].append(at[r.doc_id])
     assert sorted(blocks) == list(range(11))
     assert all(max(blocks[b]) <= min(blocks[b + 1]) for b in range(10))
+
+
+def test_near_copies_do_not_share_a_bin(spark):
+    """op4 as registered: no bin holds two documents of one SimHash component."""
+    from prefmine.llm import simhash
+
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    prints = Scratch(spark, "t").write(simhash.with_fingerprint(docs).select("doc_id", "fingerprint"))
+    member = {r.fingerprint: r.component for r in simhash.near_duplicates(prints, k=2).collect()}
+    of = {r.doc_id: member[r.fingerprint] for r in prints.collect()}
+    rows = queries.QUERIES["op4_packing"](spark, SF001).collect()
+    assert sorted({r.doc_id for r in rows}) == sorted(of)
+    held = [(r.bin, of[r.doc_id]) for r in rows if r.bin is not None]
+    assert len(held) == len(set(held)) and len(set(of.values())) < len(of)
+    assert sum(r.n_words for r in rows) == sum(len(re.findall("[^\x20\x09-\x0D]+", r.text or "")) for r in docs.collect())
+
+
+def test_rows_of_one_id_are_spread(spark):
+    """Equal rows, and rows without an id: exact sums before each, in windows of a bounded size."""
+    from prefmine.llm.common import running_sums
+
+    rows = [(1, "k", 3)] * 4000 + [(2, f"x{i}", i % 7) for i in range(500)]
+    df = spark.createDataFrame(rows, "g int, o string, v long").withColumn("row", F.monotonically_increasing_id())
+    out = running_sums(df, ["g"], ["o", "row"], "v", "before", Scratch(spark, "t"))
+    got = sorted((r.g, r.o, r.row, r.v, r.before) for r in out.collect())
+    want, sums = [], {}
+    for r in sorted(df.collect(), key=lambda r: (r.g, r.o, r.row)):
+        want.append((r.g, r.o, r.row, r.v, sums.get(r.g, 0)))
+        sums[r.g] = sums.get(r.g, 0) + r.v
+    assert got == want
+    same = spark.createDataFrame([(None, "one text here", "s", 0)] * 3000 + [(7, "two words", "s", 0)], "doc_id long, text string, source string, n int")
+    p = mixing.plan(same, keep=["doc_id"]).collect()
+    assert len(p) == 3001 and sum(r.taken for r in p) == sum(r.size for r in p) == 9002

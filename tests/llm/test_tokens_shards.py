@@ -1,3 +1,4 @@
+import math
 import zlib
 from collections import defaultdict
 
@@ -114,3 +115,57 @@ def test_op2_contract(spark):
     assert sorted(sums) == list(range(8)) and all(abs(s - mean) <= max(largest, 0.02 * mean) for s in sums.values())
     for group in shards(rows).values():
         assert sorted(r.slot for r in group) == list(range(len(group)))
+
+
+def test_slots_of_repeated_rows_are_spread(spark):
+    """4,000 equal rows use many prefix buckets, and slots stay gapless."""
+    df = spark.createDataFrame([(1, "same text", 9, "en", "s")] * 4000, "doc_id long, text string, n_chars long, lang string, source string")
+    out = kd_shards.shard_documents(df, ["n_chars", "lang", "source"], n_shards=4).collect()
+    for shard in range(4):
+        own = sorted(r.slot for r in out if r.shard == shard)
+        assert own == list(range(len(own))) and len(own) in range(990, 1011)
+    at = df.withColumn("copy_", F.monotonically_increasing_id()).select(F.shiftrightunsigned(F.xxhash64("copy_"), 52).alias("b"))
+    assert at.distinct().count() > 1000
+
+
+def brute_tree(rows, k, dims):
+    """Leaf of each row (size, coordinates, tie) by a plain k-d tree: split along the widest dimension (by the
+    whole table's widths) where the weights before come nearest to the left share, in the order of
+    (coordinate, tie)."""
+    width = [max(r[1][d] for r in rows) - min(r[1][d] for r in rows) for d in range(dims)]
+    leaf = {}
+
+    def split(own, first, m):
+        if m == 1 or not own:
+            leaf.update({r[3]: first for r in own})
+            return
+        spread = [(max(r[1][d] for r in own) - min(r[1][d] for r in own)) / width[d] for d in range(dims)]
+        d = max(range(dims), key=lambda i: (spread[i], -i))
+        order = sorted(own, key=lambda r: (r[1][d], r[2]))
+        want, sums, at = sum(r[0] for r in own) * (m // 2) / m, 0, 0
+        while at < len(order) and abs(sums + order[at][0] - want) <= abs(sums - want):
+            sums += order[at][0]
+            at += 1
+        split(order[:at], first, m // 2)
+        split(order[at:], first + m // 2, m - m // 2)
+
+    split(rows, 0, k)
+    return leaf
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_shards_equal_a_brute_force_tree(spark, seed):
+    """Every shard's bytes are those of a plain k-d tree up to a document at each cut, and rows of different
+    coordinates lie in the same leaf in all but the documents at the cuts."""
+    import random
+
+    rng = random.Random(seed)
+    rows = [(i, "x" * rng.choice([5, 60, 200]), rng.randrange(1000), rng.randrange(50)) for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, m long")
+    got = {r.doc_id: r.shard for r in kd_shards.shard_documents(df, ["n_chars", "m"], n_shards=8, tolerance=0.0).collect()}
+    want = brute_tree([(len(t) + 1, (math.log1p(a), math.log1p(b)), i, i) for i, t, a, b in rows], 8, 2)  # lengths are on a logarithmic scale
+    moved = sum(got[i] != want[i] for i in got)
+    assert moved <= 0.03 * len(rows)
+    size = {i: len(t) + 1 for i, t, *_ in rows}
+    sums = [[sum(size[i] for i in got if of[i] == s) for s in range(8)] for of in (got, want)]
+    assert all(abs(a - b) <= 3 * 201 for a, b in zip(*sums))
