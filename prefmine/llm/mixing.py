@@ -17,7 +17,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prefmine.llm.common import WORD, Scratch, running_sums
+from prefmine.llm.common import WORD, Scratch, free_name, running_sums
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -130,11 +130,11 @@ def plan(docs: DataFrame, keep: Sequence[str], id_col: str = "doc_id", text: str
     a document, and reruns agree.  Rows with the same id are ordered by size and
     text; wholly equal rows are exchangeable.  Null sources are a source; null or
     empty texts have size 0 and are taken with the words around them; a text of any length is one document.  An empty table
-    gives no rows.  Sizes and places are found on compact rows; the texts are read
-    once for that, and once more if ``keep`` holds them.
+    gives no rows.  The kept columns are sorted and written with the sizes, so keep what
+    names a row (as :func:`mix` does), not its text.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    compact = scratch.write(_rows(docs, [id_col], id_col, text, source, seed))
+    compact = scratch.write(_rows(docs, keep, id_col, text, source, seed))
     targets = source_targets(compact.select("src", "size"), weights, max_epochs)
     whole = F.coalesce(F.least(F.floor(F.try_divide(F.col("target"), F.col("source_size").cast("double"))),
                                F.lit(max_epochs)), F.lit(0))
@@ -142,10 +142,7 @@ def plan(docs: DataFrame, keep: Sequence[str], id_col: str = "doc_id", text: str
     targets = scratch.write(targets.withColumn("need", F.col("target") - F.col("whole") * F.col("source_size")))
     placed = scratch.write(_placed(compact, targets, scratch))
     targets = scratch.write(targets.join(_choose(placed, scratch), "place", "left"))
-    if set(keep) != {id_col}:
-        placed = _placed(_rows(docs, keep, id_col, text, source, seed), targets, scratch)
-    else:
-        placed = placed.join(targets.select("place", "filled", "extra"), "place")
+    placed = placed.join(targets.select("place", "filled", "extra"), "place")
     extra = F.coalesce((F.col("before") == F.col("extra")) & (F.col("size") > 0), F.lit(False))
     last = (F.col("before") + F.col("size") <= F.col("need")) & (F.col("need") > 0)
     rows = placed.withColumn("copies", F.col("whole") + F.when(last | extra, 1).otherwise(0))
@@ -166,10 +163,30 @@ def plan(docs: DataFrame, keep: Sequence[str], id_col: str = "doc_id", text: str
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The training order: the columns of ``docs``, a row for every copy, range-sorted
     by training position (partition i holds positions before partition i + 1).
-    Options are those of :func:`plan`."""
-    p = plan(docs, keep=docs.columns, **options)
-    copies = p.select("kept", F.explode("positions").alias("position"))
-    return copies.repartitionByRange("position").sortWithinPartitions("position").select("kept.*")
+    Options are those of :func:`plan`.
+
+    Positions are found on compact rows, which name a document by its file and the row in it
+    (a table that was not read from files is written first), and joined back to the texts:
+    these are shuffled for that join and for the order, and nowhere else."""
+    if _file_place(docs) is None:
+        docs = Scratch(docs.sparkSession, "mix").write(docs)
+    columns, (path, index) = docs.columns, _file_place(docs)
+    f, i = free_name(columns, "file_"), free_name(columns, "index_")
+    named = docs.select("*", path.alias(f), index.alias(i))
+    p = plan(named, keep=[f, i], **options)
+    at = free_name(columns, "position_")
+    copies = p.select(F.col(f"kept.{f}").alias(f), F.col(f"kept.{i}").alias(i), F.explode("positions").alias(at))
+    return named.join(copies, [f, i]).repartitionByRange(at).sortWithinPartitions(at).select(*columns)
+
+
+def _file_place(table: DataFrame) -> tuple[Column, Column] | None:
+    """(file path, row in the file) of a table that was read from Parquet files; None for any other."""
+    try:
+        meta = table.metadataColumn("_metadata")
+        table.select(meta["row_index"]).schema
+    except AnalysisException:
+        return None
+    return meta["file_path"], meta["row_index"]
 
 
 def written_order(mixed: DataFrame) -> list[Column]:
@@ -177,11 +194,9 @@ def written_order(mixed: DataFrame) -> list[Column]:
     number of the partition that wrote the file, the file's number in it, and the row's
     place in the file.  None for a table that was not read from files, whose rows
     stand in training order as they are."""
-    try:
-        meta = mixed.metadataColumn("_metadata")
-        mixed.select(meta["row_index"]).schema
-    except AnalysisException:
+    if _file_place(mixed) is None:
         return []
+    meta = mixed.metadataColumn("_metadata")
     name = meta["file_name"]
     return [F.regexp_extract(name, r"^part-(\d+)", 1).try_cast("long"), F.regexp_extract(name, r"-c(\d+)\.", 1).try_cast("long"),
             name, meta["row_index"]]
