@@ -367,8 +367,8 @@ SELECT layout, CAST(n AS BIGINT) AS n_rows, true AS same FROM (
          unnest([{len(P.ALS_GRID_RANKS) * len(P.ALS_GRID_REGS)}, {len(P.NEIGHBOR_SWEEP)}, {P.COMPARE_RUNS}, {len(P.SUPPORT_SWEEP)}, {len(P.SUPPORT_SWEEP)}]) AS n
   UNION ALL SELECT 'alsRst', count(*) FROM cn, (VALUES {ranks}) g(rank) WHERE n_train + n_test > 0
   UNION ALL SELECT 'clRst', count(*) * {len([n for n in P.NEIGHBOR_SWEEP if n > P.N_NEIGHBORS])} FROM cn
-  UNION ALL SELECT unnest(['singleMachineTestTime', 'bestResultForALS']), unnest([count(*), count(*)]) FROM cn WHERE n_train + n_test > 0
-  UNION ALL SELECT 'bestResultForItem', count(DISTINCT city) FROM te) z""",
+  UNION ALL SELECT unnest(['singleMachineTestTime', 'bestResultForALS']), unnest([count(*) FILTER (WHERE n_train > 0), count(*) FILTER (WHERE n_scored > 0)]) FROM cn
+  UNION ALL SELECT 'bestResultForItem', BEST_OF_ITEM) z""",
         "als_rank_rows": with_(*city) + """
 SELECT city_term, CAST(100 AS INTEGER) AS rank, n_train, n_test, n_scored, true AS finite, true AS timed FROM cn
 WHERE n_train + n_test > 0""",
@@ -607,6 +607,7 @@ WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS review_id, o_custkey, l_supp
 SELECT review_id, CASE review_id % {P.FLAWED} WHEN 1 THEN 'missing user_id' ELSE 'malformed' END AS reason, true AS placed
 FROM r WHERE review_id % {P.FLAWED} < 3"""
     return {
+        "metric_layouts": sql["metric_layouts"].replace("BEST_OF_ITEM", f"(SELECT count(RMSE) FROM ({sql['best_csv_roundtrip']}) b)"),
         "ratings_rebuilt": sql["ratings_build"],
         "city_fanout_coded": sql["city_fanout"],
         "user_ids_by_batches": sql["first_seen_index_all"],

@@ -1055,7 +1055,8 @@ def _metric_tables(spark, sf):
     points = L.wide_rows(led.sweep(data, "als grid", GRID_POINTS, grid, ["avg_rmse", "is_best"], together=True), ["rank", "regParam"], ["avg_rmse"])
     neighbors = _cf_ledger(spark, sf, "itemcf all cities", _neighbor_sweep, None)
     runs, cities, times, supports = _compare_runs(spark, sf), _als_city_rows(spark, sf), _cf_times(spark, sf), _supports(spark, sf)
-    best = lambda rows, city, rmse: rows.groupBy(city).agg(F.min(rmse).alias("RMSE")).select("RMSE")
+    # A city none of whose test pairs can be scored has no best result.
+    best = lambda rows, city, rmse: rows.groupBy(city).agg(F.min(rmse).alias("RMSE")).where("RMSE IS NOT NULL").select("RMSE")
     return {
         "alsRMSE": points.select("regParam", F.col("rank").cast("int").alias("rankValue"), F.col("avg_rmse").alias("RMSE")),
         "itemRMSE": L.wide_rows(neighbors, ["n_neighbors"], ["rmse"]).select(F.col("n_neighbors").cast("int").alias("neighbor_number"), F.col("rmse").alias("RMSE")),
@@ -1066,7 +1067,7 @@ def _metric_tables(spark, sf):
                                 F.col("rmse").alias("RMSE"), F.col("train_s").alias("trainTime")),
         "clRst": times.select(F.col("n_neighbors").alias("neighborNumber"), F.col("city_term").alias("cityName"), F.col("rmse").alias("RMSE"),
                               F.col("train_s").alias("trainTime"), F.col("test_s").alias("testTime")),
-        "singleMachineTestTime": cities.where("rank = 100").select(F.col("train_s").alias("trainTime")),
+        "singleMachineTestTime": cities.where("rank = 100 AND train_s IS NOT NULL").select(F.col("train_s").alias("trainTime")),
         "bestResultForALS": best(cities, "city_term", "rmse"),
         "bestResultForItem": best(_one_model(spark, sf).where("metric = 'rmse'"), "city", "value"),
     }
