@@ -1089,7 +1089,7 @@ def q_metric_layouts(spark, sf):
         back = files.read_metric_csv(spark, f"{base}/{name}.csv", name)
         sides = table.select(*back.columns, F.lit(1).alias("_side")).unionByName(back.withColumn("_side", F.lit(-1)))
         same = sides.groupBy(*back.columns).agg(F.sum("_side").alias("d"), F.count_if(F.col("_side") == 1).alias("n"))
-        row = same.agg(F.lit(name).alias("layout"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), (F.max(F.abs("d")) == 0).alias("same"))
+        row = same.agg(F.lit(name).alias("layout"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), (F.coalesce(F.max(F.abs("d")), F.lit(0)) == 0).alias("same"))
         out = row if out is None else out.unionByName(row)
     return out
 
