@@ -16,6 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prefmine.functions.columns import safe_ratio
+from prefmine.operators.skew import salted_join, salts_of
+
+# Rows of one item (or of users who meet one antecedent) that one join task may hold.
+RULE_CHUNK = 1 << 18
 
 
 def distinct_pairs(review: DataFrame, business: DataFrame, city: str | None = None,
@@ -121,63 +125,67 @@ def distinct_antecedents(rules: DataFrame) -> DataFrame:
                     "n_rules"))
 
 
-def rules_by_item(rules: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``(item, waiting)``: the distinct antecedents under their rarest item.
+def rules_by_item(rules: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(antecedents, consequents)``, long rows: ``(item, rule, others)`` for each distinct
+    antecedent under its rarest item, the one with the smallest ``n`` of ``counts`` (item, n), and
+    ``(item, rule, alone, consequent)`` for each of its rules.
 
-    ``waiting`` holds, for each antecedent whose rarest item (fewest rows of
-    ``pairs``) this is, its key, its other items and the consequents of its rules.
     A user can only fire an antecedent if they have its rarest item, so a frequent
-    item fans out to few antecedents.  Written: one row per item, real file sizes.
+    item fans out to few antecedents.  ``rule`` is the antecedent's number, unique and not dense;
+    ``others`` are its other items, as few as the longest itemset has; ``alone`` says that there are none.
+    What grows with the rules (the antecedents of an item, the consequents of an antecedent) is
+    rows, never an array.  Both are written: real file sizes.
     """
     from prefmine.session import materialize
-    ante = (rules.groupBy(itemset_key("antecedent").alias("key"))
-            .agg(F.first(F.array_sort("antecedent")).alias("antecedent"),
-                 F.array_distinct(F.flatten(F.collect_set("consequent"))).alias("consequents")))
-    counts = pairs.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+    key = itemset_key("antecedent").alias("key")
+    ante = rules.groupBy(key).agg(F.first(F.array_sort("antecedent")).alias("antecedent"))
     each = ante.select("key", F.explode("antecedent").alias("item"))
     rarest = (each.join(counts, "item", "left").groupBy("key")
               .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "item")).alias("r")))
-    rows = ante.join(rarest, "key").select(
-        F.col("r.item").alias("item"),
-        F.struct("key", F.array_remove("antecedent", F.col("r.item")).alias("others"), "consequents").alias("w"))
-    return materialize(rows.groupBy("item").agg(F.collect_list("w").alias("waiting")), "rules-by-item")
+    placed = ante.join(rarest, "key").select(
+        F.col("r.item").alias("item"), F.monotonically_increasing_id().alias("rule"),
+        F.array_remove("antecedent", F.col("r.item")).alias("others"), "key")
+    # The numbers stand once the table is written.
+    placed = materialize(placed, "rules-by-item", longer=F.count_if(F.size("others") > 0))
+    then = (rules.select(key, F.explode("consequent").alias("consequent")).distinct().join(placed, "key")
+            .select("item", "rule", (F.size("others") == 0).alias("alone"), "consequent"))
+    return placed, materialize(then, "consequents")
 
 
-def _flags(marked: DataFrame, rules: DataFrame) -> DataFrame:
+def _flags(marked: DataFrame, rules: DataFrame, chunk: int = RULE_CHUNK) -> DataFrame:
     """``(user_id, item, own, test, rec)`` per (user, item): in the user's train rows,
     in their test rows, a consequent of a rule that their train rows fire.
 
-    ``marked`` (user_id, item, is_test) is read once for the items' counts and once
-    here: each row brings its own flag and the consequents of the one-item antecedents
-    under its item, merged by one combined aggregate.  Longer antecedents, if there
-    are any, are tried only for users who have their rarest item: a request for every
-    other item is joined with the train rows by (user, item), and antecedents with all
-    requests met bring their consequents.  Every shuffle is keyed by (user, item) or
-    (user, antecedent), so a user with a huge basket is spread over many tasks.  The
-    rule side is one row per rule item: Catalyst broadcasts it if small, else AQE
-    splits a hot item's rows.
+    The train rows meet the antecedents under their item; the rows of an item that more than
+    ``chunk`` users have are salted, so a hot item is spread over tasks whatever adaptive
+    execution does.  One-item antecedents bring their consequents at once.  Longer
+    antecedents, if there are any, are tried only for users who have their rarest item: a
+    request for every other item is joined with the train rows by (user, item), and antecedents with
+    all requests met meet their consequents, hot antecedents salted too.  Requests are keyed by (user,
+    item) or (user, rule), so a user with a huge basket is spread over many tasks.
     """
-    by_item = rules_by_item(rules, marked.where(~F.col("is_test")))
-    single = by_item.select("item", F.flatten(F.transform(F.filter("waiting", lambda w: F.size(w.others) == 0),
-                                                          lambda w: w.consequents)).alias("consequents"))
+    from prefmine.session import materialize
+    train = marked.where(~F.col("is_test")).select("user_id", "item")
+    counts = materialize(train.groupBy("item").agg(F.count(F.lit(1)).alias("n")), "item-counts", largest=F.max("n"))
+    ante, then = rules_by_item(rules, counts)
+    hot = salts_of(counts, "n", chunk) if (counts.metrics["largest"] or 0) > chunk else None
+
+    def meet(by_item: DataFrame) -> DataFrame:
+        return train.join(by_item, "item") if hot is None else salted_join(train, by_item, "item", chunk, hot)
+
     one, zero = F.lit(1), F.lit(0)
     is_test = F.col("is_test").cast("int")
-    some = F.when(~F.col("is_test"), F.col("consequents"))
-    stream = (marked.join(single, "item", "left").select(
-        "user_id", "is_test", F.posexplode(F.concat(F.array("item"), F.coalesce(some, F.array())))
-        .alias("at", "item"))
-        .select("user_id", "item", F.when(F.col("at") == 0, 1 - is_test).otherwise(0).alias("own"),
-                F.when(F.col("at") == 0, is_test).otherwise(0).alias("test"), F.when(F.col("at") > 0, 1).otherwise(0).alias("rec")))
-    if by_item.where(F.exists("waiting", lambda w: F.size(w.others) > 0)).isEmpty():
-        return _merge(stream)
-    train = marked.where(~F.col("is_test")).select("user_id", "item")
-    longer = by_item.select("item", F.explode(F.filter("waiting", lambda w: F.size(w.others) > 0)).alias("w"))
-    asked = train.join(longer, "item").select("user_id", "w.key", F.size("w.others").alias("want"), "w.consequents",
-                                              F.explode("w.others").alias("item"))
-    met = (asked.join(train, ["user_id", "item"]).groupBy("user_id", "key", "want", "consequents")
-           .agg(F.count(one).alias("n")).where("n = want"))
-    late = met.select("user_id", F.explode("consequents").alias("item"), zero.alias("own"), zero.alias("test"), one.alias("rec"))
-    return _merge(stream.unionByName(late))
+    flags = marked.select("user_id", "item", (1 - is_test).alias("own"), is_test.alias("test"), zero.alias("rec"))
+    fired = meet(then.where("alone").select("item", "consequent")).select("user_id", "consequent")
+    if ante.metrics["longer"]:
+        asked = (meet(ante.where(F.size("others") > 0).select("item", "rule", "others"))
+                 .select("user_id", "rule", F.size("others").alias("want"), F.explode("others").alias("item")))
+        met = materialize(asked.join(train, ["user_id", "item"]).groupBy("user_id", "rule", "want")
+                          .agg(F.count(one).alias("n")).where("n = want").select("user_id", "rule"), "met-rules")
+        late = salted_join(met, then.where("NOT alone").select("rule", "consequent"), "rule", chunk)
+        fired = fired.unionByName(late.select("user_id", "consequent"))
+    rec = fired.select("user_id", F.col("consequent").alias("item"), zero.alias("own"), zero.alias("test"), one.alias("rec"))
+    return _merge(flags.unionByName(rec))
 
 
 def _merge(flags: DataFrame) -> DataFrame:

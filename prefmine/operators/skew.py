@@ -31,7 +31,14 @@ def hot_keys(df: DataFrame, keys: list[str], chunk: int) -> DataFrame:
     return materialize(hot_key_salts(df, keys, chunk), "hot-keys")
 
 
-def salted_join(fact: DataFrame, dim: DataFrame, keys, chunk: int) -> DataFrame:
+def salts_of(counts: DataFrame, rows: str, chunk: int) -> DataFrame:
+    """:func:`hot_keys` from a written table of counts: its keys with more than ``chunk`` ``rows``."""
+    from prefmine.session import materialize
+    return materialize(counts.where(F.col(rows) > chunk).withColumn("n_salt", F.ceil(F.col(rows) / F.lit(chunk)).cast("int"))
+                       .drop(rows), "hot-keys")
+
+
+def salted_join(fact: DataFrame, dim: DataFrame, keys, chunk: int, hot: DataFrame | None = None) -> DataFrame:
     """Inner equi-join of a large ``fact`` with ``dim`` on ``keys`` where a
     few keys may hold a large share of the fact rows.
 
@@ -39,10 +46,11 @@ def salted_join(fact: DataFrame, dim: DataFrame, keys, chunk: int) -> DataFrame:
     whole row; the key's dimension rows are copied once per bucket.  Every
     fact row meets each of its dimension rows exactly once, whatever bucket it
     lands in, so the result equals the plain join while no task receives more
-    than about ``chunk`` fact rows of one key.
+    than about ``chunk`` fact rows of one key.  ``hot`` (``*keys, n_salt``) spares the count
+    of the fact rows where the caller has it.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    hot = hot_keys(fact, keys, chunk)
+    hot = hot_keys(fact, keys, chunk) if hot is None else hot
     n = F.coalesce(F.col("n_salt"), F.lit(1))
     f = (fact.join(hot, keys, "left")
          .withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in fact.columns]), n).cast("int"))

@@ -1,5 +1,6 @@
 """Baskets, FP-Growth rules, division-based rule firing, TP/FP/FN."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF001, rows
@@ -109,5 +110,38 @@ def test_rules_stand_under_their_rarest_item(spark):
     pairs = _pairs(spark, [(1, "a"), (2, "a"), (3, "a"), (1, "b"), (2, "b"), (1, "c")])
     rules = spark.createDataFrame([(["a", "b"], ["x"]), (["a"], ["y"]), (["a", "b", "c"], ["z"]), (["a", "q"], ["x"])],
                                   "antecedent array<string>, consequent array<string>")
-    got = {r.item: sorted(w.key for w in r.waiting) for r in patterns.rules_by_item(rules, pairs).collect()}
-    assert got == {"a": ["a"], "b": ["a,b"], "c": ["a,b,c"], "q": ["a,q"]}
+    counts = pairs.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+    ante, then = patterns.rules_by_item(rules, counts)
+    got = {(r.key, r.item, *sorted(r.others)) for r in ante.collect()}
+    assert got == {("a", "a"), ("a,b", "b", "a"), ("a,b,c", "c", "a", "b"), ("a,q", "q", "a")}
+    named = {r.rule: r.key for r in ante.collect()}
+    got = {(named[r.rule], r.item, r.alone, r.consequent) for r in then.collect()}
+    assert got == {("a", "a", True, "y"), ("a,b", "b", False, "x"), ("a,b,c", "c", False, "z"), ("a,q", "q", False, "x")}
+    assert ante.metrics["longer"] == 3
+
+
+@pytest.mark.parametrize("broadcast", [-1, 10 << 20])
+def test_hot_items_and_hot_antecedents_are_salted(spark, broadcast):
+    """An item and an antecedent that a third of all rows hold, cut into chunks of three rows."""
+    import random
+    rng = random.Random(7)
+    baskets = {u: {"hot"} | {rng.choice("abcdef") for _ in range(2)} for u in range(60)}
+    rules = [(["hot"], ["z"]), (["hot"], ["a"]), (["hot", "a"], ["b"]), (["hot", "a"], ["y"]), (["a", "b", "hot"], ["c"]), (["no"], ["a"])]
+    pairs = _pairs(spark, [(u, i) for u, items in baskets.items() for i in items] + [(None, "hot"), (9, None)])
+    marked = pairs.withColumn("is_test", F.lit(False))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        table = spark.createDataFrame(rules, "antecedent array<string>, consequent array<string>")
+        got = patterns._flags(marked, table, chunk=3).where("rec = 1 AND own = 0 AND user_id IS NOT NULL")
+        got = rows(got, "user_id", "item")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == sorted({(u, c[0]) for u, items in baskets.items() for a, c in rules if set(a) <= items and c[0] not in items})
+
+
+def test_no_rules_and_no_pairs_fire_nothing(spark):
+    rules = spark.createDataFrame([(["a"], ["b"])], "antecedent array<string>, consequent array<string>")
+    pairs = _pairs(spark, [(1, "a")])
+    assert rows(patterns.fire_rules(pairs, rules.where("false"))) == []
+    assert rows(patterns.fire_rules(pairs.where("false"), rules)) == []
