@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +46,16 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def file_place(table: DataFrame) -> tuple[Column, Column] | None:
+    """(file path, row in the file) of a table that was read from Parquet files; None for any other."""
+    try:
+        meta = table.metadataColumn("_metadata")
+        table.select(meta["row_index"]).schema
+    except AnalysisException:
+        return None
+    return meta["file_path"], meta["row_index"]
+
+
 def free_name(df_columns: Sequence[str], name: str) -> str:
     """``name``, or ``name`` with underscores in front until no column has it."""
     taken = {c.lower() for c in df_columns}

@@ -13,11 +13,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prefmine.llm.common import WORD, Scratch, free_name, running_sums
+from prefmine.llm.common import WORD, Scratch, file_place, free_name, running_sums
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -168,9 +167,9 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     Positions are found on compact rows, which name a document by its file and the row in it
     (a table that was not read from files is written first), and joined back to the texts:
     these are shuffled for that join and for the order, and nowhere else."""
-    if _file_place(docs) is None:
+    if file_place(docs) is None:
         docs = Scratch(docs.sparkSession, "mix").write(docs)
-    columns, (path, index) = docs.columns, _file_place(docs)
+    columns, (path, index) = docs.columns, file_place(docs)
     f, i = free_name(columns, "file_"), free_name(columns, "index_")
     named = docs.select("*", path.alias(f), index.alias(i))
     p = plan(named, keep=[f, i], **options)
@@ -179,22 +178,12 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     return named.join(copies, [f, i]).repartitionByRange(at).sortWithinPartitions(at).select(*columns)
 
 
-def _file_place(table: DataFrame) -> tuple[Column, Column] | None:
-    """(file path, row in the file) of a table that was read from Parquet files; None for any other."""
-    try:
-        meta = table.metadataColumn("_metadata")
-        table.select(meta["row_index"]).schema
-    except AnalysisException:
-        return None
-    return meta["file_path"], meta["row_index"]
-
-
 def written_order(mixed: DataFrame) -> list[Column]:
     """Columns that put a table written from :func:`mix` back into training order: the
     number of the partition that wrote the file, the file's number in it, and the row's
     place in the file.  None for a table that was not read from files, whose rows
     stand in training order as they are."""
-    if _file_place(mixed) is None:
+    if file_place(mixed) is None:
         return []
     meta = mixed.metadataColumn("_metadata")
     name = meta["file_name"]

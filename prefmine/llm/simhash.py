@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefmine.llm.common import Scratch, free_name, pieces
+from prefmine.llm.common import Scratch, file_place, free_name, pieces
 
 # Distinct fingerprints under one variant beyond which its pairs are found
 # through a second variant instead of pair by pair.
@@ -194,16 +194,23 @@ def near_duplicates(prints: DataFrame, k: int = 2, id_col: str = "doc_id", name:
 
 def one_of_each(docs: DataFrame, k: int = 2, shingle: int = 3, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of ``docs`` for every component of near duplicates: its smallest id
-    (null after all others), and among rows of that id the one with the smallest
-    hash.  All columns are kept; texts are shuffled once."""
+    (null after all others), among rows of that id the one with the smallest hash, and among
+    rows equal in that (repeated rows, rows that differ in a map column alone) the first in the files.
+    All columns are kept.  A row is named by its file, its place in it and its hash, so no row is
+    lost to a collision of hashes; a table that was not read from files is written first.
+    Null and empty texts are near duplicates of each other; texts of any length are read whole;
+    an empty table gives no rows."""
     scratch = Scratch(docs.sparkSession, "one-of-each")
-    row = free_name(docs.columns, "row_")
+    if file_place(docs) is None:
+        docs = scratch.write(docs)
+    columns, (path, index) = docs.columns, file_place(docs)
     hashed = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
-    docs = docs.withColumn(row, F.xxhash64(*hashed))
-    prints = scratch.write(with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(row).alias("row"),
+    row, file, at = name = [free_name(columns, n) for n in ("row_", "file_", "index_")]
+    docs = docs.select("*", F.xxhash64(*hashed).alias(row), path.alias(file), index.alias(at))
+    prints = scratch.write(with_fingerprint(docs.select(F.col(id_col).alias("id"), F.struct(*name).alias("row"),
                                                         F.col(text).alias("text")), "text", "fp", shingle).drop("text"))
     member = near_duplicates(prints, k, "id", "fp").select("fp", "component")
     first = (prints.join(member, "fp").groupBy("component")
              .agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))).alias("first"))
-             .select(F.col("first.row").alias(row)).distinct())
-    return docs.join(scratch.write(first), row, "left_semi").dropDuplicates([row]).drop(row)
+             .select(F.col("first.row").alias("row")).select("row.*").distinct())
+    return docs.join(scratch.write(first), name, "left_semi").dropDuplicates(name).select(*columns)

@@ -177,6 +177,24 @@ def test_one_of_each_keeps_one_row_of_a_component(messy):
     assert set(got) == set(want) and sum(got.values()) == len({(brute_components(rows, 2)[i]) for i in range(len(rows))}) + (got[30] - 1)
 
 
+def test_one_of_each_tells_rows_of_equal_hash_apart(spark, tmp_dir, monkeypatch):
+    """All rows hash alike here: what is kept follows the components all the same.  Repeated rows, and rows that
+    differ in a map column alone, leave one."""
+    far = ["one two three four five six", "seven eight nine ten eleven twelve", "red green blue white black pink", None, "", "a b c"]
+    rows = [(i, t, {"k": str(i)}, i, "f") for i, t in enumerate(far)] * 3 + [(2, far[2], {"k": "other"}, 2, "f"), (None, "no id at all in this row", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, more map<string,string>, index_ long, file_ string")
+    docs.repartition(3).write.parquet(f"{tmp_dir}/docs")
+    monkeypatch.setattr(simhash.F, "xxhash64", lambda *c: F.lit(7).cast("long"))
+    for table in (docs, spark.read.parquet(f"{tmp_dir}/docs"), spark.read.parquet(f"{tmp_dir}/docs").where("doc_id IS NULL OR doc_id < 100")):
+        kept = simhash.one_of_each(table)
+        assert kept.columns == docs.columns
+        kept = kept.collect()
+        prints = [(-1 if r[0] is None else r[0], brute_print(r[1])) for r in rows]
+        assert len(kept) == len(set(brute_components(prints, 2)))
+        texts = sorted((r.doc_id, r.text) for r in kept if r.doc_id is not None)
+        assert texts == [(0, far[0]), (1, far[1]), (2, far[2]), (3, None), (5, far[5])]
+
+
 def test_op9_contract(spark):
     docs = spark.read.parquet(f"{SF001}/documents.parquet").collect()
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in queries.op9_simhash(spark, SF001).collect()}
