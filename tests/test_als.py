@@ -112,3 +112,32 @@ def test_holdout_means_and_observed_sizes(spark):
 def test_blocks_follow_ratings_and_rank():
     assert als.blocks_for(1000, 10) == 4 and als.blocks_for(10**12, 200) == 400
     assert als.blocks_for(10**7, 200) == 60
+
+
+def test_few_ratings_are_solved_by_the_small_system():
+    import numpy as np
+    from prefmine.operators.alsblocks import solve
+    rng = np.random.default_rng(1)
+    y, k = rng.normal(size=(40, 6)).astype(np.float32), 6
+    counts = np.array([1, 6, 30, 3, 7, 1])      # below, at and above the rank
+    at, r = np.concatenate([rng.choice(40, n, replace=False) for n in counts]), rng.normal(size=counts.sum()).astype(np.float32)
+    x, lo = solve(y, at, r, counts, 0.1), 0
+    for j, n in enumerate(counts):
+        g = y[at[lo:lo + n]].astype(float)
+        assert np.allclose(x[j], np.linalg.solve(g.T @ g + 0.1 * n * np.eye(k), g.T @ r[lo:lo + n]), atol=1e-5)
+        lo += n
+
+
+def test_factors_do_not_depend_on_the_blocks(spark):
+    import numpy as np
+    _, df = _tiny(spark)
+    one, many = ({(s, r.id): r.features for s, t in (("u", m.userFactors), ("i", m.itemFactors)) for r in t.collect()}
+                 for m in (als.fit(df, rank=4, max_iter=3, num_blocks=n) for n in (1, 5)))
+    assert one.keys() == many.keys() and len(one) == 30 + 52
+    assert all(np.allclose(one[k], many[k], atol=1e-3) for k in one)
+
+
+def test_a_fit_without_ratings_says_so(spark):
+    import pytest
+    with pytest.raises(ValueError, match="no ratings"):
+        als.fit(_tiny(spark)[1].limit(0), rank=2, max_iter=1)
