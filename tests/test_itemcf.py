@@ -215,3 +215,30 @@ def test_hot_items_salted_in_scoring_give_the_same(spark, monkeypatch):
     plain = [rows(f(nb, df), "user_id", "item_id") for f in (itemcf.predict_all, lambda a, b: itemcf.predict_pairs(a, b, b))]
     monkeypatch.setattr(itemcf, "SCORE_CHUNK", 3)
     assert plain == [rows(f(nb, df), "user_id", "item_id") for f in (itemcf.predict_all, lambda a, b: itemcf.predict_pairs(a, b, b))]
+
+
+def test_pairs_are_summed_where_they_are_formed(spark, monkeypatch):
+    """Many ranges and hot users give the sums of a plain count; no pair row is shuffled."""
+    import random
+    from collections import defaultdict
+    rnd = random.Random(3)
+    rows = [(u, i, float(rnd.randint(1, 5))) for u in range(40) for i in rnd.sample(range(-20, 60), rnd.randint(1, 25))] + [
+        (99, i, 2.0) for i in range(60)] + [(7, None, 1.0), (None, 3, 1.0)]
+    df = spark.createDataFrame(rows, "user_id bigint, item_id bigint, rating double")
+    monkeypatch.setattr(itemcf, "RANGE_PAIRS", 200)
+    want, by_user = defaultdict(lambda: [0.0, 0.0, 0.0, 0]), defaultdict(list)
+    for u, i, v in rows:
+        if u is not None and i is not None:
+            by_user[u].append((i, v))
+    for own in by_user.values():
+        for a, x in own:
+            for b, y in own:
+                if a < b:
+                    s = want[a, b]
+                    s[0], s[1], s[2], s[3] = s[0] + x * y, s[1] + x * x, s[2] + y * y, s[3] + 1
+    for chunk in (50, 1000):    # user 99 hot, or not
+        got = {(r.item_a, r.item_b): (r.similarity, r.n_common) for r in itemcf.item_similarity(df, chunk=chunk).collect()}
+        assert got.keys() == want.keys()
+        assert all(abs(got[k][0] - s[0] / (s[1] * s[2]) ** 0.5) < 1e-12 and got[k][1] == s[3] for k, s in want.items())
+    plan = itemcf.item_similarity(df, chunk=1000)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") and "Exchange hashpartitioning(item_a" not in plan
