@@ -11,8 +11,8 @@ neighbors  (item_id, neighbor_id, similarity, n_common, rank)   replaced
 A batch is joined with the stored ratings of its own users only: every rating that
 it changes meets all ratings of that user once (new with old, old with new, new with
 new), and the join row carries the difference between the pair's terms after and
-before.  The all-pairs join is never repeated.  Neighbours are ranked again only for
-items of a changed pair.  ``compact`` folds the parts of a table into one.
+before.  The all-pairs join is never repeated.  Neighbours are ranked when they are asked
+for, once for all batches since, and only for items of a changed pair.  ``compact`` folds the parts of a table into one.
 
 A batch is committed as one version (:mod:`prefmine.sources.versions`): it is there
 whole or not at all, and applying a batch name again changes nothing.
@@ -24,8 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefmine.functions.columns import cosine
-from prefmine.operators.itemcf import DEFAULT_CHUNK, top_neighbors
-from prefmine.operators.skew import hot_keys
+from prefmine.operators.itemcf import DEFAULT_CHUNK, hot_users, range_pairs, top_neighbors
 from prefmine.session import materialize, release
 from prefmine.sources.versions import Versions
 
@@ -42,30 +41,34 @@ def changed_pairs(rows: DataFrame, chunk: int = DEFAULT_CHUNK) -> DataFrame:
 
     ``rows`` (user_id, item_id, before, after) holds every rating of the users that a
     batch touches: ``before`` is null for a new rating, ``after`` differs from it for a
-    changed one.  Pairs of two unchanged ratings are never formed.  A user with more
+    changed one.  Pairs are formed and summed in the range of their smaller item
+    (``itemcf.range_pairs``), so no pair row is shuffled.  A user with more
     than ``chunk`` ratings is cut into buckets of items, and each pair of buckets is a
     join group of its own, so no task forms more than about ``chunk`` squared pairs of one user.
     """
     rows = rows.withColumn("changed", F.col("before").isNull() | (F.col("before") != F.col("after")))
-    hot = hot_keys(rows, ["user_id"], chunk)
-    rows = rows.join(hot, "user_id", "left").withColumn("n_salt", F.coalesce("n_salt", F.lit(1)))
+    hot, n_hot, n_pairs = hot_users(rows, ["user_id"], chunk)
+    plain = rows.join(hot, "user_id", "left_anti") if n_hot else rows
+    met = range_pairs(plain, [], ["before", "after", "changed"], n_pairs).where("changed_a OR changed_b")
+    sums = _summed(_terms(met, "_range"), ["_range", *PAIR_KEYS], PAIR_SUMS).drop("_range")
+    return _summed(sums.unionByName(_hot_terms(rows.join(hot, "user_id"))), PAIR_KEYS, PAIR_SUMS) if n_hot else sums
+
+
+def _terms(met: DataFrame, *more: str) -> DataFrame:
+    """The pair's terms after less those before, for rows with before and after of ``item_a`` < ``item_b``."""
+    was = F.col("before_a").isNotNull() & F.col("before_b").isNotNull()
+    less = lambda x, y: F.col(f"after_{x}") * F.col(f"after_{y}") - F.when(was, F.col(f"before_{x}") * F.col(f"before_{y}")).otherwise(0.0)
+    return met.select(*more, *PAIR_KEYS, less("a", "b").alias("dot"), less("a", "a").alias("na"), less("b", "b").alias("nb"),
+                      F.when(was, 0).otherwise(1).cast("bigint").alias("n_common"))
+
+
+def _hot_terms(rows: DataFrame) -> DataFrame:
     own = F.pmod(F.xxhash64("item_id"), F.col("n_salt")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("n_salt") - 1))
-    left = rows.where("changed").select("user_id", F.col("item_id").alias("x"), F.col("before").alias("xb"), F.col("after").alias("xa"),
-                                        own.alias("bl"), every.alias("br"))
-    right = rows.select("user_id", F.col("item_id").alias("y"), F.col("before").alias("yb"), F.col("after").alias("ya"),
-                        F.col("changed").alias("both"), own.alias("br"), every.alias("bl"))
-    # Two changed ratings meet in both orders: one of them counts.
-    met = left.join(right, ["user_id", "bl", "br"]).where((F.col("x") != F.col("y")) & (~F.col("both") | (F.col("x") < F.col("y"))))
-    was = F.col("xb").isNotNull() & F.col("yb").isNotNull()
-    x_first = F.col("x") < F.col("y")
-    less = lambda after, before: after - F.when(was, before).otherwise(0.0)
-    xx, yy = less(F.col("xa") * F.col("xa"), F.col("xb") * F.col("xb")), less(F.col("ya") * F.col("ya"), F.col("yb") * F.col("yb"))
-    terms = met.select(F.least("x", "y").alias("item_a"), F.greatest("x", "y").alias("item_b"),
-                       less(F.col("xa") * F.col("ya"), F.col("xb") * F.col("yb")).alias("dot"),
-                       F.when(x_first, xx).otherwise(yy).alias("na"), F.when(x_first, yy).otherwise(xx).alias("nb"),
-                       F.when(was, 0).otherwise(1).cast("bigint").alias("n_common"))
-    return _summed(terms, PAIR_KEYS, PAIR_SUMS)
+    side = lambda s: [F.col("item_id").alias(f"item_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("before", "after", "changed")]]
+    left = rows.select("user_id", *side("a"), own.alias("bl"), every.alias("br"))
+    right = rows.select("user_id", *side("b"), own.alias("br"), every.alias("bl"))
+    return _terms(left.join(right, ["user_id", "bl", "br"]).where("item_a < item_b AND (changed_a OR changed_b)"))
 
 
 class SimilarityStore:
@@ -93,26 +96,36 @@ class SimilarityStore:
                 F.sum("total").alias("t"), F.sum("n").alias("n"))
                 .select(*REVIEW_KEYS, F.try_divide("t0", "n0").alias("before"), (F.col("t") / F.col("n")).alias("after")))
         rows = materialize(rows, "batch-users")
-        pairs = materialize(changed_pairs(rows, self.chunk), "changed-pairs")
-        touched = pairs.select(F.explode(F.array(*PAIR_KEYS)).alias("item_id")).distinct()
-        self.versions.commit(append={"reviews": batch, "pairs": pairs}, replace={"neighbors": self._ranked(pairs, touched, manifest)},
-                             batches=[*manifest.get("batches", []), name])
-        release(batch, rows, pairs)
+        # Written once, in the version itself; its items are ranked when lists are asked for.
+        self.versions.commit(append={"reviews": batch, "pairs": changed_pairs(rows, self.chunk)},
+                             batches=[*manifest.get("batches", []), name], ranked=_ranked_parts(manifest))
+        release(batch, rows)
         return True
 
-    def _ranked(self, pairs: DataFrame, touched: DataFrame, manifest: dict) -> DataFrame:
-        """The neighbour lists after the batch: touched items ranked from the sums of their
-        pairs, all others as they were."""
-        old = self.versions.read("pairs", manifest)
-        mine = pairs if old is None else old.unionByName(pairs)
+    def _rank(self) -> None:
+        """Bring the neighbour lists up to the newest version: items of a pair changed since they were
+        ranked from the sums of their pairs, all others as they were."""
+        manifest = self.versions.latest()[1]
+        parts, done = manifest.get("tables", {}).get("pairs", []), _ranked_parts(manifest)
+        if done == len(parts):
+            return
+        mine, before = self.versions.read("pairs", manifest), self.versions.read("neighbors", manifest)
+        cols = ["item_id", "neighbor_id", "similarity", "n_common", "rank"]
+        if not done:  # every pair is new
+            sums = mine if len(parts) == 1 else _summed(mine, PAIR_KEYS, PAIR_SUMS)
+            lists = top_neighbors(_cosines(sums, []), self.n).select(*cols)
+        else:
+            late = self.versions.read("pairs", {"tables": {"pairs": parts[done:]}})
+            lists = self._ranked(mine, late.select(F.explode(F.array(*PAIR_KEYS)).alias("item_id")).distinct(), before, cols)
+        self.versions.commit(replace={"neighbors": lists}, ranked=len(parts))
+
+    def _ranked(self, mine: DataFrame, touched: DataFrame, before: DataFrame, cols: list[str]) -> DataFrame:
         ends = F.explode(F.array(F.struct(F.col("item_a").alias("item_id")), F.struct(F.col("item_b").alias("item_id")))).alias("end")
         # A pair is needed if one of its ends is touched; ranked only for that end.
         near = mine.select("*", ends).select(*PAIR_KEYS, *PAIR_SUMS, "end.item_id").join(touched, "item_id", "left_semi")
         sums = near.groupBy("item_id", *PAIR_KEYS).agg(*[F.sum(c).alias(c) for c in PAIR_SUMS])
         lists = top_neighbors(_cosines(sums, ["item_id"]), self.n, one_sided=True)
-        lists = lists.select("item_id", "neighbor_id", "similarity", "n_common", "rank")
-        before = self.versions.read("neighbors", manifest)
-        return lists if before is None else lists.unionByName(before.join(touched, "item_id", "left_anti").select(*lists.columns))
+        return lists.select(*cols).unionByName(before.join(touched, "item_id", "left_anti").select(*cols))
 
     def similarity(self) -> DataFrame:
         """(item_a, item_b, similarity, n_common) of all pairs with a common user, as
@@ -123,7 +136,9 @@ class SimilarityStore:
         return _cosines(_summed(pairs, PAIR_KEYS, PAIR_SUMS), [])
 
     def neighbors(self) -> DataFrame:
-        """(item_id, neighbor_id, similarity, n_common, rank) of the newest version."""
+        """(item_id, neighbor_id, similarity, n_common, rank) after all batches so far; lists that batches
+        changed since the last call are ranked and committed first."""
+        self._rank()
         return self.versions.read("neighbors")
 
     def ratings(self) -> DataFrame:
@@ -134,10 +149,20 @@ class SimilarityStore:
     def compact(self) -> None:
         """Fold the parts of reviews and pairs into one folder each and delete the old ones.
         Due when the parts of a table outweigh its sum, not after every batch."""
-        reviews, pairs = self.versions.read("reviews"), self.versions.read("pairs")
-        self.versions.commit(replace={"reviews": _summed(reviews, REVIEW_KEYS, REVIEW_SUMS), "pairs": _summed(pairs, PAIR_KEYS, PAIR_SUMS)})
+        manifest = self.versions.latest()[1]
+        reviews, pairs = self.versions.read("reviews", manifest), self.versions.read("pairs", manifest)
+        # One part has no note of what is ranked: lists behind the batches are ranked anew from it.
+        current = _ranked_parts(manifest) == len(manifest["tables"]["pairs"])
+        self.versions.commit(replace={"reviews": _summed(reviews, REVIEW_KEYS, REVIEW_SUMS), "pairs": _summed(pairs, PAIR_KEYS, PAIR_SUMS)}, ranked=int(current))
+        self._rank()
         self.versions.vacuum()
 
 
+def _ranked_parts(manifest: dict) -> int:
+    """How many parts of the pairs the neighbour lists follow (all, where an older store does not say)."""
+    tables = manifest.get("tables", {})
+    return manifest.get("ranked", len(tables.get("pairs", [])) if "neighbors" in tables else 0)
+
+
 def _cosines(sums: DataFrame, more: list[str]) -> DataFrame:
     return sums.where("n_common > 0").select(*more, *PAIR_KEYS, cosine("dot", "na", "nb").alias("similarity"), "n_common")

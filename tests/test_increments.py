@@ -97,3 +97,12 @@ def test_fingerprint_follows_files_and_parameters(spark, tmp_dir):
     spark.range(11).write.mode("append").parquet(path)
     assert fingerprint(spark, [path], rank=3) != one
     assert fingerprint(spark, [f"{tmp_dir}/nothing"]) != fingerprint(spark, [f"{tmp_dir}/other"])
+
+
+def test_lists_are_ranked_when_asked_for(spark, tmp_dir):
+    store = increments.SimilarityStore(spark, f"{tmp_dir}/store", n_neighbors=2)
+    for k, b in enumerate(batches(5)):
+        store.apply(f"b{k}", spark.createDataFrame(b, "user_id long, item_id long, rate double"))
+    assert "neighbors" not in store.versions.latest()[1]["tables"]      # three batches, no ranking yet
+    store.compact()
+    assert rows(store.neighbors(), "item_id", "neighbor_id", "rank") == rows(itemcf.top_neighbors(store.similarity(), 2), "item_id", "neighbor_id", "rank")
