@@ -12,15 +12,19 @@ Rules never pass through the driver.
 from __future__ import annotations
 
 from pyspark.ml.fpm import FPGrowth, FPGrowthModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefmine.functions.columns import safe_ratio
 from prefmine.operators.skew import salted_join, salts_of
 
-# Rows of one item (or of users who meet one antecedent) that one join task may hold.
+# Rows of one item (or of users who meet one antecedent) that one join task may hold; users
+# with more rows are hot.
 RULE_CHUNK = 1 << 18
 
+# Suggestions, repeated ones too, that one task forms, about; and rows of a rule table that goes to every task.
+FIRED_ROWS, EVERYWHERE_ROWS = 1 << 21, 1 << 16
+
 
 def distinct_pairs(review: DataFrame, business: DataFrame, city: str | None = None,
                    open_only: bool = True, accent_insensitive: bool = False) -> DataFrame:
@@ -128,15 +132,17 @@ def distinct_antecedents(rules: DataFrame) -> DataFrame:
 def rules_by_item(rules: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(antecedents, consequents)``, long rows: ``(item, rule, others)`` for each distinct
     antecedent under its rarest item, the one with the smallest ``n`` of ``counts`` (item, n), and
-    ``(item, rule, alone, consequent)`` for each of its rules.
+    ``(item, rule, alone, consequent, level)`` for each of its rules.
 
     A user can only fire an antecedent if they have its rarest item, so a frequent
     item fans out to few antecedents.  ``rule`` is the antecedent's number, unique and not dense;
     ``others`` are its other items, as few as the longest itemset has; ``alone`` says that there are none.
+    ``level`` is that of ``rules``, 1 if they have none.
     What grows with the rules (the antecedents of an item, the consequents of an antecedent) is
     rows, never an array.  Both are written: real file sizes.
     """
     from prefmine.session import materialize
+    one = F.count(F.lit(1))
     key = itemset_key("antecedent").alias("key")
     ante = rules.groupBy(key).agg(F.first(F.array_sort("antecedent")).alias("antecedent"))
     each = ante.select("key", F.explode("antecedent").alias("item"))
@@ -146,15 +152,101 @@ def rules_by_item(rules: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataF
         F.col("r.item").alias("item"), F.monotonically_increasing_id().alias("rule"),
         F.array_remove("antecedent", F.col("r.item")).alias("others"), "key")
     # The numbers stand once the table is written.
-    placed = materialize(placed, "rules-by-item", longer=F.count_if(F.size("others") > 0))
-    then = (rules.select(key, F.explode("consequent").alias("consequent")).distinct().join(placed, "key")
-            .select("item", "rule", (F.size("others") == 0).alias("alone"), "consequent"))
-    return placed, materialize(then, "consequents")
+    placed = materialize(placed, "rules-by-item", longer=F.count_if(F.size("others") > 0), others=F.sum(F.size("others")), rows=one)
+    level = F.col("level") if "level" in rules.columns else F.lit(1)
+    then = (rules.select(key, F.explode("consequent").alias("consequent"), level.cast("int").alias("level"))
+            .groupBy("key", "consequent").agg(F.max("level").alias("level")).join(placed, "key")
+            .select("item", "rule", (F.size("others") == 0).alias("alone"), "consequent", "level"))
+    return placed, materialize(then, "consequents", rows=one)
 
 
 def _flags(marked: DataFrame, rules: DataFrame, chunk: int = RULE_CHUNK) -> DataFrame:
     """``(user_id, item, own, test, rec)`` per (user, item): in the user's train rows,
-    in their test rows, a consequent of a rule that their train rows fire.
+    in their test rows, the highest level of a rule that their train rows fire and whose
+    consequent it is (0: none; 1 where rules have no levels).
+
+    A rule table of at most ``EVERYWHERE_ROWS`` rows goes to the users' rows, which are dealt by user
+    once (:func:`_fire_in_place`).  Users with more than ``chunk`` rows, if there are
+    any, and larger rule tables take joins that spread every key (:func:`_fire_spread`).
+    """
+    from prefmine.session import materialize
+    is_train = F.count_if(~F.col("is_test"))
+    counts = materialize(marked.groupBy("item").agg(is_train.alias("n"), F.count(F.lit(1)).alias("_rows")), "item-counts",
+                         largest=F.max("n"), items=F.count(F.lit(1)), rows=F.sum("_rows"))
+    ante, then = rules_by_item(rules, counts)
+    if max(then.metrics["rows"], ante.metrics["rows"] + (ante.metrics["others"] or 0)) > EVERYWHERE_ROWS:
+        return _fire_spread(marked, counts, ante, then, chunk)
+    if 2 * counts.metrics["items"] <= chunk:  # an item is at most once in a user's train rows and once in the test rows
+        return _fire_in_place(marked, counts, ante, then)
+    hot = materialize(marked.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk).select("user_id"),
+                      "hot-users", n=F.count(F.lit(1)))
+    if not hot.metrics["n"]:
+        return _fire_in_place(marked, counts, ante, then)
+    same = marked["user_id"].eqNullSafe(hot["user_id"])
+    return (_fire_in_place(marked.join(hot, same, "left_anti"), counts, ante, then)
+            .unionByName(_fire_spread(marked.join(hot, same, "left_semi"), counts, ante, then, chunk)))
+
+
+def _fire_in_place(marked: DataFrame, counts: DataFrame, ante: DataFrame, then: DataFrame) -> DataFrame:
+    """:func:`_flags` with the rows dealt by user, a task for every ``FIRED_ROWS`` suggestions or so.
+
+    A row stands for itself and, in the train rows, for the consequents of its item: a
+    user's suggestions are formed and merged where their rows are, and no suggestion is shuffled.
+    Longer antecedents are looked for first, in the same way: a train row asks for the other items of the
+    antecedents under its item, and what is met, few rows (user, rule), is dealt with the others.
+    """
+    from prefmine.session import materialize
+    one = F.count(F.lit(1))
+    rows = marked.select("user_id", "item", "is_test", F.lit(None).cast("bigint").alias("rule"))
+    fired = _sum_over(counts, then.where("alone"), "item", F.col("n")) + (counts.metrics["rows"] or 0)
+    if ante.metrics["longer"]:
+        asked = ante.where(F.size("others") > 0).select("item", "rule", F.size("others").alias("want"), F.explode("others").alias("other"))
+        train = rows.where("NOT is_test").drop("rule")
+        dealt = _deal(train, _sum_over(counts, asked, "item", F.col("n")) + (counts.metrics["rows"] or 0))
+        met = (_with_own(dealt, asked, ["item"])
+               .select("user_id", F.when(F.col("fires"), F.col("other")).otherwise(F.col("item")).alias("item"), "rule", "want", "fires")
+               .withColumn("held", F.max(~F.col("fires")).over(Window.partitionBy("user_id", "item"))).where("fires AND held")
+               .groupBy("user_id", "rule", "want").agg(one.alias("n")).where("n = want"))
+        met = materialize(met.select("user_id", "rule"), "met-rules")
+        rows = rows.unionByName(met.select("user_id", F.lit(None).cast(marked.schema["item"].dataType).alias("item"),
+                                           F.lit(False).alias("is_test"), "rule"))
+        fired += _sum_over(met, then.where("NOT alone"), "rule", F.lit(1))
+    table = then.where("NOT alone OR item IS NOT NULL").select(
+        F.expr("IF(alone, item, NULL)").alias("item"), F.expr("IF(alone, NULL, rule)").alias("rule"), "consequent", "level")
+    fires = F.col("fires")
+    own = ~fires & F.col("rule").isNull()
+    return _merge(_with_own(_deal(rows, fired), table, ["item", "rule"]).where(fires | own).select(
+        "user_id", F.when(fires, F.col("consequent")).otherwise(F.col("item")).alias("item"),
+        (own & ~F.col("is_test")).cast("int").alias("own"), (own & F.col("is_test")).cast("int").alias("test"),
+        F.when(fires, F.col("level")).otherwise(F.lit(0)).alias("rec")))
+
+
+def _sum_over(rows: DataFrame, table: DataFrame, key: str, times) -> int:
+    """How many rows a join of ``rows``, each standing for ``times`` rows, with ``table`` gives."""
+    fan = table.groupBy(key).agg(F.count(F.lit(1)).alias("fan"))
+    return rows.join(F.broadcast(fan), key).agg(F.sum(times * F.col("fan"))).first()[0] or 0
+
+
+def _deal(rows: DataFrame, fired: int) -> DataFrame:
+    n = max(rows.sparkSession.sparkContext.defaultParallelism, fired // FIRED_ROWS + 1)
+    return rows.repartition(n, "user_id")
+
+
+def _with_own(dealt: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Every row of ``dealt`` once as it is (``fires`` false) and, unless it is a test row, once for
+    each row of the small ``table`` with the same ``keys`` (``fires`` true)."""
+    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema if f.name not in keys]
+    own = table.select(*keys).distinct().select("*", *blank, F.lit(False).alias("fires"))
+    small = own.unionByName(table.withColumn("fires", F.lit(True))).withColumnsRenamed({k: f"_{k}" for k in keys})
+    meets = ~F.col("fires") | ~F.col("is_test")
+    for k in keys:
+        meets = meets & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    met = dealt.join(F.broadcast(small), meets, "left")
+    return met.withColumn("fires", F.coalesce("fires", F.lit(False))).drop(*[f"_{k}" for k in keys])
+
+
+def _fire_spread(marked: DataFrame, counts: DataFrame, ante: DataFrame, then: DataFrame, chunk: int) -> DataFrame:
+    """:func:`_flags` by joins that spread every key.
 
     The train rows meet the antecedents under their item; the rows of an item that more than
     ``chunk`` users have are salted, so a hot item is spread over tasks whatever adaptive
@@ -166,9 +258,7 @@ def _flags(marked: DataFrame, rules: DataFrame, chunk: int = RULE_CHUNK) -> Data
     """
     from prefmine.session import materialize
     train = marked.where(~F.col("is_test")).select("user_id", "item")
-    counts = materialize(train.groupBy("item").agg(F.count(F.lit(1)).alias("n")), "item-counts", largest=F.max("n"))
-    ante, then = rules_by_item(rules, counts)
-    hot = salts_of(counts, "n", chunk) if (counts.metrics["largest"] or 0) > chunk else None
+    hot = salts_of(counts.select("item", "n"), "n", chunk) if (counts.metrics["largest"] or 0) > chunk else None
 
     def meet(by_item: DataFrame) -> DataFrame:
         return train.join(by_item, "item") if hot is None else salted_join(train, by_item, "item", chunk, hot)
@@ -176,15 +266,15 @@ def _flags(marked: DataFrame, rules: DataFrame, chunk: int = RULE_CHUNK) -> Data
     one, zero = F.lit(1), F.lit(0)
     is_test = F.col("is_test").cast("int")
     flags = marked.select("user_id", "item", (1 - is_test).alias("own"), is_test.alias("test"), zero.alias("rec"))
-    fired = meet(then.where("alone").select("item", "consequent")).select("user_id", "consequent")
+    fired = meet(then.where("alone").select("item", "consequent", "level")).select("user_id", "consequent", "level")
     if ante.metrics["longer"]:
         asked = (meet(ante.where(F.size("others") > 0).select("item", "rule", "others"))
                  .select("user_id", "rule", F.size("others").alias("want"), F.explode("others").alias("item")))
         met = materialize(asked.join(train, ["user_id", "item"]).groupBy("user_id", "rule", "want")
                           .agg(F.count(one).alias("n")).where("n = want").select("user_id", "rule"), "met-rules")
-        late = salted_join(met, then.where("NOT alone").select("rule", "consequent"), "rule", chunk)
-        fired = fired.unionByName(late.select("user_id", "consequent"))
-    rec = fired.select("user_id", F.col("consequent").alias("item"), zero.alias("own"), zero.alias("test"), one.alias("rec"))
+        late = salted_join(met, then.where("NOT alone").select("rule", "consequent", "level"), "rule", chunk)
+        fired = fired.unionByName(late.select("user_id", "consequent", "level"))
+    rec = fired.select("user_id", F.col("consequent").alias("item"), zero.alias("own"), zero.alias("test"), F.col("level").alias("rec"))
     return _merge(flags.unionByName(rec))
 
 
@@ -205,7 +295,7 @@ def fire_rules(pairs: DataFrame, rules: DataFrame, user: str = "user_id",
     is contained in the user's items, minus items the user has.  Users whose basket
     fires nothing get no rows."""
     p = _user_items(pairs, user, item, assume_distinct).withColumn("is_test", F.lit(False))
-    return _flags(p, rules).where("rec = 1 AND own = 0").select("user_id", "item")
+    return _flags(p, rules).where("rec > 0 AND own = 0").select("user_id", "item")
 
 
 def score_rules(train_pairs: DataFrame, rules: DataFrame, test_pairs: DataFrame,
@@ -221,7 +311,7 @@ def score_marked(marked: DataFrame, rules: DataFrame, all_test_users: bool = Fal
     """Per user ``(user_id, tp, fp, fn)`` from one table (user_id, item, is_test) of
     distinct pairs, train and test together (``splits.mark_exact_split`` writes it)."""
     flags = _flags(marked.select("user_id", "item", "is_test"), rules)
-    return _per_user(flags.select("user_id", (F.col("rec") * (1 - F.col("own"))).alias("_p"), F.col("test").alias("_t")),
+    return _per_user(flags.select("user_id", ((F.col("rec") > 0) & (F.col("own") == 0)).cast("int").alias("_p"), F.col("test").alias("_t")),
                      all_test_users)
 
 

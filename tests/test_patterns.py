@@ -145,3 +145,36 @@ def test_no_rules_and_no_pairs_fire_nothing(spark):
     pairs = _pairs(spark, [(1, "a")])
     assert rows(patterns.fire_rules(pairs, rules.where("false"))) == []
     assert rows(patterns.fire_rules(pairs.where("false"), rules)) == []
+
+
+def test_suggestions_are_merged_where_the_users_rows_are(spark, monkeypatch):
+    """Dealt once by user, a task for so many suggestions; hot users and large rule tables are spread."""
+    import random
+    rng = random.Random(11)
+    baskets = {u: {rng.choice("abcdefgh") for _ in range(rng.randint(1, 6))} for u in range(50)}
+    baskets[100] = set("abcdefgh")
+    rules = [(sorted(rng.sample("abcdefgh", k)), [rng.choice("abcdefghxyz")], k) for k in (1, 1, 1, 2, 2, 3, 4) for _ in range(6)]
+    table = spark.createDataFrame(rules, "antecedent array<string>, consequent array<string>, level int")
+    pairs = _pairs(spark, [(u, i) for u, items in baskets.items() for i in items])
+    marked = pairs.withColumn("is_test", F.lit(False)).unionByName(
+        _pairs(spark, [(1, "x"), (1, "q"), (200, "a"), (None, "a")]).withColumn("is_test", F.lit(True)))
+    want = {(u, i): (1, 0, 0) for u, items in baskets.items() for i in items} | {(1, "x"): (0, 1, 0), (1, "q"): (0, 1, 0), (200, "a"): (0, 1, 0), (None, "a"): (0, 1, 0)}
+    for u, items in baskets.items():
+        for a, c, level in rules:
+            if set(a) <= items:
+                own, test, rec = want.get((u, c[0]), (0, 0, 0))
+                want[(u, c[0])] = own, test, max(rec, level)
+
+    def flags(chunk=1 << 18):
+        df = patterns._flags(marked, table, chunk=chunk)
+        return df, {(r.user_id, r.item): (r.own, r.test, r.rec) for r in df.collect()}
+
+    monkeypatch.setattr(patterns, "FIRED_ROWS", 20)
+    df, got = flags()
+    assert got == want
+    assert df.rdd.getNumPartitions() > 10
+    final = df._jdf.queryExecution().toString().split("== Final Plan ==")[1].split("== Initial Plan ==")[0]
+    assert final.count("Exchange hashpartitioning(user_id") == 1
+    assert flags(chunk=7)[1] == want  # user 100 is hot
+    monkeypatch.setattr(patterns, "EVERYWHERE_ROWS", 3)
+    assert flags()[1] == want
