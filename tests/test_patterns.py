@@ -178,3 +178,47 @@ def test_suggestions_are_merged_where_the_users_rows_are(spark, monkeypatch):
     assert flags(chunk=7)[1] == want  # user 100 is hot
     monkeypatch.setattr(patterns, "EVERYWHERE_ROWS", 3)
     assert flags()[1] == want
+
+
+def test_support_sweep_mines_and_fires_once(spark, monkeypatch):
+    import random
+
+    from prefmine.plans.experiments import support_sweep
+    rng = random.Random(5)
+    groups = ["abcd", "ce", "fgh"]
+    pairs = {(u, i, rng.random() < 0.2) for u in range(120) for g in groups if rng.random() < 0.5 for i in g}
+    pairs |= {(u, f"z{u % 40}", True) for u in range(0, 150, 3)}
+    pairs = {(u, i): t for u, i, t in sorted(pairs)}
+    marked = spark.createDataFrame([(u, i, t) for (u, i), t in pairs.items()], "user_id long, item string, is_test boolean")
+    supports = (0.3, 0.02, 0.1, 0.9)
+    want = []
+    for s in supports:
+        itemsets, rules = patterns.mine(patterns.baskets(marked.where("NOT is_test")), s, 0.3)
+        t = patterns.precision_recall(patterns.score_marked(marked, rules)).first()
+        want.append((s, itemsets.count(), rules.count(), *t))
+    assert len({w[2] for w in want}) == 4 and want[-1][2:] == (0, 0, 0, 0, 0, None, None)
+    fits, fit = [], patterns.fit_fpgrowth
+    monkeypatch.setattr(patterns, "fit_fpgrowth", lambda *a: fits.append(a) or fit(*a))
+    got = [tuple(r) for r in support_sweep(marked, supports, 0.3).collect()]
+    assert sorted(got) == sorted(want) and len(fits) == 1
+
+
+def test_an_exact_split_stores_half_the_order_key(spark):
+    """The md5 as 16 bytes; the rest of the order key is made from the row where it is needed."""
+    from prefmine.operators import splits
+    from prefmine.session import materialize
+    written = []
+
+    def note(df, name="table", **metrics):
+        written.append((name, df.schema))
+        return materialize(df, name, **metrics)
+
+    import prefmine.session as session
+    before, session.materialize = session.materialize, note
+    try:
+        df = spark.createDataFrame([("a", 1)] * 7 + [("b", 2), (None, 3)], "k string, v int")
+        marked = splits.mark_exact_split(df, ["k"], 0.5)
+    finally:
+        session.materialize = before
+    assert [f.dataType.typeName() for f in dict(written)["split"] if f.name != "row"] == ["binary", "long"]
+    assert marked.where("is_test").count() == 4 and marked.count() == 9
