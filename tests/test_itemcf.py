@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -242,3 +243,15 @@ def test_pairs_are_summed_where_they_are_formed(spark, monkeypatch):
         assert all(abs(got[k][0] - s[0] / (s[1] * s[2]) ** 0.5) < 1e-12 and got[k][1] == s[3] for k, s in want.items())
     plan = itemcf.item_similarity(df, chunk=1000)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") and "Exchange hashpartitioning(item_a" not in plan
+
+
+def test_padding_shuffles_no_candidate(spark):
+    """Real pairs, also of similarity 0 and below, and zeros are merged in the item's row: there is
+    no join of candidates with all pairs, and the window ranks real pairs only."""
+    rng = random.Random(4)
+    t = [(u, i, float(rng.choice((-2, -1, 0, 1, 3)))) for u in range(25) for i in rng.sample(range(40), 4)]
+    df = spark.createDataFrame(t, "user_id long, item_id long, rating double")
+    nb = itemcf.top_neighbors(itemcf.item_similarity(df), 6, pad_zero=True, items=df.select("item_id"))
+    assert rows(nb, "item_id", "neighbor_id", "rank") == _brute(t, 6, pad=True)
+    plan = nb._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and "Union" not in plan and plan.count("Window [") == 1
