@@ -255,3 +255,56 @@ def test_padding_shuffles_no_candidate(spark):
     assert rows(nb, "item_id", "neighbor_id", "rank") == _brute(t, 6, pad=True)
     plan = nb._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" not in plan and "Union" not in plan and plan.count("Window [") == 1
+
+
+def test_requests_take_rated_lists_to_neighbour_lists(spark, monkeypatch):
+    """Scores equal a plain count with lists carried, with some users' rows joined instead, and with all of them;
+    carried lists are matched without a row per request and neighbour."""
+    import re
+    rng = random.Random(6)
+    t = [(g, u, i, float(rng.randint(1, 5))) for g in (1, 2) for u in range(12) for i in rng.sample(range(15), 2 + u)]
+    cols = "g int, user_id bigint, item_id bigint, rating double"
+    df = spark.createDataFrame(t + [(None, 1, 1, 2.0), (1, None, 1, 2.0), (1, 3, None, 2.0), (1, 4, 99, None)], cols)
+    asked = [(g, u, i) for g in (1, 2, 3) for u in range(13) for i in rng.sample(range(17), 6)]
+    req = spark.createDataFrame([(*a, 0.0) for a in asked + asked[:9] + [(1, None, 2), (1, 2, None)]], cols)
+    near = {(g, i): rng.sample([j for j in range(16) if j != i] + [99], 6) for g in (1, 2) for i in range(15)}
+    sim = {(g, i, j): rng.choice((-0.5, 0.0, 0.25, 0.5, 1.0)) for (g, i), js in near.items() for j in js}
+    nb = spark.createDataFrame([(g, i, j, sim[g, i, j], k + 1) for (g, i), js in near.items() for k, j in enumerate(js)],
+                               "g int, item_id bigint, neighbor_id bigint, similarity double, rank int")
+    rated = {(g, u, i): v for g, u, i, v in t} | {(1, 4, 99): None}
+
+    def want(n):
+        out = {}
+        for g, u, i in set(asked):
+            hits = [(sim[g, i, j], rated[g, u, j]) for j in near.get((g, i), [])[:n] if (g, u, j) in rated]
+            if hits:
+                weights, sums = sum(s for s, _ in hits), [s * v for s, v in hits if v is not None]
+                out[g, u, i] = 0.0 if weights == 0 else sum(sums) / weights if sums else None
+        return out
+
+    for carried in (1, 12, 512):
+        monkeypatch.setattr(itemcf, "CARRIED", carried)
+        one = itemcf.predict_pairs(nb, df, req, by=["g"])
+        assert {(r.g, r.user_id, r.item_id): r.prediction for r in one.collect()} == pytest.approx(want(6), abs=1e-12)
+        each = itemcf.predict_pairs_each(nb, df, req, (2, 6), by=["g"]).collect()
+        assert len(each) == len(want(6))
+        for n in (2, 6):
+            got = {(r.g, r.user_id, r.item_id): r[f"prediction_{n}"] for r in each}
+            few = want(n)
+            assert got == pytest.approx({k: few.get(k) for k in got}, abs=1e-12)
+    assert not re.search(r"Join Inner.*neighbor_id", one._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_cities_of_a_sweep_are_separate_models(spark):
+    """Groups are keyed by number inside; names come back, overlapping terms included."""
+    from prefmine.operators import ratings as R, splits
+    from prefmine.plans.experiments import city_neighbor_sweep, neighbor_sweep
+    from prefmine.sources import testdata as T
+    train, test = splits.hash_split(T.ratings_supp(spark, "/root/testdata/sf0.001"), ["user_id", "item_id"], 0.2, 0)
+    terms = ["nation_1", "NATION_2", "nation_12", "nowhere"]
+    got = {(r.city_term, r.n_neighbors): (r.rmse, r.n_covered, r.n_actual, r.coverage) for r in city_neighbor_sweep(train, test, terms, (2, 5)).collect()}
+    for term in terms:
+        own = neighbor_sweep(R.city_filter(train, term), R.city_filter(test, term), (2, 5)).collect()
+        assert {n for c, n in got if c == term} == {r.n_neighbors for r in own}
+        for r in own:
+            assert got[term, r.n_neighbors] == pytest.approx((r.rmse, r.n_covered, r.n_actual, r.coverage), abs=1e-12)
