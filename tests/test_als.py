@@ -141,3 +141,55 @@ def test_a_fit_without_ratings_says_so(spark):
     import pytest
     with pytest.raises(ValueError, match="no ratings"):
         als.fit(_tiny(spark)[1].limit(0), rank=2, max_iter=1)
+
+
+def _written(spark):
+    import glob
+
+    from prefmine.session import checkpoint_dir
+    return set(glob.glob(checkpoint_dir(spark).removeprefix("file:").removeprefix("//") + "/tables/*"))
+
+
+def test_waves_blocks_and_one_task_give_the_same_model(spark, monkeypatch):
+    """Messages cut into waves, half-steps chained, and a whole fit in one task; only the model's tables stay."""
+    import numpy as np
+    from prefmine.operators import alsblocks
+    _, df = _tiny(spark)
+    got, before = [], _written(spark)
+    for here, wave in ((3e11, 256 << 20), (0, 256 << 20), (0, 1), (0, 4000)):
+        monkeypatch.setattr(alsblocks, "HERE_WORK", here)
+        monkeypatch.setattr(alsblocks, "WAVE_BYTES", wave)
+        monkeypatch.setattr(alsblocks, "WAVE_PER_RATING", 0)
+        m = als.fit(df, rank=4, max_iter=4, num_blocks=5)
+        assert len(_written(spark) - before) == 2
+        got.append({(s, r.id): r.features for s, t in (("u", m.userFactors), ("i", m.itemFactors)) for r in t.collect()})
+        pairs = df.unionByName(spark.createDataFrame([(5, 9999, 1.0), (9999, 3, 1.0), (5, 3, 2.0)], df.schema))
+        mine = als.score(m, pairs)
+        ml = {(r.user_id, r.item_id): r.prediction for r in super(alsblocks.BlockedALSModel, m)._transform(als.to_als_input(pairs)).collect()}
+        assert mine.columns == ["user_id", "item_id", "rating", "prediction"] and mine.count() == df.count() + 1
+        assert {(r.user_id, r.item_id) for r in mine.collect()} == set(ml)
+        assert all(abs(r.prediction - ml[r.user_id, r.item_id]) < 1e-4 for r in mine.collect())
+        res = als.normal_equation_residuals(m, df, 0.1).collect()
+        assert len(res) == 30 and max(r.residual / r.scale for r in res) < 1e-4
+        als.release_scored(mine)
+        als.release_model(m)
+        before = _written(spark)
+    assert len(got[0]) == 30 + 52
+    for other in got[1:]:
+        assert other.keys() == got[0].keys() and all(np.allclose(other[k], got[0][k], atol=1e-3) for k in other)
+
+
+def test_scoring_nothing_and_strangers(spark):
+    _, df = _tiny(spark)
+    m = als.fit(df, rank=4, max_iter=2, num_blocks=2)
+    strangers = spark.createDataFrame([(777, 888, 1.0)], df.schema)
+    assert als.score(m, df.limit(0)).count() == 0 and als.score(m, strangers).count() == 0
+    one = als.certificate(m, df, strangers, 0.1).first()
+    assert one.n_scored == 0 and one.test_rmse is None
+
+
+def test_a_grid_keeps_the_best_model_only(spark):
+    before = _written(spark)
+    cv = als.grid_search(_tiny(spark)[1], ranks=(2, 3), reg_params=(0.1,), num_folds=2, parallelism=2, max_iter=2)
+    assert len(_written(spark) - before) == 2
+    assert cv.bestModel.userFactors.count() == 30
