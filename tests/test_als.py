@@ -193,3 +193,22 @@ def test_a_grid_keeps_the_best_model_only(spark):
     cv = als.grid_search(_tiny(spark)[1], ranks=(2, 3), reg_params=(0.1,), num_folds=2, parallelism=2, max_iter=2)
     assert len(_written(spark) - before) == 2
     assert cv.bestModel.userFactors.count() == 30
+
+
+def test_small_city_fits_run_side_by_side_under_their_own_tags(spark, monkeypatch):
+    """Every fit of the table is at work at the same time, each thread with its own job tag only."""
+    import threading
+    from prefmine.plans import experiments
+    train, test = splits.hash_split(T.ratings_supp(spark, SF001), ["user_id", "item_id"], 0.2, 0)
+    fit, seen, met = als.fit, [], threading.Barrier(4, timeout=60)
+
+    def meeting(*a, **k):
+        met.wait()
+        seen.append(set(spark.sparkContext.getJobTags()))
+        return fit(*a, **k)
+
+    monkeypatch.setattr(als, "fit", meeting)
+    got = experiments.als_city_sweep(train, test, ["nation_1", "nation_2"], [2, 3], 2, 0.1).collect()
+    assert [(r.city_term, r["rank"]) for r in got] == [(c, k) for c in ("nation_1", "nation_2") for k in (2, 3)]
+    assert all(r.rmse > 0 and r.train_s > 0 for r in got)
+    assert sorted(map(sorted, seen)) == sorted([experiments.als_tag(c, k)] for c in ("nation_1", "nation_2") for k in (2, 3))
