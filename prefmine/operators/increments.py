@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prefmine.functions.columns import cosine
-from prefmine.operators.itemcf import DEFAULT_CHUNK, hot_users, range_pairs, top_neighbors
+from prefmine.operators.itemcf import DEFAULT_CHUNK, hot_users, range_waves, top_neighbors
 from prefmine.session import materialize, release
 from prefmine.sources.versions import Versions
 
@@ -36,6 +36,25 @@ def _summed(parts: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
     return parts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
 
 
+# Rows of pairs that are folded and pairs that are formed at once, at least; and the most waves of them.
+WAVE_ROWS, WAVE_PAIRS, MOST_WAVES = 1 << 24, 1 << 26, 8
+
+
+def summed_in_waves(pairs: DataFrame) -> list[DataFrame]:
+    """The pairs' sums as frames of ranges of ``item_a``, to be written one after the other: what is shuffled at
+    once is a wave, not the table.  An item's pairs stay together, so ranking them sends few rows."""
+    quantiles = [i / 64 for i in range(1, 64)]
+    known = pairs.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("item_a", quantiles, 6400).alias("q")).first()
+    waves = max(1, min(MOST_WAVES, -(-known.n // WAVE_ROWS)))
+    cuts = sorted({known.q[i * 64 // waves - 1] for i in range(1, waves)})
+    out, a = [], F.col("item_a")
+    for lo, hi in zip([None, *cuts], [*cuts, None]):
+        some = pairs if lo is None else pairs.where(a > lo)
+        some = some if hi is None else some.where(a <= hi)
+        out.append(_summed(some.repartitionByRange("item_a"), PAIR_KEYS, PAIR_SUMS))
+    return out
+
+
 def changed_pairs(rows: DataFrame, chunk: int = DEFAULT_CHUNK) -> DataFrame:
     """(item_a, item_b, dot, na, nb, n_common): by how much a batch changes the pairs' sums.
 
@@ -46,12 +65,20 @@ def changed_pairs(rows: DataFrame, chunk: int = DEFAULT_CHUNK) -> DataFrame:
     than ``chunk`` ratings is cut into buckets of items, and each pair of buckets is a
     join group of its own, so no task forms more than about ``chunk`` squared pairs of one user.
     """
-    rows = rows.withColumn("changed", F.col("before").isNull() | (F.col("before") != F.col("after")))
+    return _changed(rows, chunk, 1)[0][0]
+
+
+def _changed(rows: DataFrame, chunk: int, most: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """:func:`changed_pairs` as at most ``most`` frames without a common pair, and tables to release when they are written."""
     hot, n_hot, n_pairs = hot_users(rows, ["user_id"], chunk)
     plain = rows.join(hot, "user_id", "left_anti") if n_hot else rows
-    met = range_pairs(plain, [], ["before", "after", "changed"], n_pairs).where("changed_a OR changed_b")
-    sums = _summed(_terms(met, "_range"), ["_range", *PAIR_KEYS], PAIR_SUMS).drop("_range")
-    return _summed(sums.unionByName(_hot_terms(rows.join(hot, "user_id"))), PAIR_KEYS, PAIR_SUMS) if n_hot else sums
+    changed = lambda s: F.col(f"before_{s}").isNull() | (F.col(f"before_{s}") != F.col(f"after_{s}"))
+    waves = 1 if n_hot else max(1, min(most, int(n_pairs // WAVE_PAIRS) + 1))
+    frames = range_waves(plain, [], ["before", "after"], n_pairs, waves)
+    out = [_summed(_terms(met.where(changed("a") | changed("b")), "_range"), ["_range", *PAIR_KEYS], PAIR_SUMS).drop("_range") for met in frames]
+    if n_hot:
+        out = [_summed(out[0].unionByName(_hot_terms(rows.join(hot, "user_id"))), PAIR_KEYS, PAIR_SUMS)]
+    return out, [f for f in frames[:1] if hasattr(f, "_table_path")]
 
 
 def _terms(met: DataFrame, *more: str) -> DataFrame:
@@ -66,6 +93,7 @@ def _hot_terms(rows: DataFrame) -> DataFrame:
     own = F.pmod(F.xxhash64("item_id"), F.col("n_salt")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("n_salt") - 1))
     side = lambda s: [F.col("item_id").alias(f"item_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("before", "after", "changed")]]
+    rows = rows.withColumn("changed", F.col("before").isNull() | (F.col("before") != F.col("after")))
     left = rows.select("user_id", *side("a"), own.alias("bl"), every.alias("br"))
     right = rows.select("user_id", *side("b"), own.alias("br"), every.alias("bl"))
     return _terms(left.join(right, ["user_id", "bl", "br"]).where("item_a < item_b AND (changed_a OR changed_b)"))
@@ -97,9 +125,10 @@ class SimilarityStore:
                 .select(*REVIEW_KEYS, F.try_divide("t0", "n0").alias("before"), (F.col("t") / F.col("n")).alias("after")))
         rows = materialize(rows, "batch-users")
         # Written once, in the version itself; its items are ranked when lists are asked for.
-        self.versions.commit(append={"reviews": batch, "pairs": changed_pairs(rows, self.chunk)},
+        changed, held = _changed(rows, self.chunk, MOST_WAVES)
+        self.versions.commit(append={"reviews": batch, "pairs": changed},
                              batches=[*manifest.get("batches", []), name], ranked=_ranked_parts(manifest))
-        release(batch, rows)
+        release(batch, rows, *held)
         return True
 
     def _rank(self) -> None:
@@ -153,7 +182,8 @@ class SimilarityStore:
         reviews, pairs = self.versions.read("reviews", manifest), self.versions.read("pairs", manifest)
         # One part has no note of what is ranked: lists behind the batches are ranked anew from it.
         current = _ranked_parts(manifest) == len(manifest["tables"]["pairs"])
-        self.versions.commit(replace={"reviews": _summed(reviews, REVIEW_KEYS, REVIEW_SUMS), "pairs": _summed(pairs, PAIR_KEYS, PAIR_SUMS)}, ranked=int(current))
+        self.versions.commit(replace={"reviews": _summed(reviews, REVIEW_KEYS, REVIEW_SUMS), "pairs": summed_in_waves(pairs)}, ranked=int(current))
+        self.versions.vacuum()
         self._rank()
         self.versions.vacuum()
 

@@ -106,3 +106,39 @@ def test_lists_are_ranked_when_asked_for(spark, tmp_dir):
     assert "neighbors" not in store.versions.latest()[1]["tables"]      # three batches, no ranking yet
     store.compact()
     assert rows(store.neighbors(), "item_id", "neighbor_id", "rank") == rows(itemcf.top_neighbors(store.similarity(), 2), "item_id", "neighbor_id", "rank")
+
+
+def test_waves_of_pairs_equal_one(spark, tmp_dir, monkeypatch):
+    """Pairs formed and folded in several writes, each with its own shuffles, are the pairs of one; no list stays."""
+    from test_als import _written
+    before = _written(spark)
+    schema, bs = "user_id int, item_id int, rate double", [b[:90] for b in batches(3, users=40, items=30)]
+    monkeypatch.setattr(increments, "WAVE_ROWS", 40)
+    monkeypatch.setattr(increments, "WAVE_PAIRS", 1)
+    monkeypatch.setattr(itemcf, "RANGE_PAIRS", 20)
+    store, written = increments.SimilarityStore(spark, tmp_dir + "/s", 3), []
+    commit = store.versions.commit
+
+    def counted(append=None, replace=None, **remember):
+        written.append(len((append or replace)["pairs"]) if "pairs" in (append or replace) else 0)
+        return commit(append, replace, **remember)
+
+    monkeypatch.setattr(store.versions, "commit", counted)
+    for i, b in enumerate(bs):
+        assert store.apply(f"b{i}", spark.createDataFrame(b, schema))
+    want = brute([r for b in bs for r in b])
+
+    def check():
+        got = {(r.item_a, r.item_b): (r.similarity, r.n_common) for r in store.similarity().collect()}
+        assert got.keys() == want.keys()
+        assert all(abs(got[k][0] - want[k][0]) < 1e-9 and got[k][1] == want[k][1] for k in want)
+
+    check()
+    assert written[0] > 3 and written[2] == 8
+    store.compact()
+    check()
+    pairs = store.versions.read("pairs")
+    assert written[3] > 3 and pairs.count() == pairs.select("item_a", "item_b").distinct().count()
+    sim = itemcf.item_similarity(store.ratings())
+    assert rows(store.neighbors(), "item_id", "neighbor_id", "rank") == rows(itemcf.top_neighbors(sim, 3), "item_id", "neighbor_id", "rank")
+    assert not [t for t in _written(spark) - before if "/user-lists" in t or "/batch" in t]
